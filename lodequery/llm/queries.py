@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodequery.llm import byte_bpe, packing, quality_model, quality_rules
+from lodequery.llm import byte_bpe, packing, pii, quality_model, quality_rules, toxicity
 from lodequery.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,6 +36,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op8_quality_classifier, op9_byte_bpe, op10_packing)
+    f.__name__: f for f in (op2_quality_rules, op4_toxicity, op6_pii, op8_quality_classifier, op9_byte_bpe, op10_packing)
 }
 ORACLES: dict[str, str] = {}
