@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodequery.llm import byte_bpe, packing, pii, quality_model, quality_rules, toxicity
+from lodequery.llm import byte_bpe, jaccard_join, packing, pii, quality_model, quality_rules, toxicity
 from lodequery.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op4_toxicity, op6_pii, op8_quality_classifier, op9_byte_bpe, op10_packing)
+    f.__name__: f for f in (op2_quality_rules, op4_toxicity, op5_ngram_jaccard, op6_pii, op8_quality_classifier, op9_byte_bpe, op10_packing)
 }
 ORACLES: dict[str, str] = {}
