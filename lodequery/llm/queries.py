@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodequery.llm import byte_bpe, jaccard_join, packing, pii, quality_model, quality_rules, toxicity
+from lodequery.llm import byte_bpe, jaccard_join, metric_search, packing, pii, quality_model, quality_rules, toxicity
 from lodequery.llm.common import table
 
 
@@ -27,6 +28,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op7_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +45,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op4_toxicity, op5_ngram_jaccard, op6_pii, op8_quality_classifier, op9_byte_bpe, op10_packing)
+    f.__name__: f for f in (op2_quality_rules, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_metric_search, op8_quality_classifier, op9_byte_bpe, op10_packing)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_metric_search": metric_search.ORACLE}
