@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequery.llm import byte_bpe, jaccard_join, metric_search, packing, pii, quality_model, quality_rules, secrets, toxicity
+from lodequery.llm import byte_bpe, jaccard_join, metric_search, packing, pii, pitman_yor, quality_model, quality_rules, secrets, toxicity
 from lodequery.llm.common import table
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_secret_scan, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_metric_search, op8_quality_classifier, op9_byte_bpe, op10_packing)
+    f.__name__: f for f in (op1_pitman_yor, op2_quality_rules, op3_secret_scan, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_metric_search, op8_quality_classifier, op9_byte_bpe, op10_packing)
 }
 ORACLES: dict[str, str] = {"op7_metric_search": metric_search.ORACLE}
