@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodequery.llm.common import Words, cut, text_batches
 
@@ -207,8 +208,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, block: int = 128, most_sent: int = 2_000_000) -> DataFrame:
-    """doc_id, class_id (least doc_id among all documents reached by links) and n_links (documents of similarity >= threshold, itself not) of each row.
+def classed(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, block: int = 128, most_sent: int = 2_000_000) -> DataFrame:
+    """doc_id, key (of its set; null: no words), root (least key among all sets reached by links), class_id and n_links of each row.
 
     most_sent: up to so many ids of candidate classes are broadcast to the second scan of the texts; more are joined by a shuffle.
     """
@@ -280,8 +281,48 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float =
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     linked = classes.select("key", "rep", "copies").join(links, "key").join(roots.withColumnRenamed("node", "key"), "key")
     least = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = linked.join(least, "root").select("key", "class_id", "links")
-    known = classes.select("key", "rep", "copies").join(linked, "key", "left").select("key", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    linked = linked.join(least, "root").select("key", "root", "class_id", "links")
+    known = classes.select("key", "rep", "copies").join(linked, "key", "left").select(
+        "key", F.coalesce("root", "key").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+    )
     out = signed.select("doc_id", "key").join(known, "key", "left")
-    alone = F.col("key").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    alone = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return out.select("doc_id", "key", "root", alone.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (least doc_id among all documents reached by links) and n_links (documents of similarity >= threshold, itself not) of each row."""
+    return classed(docs, **options).select("doc_id", "class_id", "n_links")
+
+
+def kept(docs: DataFrame, most_sent: int = 2_000_000, **options) -> DataFrame:
+    """One row of each class, all columns: of least doc_id, then key; of several such rows the least by all columns.
+
+    Texts without words are no copies of each other and stay. What goes is found on ids and keys alone;
+    up to `most_sent` of those are broadcast to the scan of the rows, more are joined by a shuffle.
+    """
+    n = options.get("n", 5)
+    found = cut(classed(docs, most_sent=most_sent, **options).where("key is not null").groupBy("doc_id", "key", "root").count())
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    best = best.select("root", F.col("best.doc_id").alias("_id"), F.col("best.key").alias("_key"))
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    # a mark for each (doc_id, key) that needs one: 0 goes, 2 stands on several rows of which one stays
+    marks = found.join(best, "root").select("doc_id", "key", F.when(~own, 0).when(F.col("count") > 1, 2).alias("mark")).where("mark is not null")
+    marks = cut(marks.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "mark"))
+    many = marks.count() > most_sent
+
+    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in text_batches(iter([big])):
+                keys = [key_of(s) for s in shingle_sets(b.column("text"), n)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], [*b.schema.names, "_row_key"])
+
+    rows = docs.mapInArrow(with_key, T.StructType([*docs.schema.fields, T.StructField("_row_key", T.BinaryType())]))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key"))
+    marked = rows.join(marks if many else F.broadcast(marks), same, "left")
+    single = marked.where("mark is null").select(*docs.columns)
+    if marks.where("mark = 2").isEmpty():
+        return single
+    first = F.row_number().over(Window.partitionBy("doc_id", "_row_key").orderBy(*docs.columns))
+    return single.unionByName(marked.where("mark = 2").withColumn("_first", first).where("_first = 1").select(*docs.columns))

@@ -192,35 +192,39 @@ def fit(rows: list[tuple], steps: int = 400, rate: float = 0.5, keep: float = 1e
     return weights
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, `found` (base spans: s, k, e) and `more` (further spans that the classifier takes: s, k, e) of each row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    all_of = docs.select("*", let(candidates(text), lambda c: F.transform(c, lambda x: described(text, x))).alias("_c"))
-    keep = [c for c in ("_row", "doc_id") if c in docs.columns]
-    wide = cut(all_of.select(*keep, F.col("_c").alias("c")))
-    each = wide.select(F.explode("c").alias("c")).select("c.k", "c.v.*", F.struct("c.f.*").alias("f"))
+def with_candidates(docs: DataFrame, text: Column) -> DataFrame:
+    return docs.withColumn("_c", let(candidates(text), lambda c: F.transform(c, lambda x: described(text, x))))
+
+
+def weights_of(candidate_rows: DataFrame) -> dict[str, float]:
+    """The classifier's weights, learned from all candidates in the column _c."""
+    each = candidate_rows.select(F.explode("_c").alias("c")).select("c.k", "c.v.*", F.struct("c.f.*").alias("f"))
     counted = each.groupBy("k", *VOTES, "f").count().collect()  # bounded: see above
     patterns: dict[tuple, int] = {}
     for r in counted:
         key = (r["k"], tuple(r[v] for v in VOTES))
         patterns[key] = patterns.get(key, 0) + r["count"]
-    post = estimate([(k, v, n) for (k, v), n in patterns.items()])
+    post = estimate(sorted((k, v, n) for (k, v), n in patterns.items()))
     mixed: dict[tuple, list[float]] = {}
-    for r in counted:
+    for r in sorted(counted, key=str):
         cell = mixed.setdefault((r["k"], tuple(r["f"])), [0, 0.0])
         cell[0] += r["count"]
         cell[1] += r["count"] * post[r["k"], tuple(r[v] for v in VOTES)]
-    weights = fit([(k, f, c, real) for (k, f), (c, real) in sorted(mixed.items())])
+    return fit([(k, f, c, real) for (k, f), (c, real) in sorted(mixed.items())])
+
+
+def decided(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Adds `found` (base spans: s, k, e) and `more` (further spans that the classifier takes) to rows with candidates; drops _c."""
     table = F.create_map(*(F.lit(x) for pair in sorted(weights.items()) for x in pair)) if weights else F.create_map(F.lit(""), F.lit(0.0))
     weight = lambda key: F.coalesce(F.try_element_at(table, key), F.lit(0.0))
     of = lambda x, n: F.concat(x["k"].cast("string"), F.lit(f"|{n}|"), x["f"][n])
     real = lambda x: reduce(lambda a, n: a + weight(of(x, n)), FEATURES, weight(x["k"].cast("string"))) > 0
     span = lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))
-    base = wide.withColumn("found", F.array_sort(F.transform(F.filter("c", lambda x: x["ok"]), span)))
-    open_ = F.filter("c", lambda x: ~x["ok"] & ~F.exists("found", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & real(x))
+    base = rows.withColumn("found", F.array_sort(F.transform(F.filter("_c", lambda x: x["ok"]), span)))
+    open_ = F.filter("_c", lambda x: ~x["ok"] & ~F.exists("found", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & real(x))
     first = lambda x, i, own: ~F.exists(F.slice(own, 1, i), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     more = let(F.array_distinct(F.array_sort(F.transform(open_, span))), lambda own: F.filter(own, lambda x, i: first(x, i, own)))
-    return base.withColumn("more", more).drop("c")
+    return base.withColumn("more", more).drop("_c")
 
 
 def joined(spans: Column, prefix: str = "") -> Column:
@@ -236,7 +240,8 @@ def all_spans() -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256 and spans of each row of docs (doc_id, text)."""
     count = lambda i: F.size(F.filter("found", lambda x: x["k"] == i)).cast("long")
-    return scanned(docs.select("doc_id", "text")).select(
+    rows = cut(with_candidates(docs.select("doc_id", "text"), F.coalesce("text", F.lit(""))).drop("text"))
+    return decided(rows, weights_of(rows)).select(
         "doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(joined(F.col("found")), 256).alias("base_sha256"), joined(all_spans()).alias("spans"), F.size("more").cast("long").alias("n_added"),
     )
 
@@ -249,3 +254,17 @@ def masked(text: Column, spans: Column) -> Column:
         F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.get(names, x["k"] % 4)).alias("out"), x["e"].alias("at"))
     )
     return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with every span of a text masked and n_chars, where there is one, brought up to date; null texts stay null.
+
+    Texts are scanned once to learn and again where the rows are masked, so that no text is shuffled.
+    """
+    rows = with_candidates(docs, F.coalesce("text", F.lit("")))
+    done = decided(rows, weights_of(rows))
+    text = F.when(F.size("found") + F.size("more") == 0, F.col("text")).otherwise(masked(F.coalesce("text", F.lit("")), all_spans()))
+    out = done.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("found") + F.size("more") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)

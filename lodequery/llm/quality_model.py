@@ -116,11 +116,16 @@ def train(sample: list[tuple[str, int]], bits: int = 18, grams: tuple[int, ...]
     return Model(vectors @ (last[:, 1] - last[:, 0]), float(bias[1] - bias[0]), bits, grams)
 
 
+def learned(docs: DataFrame, labels: DataFrame, held_out: Column, most_train: int, options: dict):
+    """The model trained on labelled ids not held out, sent to the executors."""
+    sample = labelled_sample(docs, labels, "quality", ~held_out, most_train)
+    return docs.sparkSession.sparkContext.broadcast(train(sample, **options))
+
+
 def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = 0.3, most_train: int = 3000, **options) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of each document; learns from labelled ids not held out."""
     held_out = fold(F.col("doc_id"), 5) == 0 if held_out is None else held_out
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(labelled_sample(docs, labels, "quality", ~held_out, most_train), **options))
+    model = learned(docs, labels, held_out, most_train, options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -129,3 +134,16 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, th
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(run, SCHEMA)
+
+
+def kept(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = 0.3, most_train: int = 3000, **options) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold."""
+    held_out = fold(F.col("doc_id"), 5) == 0 if held_out is None else held_out
+    model = learned(docs, labels, held_out, most_train, options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in text_batches(iter([big])):
+                yield b.filter(pa.array(model.value.scores(b.column("text")) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

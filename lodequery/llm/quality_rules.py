@@ -50,8 +50,8 @@ def repeated_window_words(hashes: Column) -> Column:
     return F.when(F.size(hashes) < 4, F.lit(0)).otherwise(let(windows, covered)).cast("long")
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts of each row's text and base_failed. Null text has no words."""
+def counts(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
+    """The columns to carry, the counts of each row's text and base_failed. Null text has no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.trim(text, F.lit(SPACES))
 
@@ -68,8 +68,8 @@ def counts(docs: DataFrame) -> DataFrame:
 
     words = F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    got = docs.select("doc_id", "lang", "source", let(words, measured).alias("_m"))
-    return got.select("doc_id", "lang", "source", *(F.col(f"_m.{c}").alias(c) for c in COUNTS)).withColumn("base_failed", failed)
+    got = docs.select(*carry, let(words, measured).alias("_m"))
+    return got.select(*carry, *(F.col(f"_m.{c}").alias(c) for c in COUNTS)).withColumn("base_failed", failed)
 
 
 def ratios() -> dict[str, Column]:
@@ -105,16 +105,14 @@ def fences(counted: DataFrame, k: int = 400, least_rows: int = 100, spread: floa
     return every.select("lang", "source", best.alias("fence"))
 
 
-def judge(docs: DataFrame, k: int = 400, least_rows: int = 100, spread: float = 6.0, most_groups: int = 50_000, salts: int = 32) -> DataFrame:
-    """The counts of each document, its ratios, base_failed and kept."""
-    counted = cut(counts(docs))
-    fenced = cut(fences(counted, k, least_rows, spread))
+def fenced(counted: DataFrame, fence: DataFrame, most_groups: int, salts: int) -> DataFrame:
+    """Counted rows, aliased a, with their group's fence, aliased b, and the column kept."""
     rows = counted.withColumns(ratios())
-    if fenced.count() <= most_groups:
-        right, on = F.broadcast(fenced), F.lit(True)
+    if fence.count() <= most_groups:
+        right, on = F.broadcast(fence), F.lit(True)
     else:
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)))
-        right = fenced.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols"), F.lit(salts)))
+        right = fence.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
         on = F.col("a._salt") == F.col("b._salt2")
     same = on & F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source"))
     inside = F.lit(True)
@@ -122,5 +120,24 @@ def judge(docs: DataFrame, k: int = 400, least_rows: int = 100, spread: float =
         inside &= F.col(n) <= F.col(f"b.fence.high_{n}")
         if n == "word_length":
             inside &= F.col(n) >= F.col(f"b.fence.low_{n}")
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return rows.alias("a").join(right.alias("b"), same, "left").select("a.doc_id", *COUNTS, *SLACK, "base_failed", kept.alias("kept"))
+    passed = ~F.col("a.base_failed") & F.coalesce(inside, F.lit(True))
+    return rows.alias("a").join(right.alias("b"), same, "left").select("a.*", passed.alias("kept"))
+
+
+def judge(docs: DataFrame, k: int = 400, least_rows: int = 100, spread: float = 6.0, most_groups: int = 50_000, salts: int = 32) -> DataFrame:
+    """The counts of each document, its ratios, base_failed and kept."""
+    counted = cut(counts(docs))
+    fence = cut(fences(counted, k, least_rows, spread))
+    return fenced(counted, fence, most_groups, salts).select("doc_id", *COUNTS, *SLACK, "base_failed", "kept")
+
+
+def kept(docs: DataFrame, k: int = 400, least_rows: int = 100, spread: float = 6.0, most_groups: int = 50_000, salts: int = 32) -> DataFrame:
+    """The rows of docs that are kept, with all columns they came with.
+
+    Texts are counted once for the fences and again where the rows are filtered, so that no text is shuffled.
+    """
+    names = {c: f"_in_{c}" for c in docs.columns if c not in ("lang", "source")}
+    fence = cut(fences(counts(docs), k, least_rows, spread))
+    rows = docs.withColumns({new: F.col(c) for c, new in names.items()})
+    judged = fenced(counts(rows, (*names.values(), "lang", "source")), fence, most_groups, salts).where("kept")
+    return judged.select(*(F.col(names[c]).alias(c) if c in names else F.col(c) for c in docs.columns))

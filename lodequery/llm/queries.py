@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pitman_yor, op2_quality_rules, op3_secret_scan, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_metric_search, op8_quality_classifier, op9_byte_bpe, op10_packing)
+    f.__name__: f for f in (op1_pitman_yor, op2_quality_rules, op3_secret_scan, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_metric_search, op8_quality_classifier, op9_byte_bpe, op10_packing, pipeline)
 }
 ORACLES: dict[str, str] = {"op7_metric_search": metric_search.ORACLE}
