@@ -15,6 +15,7 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,34 +31,63 @@ FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 
+#: Letters with one lower-case form and no decomposition, then ASCII marks but the apostrophe: two pre-tokens at most.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones themselves, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Ids (little-endian 32-bit bytes) of texts, word by word: the tokenizer never joins across white space.
 
-    The ids of a word are kept, at most `most` words; a full memory starts anew.
+    The ids of words, and of the letters of plain words in lower case, are kept; a full memory (`most`
+    words) starts anew. Plain words go to the tokenizer's model directly, others through all its steps.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def part(self, piece: str) -> bytes:
+        if (ids := self.parts.get(piece)) is None:
+            written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = b"".join(x.id.to_bytes(4, "little") for x in self.model.tokenize(written))
+            self.parts[piece] = ids
+        return ids
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in out]
+    def word(self, word: str) -> bytes:
+        if not (m := PLAIN.fullmatch(word)):
+            return self.whole(word)
+        ids = self.part(m[1].lower())
+        return ids + self.part(m[2]) if m[2] else ids
 
     def encode(self, text: str) -> bytes:
         if any(x in text for x in ODD_SPACES):
-            return self.whole([text])[0]
+            return self.whole(text)
         words = text.split()
-        parts = list(map(self.known.get, words))
-        if None in parts:
+        ids = list(map(self.known.get, words))
+        if None in ids:
             if len(self.known) > self.most:
                 self.known.clear()
-            new = list({w for w in words if w not in self.known})
-            self.known.update(zip(new, self.whole(new), strict=True))
-            parts = list(map(self.known.__getitem__, words))
-        return b"".join(parts)
+                self.parts.clear()
+            new = {w for w, x in zip(words, ids, strict=True) if x is None}
+            new = {w: self.word(w) for w in new}
+            ids = [new[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            self.known.update(new)
+        return b"".join(ids)
 
 
 class SquaresPacker:
