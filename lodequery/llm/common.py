@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
+_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,7 +81,7 @@ class Words:
 
     def __init__(self, texts: pa.Array, lower: bool = False):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+        lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten()
         full = pc.greater(pc.binary_length(flat), 0)
         held = np.asarray(full)
@@ -89,6 +90,10 @@ class Words:
         coded = flat.filter(full).dictionary_encode()
         self.types: list[str] = coded.dictionary.to_pylist()
         self.codes = np.asarray(coded.indices).astype(np.int64)
+        if lower:
+            again = pa.array([x.lower() if x.isascii() else x.translate(_LOWER) for x in self.types], pa.large_string()).dictionary_encode()
+            self.types = again.dictionary.to_pylist()
+            self.codes = np.asarray(again.indices).astype(np.int64)[self.codes]
 
     def per_text(self, values: np.ndarray) -> np.ndarray:
         """Sums of values (one per word) for each text."""
