@@ -191,16 +191,25 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     to the least node it knows, so long chains shrink to stars in a logarithmic number of rounds. Least
     neighbours are aggregated where the rows are; no neighbour list is gathered.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    for _ in range(most_rounds):
+    def ordered(edges: DataFrame) -> DataFrame:
+        return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+
+    def small_star(edges: DataFrame) -> DataFrame:
+        """A node's smaller neighbours, and the node, linked to the least of them."""
+        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        return edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+
+    def large_star(edges: DataFrame) -> DataFrame:
+        """A node's larger neighbours linked to the least node among its neighbours and itself."""
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("m < a").select("a", F.col("m").alias("b")))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("m < a").select("a", F.col("m").alias("b")))
+
+    # small stars first: many buckets give a node as many roots, most of which this step makes one
+    edges = cut(ordered(small_star(ordered(edges))))
+    before = None
+    for _ in range(most_rounds):
+        edges = cut(ordered(small_star(ordered(large_star(edges)))))
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break

@@ -37,7 +37,7 @@ SCHEMA = "query_id long, rank int, vec_id long, score long"
 class MTree:
     """A bulk-loaded M-tree over the rows of x (integers); leaves hold up to `leaf` rows, nodes up to `fan` children."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = 256, fan: int = 16):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = 1024, fan: int = 16):
         self.ids, self.x, self.leaf, self.fan = ids, x, leaf, fan
         self.f = x.astype(np.float64)
         self.norm2 = (self.f**2).sum(axis=1)
@@ -56,7 +56,8 @@ class MTree:
             if len(rows) > self.leaf:  # equal vectors: pages of them
                 node["children"] = [self.grow(rows[i : i + self.leaf], center) for i in range(0, len(rows), self.leaf)]
                 return self.packed(node)
-            return node | {"rows": rows, "far": far}
+            # side by side; products of doubles are exact while no score can reach 2**53
+            return node | {"rows": self.f[rows], "exact": self.x[rows], "ids": self.ids[rows], "half": (self.norm2[rows]) / 2, "far": far}
         n = min(self.fan, -(-len(rows) // self.leaf) + 1)
         pivots = [int(np.argmax(far))]
         near = None
@@ -91,11 +92,16 @@ class MTree:
                 break
             if "rows" in node:
                 lower = np.abs(to_center - node["far"]) * (1 - slack)
-                rows = node["rows"]
-                rows = rows[(q2 + self.norm2[rows] - lower**2) / 2 * (1 + slack) + 1e-6 * (1 + q2) >= least]
-                new = self.x[rows] @ q
-                good = (new >= least) & (self.ids[rows] != own)
-                scores, ids = np.concatenate([scores, new[good]]), np.concatenate([ids, self.ids[rows][good]])
+                at = np.flatnonzero((q2 / 2 + node["half"] - lower**2 / 2) * (1 + slack) + 1e-6 * (1 + q2) >= least)
+                if not len(at):
+                    continue
+                if q2 * node["norm2"] < 2.0**100:
+                    new = (node["rows"] @ f if 2 * len(at) > len(lower) else node["rows"][at] @ f).astype(np.int64)
+                    new = new[at] if len(new) > len(at) else new
+                else:
+                    new = node["exact"][at] @ q
+                good = np.flatnonzero((new >= least) & (node["ids"][at] != own))
+                scores, ids = np.concatenate([scores, new[good]]), np.concatenate([ids, node["ids"][at[good]]])
                 if len(scores) > k:
                     best = np.lexsort((ids, -scores))[:k]
                     scores, ids = scores[best], ids[best]
@@ -129,7 +135,7 @@ def matrix(column) -> np.ndarray:
     return np.array(list(column), np.int64)
 
 
-def top_k(table: DataFrame, is_query: Column, k: int = 20, page: int = 4096, query_block: int = 2048, most_pivots: int = 1024) -> DataFrame:
+def top_k(table: DataFrame, is_query: Column, k: int = 20, page: int = 8192, query_block: int = 2048, most_pivots: int = 1024) -> DataFrame:
     """query_id, rank from 1, vec_id and score of the k best rows for each row that is_query (a condition on vec_id) holds for.
 
     Pivots are the first rows by a hash of the id, one for each page of rows, `most_pivots` at most.

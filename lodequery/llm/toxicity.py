@@ -226,14 +226,21 @@ def log_likelihood_gain(a: int, b: int, n: int, m: int) -> float:
     return part(a, n, a / n) + part(b, m, b / m) - part(a + b, n + m, (a + b) / (n + m))
 
 
-def train(sample: list[tuple[str, int]], toxic_marks: int = 96, contrast: int = 32, least_gain: float = 10.0, rounds: int = 4, seed: int = 3) -> Model:
-    """The machine from labelled texts. least_gain: of a toxic landmark's log likelihood ratio, so that chance words stay out."""
+def train(sample: list[tuple[str, int]], toxic_marks: int = 96, contrast: int = 32, least_gain: float = 10.0, most_sentences: int = 8, rounds: int = 4, seed: int = 3) -> Model:
+    """The machine from labelled texts.
+
+    least_gain: of a toxic landmark's log likelihood ratio, so that chance words stay out; most_sentences:
+    so many of a document, those nearest to toxic landmarks, take part in training.
+    """
     y = np.array([v for _, v in sample], int)
     if len(set(y.tolist())) < 2:
         return Model()
     counts = [Counter(), Counter()]
-    for text, label in sample:
-        counts[label].update({p for x in set(text.split()) if len(p := folded(x)) >= 4})
+    for label in (1, 0):  # words of toxic documents alone; others can be no landmark
+        for text, own in sample:
+            if own == label:
+                found = {p for x in set(text.split()) if len(p := folded(x)) >= 4}
+                counts[label].update(found if label else found & counts[1].keys())
     n = np.bincount(y, minlength=2)
     gain = {w: log_likelihood_gain(a, counts[0][w], n[1], n[0]) for w, a in counts[1].items() if a >= 3 and a * n[0] > counts[0][w] * n[1]}
     apart = [w for w in sorted(gain, key=lambda w: (-gain[w], w)) if gain[w] >= least_gain][:toxic_marks]
@@ -247,8 +254,14 @@ def train(sample: list[tuple[str, int]], toxic_marks: int = 96, contrast: int =
         at = rng.integers(1, len(word))
         return word[:at] + chr(97 + rng.integers(26)) + word[at:]
 
-    texts = pa.array([t for t, _ in sample])
-    of, k = sentences(texts, kernel)
+    parts = []
+    for i in range(0, len(sample), 500):  # of each document its sentences nearest to toxic landmarks
+        of, k = sentences(pa.array([t for t, _ in sample[i : i + 500]]), kernel)
+        near = k[:, : len(apart)].max(axis=1) if len(k) else np.zeros(0)
+        order = np.lexsort((-near, of))
+        order = order[np.arange(len(of)) - np.searchsorted(of[order], of[order]) < most_sentences]
+        parts.append((of[order] + i, k[order]))
+    of, k = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
     gram = sentences(pa.array(kernel.landmarks), kernel)[1]
     values, axes = np.linalg.eigh((gram + gram.T) / 2)
     held = values > 1e-3
@@ -274,7 +287,7 @@ def train(sample: list[tuple[str, int]], toxic_marks: int = 96, contrast: int =
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = 0.7, most_train: int = 8000, **options) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = 0.7, most_train: int = 6000, **options) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of each document; learns from labelled ids not held out."""
     held_out = fold(F.col("doc_id"), 3) == 1 if held_out is None else held_out
     sample = labelled_sample(docs, labels, "toxic", ~held_out, most_train)
