@@ -7,8 +7,9 @@ values give the similarity a Beta posterior, and the pair is dropped as soon as
 reaching the threshold is below `tolerance`. Pairs that are left are verified exactly on their shingles.
 
 To keep shuffles small and no group large, this runs in two rounds. Round one reads the buckets (only
-ids and signatures, in blocks of `block` members) and keeps a spanning forest of the pairs that survive.
-Round two takes each connected group of survivors, in pairs of blocks, prunes its pairs again, verifies
+ids and signatures, in blocks of `bucket_block` members) and keeps a spanning forest of the pairs that
+survive. Round two takes each connected group of survivors, in pairs of smaller blocks since it holds
+whole sets, prunes its pairs again, verifies
 the rest on whole sets and counts links. Every pair that survives in any bucket lies inside one group,
 so none is lost; a group of many thousand near copies is spread over many tasks, and copies count by weight.
 
@@ -217,7 +218,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def classed(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, block: int = 128, most_sent: int = 2_000_000) -> DataFrame:
+def classed(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, bucket_block: int = 1024, block: int = 128, most_sent: int = 2_000_000) -> DataFrame:
     """doc_id, key (of its set; null: no words), root (least key among all sets reached by links), class_id and n_links of each row.
 
     most_sent: up to so many ids of candidate classes are broadcast to the second scan of the texts; more are joined by a shuffle.
@@ -240,7 +241,7 @@ def classed(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: floa
     # round one: buckets
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(VALUES // ROWS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
-    buckets = in_blocks(classes.select("key", F.explode(bands).alias("bucket")), "bucket", "key", block)
+    buckets = in_blocks(classes.select("key", F.explode(bands).alias("bucket")), "bucket", "key", bucket_block)
     work = buckets.select("g", "side", "key").join(classes.select("key", "sig"), "key").repartition("g").sortWithinPartitions("g")
     pair_schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
