@@ -72,6 +72,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     return [(r["text"], r["_label"]) for r in rows]
 
 
+def aside(docs: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """docs with all columns but `own` under other names, so that none clashes with working columns; toDF(*docs.columns) undoes it."""
+    return docs.toDF(*(c if c in own else f"_in_{i}" for i, c in enumerate(docs.columns)))
+
+
 class Words:
     """The white-space separated words of a batch of texts, dictionary coded.
 

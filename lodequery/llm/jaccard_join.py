@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodequery.llm.common import Words, cut, text_batches
+from lodequery.llm.common import Words, aside, cut, text_batches
 
 VALUES, ROWS = 128, 4
 _ODD = (np.random.default_rng(11).integers(0, 2**32, VALUES, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -312,7 +312,8 @@ def kept(docs: DataFrame, most_sent: int = 2_000_000, **options) -> DataFrame:
     Texts without words are no copies of each other and stay. What goes is found on ids and keys alone;
     up to `most_sent` of those are broadcast to the scan of the rows, more are joined by a shuffle.
     """
-    n = options.get("n", 5)
+    n, names = options.get("n", 5), docs.columns
+    docs = aside(docs, ("doc_id", "text"))
     found = cut(classed(docs, most_sent=most_sent, **options).where("key is not null").groupBy("doc_id", "key", "root").count())
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
     best = best.select("root", F.col("best.doc_id").alias("_id"), F.col("best.key").alias("_key"))
@@ -333,6 +334,6 @@ def kept(docs: DataFrame, most_sent: int = 2_000_000, **options) -> DataFrame:
     marked = rows.join(marks if many else F.broadcast(marks), same, "left")
     single = marked.where("mark is null").select(*docs.columns)
     if marks.where("mark = 2").isEmpty():
-        return single
+        return single.toDF(*names)
     first = F.row_number().over(Window.partitionBy("doc_id", "_row_key").orderBy(*docs.columns))
-    return single.unionByName(marked.where("mark = 2").withColumn("_first", first).where("_first = 1").select(*docs.columns))
+    return single.unionByName(marked.where("mark = 2").withColumn("_first", first).where("_first = 1").select(*docs.columns)).toDF(*names)

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodequery.llm.common import cut, let
+from lodequery.llm.common import aside, cut, let
 
 KINDS = ("email", "ip", "card", "phone")
 #: The strict patterns; the first three are written so that a failed start is not tried again inside the same run.
@@ -261,10 +261,12 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Texts are scanned once to learn and again where the rows are masked, so that no text is shuffled.
     """
+    names = docs.columns
+    docs = aside(docs, ("doc_id", "text", "n_chars"))
     rows = with_candidates(docs, F.coalesce("text", F.lit("")))
     done = decided(rows, weights_of(rows))
     text = F.when(F.size("found") + F.size("more") == 0, F.col("text")).otherwise(masked(F.coalesce("text", F.lit("")), all_spans()))
     out = done.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("found") + F.size("more") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).toDF(*names)
