@@ -81,21 +81,29 @@ def triples(words: list[str], span: int, decay: float) -> tuple[np.ndarray, np.n
 
 @dataclass
 class Kernel:
-    """Kernels of words with the landmarks, as an array of words by landmarks."""
+    """Kernels of words with the landmarks, from lists of the landmarks that have a triple.
+
+    owners, values: landmarks and their weights by triple; starts: where each triple's begin.
+    """
 
     landmarks: list[str]
     span: int = 5
     decay: float = 0.6
     floor: float = 0.4
     power: int = 3
-    matrix: np.ndarray = field(init=False, repr=False)
+    owners: np.ndarray = field(init=False, repr=False)
+    values: np.ndarray = field(init=False, repr=False)
+    starts: np.ndarray = field(init=False, repr=False)
+    largest: np.ndarray = field(init=False, repr=False)
 
     def __post_init__(self):
         owner, code, weight = triples(self.landmarks, self.span, self.decay)
-        self.matrix = np.zeros((32768, len(self.landmarks)), np.float32)
         norm = np.sqrt(np.maximum(np.bincount(owner, weight**2, len(self.landmarks)), 1e-9))
-        self.matrix[code, owner] = weight / norm[owner]
-        self.largest = self.matrix.max(axis=1)
+        order = np.argsort(code, kind="stable")
+        self.owners, self.values = owner[order], (weight / norm[owner])[order]
+        self.starts = np.searchsorted(code[order], np.arange(32769))
+        self.largest = np.zeros(32768)
+        np.maximum.at(self.largest, code[order], self.values)
 
     def of(self, words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
         """Which words have a kernel of `floor` or more with a landmark, and their kernels, lower ones as 0."""
@@ -113,18 +121,20 @@ class Kernel:
             enough = np.add.reduceat(weight * self.largest[code], starts) >= self.floor * norm[some] * 0.999
             keep = np.repeat(enough, np.diff(np.append(starts, len(owner))))
             owner, code, weight = owner[keep], code[keep], weight[keep]
-            some, starts = np.unique(owner, return_index=True)
+            some, at = np.unique(owner, return_inverse=True)
             if not len(some):
                 continue
-            for i in range(0, len(some), 2000):
-                stop = starts[i + 2000] if i + 2000 < len(some) else len(owner)
-                a = starts[i]
-                k = np.add.reduceat(self.matrix[code[a:stop]] * weight[a:stop, None], starts[i : i + 2000] - a) / norm[some[i : i + 2000], None]
-                k[k < self.floor] = 0
-                k **= self.power
-                full = k.any(axis=1)
-                which.append(begin + some[i : i + 2000][full])
-                rows.append(k[full])
+            many = self.starts[code + 1] - self.starts[code]
+            each = np.repeat(np.arange(len(code)), many)
+            place = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + self.starts[code][each]
+            n = len(self.landmarks)
+            k = np.bincount(at[each] * n + self.owners[place], weight[each] * self.values[place], len(some) * n).reshape(-1, n) / norm[some, None]
+            k = k.astype(np.float32)
+            k[k < self.floor] = 0
+            k **= self.power
+            full = k.any(axis=1)
+            which.append(begin + some[full])
+            rows.append(k[full])
         if not rows:
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)))
         return np.concatenate(which), np.concatenate(rows)
