@@ -86,6 +86,8 @@ def stirling(discount: float) -> np.ndarray:
 def draw_tables(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes with c customers each, in restaurants with `others` tables of other dishes and base probability `base`."""
     t = np.ones(len(c), np.int64)
+    if not len(c):
+        return t
     first = np.minimum(c, EXACT)
     order = np.argsort(first, kind="stable")
     sizes, starts = np.unique(first[order], return_index=True)
