@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodequery.llm.common import Words, text_batches
+from lodequery.llm.common import Words, cut, text_batches
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long"
 #: kind, pattern, least characters of the value
@@ -294,9 +294,16 @@ def described(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, most_train: int = 600, **options) -> DataFrame:
     """Counts of strict spans, base_sha256 and all spans of each row of docs (doc_id, text), as SCHEMA says."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    hit = F.rlike("text", F.lit(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"))
+    # a plain search goes before each pattern, which most texts then skip
+    low = F.lower("text")
+    named = F.lit(False)
+    for name in ("passw", "secret", "token", "api"):
+        named |= low.contains(name)
+    hit = named & F.rlike("text", F.lit(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"))
+    hit |= F.contains("text", F.lit("AKIA")) & F.rlike("text", F.lit("AKIA[A-Z0-9]{12}"))
+    hit |= F.rlike("text", F.lit("[0-9a-f]{32}"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = docs.select("doc_id", hit.alias("hit"))
+    ids = cut(docs.select("doc_id", hit.alias("hit")))
     chosen = ids.where("hit").orderBy(*order).limit(most_train // 2).union(ids.where("not hit").orderBy(*order).limit(most_train // 2)).select("doc_id").distinct()
     texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").limit(most_train)
     sample = [r["text"] for r in texts.collect()]
