@@ -28,7 +28,6 @@ def frame(spark, texts):
 def checked(rows, texts, size):
     """Each id lies in one piece, pieces match the tokenizer's ids, sequences are gapless and full or a power of two."""
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     ids = [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
     pieces, windows = defaultdict(list), defaultdict(list)
     for r in rows:
