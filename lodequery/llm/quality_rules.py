@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodequery.llm.common import SPACES, cut, let
+from lodequery.llm.common import SPACES, cut, let, stored
 
 #: ratio: what counts as little whatever the group, added to the upper fence
 SLACK = {"symbol_ratio": 0.05, "dup_line_ratio": 0.5, "repeat_ratio": 0.4, "word_length": 4.0}
@@ -134,10 +134,12 @@ def judge(docs: DataFrame, k: int = 400, least_rows: int = 100, spread: float =
 def kept(docs: DataFrame, k: int = 400, least_rows: int = 100, spread: float = 6.0, most_groups: int = 50_000, salts: int = 32) -> DataFrame:
     """The rows of docs that are kept, with all columns they came with.
 
-    Texts are counted once for the fences and again where the rows are filtered, so that no text is shuffled.
+    The rows are written once with their counts, as Parquet in the shared folder, and read again for the
+    fences (counts alone) and for the filter: counting takes longer than that, and no text is shuffled.
     """
-    names = {c: f"_in_{c}" for c in docs.columns if c not in ("lang", "source")}
-    fence = cut(fences(counts(docs), k, least_rows, spread))
+    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns) if c not in ("lang", "source")}
     rows = docs.withColumns({new: F.col(c) for c, new in names.items()})
-    judged = fenced(counts(rows, (*names.values(), "lang", "source")), fence, most_groups, salts).where("kept")
+    counted = stored(counts(rows, (*names.values(), "lang", "source")), "counted")
+    fence = cut(fences(counted, k, least_rows, spread))
+    judged = fenced(counted, fence, most_groups, salts).where("kept")
     return judged.select(*(F.col(names[c]).alias(c) if c in names else F.col(c) for c in docs.columns))
