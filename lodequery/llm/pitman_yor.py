@@ -45,12 +45,23 @@ BLOBS = "abcdefg"
 PACKED = "kind string, shard long, block long, n long, m long, " + ", ".join(f"{x} binary" for x in BLOBS)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """An array's bytes, first bytes of all values, then second ones and so on: compresses well where values are small."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+
+
+def unpacked(x: bytes, dtype: type) -> np.ndarray:
+    """The array that planes() was given."""
+    dtype = np.dtype(dtype)
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
+
+
 def packed(kind: str, shard: int = 0, block: int = 0, n: int = 0, m: int = 0, **blobs: np.ndarray) -> dict:
-    return {"kind": kind, "shard": int(shard), "block": int(block), "n": int(n), "m": int(m)} | {x: blobs[x].tobytes() if x in blobs else None for x in BLOBS}
+    return {"kind": kind, "shard": int(shard), "block": int(block), "n": int(n), "m": int(m)} | {x: planes(blobs[x]) if x in blobs else None for x in BLOBS}
 
 
 def ints(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.int64)
+    return unpacked(x, np.int64)
 
 
 def frame(rows: list[dict]) -> pd.DataFrame:
@@ -149,11 +160,11 @@ def block_tokens(b: pa.RecordBatch) -> dict:
 
 def token_pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Context and word codes of a block's distinct pairs, training counts of those, and each token's pair."""
-    codes, n, words = np.frombuffer(row["a"], np.int32).astype(np.int64), ints(row["b"]), np.frombuffer(row["c"], np.uint64)
+    codes, n, words = unpacked(row["a"], np.int32).astype(np.int64), ints(row["b"]), unpacked(row["c"], np.uint64)
     before = np.concatenate([[0], codes[:-1]]) if len(codes) else codes
     before[np.concatenate([[0], np.cumsum(n)[:-1]])] = np.searchsorted(words, BEGIN)
     pairs, at = np.unique(before * len(words) + codes, return_inverse=True)
-    learn = np.repeat(np.frombuffer(row["e"], np.int8) == 0, n)
+    learn = np.repeat(unpacked(row["e"], np.int8) == 0, n)
     return pairs // len(words), pairs % len(words), np.bincount(at, learn, len(pairs)).astype(np.int64), at
 
 
@@ -169,7 +180,7 @@ def word_values(replies: list, words: np.ndarray, shards: int, names: str) -> li
     for r in replies:
         at = np.flatnonzero(home == r["shard"])
         for x, values in zip(names, out, strict=True):
-            values[at] = np.frombuffer(r[x], values.dtype if x in "ab" else np.float64)
+            values[at] = unpacked(r[x], values.dtype if x in "ab" else np.float64)
     return out
 
 
@@ -192,6 +203,14 @@ def per_block(replies: DataFrame) -> DataFrame:
     return replies.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", *BLOBS)).alias("replies"))
 
 
+def removed(df: DataFrame | None) -> None:
+    """Deletes the folder of a stored table that nothing reads any more."""
+    if df is not None and (files := df.inputFiles()):
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def freed(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that nothing refers to any more."""
     gc.collect()
@@ -215,7 +234,7 @@ def score(
         block = TaskContext.get().partitionId() << 32
         for big in batches:
             for b in text_batches(iter([big]), block_bytes):
-                made = {k: v.tobytes() for k, v in block_tokens(b).items()}
+                made = {k: planes(v) for k, v in block_tokens(b).items()}
                 columns = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("doc_id")), *(pa.array([made[x]], pa.binary()) for x in "abcde")]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "ids", *"abcde"])
                 block += 1
@@ -226,7 +245,7 @@ def score(
 
     # words: counts and dense ids
     def ask_words(row: dict) -> Iterator[dict]:
-        words, counts = np.frombuffer(row["c"], np.uint64), ints(row["d"])
+        words, counts = unpacked(row["c"], np.uint64), ints(row["d"])
         home = words % np.uint64(shards)
         for s in range(shards):
             at = np.flatnonzero(home == s)
@@ -234,7 +253,7 @@ def score(
 
     def count_words(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
-        words = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["a"]])
+        words = np.concatenate([unpacked(x, np.uint64) for x in rows["a"]])
         distinct, at = np.unique(words, return_inverse=True)
         total = np.bincount(at, np.concatenate([ints(x) for x in rows["b"]]), len(distinct)).astype(np.int64)
         ids, begin, out = np.arange(len(distinct)) * shards + shard, 0, []
@@ -254,7 +273,7 @@ def score(
 
     # pairs: merged by shard; what a block asked for is kept as places in the shard's arrays
     def ask_pairs(row: dict) -> Iterator[dict]:
-        words = np.frombuffer(row["c"], np.uint64)
+        words = unpacked(row["c"], np.uint64)
         ids, counts = word_values(row["replies"], words, shards, "ab")
         u, w, learned, _ = token_pairs(row)
         home = pair_shards(ids[u], ids[w], counts[u], shards, hot)
@@ -270,7 +289,7 @@ def score(
         small = not len(u) or max(u.max(), w.max()) < 2**31
         key = (u << 32 | w) if small else (mixed(u) * np.uint64(3) + mixed(w) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
         _, first, at = np.unique(key, return_index=True, return_inverse=True)
-        c = np.bincount(at, np.concatenate([np.frombuffer(x, np.int32) for x in rows["c"]]), len(first)).astype(np.int64)
+        c = np.bincount(at, np.concatenate([unpacked(x, np.int32) for x in rows["c"]]), len(first)).astype(np.int64)
         u, w = u[first], w[first]
         shared = np.flatnonzero(c >= 2)
         place = np.where(c == 0, -2, -1).astype(np.int32)
@@ -311,7 +330,7 @@ def score(
             both = {}
             for kind in ("of word", "of context"):
                 own = rows[rows["kind"] == kind]
-                both[kind] = summed(np.concatenate([ints(x) for x in own["a"]] or [np.zeros(0, np.int64)]), np.concatenate([np.frombuffer(x, np.float64) for x in own["b"]] or [np.zeros(0)]))
+                both[kind] = summed(np.concatenate([ints(x) for x in own["a"]] or [np.zeros(0, np.int64)]), np.concatenate([unpacked(x, np.float64) for x in own["b"]] or [np.zeros(0)]))
             ids, customers = both["of word"]
             rng = np.random.default_rng([seed, round_, shard, 1])
             whole = np.maximum(np.rint(customers), 1).astype(np.int64)
@@ -325,7 +344,7 @@ def score(
                 for kind, keys, values in (("of word", ids, counts), ("of context", *both["of context"])):
                     own = rows[rows["kind"] == kind]
                     for sender, x, wanted in zip(own["block"], own["a"], own["c"], strict=True):
-                        asked = ints(x)[np.frombuffer(wanted, bool)]
+                        asked = ints(x)[unpacked(wanted, bool)]
                         out.append(packed(kind, sender, shard, a=asked, b=values[np.searchsorted(keys, asked)]))
             out.append(packed("total", shard, -2, a=np.array([customers.sum(), tables.sum()])))
             return frame(out)
@@ -342,11 +361,11 @@ def score(
             got = {}
             for kind in ("of word", "of context"):
                 own = rows[rows["kind"] == kind]
-                ids, values = np.concatenate([ints(x) for x in own["a"]] or [np.zeros(0, np.int64)]), np.concatenate([np.frombuffer(x, np.float64) for x in own["b"]] or [np.zeros(0)])
+                ids, values = np.concatenate([ints(x) for x in own["a"]] or [np.zeros(0, np.int64)]), np.concatenate([unpacked(x, np.float64) for x in own["b"]] or [np.zeros(0)])
                 order = np.argsort(ids)
                 got[kind] = ids[order], values[order]
             held = rows[rows["kind"] == "tables"]
-            t = np.frombuffer(held["a"].iloc[0], np.float64).astype(np.int64) if len(held) else np.ones(len(c), np.int64)
+            t = unpacked(held["a"].iloc[0], np.float64).astype(np.int64) if len(held) else np.ones(len(c), np.int64)
             base = got["of word"][1][np.searchsorted(got["of word"][0], w)] if len(w) else np.zeros(0)
             base = (base + (root_strength + root_discount * tables) / (vocabulary + 1)) / (root_strength + customers)
             contexts, at = np.unique(u, return_inverse=True)
@@ -368,14 +387,17 @@ def score(
         else:
             column = "a" if round_ < 2 else "b"
             joined = seats.join(state.select("shard", F.col(column).alias("t")), "shard")
-            told = mapped(joined, lambda row: tell_parent(row, np.frombuffer(row["t"], np.float64)))
+            told = mapped(joined, lambda row: tell_parent(row, unpacked(row["t"], np.float64)))
         replies = stored(told.groupBy("shard").applyInPandas(parent(root_tables, round_, round_ == 2), PACKED), "parent")
-        sums = np.array([np.frombuffer(r["a"], np.float64) for r in replies.where("kind = 'total'").select("a").collect()] or [[0.0, 0.0]]).sum(axis=0)
+        sums = np.array([unpacked(r["a"], np.float64) for r in replies.where("kind = 'total'").select("a").collect()] or [[0.0, 0.0]]).sum(axis=0)
         customers, root_tables = float(sums[0]), float(sums[1])
         if round_ < 2:
             parts = seats.unionByName(replies.where("kind like 'of %'"))
             parts = parts if state is None else parts.unionByName(state)
-            state = stored(parts.groupBy("shard").applyInPandas(resample(customers, root_tables, round_), PACKED), "tables")
+            before, state = state, stored(parts.groupBy("shard").applyInPandas(resample(customers, root_tables, round_), PACKED), "tables")
+            removed(replies)
+            removed(before)
+            told = parts = None
         freed(spark)
     unknown = (root_strength + root_discount * root_tables) / (vocabulary + 1)
 
@@ -384,7 +406,7 @@ def score(
         if not len(asked_):
             return frame([])
         row = final.iloc[0] if len(final) else None
-        ids, counts, contexts, total = (np.frombuffer(row[x], t) if row is not None else np.zeros(0, t) for x, t in zip("abcd", (np.int64, np.float64, np.int64, np.float64), strict=True))
+        ids, counts, contexts, total = (unpacked(row[x], t) if row is not None else np.zeros(0, t) for x, t in zip("abcd", (np.int64, np.float64, np.int64, np.float64), strict=True))
 
         def look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
             if not len(keys):
@@ -397,10 +419,10 @@ def score(
     def pair_replies(tables: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked_):
-            value = ints(tables["c"].iloc[0]) - discount * np.frombuffer(tables["t"].iloc[0], np.float64)
+            value = ints(tables["c"].iloc[0]) - discount * unpacked(tables["t"].iloc[0], np.float64)
             value = np.concatenate([value, [0.0, 1 - discount]]).astype(np.float32)  # places -2 and -1: never seen, seen once
             for s, b, x in zip(asked_["shard"], asked_["block"], asked_["place"], strict=True):
-                out.append(packed("pairs", s, b, a=value[np.frombuffer(x, np.int32)]))
+                out.append(packed("pairs", s, b, a=value[unpacked(x, np.int32)]))
         return frame(out)
 
     final = replies.where("kind = 'final'").select("shard", *"abcd")
@@ -413,7 +435,7 @@ def score(
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                words, n = np.frombuffer(row["c"], np.uint64), ints(row["b"])
+                words, n = unpacked(row["c"], np.uint64), ints(row["b"])
                 of_words = [r for r in row["replies"] if r["kind"] == "words"]
                 ids, counts, root, total = word_values(of_words, words, shards, "abcd")
                 u, w, _, at = token_pairs(row)
@@ -421,13 +443,13 @@ def score(
                 seen = np.zeros(len(u))
                 for r in row["replies"]:
                     if r["kind"] == "pairs":
-                        seen[home == r["shard"]] = np.frombuffer(r["a"], np.float32)
+                        seen[home == r["shard"]] = unpacked(r["a"], np.float32)
                 p = (seen + (strength + discount * total[u]) * root[w]) / (strength + counts[u])
-                codes = np.frombuffer(row["a"], np.int32)
+                codes = unpacked(row["a"], np.int32)
                 base = np.log10((counts + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]])
                 sums = [np.add.reduceat(x, starts) for x in (np.log10(p)[at], base[codes], (counts > 0)[codes].astype(np.int64))]
-                columns = [pa.array(row["ids"], pa.int64()), pa.array(np.frombuffer(row["e"], np.int8) == 1), pa.array(n), pa.array(sums[2]), pa.array(np.full(len(n), tokens)), pa.array(sums[1]), pa.array(sums[0])]
+                columns = [pa.array(row["ids"], pa.int64()), pa.array(unpacked(row["e"], np.int8) == 1), pa.array(n), pa.array(sums[2]), pa.array(np.full(len(n), tokens)), pa.array(sums[1]), pa.array(sums[0])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return ready.mapInArrow(scored, SCHEMA)
