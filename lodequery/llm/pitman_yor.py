@@ -193,14 +193,16 @@ def mapped(df: DataFrame, work, schema: str = PACKED) -> DataFrame:
                 rows = list(work(b.slice(i, 1).to_pylist()[0]))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, out)
+                rows = None
+            pa.default_memory_pool().release_unused()
 
     out = pa.schema([("kind", pa.string()), *((x, pa.int64()) for x in ("shard", "block", "n", "m")), *((x, pa.binary()) for x in BLOBS)])
     return df.mapInArrow(run, schema)
 
 
-def per_block(replies: DataFrame) -> DataFrame:
-    """All replies to a block in one row, a bounded number (one a shard)."""
-    return replies.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", *BLOBS)).alias("replies"))
+def per_block(replies: DataFrame, n_blocks: int) -> DataFrame:
+    """All replies to a block in one row, a bounded number (one a shard); few blocks a task, since a task holds its rows at once."""
+    return replies.repartition(max(n_blocks, 1), "block").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", *BLOBS)).alias("replies"))
 
 
 def removed(df: DataFrame | None) -> None:
@@ -238,6 +240,7 @@ def score(
                 columns = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("doc_id")), *(pa.array([made[x]], pa.binary()) for x in "abcde")]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "ids", *"abcde"])
                 block += 1
+            pa.default_memory_pool().release_unused()
 
     blocks = stored(docs.mapInArrow(tokenised, "block long, ids array<long>, a binary, b binary, c binary, d binary, e binary"), "blocks")
     n_blocks = blocks.count()
@@ -265,7 +268,7 @@ def score(
         out.append(packed("size", shard, -1, n=real.sum(), m=total[distinct != BEGIN].sum()))
         return frame(out)
 
-    said = stored(mapped(blocks.select("block", "c", "d"), ask_words).groupBy("shard").applyInPandas(count_words, PACKED), "words")
+    said = stored(mapped(blocks.select("block", "c", "d"), ask_words).repartition(shards, "shard").groupBy("shard").applyInPandas(count_words, PACKED), "words")
     vocabulary, tokens = said.where("kind = 'size'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
     words_of = said.where("kind = 'words'").select("kind", "shard", "block", *BLOBS)
     hot = 0.5 * tokens / shards
@@ -304,8 +307,8 @@ def score(
         blobs = {"a": u[shared], "b": w[shared], "c": c[shared], "d": u1, "e": n_u1.astype(np.int64), "f": w1, "g": n_w1.astype(np.int64)}
         return frame([*out, packed("seats", shard, -1, n=(c == 1).sum(), m=(c == 2).sum(), **blobs)])
 
-    asked = mapped(blocks.join(per_block(words_of), "block"), ask_pairs)
-    merged = stored(asked.groupBy("shard").applyInPandas(merge_pairs, PACKED), "pairs")
+    asked = mapped(blocks.repartition(max(n_blocks, 1), "block").join(per_block(words_of, n_blocks), "block"), ask_pairs)
+    merged = stored(asked.repartition(shards, "shard").groupBy("shard").applyInPandas(merge_pairs, PACKED), "pairs")
     seats, places = merged.where("kind = 'seats'"), merged.where("kind = 'places'").select(F.col("shard").alias("shard"), F.col("block").alias("block"), F.col("a").alias("place"))
     once, twice = seats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
     discount = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
@@ -386,15 +389,15 @@ def score(
             told = mapped(seats, lambda row: tell_parent(row, np.ones(len(row["a"]) // 8)))
         else:
             column = "a" if round_ < 2 else "b"
-            joined = seats.join(state.select("shard", F.col(column).alias("t")), "shard")
+            joined = seats.repartition(shards, "shard").join(state.select("shard", F.col(column).alias("t")).repartition(shards, "shard"), "shard")
             told = mapped(joined, lambda row: tell_parent(row, unpacked(row["t"], np.float64)))
-        replies = stored(told.groupBy("shard").applyInPandas(parent(root_tables, round_, round_ == 2), PACKED), "parent")
+        replies = stored(told.repartition(shards, "shard").groupBy("shard").applyInPandas(parent(root_tables, round_, round_ == 2), PACKED), "parent")
         sums = np.array([unpacked(r["a"], np.float64) for r in replies.where("kind = 'total'").select("a").collect()] or [[0.0, 0.0]]).sum(axis=0)
         customers, root_tables = float(sums[0]), float(sums[1])
         if round_ < 2:
             parts = seats.unionByName(replies.where("kind like 'of %'"))
             parts = parts if state is None else parts.unionByName(state)
-            before, state = state, stored(parts.groupBy("shard").applyInPandas(resample(customers, root_tables, round_), PACKED), "tables")
+            before, state = state, stored(parts.repartition(shards, "shard").groupBy("shard").applyInPandas(resample(customers, root_tables, round_), PACKED), "tables")
             removed(replies)
             removed(before)
             told = parts = None
@@ -429,7 +432,7 @@ def score(
     to_words = final.groupBy("shard").cogroup(words_of.select("shard", "block", "a", "b").groupBy("shard")).applyInPandas(word_replies, PACKED)
     tables = seats.select("shard", "c").join(state.select("shard", F.col("b").alias("t")), "shard")
     to_pairs = tables.groupBy("shard").cogroup(places.groupBy("shard")).applyInPandas(pair_replies, PACKED)
-    ready = blocks.join(per_block(to_words.unionByName(to_pairs)), "block")
+    ready = blocks.repartition(max(n_blocks, 1), "block").join(per_block(to_words.unionByName(to_pairs), n_blocks), "block")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
