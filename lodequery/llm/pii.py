@@ -35,13 +35,13 @@ STRICT = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Text without these can't have a match.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]{3}", "phone": r"\+[0-9]"}
+#: Text without these can't have a match that counts: each is implied by its pattern and the least number of digits.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 WIDE = {
     "email": r"(?i)[a-z0-9._%+-]{1,64}+\x20?[(\[{]at[)\]}]\x20?[a-z0-9-]{1,63}+(?:\x20?(?:\.|[(\[{]dot[)\]}])\x20?[a-z0-9-]{1,63}+){1,4}+",
     "digits": r"(?<![\w+.])\(?[0-9][0-9\x20().-]{7,28}[0-9](?![\w])",
 }
-WIDE_NEEDS = {"email": r"(?i)[(\[{]at[)\]}]", "digits": r"[0-9].{1,3}[0-9]{3}"}
+WIDE_NEEDS = {"email": r"(?i)[(\[{]at[)\]}]", "digits": r"[0-9](?:[\x20().-]{0,28}+[0-9]){8}"}
 #: Words whose presence shortly before or after a span speaks for or against it.
 FOR = {
     "email": r"(?i)\b(e-?mail|mail|contact|write|courriel|correo|kontakt)\b",

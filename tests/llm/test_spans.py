@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodequery.llm import pii, secrets
 
@@ -97,6 +98,25 @@ def test_masking_leaves_no_base_span_and_keeps_columns(spark):
             assert r["n_chars"] == len(r["text"])
 
 
+CARD = "4111111111111111"
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 4, 16])
+@pytest.mark.parametrize("mark", [" ", "-"])
+def test_card_alone_in_a_text_however_it_is_grouped(spark, step, mark):
+    text = f"pay with {mark.join(CARD[i : i + step] for i in range(0, 16, step))} now"
+    r = pii.find(frame(spark, [text])).first()
+    assert r["n_card"] == 1 and r["base_sha256"] == digest(plain_pii(text))
+    assert pii.redacted(frame(spark, [text])).first()["text"] == "pay with [CARD] now"
+
+
+def test_digit_groups_of_any_form_are_candidates(spark):
+    texts = ["01 23 45 67 89", "call 1-2-3-4-5-6-7-8-9", "(12) 34-56-78-90", "1 (((((((((((((()-) 2 3 4 5 6 7 8 9", "12 34 56 78 9x", "12 34 56 78", "1 2"]
+    got = frame(spark, texts).select("doc_id", F.transform(pii.candidates(F.col("text")), lambda x: x["t"]).alias("c")).orderBy("doc_id").collect()
+    wide = [[m[0] for m in re.finditer(pii.WIDE["digits"], t, re.ASCII) if 9 <= sum(c.isdigit() for c in m[0]) <= 19] for t in texts]
+    assert [r["c"] for r in got] == wide and [len(w) for w in wide] == [1, 1, 1, 0, 0, 0, 0]
+
+
 def test_votes_reward_reliable_labelers():
     """Three labelers that mostly agree and two that vote at random: the posterior follows the reliable ones."""
     rng = np.random.default_rng(0)
