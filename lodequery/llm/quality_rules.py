@@ -3,8 +3,10 @@
 Each document gets counts (words, symbols, repeated lines and word windows). Fixed base rules drop the
 plainly bad. For the others, mergeable KLL quantile sketches of four ratios are built per language and
 source, merged into sketches per language and of all, and turned into fences far above (word length:
-also below) what most documents of the group show. Groups with few rows take the fences of their
-language, or of all. A document is kept if it passes the base rules and its group's fences.
+also below) what most documents of the group show: by the quartiles and, for the three ratios that are
+0 in most documents, also by the upper tail; the lower of the two counts. Groups with few rows take the
+fences of their language, or of all, and no group's fence lies more than the slack above both of those, so
+that a bad source can't open its own. A document is kept if it passes the base rules and its group's fences.
 
 Sketches are partly aggregated where the rows are, so a source with a third of all rows costs one
 sketch a task. The fences are joined to narrow rows without texts; broadcast only while the number of
@@ -23,6 +25,10 @@ from lodequery.llm.common import SPACES, cut, let, stored
 
 #: ratio: what counts as little whatever the group, added to the upper fence
 SLACK = {"symbol_ratio": 0.05, "dup_line_ratio": 0.5, "repeat_ratio": 0.4, "word_length": 4.0}
+#: ratio: (lower quantile, upper quantile, spread, tolerance) of the tail's fence, upper + spread * (upper - lower) + tolerance
+TAIL = {"symbol_ratio": (0.5, 0.9, 6.0, 0.02), "dup_line_ratio": (0.95, 0.99, 1.0, 0.05), "repeat_ratio": (0.5, 0.95, 6.0, 0.05)}
+#: word length: tolerance below the lower quartile's fence
+LOW_SLACK = 0.5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
@@ -83,7 +89,7 @@ def ratios() -> dict[str, Column]:
 
 
 def fences(counted: DataFrame, k: int = 400, least_rows: int = 100, spread: float = 6.0) -> DataFrame:
-    """lang, source and for each ratio low_ and high_: quartiles widened by `spread` times their distance and the slack.
+    """lang, source and for each ratio low_ and high_: quartiles widened by `spread` times their distance, the tail's fence if lower.
 
     k is the sketches' size: rank errors stay near 1/k, and groups of fewer rows are exact.
     """
@@ -93,8 +99,12 @@ def fences(counted: DataFrame, k: int = 400, least_rows: int = 100, spread: floa
 
     def bounds(n: str) -> list[Column]:
         q = lambda r: F.kll_sketch_get_quantile_double(n, F.lit(r))
-        wide = spread * (q(0.75) - q(0.25)) + SLACK[n]
-        return [(q(0.25) - wide).alias(f"low_{n}"), (q(0.75) + wide).alias(f"high_{n}")]
+        wide = spread * (q(0.75) - q(0.25))
+        high = q(0.75) + wide + SLACK[n]
+        if n in TAIL:
+            lower, upper, times, tolerance = TAIL[n]
+            high = F.least(high, q(upper) + times * (q(upper) - q(lower)) + tolerance)
+        return [(q(0.25) - wide - LOW_SLACK).alias(f"low_{n}"), high.alias(f"high_{n}")]
 
     level = lambda df, name, *by: df.select(*by, F.struct("n", *(b for x in SLACK for b in bounds(x))).alias(name))
     langs = level(merged("lang"), "of_lang", "lang")
@@ -102,7 +112,10 @@ def fences(counted: DataFrame, k: int = 400, least_rows: int = 100, spread: floa
     own = level(leaf, "own", "lang", "source").alias("a")
     every = own.join(langs.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang"))).select("a.*", "b.of_lang").join(F.broadcast(whole))
     best = F.when(F.col("own.n") >= least_rows, F.col("own")).when(F.col("of_lang.n") >= least_rows, F.col("of_lang")).otherwise(F.col("of_all"))
-    return every.select("lang", "source", best.alias("fence"))
+    bound = lambda n: F.greatest(F.col(f"of_lang.high_{n}"), F.col(f"of_all.high_{n}")) + SLACK[n]
+    every = every.withColumn("best", best)
+    both = [c for n in SLACK for c in (F.col(f"best.low_{n}").alias(f"low_{n}"), F.least(F.col(f"best.high_{n}"), bound(n)).alias(f"high_{n}"))]
+    return every.select("lang", "source", F.struct("best.n", *both).alias("fence"))
 
 
 def fenced(counted: DataFrame, fence: DataFrame, most_groups: int, salts: int) -> DataFrame:

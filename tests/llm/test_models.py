@@ -190,6 +190,35 @@ def test_fences_are_quartiles_of_small_groups(spark):
     counted.unpersist()
 
 
+def of_sources(spark, own):
+    """600 plain documents of three sources and `own` of a fourth, all of one language."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(3, 9)))
+    texts = [" ".join(word() for _ in range(120)) for _ in range(600)]
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(texts)] + [(600 + i, t, "en", "own") for i, t in enumerate(own(word))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def dropped(docs):
+    return {r["doc_id"] for r in quality_rules.judge(docs).where("not kept and not base_failed").collect()}
+
+
+def test_fences_follow_the_tail_of_plain_documents(spark):
+    """Documents under the fixed slack (0.05 symbols, 0.4 repeats) or of very short words, where others have none such."""
+    phrase = ["some", "words", "said"]
+    odd = lambda word: [
+        " ".join(word() + ("#" if i % 6 == 0 else "") for i in range(120)),
+        " ".join(phrase * 14 + [word() for _ in range(78)]),
+        " ".join(f"{chr(97 + i % 26)}{i // 26 or ''}" for i in range(120)),
+    ]
+    assert dropped(of_sources(spark, odd)) == {600, 601, 602}
+
+
+def test_a_bad_source_does_not_open_its_own_fence(spark):
+    bad = lambda word: [" ".join(word() + "###" * (1 + (i + j) % 3) for j in range(120)) for i in range(110)]
+    assert dropped(of_sources(spark, bad)) >= set(range(600, 710))
+
+
 def test_rules_of_no_rows_and_repeated_rows(spark):
     docs = frame(spark, ["a b", None])
     assert quality_rules.judge(docs.where("false")).count() == 0 and quality_rules.kept(docs.where("false")).count() == 0
