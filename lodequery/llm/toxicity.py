@@ -155,8 +155,9 @@ def sentences(texts: pa.Array, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
     near, places = near[at], at
     single = np.fromiter((len(x) == 1 for x in plain), bool, len(plain))[w.codes] if len(w.codes) else np.zeros(0, bool)
     if single.any():  # letters written apart
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], single, [0]])))
-        runs = [(a, b) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= 4 and text_of[a] == text_of[b - 1]]
+        joins = single[1:] & single[:-1] & (text_of[1:] == text_of[:-1])  # with the word before, in the same text
+        begins, ends_at = np.flatnonzero(single & ~np.append(False, joins)), np.flatnonzero(single & ~np.append(joins, False)) + 1
+        runs = [(a, b) for a, b in zip(begins, ends_at, strict=True) if b - a >= 4]
         if runs:
             spelled, extra = kernel.of(["".join(plain[c] for c in w.codes[a:b]) for a, b in runs])
             near = np.concatenate([near, len(rows) + np.arange(len(spelled))])

@@ -108,6 +108,20 @@ def test_folding(written, read):
     assert toxicity.folded(written) == read
 
 
+def test_spelled_out_words_score_alike_beside_any_rows():
+    import pyarrow as pa
+
+    model = toxicity.Model(toxicity.Kernel(["idiot", "moron"]), np.ones(2), -0.5, np.array([1.0, 1.0, 1.0, 0.0]))
+    texts = ["you are an i d i o t", "A cat sat here", "i d i o t you are", "plan b", "i d i o t", "i d i o t", "m o r o n", "", None, "I a", "x y z", "m o r o n"]
+    alone = [model.scores(pa.array([t], pa.string()))[0] for t in texts]
+    assert min(alone[i] for i in (0, 2, 4, 6)) > max(alone[i] for i in (1, 3, 7, 8, 9, 10)) + 0.1
+    for order in (range(12), range(11, -1, -1), np.random.default_rng(1).permutation(12)):
+        for size in (2, 3, 5, 12):
+            own = [list(order)[i : i + size] for i in range(0, 12, size)]
+            got = {i: v for part in own for i, v in zip(part, model.scores(pa.array([texts[i] for i in part], pa.string())), strict=True)}
+            assert [got[i] for i in range(12)] == pytest.approx(alone)
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = tables(spark)
     out = toxicity.score(docs, labels)
