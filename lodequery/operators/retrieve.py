@@ -13,42 +13,39 @@ from lodequery.functions.text import containment, shingles
 from lodequery.operators.lexical import ranked
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", most_queries: int = 4096, digits: int = 9) -> DataFrame:
-    """query_id, id, score (cosine), rank: the k rows nearest to each query (query_id, vector).
+def dense(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", query_block: int = 1024, page: int = 8192, digits: int = 9) -> DataFrame:
+    """query_id, id, score (cosine), rank: the k rows nearest to each query (query_id, vector), for any number of queries.
 
-    Queries are a batch of `most_queries` at most, sent to every task; the table is scanned once. Each
-    task keeps its k best rows a query, so at most tasks * k rows a query are shuffled.
+    Queries are dealt into blocks of about `query_block` and vectors into pages of about `page`, both by
+    hash; each task compares one block with one page and keeps its k best rows a query, so at most
+    pages * k rows a query are shuffled. Only the two row counts reach the driver.
     """
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    rows = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries in a batch")
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    q = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
-    norms = np.linalg.norm(q, axis=1)
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, q, norms))
-
-    def run(batches):
-        ids, q, norms = sent.value
-        best: list[pd.DataFrame] = []
-        for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            x = np.array(b["v"].tolist(), np.float64)
-            length = np.linalg.norm(x, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                s = np.nan_to_num((q @ x.T) / (norms[:, None] * length[None, :]), nan=0.0, posinf=0.0, neginf=0.0).round(digits)
-            own = b["id"].to_numpy()
-            for i, query in enumerate(ids):
-                top = np.lexsort((own, -s[i]))[:k]
-                best.append(pd.DataFrame({"query_id": query, "id": own[top], "score": s[i][top]}))
-            if len(best) > 4 * len(ids):
-                best = [pd.concat(best).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)]
-        if best:
-            yield pd.concat(best).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-
-    part = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, "query_id long, id long, score double")
+    asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("q"))
+    rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    n_blocks, n_pages = (max(1, -(-df.count() // most)) for df, most in ((asked, query_block), (rows, page)))
+    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("block", deal(n_blocks, "query_id", "q")).withColumn("page", every(n_pages))
+    rows = rows.withColumn("page", deal(n_pages, "id", "v")).withColumn("block", every(n_blocks))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(a) and len(b):
+            x, own = np.array(b["v"].tolist(), np.float64), b["id"].to_numpy()
+            q, ids = np.array(a["q"].tolist(), np.float64), a["query_id"].to_numpy()
+            norms, length = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
+            for begin in range(0, len(q), 128):
+                step = slice(begin, begin + 128)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s = np.nan_to_num((q[step] @ x.T) / (norms[step, None] * length[None, :]), nan=0.0, posinf=0.0, neginf=0.0).round(digits)
+                for query, row in zip(ids[step], s, strict=True):
+                    top = np.lexsort((own, -row))[:k]
+                    parts.append(pd.DataFrame({"query_id": query, "id": own[top], "score": row[top]}))
+        return pd.concat(parts)
+
+    part = asked.groupBy("block", "page").cogroup(rows.groupBy("block", "page")).applyInPandas(best, "query_id long, id long, score double")
     return ranked(part, k)
 
 

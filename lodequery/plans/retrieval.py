@@ -115,6 +115,13 @@ def ret01_dense_top_k(s: SparkSession, d: str) -> DataFrame:
     return _dense(s, d, 10)
 
 
+@query(f"WITH {DENSE.replace('id IN (SELECT item_id FROM benchmark)', 'id % 20 = 0')} SELECT query_id, id, score, rank FROM den WHERE rank <= 10")
+def ret01b_dense_every_twentieth(s: SparkSession, d: str) -> DataFrame:
+    vectors = table(s, d, "embeddings")
+    q = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieve.dense(vectors, q, 10)
+
+
 @query(f"WITH {BM25}, {DENSE}, {FUSED} SELECT query_id, id, score, rank FROM fus WHERE rank <= 15")
 def ret04_rank_fusion(s: SparkSession, d: str) -> DataFrame:
     return retrieve.fused([_dense(s, d), _lexical(s, d)], 15)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,21 @@ def test_dense_edge_cases(spark):
     assert retrieve.dense(vectors, q, 0).count() == 0
 
 
+def test_dense_takes_any_number_of_queries(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-3, 4, (60, 3)).astype(float)
+    q = rng.integers(-3, 4, (4200, 3)).astype(float)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, vector array<double>")
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = np.nan_to_num(q @ v.T / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1))).round(9)
+    want = {(i, j): r + 1 for i in range(len(q)) for r, j in enumerate(np.lexsort((np.arange(60), -s[i]))[:4].tolist())}
+    for options in ({}, {"query_block": 500, "page": 16}):
+        got = {(r["query_id"], r["id"]): r["rank"] for r in retrieve.dense(vectors, queries, 4, **options).collect()}
+        assert got == want
+    assert retrieve.dense(vectors.where("false"), queries, 4).count() == 0 and retrieve.dense(vectors, queries.where("false"), 4).count() == 0
+
+
 def test_bm25_keeps_scores_of_zero_or_less(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a"), (4, None)], "doc_id int, text string")
     q = spark.createDataFrame([(1, "A")], "query_id int, query string")
