@@ -122,6 +122,31 @@ def grf08_context(s: SparkSession, d: str) -> DataFrame:
     return graph.context(nodes, edges, _names(nodes))
 
 
+EVERY_NAME = "names AS (SELECT DISTINCT name FROM nodes)"
+
+
+def for_every_name(sql: str) -> str:
+    return sql.replace(NAMES, EVERY_NAME)
+
+
+@query(for_every_name(ORACLES["grf05_find_symbol"]))
+def grf05b_find_every_symbol(s: SparkSession, d: str) -> DataFrame:
+    nodes, _ = graph_tables(s, d)
+    return graph.find_symbol(nodes, nodes.select("name"))
+
+
+@query(for_every_name(ORACLES["grf06_who_calls"]))
+def grf06b_who_calls_every_symbol(s: SparkSession, d: str) -> DataFrame:
+    nodes, edges = graph_tables(s, d)
+    return graph.related(nodes, edges, nodes.select("name"), "calls").select("name", "id", "ref")
+
+
+@query(for_every_name(ORACLES["grf08_context"]))
+def grf08b_context_of_every_symbol(s: SparkSession, d: str) -> DataFrame:
+    nodes, edges = graph_tables(s, d)
+    return graph.context(nodes, edges, nodes.select("name"))
+
+
 @query(gr("SELECT DISTINCT name FROM nodes"))
 def grf09_list_symbols(s: SparkSession, d: str) -> DataFrame:
     return graph_tables(s, d)[0].select("name").distinct()

@@ -42,6 +42,15 @@ def test_same_rows(spark, db, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(list(twin.columns), twin.fetchall())
 
 
+@pytest.mark.parametrize("name", ["grf05b_find_every_symbol", "grf06b_who_calls_every_symbol", "grf08b_context_of_every_symbol"])
+def test_lookups_cover_every_name(spark, db, name):
+    from lodequery.sources.tables import graph
+
+    nodes, edges = graph(spark, SF)
+    wanted = nodes if name != "grf06b_who_calls_every_symbol" else nodes.join(edges.where("type = 'calls'").selectExpr("target AS id"), "id", "left_semi")
+    assert {r["name"] for r in entry.queries()[name](spark, SF).select("name").collect()} == {r["name"] for r in wanted.select("name").collect()}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
