@@ -51,6 +51,20 @@ def test_lookups_cover_every_name(spark, db, name):
     assert {r["name"] for r in entry.queries()[name](spark, SF).select("name").collect()} == {r["name"] for r in wanted.select("name").collect()}
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_call_sites_are_resolved_at_every_size(spark, size):
+    """All called parts but the ambiguous tenths are targets, and only definitions of a called name are."""
+    sf = f"/root/testdata/{size}"
+    targets = {int(r[0][1:]) for r in entry.queries()["jon07b_resolved_calls_by_full_name"](spark, sf).select("target").distinct().collect()}
+    called = {r[0] for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey").distinct().collect()}
+    parts = {r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    groups = {}
+    for key in parts:
+        groups.setdefault(key // 30 if key % 10 == 0 else ("pair", key // 10) if key % 10 <= 2 else ("own", key), set()).add(key)
+    want = {key for own in groups.values() if len(own) <= 2 and own & called for key in own}
+    assert targets == want and len(want) > 0.8 * len(called & parts)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
