@@ -167,14 +167,19 @@ def by_group(work: Callable[[pa.Table], Iterator[dict]], schema: pa.Schema) -> C
 
 
 def in_blocks(members: DataFrame, by: str, order: str, block: int) -> DataFrame:
-    """Members of groups of two or more, once for each pair of blocks they belong to: g (the pair) and side (0, 1 or 2: both)."""
-    group = Window.partitionBy(by)
-    numbered = members.withColumn("_n", F.count("*").over(group)).withColumn("_i", F.row_number().over(group.orderBy(order)) - 1).where("_n > 1")
-    blocks, own = F.ceil(F.col("_n") / block).cast("int"), F.floor(F.col("_i") / block).cast("int")
+    """Members of groups of two or more, once for each pair of blocks they belong to: g (the pair) and side (0, 1 or 2: both).
+
+    A group of n has ceil(n / block) blocks, and a member's block is dealt by a hash of `order`. Group sizes
+    are partly aggregated where the rows are and joined back, so no task sorts or buffers a whole group for its numbers.
+    """
+    counts = members.groupBy(by).agg(F.count("*").alias("_n")).where("_n > 1")
+    numbered = members.join(counts, by)
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    own = F.pmod(F.xxhash64(F.lit("block"), order), blocks).cast("int")
     other = numbered.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     g = F.xxhash64(by, F.least("_b", "_o"), F.greatest("_b", "_o"))
     side = F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1)
-    return other.withColumn("g", g).withColumn("side", side).drop("_n", "_i", "_b", "_o")
+    return other.withColumn("g", g).withColumn("side", side).drop("_n", "_b", "_o")
 
 
 def pairs_of(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

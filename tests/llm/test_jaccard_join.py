@@ -108,3 +108,21 @@ def test_pruning_rarely_drops_pairs_at_the_threshold():
     for n, m in jaccard_join.least_agreements(0.8, 1e-6):
         lost += sum(comb(n, i) * 0.8**i * 0.2 ** (n - i) for i in range(m))
     assert lost < 1e-4
+
+
+@pytest.mark.parametrize("block", [1, 3, 8, 100])
+def test_each_pair_of_a_group_meets_once_without_numbering_the_group(spark, block):
+    from collections import Counter
+
+    sizes = {1: 1, 2: 2, 3: 9, 4: 40}
+    rows = [(g, f"{g}-{i}") for g, n in sizes.items() for i in range(n)]
+    out = jaccard_join.in_blocks(spark.createDataFrame(rows, "bucket long, key string"), "bucket", "key", block)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    met, groups = Counter(), {}
+    for r in out.collect():
+        groups.setdefault(r["g"], []).append((r["side"], r["key"]))
+    for own in groups.values():
+        a, b = jaccard_join.pairs_of(jaccard_join.np.array([x for x, _ in own]))
+        met.update(frozenset((own[i][1], own[j][1])) for i, j in zip(a, b, strict=True))
+    want = {frozenset((f"{g}-{i}", f"{g}-{j}")) for g, n in sizes.items() for i in range(n) for j in range(i)}
+    assert set(met) == want and set(met.values()) == {1}
