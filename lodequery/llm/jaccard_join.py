@@ -195,7 +195,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     Alternates large and small stars until nothing changes: each round every node links its neighbours
     to the least node it knows, so long chains shrink to stars in a logarithmic number of rounds. Least
-    neighbours are aggregated where the rows are; no neighbour list is gathered.
+    neighbours are aggregated where the rows are; no neighbour list is gathered. Edges that still change after
+    `most_rounds` rounds are an error.
     """
     def ordered(edges: DataFrame) -> DataFrame:
         return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -220,6 +221,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 

@@ -126,3 +126,10 @@ def test_each_pair_of_a_group_meets_once_without_numbering_the_group(spark, bloc
         met.update(frozenset((own[i][1], own[j][1])) for i, j in zip(a, b, strict=True))
     want = {frozenset((f"{g}-{i}", f"{g}-{j}")) for g, n in sizes.items() for i in range(n) for j in range(i)}
     assert set(met) == want and set(met.values()) == {1}
+
+
+def test_components_that_have_not_settled_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settled"):
+        jaccard_join.components(chain, most_rounds=1)
+    assert {(r["node"], r["root"]) for r in jaccard_join.components(chain).collect()} == {(i, 0) for i in range(65)}
