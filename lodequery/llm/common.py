@@ -18,9 +18,11 @@ _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only in local sessions that name none (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_dir = tempfile.mkdtemp(prefix="lodequery-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -38,7 +40,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Written as Parquet in the shared folder and read again, so that later reads fetch single columns."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._stored_at = path
+    return out
+
+
+def deleted(df: DataFrame | None) -> None:
+    """Deletes the folder of a table that stored() wrote and that nothing reads any more."""
+    if df is not None:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        folder = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -3,19 +3,22 @@
 Every word is a context with a restaurant of its own; all contexts share one parent restaurant, whose
 base is uniform over the vocabulary and one unknown word. A context's customers are the training tokens
 that follow it; each of its tables is a customer of the parent. Seating is sampled by Gibbs: the number
-of tables of a dish is drawn from its exact conditional given all others of the restaurant, with
-generalised Stirling numbers, up to 256 customers of the dish; further customers are then seated in
-blocks that grow with the number seated. Sweeps over the contexts alternate with the parent's, and a
-token's probability is the average over samples.
+of tables of a dish is drawn from its exact conditional given all others of the restaurant, at every
+count (see seating.py). Contexts and the parent are sampled in turn, and the seating is carried on:
+`burn_in` rounds, then `samples` rounds whose predictive probabilities are averaged for each token.
 
 The work is laid out for shuffles of packed arrays. Documents are tokenised once into blocks. Words are
-counted by hash shards that give them dense ids. Pairs go to shards by context, those of very frequent
-contexts by pair, so that no context needs one task. Contexts in a shard are sampled there; the parent
-and the table counts of contexts are summed by word shards and sent back between rounds. Shards grow in
-number with the blocks, up to `most_shards`. Everything covers all training tokens.
-
-Words are told apart by 64-bit hashes. Results are the same for the same blocks: every shard draws from
-its own seeded generator.
+counted by shards, ranges of their hashes, that give them dense ids. Pairs go to shards by context, those
+of very frequent contexts by pair, so that no context needs one task. Shards grow in number with the
+blocks, without a bound, and one shard is held at a time, so that a task's memory doesn't follow the corpus. Messages
+between blocks and shards are written only where there is something to say: at most as many as there are pairs.
+A pair seen once sits at one table whatever happens; such pairs are told to the word shards once, as counts,
+and only the others take part in the rounds. Everything covers all training tokens.
+
+Dishes of a shard are sampled in four parts, each given the tables of the others; a part's dishes, and contexts
+that are spread over shards, see each other's tables of the part or round before, as parallel sampling must.
+Words are told apart by 64-bit hashes. Each draw takes its chance from a hash of its dish and round,
+so that results are the same for the same number of blocks.
 
 Cases: null and empty texts are the end token alone; a null doc_id counts as the empty text for the
 fold; repeated rows are trained on and scored each; without training rows every probability is 1 (the
@@ -26,7 +29,6 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,32 +38,45 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequery.llm.common import Words, fold, stored, text_batches
+from lodequery.llm.common import Words, deleted, fold, stored, text_batches
+from lodequery.llm.seating import chances, draw_tables, mixed, stirling, sweep  # noqa: F401
 
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 END, BEGIN = np.uint64(1), np.uint64(2)
-EXACT = 256  # customers of a dish up to which its tables are drawn exactly
-BLOBS = "abcdefg"
+BLOBS = "abcde"
 PACKED = "kind string, shard long, block long, n long, m long, " + ", ".join(f"{x} binary" for x in BLOBS)
+ARROW = pa.schema([("kind", pa.string()), *((x, pa.int64()) for x in ("shard", "block", "n", "m")), *((x, pa.binary()) for x in BLOBS)])
+NONE = np.zeros(0, np.int64)
 
 
 def planes(x: np.ndarray) -> bytes:
-    """An array's bytes, first bytes of all values, then second ones and so on: compresses well where values are small."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+    """Whole numbers in as few bytes as they need, first bytes of all, then second ones and so on, which compresses well."""
+    x = np.asarray(x)
+    if x.dtype != np.uint64:
+        most = max(int(x.max()), -int(x.min())) if len(x) else 0
+        x = x.astype(np.int8 if most < 128 else np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64)
+    code = bytes([x.dtype.itemsize + 16 * (x.dtype.kind == "u")])
+    return code + np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
 
 
-def unpacked(x: bytes, dtype: type) -> np.ndarray:
-    """The array that planes() was given."""
-    dtype = np.dtype(dtype)
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
+def ints(x: bytes) -> np.ndarray:
+    """The numbers that planes() was given."""
+    dtype = np.dtype(f"{'u' if x[0] > 16 else 'i'}{x[0] % 16}")
+    out = np.ascontiguousarray(np.frombuffer(x, np.uint8, offset=1).reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
+    return out if dtype.kind == "u" else out.astype(np.int64)
 
 
-def packed(kind: str, shard: int = 0, block: int = 0, n: int = 0, m: int = 0, **blobs: np.ndarray) -> dict:
-    return {"kind": kind, "shard": int(shard), "block": int(block), "n": int(n), "m": int(m)} | {x: planes(blobs[x]) if x in blobs else None for x in BLOBS}
+def steps(x: np.ndarray) -> bytes:
+    """Numbers as their differences, for sorted or grouped ones."""
+    return planes(np.diff(x, prepend=x.dtype.type(0)))
 
 
-def ints(x: bytes) -> np.ndarray:
-    return unpacked(x, np.int64)
+def summed_steps(x: bytes) -> np.ndarray:
+    return np.cumsum(ints(x), dtype=np.uint64 if x[0] > 16 else np.int64)
+
+
+def message(kind: str, shard: int, block: int, n: int = 0, m: int = 0, **blobs: bytes) -> dict:
+    return {"kind": kind, "shard": int(shard), "block": int(block), "n": int(n), "m": int(m)} | {x: blobs.get(x) for x in BLOBS}
 
 
 def frame(rows: list[dict]) -> pd.DataFrame:
@@ -70,71 +85,24 @@ def frame(rows: list[dict]) -> pd.DataFrame:
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, at = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(at, values, len(keys))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
-
-
-# ---- sampling ----------------------------------------------------------------------------------
-
-
-@lru_cache
-def stirling(discount: float) -> np.ndarray:
-    """Logarithms of generalised Stirling numbers: [c, t] for c customers at t tables, up to EXACT."""
-    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
-    out[0, 0] = 0
-    t = np.arange(EXACT + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for c in range(EXACT):
-            stay = np.where(c > discount * t, np.log(np.maximum(c - discount * t, 1e-300)) + out[c], -np.inf)
-            out[c + 1] = np.logaddexp(stay, np.concatenate([[-np.inf], out[c, :-1]]))
-    return out
-
-
-def draw_tables(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with c customers each, in restaurants with `others` tables of other dishes and base probability `base`."""
-    t = np.ones(len(c), np.int64)
-    if not len(c):
-        return t
-    first = np.minimum(c, EXACT)
-    order = np.argsort(first, kind="stable")
-    sizes, starts = np.unique(first[order], return_index=True)
-    table = stirling(discount)
-    for size, begin, stop in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(c)], strict=True):
-        if size < 2:
-            continue
-        step = max(1, 1_000_000 // size)
-        for i in range(begin, stop, step):
-            rows = order[i : min(i + step, stop)]
-            weight = np.log(strength + discount * (others[rows, None] + np.arange(size))) + np.log(base[rows, None])
-            np.cumsum(weight, axis=1, out=weight)
-            weight += table[size, 1 : size + 1]
-            weight -= np.log(rng.exponential(size=weight.shape))
-            t[rows] = 1 + weight.argmax(axis=1)
-    left = np.flatnonzero(c > EXACT)
-    seated = np.full(len(left), EXACT, np.int64)
-    while len(left):
-        many = np.minimum(np.maximum(seated // 16, 1), c[left] - seated)
-        new = (strength + discount * (others[left] + t[left])) * base[left]
-        t[left] += rng.binomial(many, new / (new + seated - discount * t[left]))
-        seated += many
-        more = seated < c[left]
-        left, seated = left[more], seated[more]
-    return t
-
-
-def sweep(u: np.ndarray, c: np.ndarray, t: np.ndarray, total: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator, parts: int = 4) -> np.ndarray:
-    """One Gibbs sweep over the dishes of a shard, in random parts; u: index into total, the tables of each context, kept up to date."""
-    part = rng.integers(parts, size=len(c))
-    for k in range(parts):
-        rows = np.flatnonzero(part == k)
-        new = draw_tables(c[rows], total[u[rows]] - t[rows], base[rows], discount, strength, rng)
-        total += np.bincount(u[rows], new - t[rows], len(total))
-        t[rows] = new
-    return t
+    return keys, np.bincount(at, values, len(keys)).astype(np.int64)
+
+
+def split(home: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, slice]]]:
+    """An order by home (stable), and of each home that occurs the slice of that order."""
+    order = np.argsort(home, kind="stable")
+    homes, starts = np.unique(home[order], return_index=True)
+    return order, ((h, slice(a, b)) for h, a, b in zip(homes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(home)][: len(homes)], strict=True))
+
+
+def word_home(words: np.ndarray, shards: int) -> np.ndarray:
+    """The word shard of hashes: equal ranges, so that sorted hashes are sorted by shard at any number of shards."""
+    return ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def pair_home(u: np.ndarray, w: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each pair: by context, and by pair where the context is hot."""
+    return ((mixed(u) >> np.uint64(8)) + np.where(hot, mixed(w + 1) >> np.uint64(8), np.uint64(0))).astype(np.int64) % shards
 
 
 # ---- blocks ------------------------------------------------------------------------------------
@@ -146,71 +114,46 @@ def block_tokens(b: pa.RecordBatch) -> dict:
     hashed = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w.types), np.uint64, len(w.types))
     hashed[hashed <= BEGIN] += np.uint64(7)
     n = np.diff(w.starts)
-    tokens = np.full(int(n.sum() + len(n)), END, np.uint64)
-    inside = np.ones(len(tokens), bool)
+    words, back = np.unique(np.concatenate([hashed, [END, BEGIN]]), return_inverse=True)
+    codes = np.full(int(n.sum() + len(n)), back[-2], np.int64)
+    inside = np.ones(len(codes), bool)
     inside[np.cumsum(n + 1) - 1] = False
-    tokens[inside] = hashed[w.codes]
-    words, codes = np.unique(np.concatenate([tokens, [END, BEGIN]]), return_inverse=True)
-    codes = codes[:-2]
-    learn = np.repeat(~np.asarray(b.column("held_out")), n + 1)
-    counts = np.bincount(codes, learn, len(words)).astype(np.int64)
-    counts[np.searchsorted(words, BEGIN)] = int((~np.asarray(b.column("held_out"))).sum())
-    return {"a": codes.astype(np.int32), "b": n + 1, "c": words, "d": counts, "e": np.asarray(b.column("held_out")).astype(np.int8)}
+    codes[inside] = back[w.codes]
+    held = np.asarray(b.column("held_out"))
+    counts = np.bincount(codes, np.repeat(~held, n + 1), len(words)).astype(np.int64)
+    counts[back[-1]] = int((~held).sum())
+    return {"a": planes(codes), "b": planes(n + 1), "c": steps(words), "d": planes(counts), "e": planes(held.astype(np.int8)), "begin": int(back[-1])}
 
 
-def token_pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def token_pairs(row: dict, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Context and word codes of a block's distinct pairs, training counts of those, and each token's pair."""
-    codes, n, words = unpacked(row["a"], np.int32).astype(np.int64), ints(row["b"]), unpacked(row["c"], np.uint64)
+    codes, n = ints(row["a"]), ints(row["b"])
     before = np.concatenate([[0], codes[:-1]]) if len(codes) else codes
-    before[np.concatenate([[0], np.cumsum(n)[:-1]])] = np.searchsorted(words, BEGIN)
-    pairs, at = np.unique(before * len(words) + codes, return_inverse=True)
-    learn = np.repeat(unpacked(row["e"], np.int8) == 0, n)
-    return pairs // len(words), pairs % len(words), np.bincount(at, learn, len(pairs)).astype(np.int64), at
-
+    before[np.concatenate([[0], np.cumsum(n)[:-1]])] = row["begin"]
+    pairs, at = np.unique(before * n_words + codes, return_inverse=True)
+    learned = np.bincount(at, np.repeat(ints(row["e"]) == 0, n), len(pairs)).astype(np.int64)
+    return pairs // n_words, pairs % n_words, learned, at
 
-def pair_shards(u: np.ndarray, w: np.ndarray, count: np.ndarray, shards: int, hot: float) -> np.ndarray:
-    """The shard of each pair: by context, and by pair where the context's count is over `hot`."""
-    return ((mixed(u) + np.where(count > hot, mixed(w + 1), np.uint64(0))) % np.uint64(shards)).astype(np.int64)
 
+def of_words(replies: list, names: str) -> list[np.ndarray]:
+    """What word shards replied to a block, in the order of its words, which is that of the shards."""
+    own = sorted((r for r in replies if r["kind"] == "words"), key=lambda r: r["shard"])
+    return [np.concatenate([ints(r[x]) for r in own] or [NONE]) for x in names]
 
-def word_values(replies: list, words: np.ndarray, shards: int, names: str) -> list[np.ndarray]:
-    """Arrays that word shards sent for a block, put in the order of its words."""
-    home = (words % np.uint64(shards)).astype(np.int64)
-    out = [np.zeros(len(words), np.int64 if x in "ab" else np.float64) for x in names]
-    for r in replies:
-        at = np.flatnonzero(home == r["shard"])
-        for x, values in zip(names, out, strict=True):
-            values[at] = unpacked(r[x], values.dtype if x in "ab" else np.float64)
-    return out
 
-
-def mapped(df: DataFrame, work, schema: str = PACKED) -> DataFrame:
-    """work(row as a dict) gives packed rows; one row of df is held at a time."""
+def mapped(df: DataFrame, work, schema: pa.Schema = ARROW, ddl: str = PACKED) -> DataFrame:
+    """work(row as a dict) gives rows; one row of df is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 rows = list(work(b.slice(i, 1).to_pylist()[0]))
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, out)
+                    yield pa.RecordBatch.from_pylist(rows, schema)
                 rows = None
             pa.default_memory_pool().release_unused()
 
-    out = pa.schema([("kind", pa.string()), *((x, pa.int64()) for x in ("shard", "block", "n", "m")), *((x, pa.binary()) for x in BLOBS)])
-    return df.mapInArrow(run, schema)
-
-
-def per_block(replies: DataFrame, n_blocks: int) -> DataFrame:
-    """All replies to a block in one row, a bounded number (one a shard); few blocks a task, since a task holds its rows at once."""
-    return replies.repartition(max(n_blocks, 1), "block").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", *BLOBS)).alias("replies"))
-
-
-def removed(df: DataFrame | None) -> None:
-    """Deletes the folder of a stored table that nothing reads any more."""
-    if df is not None and (files := df.inputFiles()):
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(conf).delete(folder, True)
+    return df.mapInArrow(run, ddl)
 
 
 def freed(spark: SparkSession) -> None:
@@ -220,13 +163,14 @@ def freed(spark: SparkSession) -> None:
 
 
 def score(
-    docs: DataFrame, held_out: Column | None = None, block_bytes: int = 16_000_000, most_shards: int = 4096,
+    docs: DataFrame, held_out: Column | None = None, block_bytes: int = 10_000_000, most_tasks: int = 10_000,
     strength: float = 1.0, root_discount: float = 0.8, root_strength: float = 1.0, burn_in: int = 2, samples: int = 3, seed: int = 13,
 ) -> DataFrame:
     """Scores of all rows of docs (doc_id, text), as SCHEMA says; learns from those not held out.
 
-    Two rounds of `burn_in` and then `samples` sweeps; the second one's samples are averaged. The
-    discount of contexts is n1 / (n1 + 2 n2), with the numbers of pairs seen once and twice.
+    The discount of contexts is n1 / (n1 + 2 n2), with the numbers of pairs seen once and twice. perplexity is
+    10 ** (-score / n_tokens); that of a corpus is 10 ** (-sum of scores / sum of n_tokens). most_tasks: so many
+    tasks a stage at most; more shards than that share tasks, one held at a time.
     """
     spark = docs.sparkSession
     held_out = fold(F.col("doc_id"), 10) == 0 if held_out is None else held_out
@@ -236,223 +180,260 @@ def score(
         block = TaskContext.get().partitionId() << 32
         for big in batches:
             for b in text_batches(iter([big]), block_bytes):
-                made = {k: planes(v) for k, v in block_tokens(b).items()}
-                columns = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("doc_id")), *(pa.array([made[x]], pa.binary()) for x in "abcde")]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "ids", *"abcde"])
+                made = block_tokens(b)
+                columns = [pa.array([block]), pa.array([made["begin"]]), pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("doc_id")), *(pa.array([made[x]], pa.binary()) for x in BLOBS)]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "begin", "ids", *BLOBS])
                 block += 1
             pa.default_memory_pool().release_unused()
 
-    blocks = stored(docs.mapInArrow(tokenised, "block long, ids array<long>, a binary, b binary, c binary, d binary, e binary"), "blocks")
-    n_blocks = blocks.count()
-    shards = min(most_shards, max(8, n_blocks))
+    blocks = stored(docs.mapInArrow(tokenised, "block long, begin long, ids array<long>, " + ", ".join(f"{x} binary" for x in BLOBS)), "blocks")
+    n_blocks = max(blocks.count(), 1)
+    shards = max(8, n_blocks)
+    tasks, block_tasks = min(shards, most_tasks), min(n_blocks, most_tasks)
+    by_shard = lambda df, work: df.repartition(tasks, "shard").groupBy("shard").applyInPandas(work, PACKED)
+
+    def with_replies(columns: list[str], replies: DataFrame) -> DataFrame:
+        """Blocks with all replies to them, at most one a shard and kind and in all bounded by the block."""
+        own = replies.repartition(block_tasks, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", *BLOBS)).alias("replies"))
+        return blocks.select("block", "begin", *columns).repartition(block_tasks, "block").join(own, "block")
 
-    # words: counts and dense ids
+    # words: counts and dense ids, small ones for frequent words
     def ask_words(row: dict) -> Iterator[dict]:
-        words, counts = unpacked(row["c"], np.uint64), ints(row["d"])
-        home = words % np.uint64(shards)
-        for s in range(shards):
-            at = np.flatnonzero(home == s)
-            yield packed("ask", s, row["block"], a=words[at], b=counts[at])
+        words, counts = summed_steps(row["c"]), ints(row["d"])
+        _, parts = split(word_home(words, shards))
+        for s, at in parts:
+            yield message("ask", s, row["block"], a=steps(words[at]), b=planes(counts[at]))
 
     def count_words(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
-        words = np.concatenate([unpacked(x, np.uint64) for x in rows["a"]])
-        distinct, at = np.unique(words, return_inverse=True)
+        asked = [summed_steps(x) for x in rows["a"]]
+        distinct, at = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(at, np.concatenate([ints(x) for x in rows["b"]]), len(distinct)).astype(np.int64)
-        ids, begin, out = np.arange(len(distinct)) * shards + shard, 0, []
-        for block, x in zip(rows["block"], rows["a"], strict=True):
-            own = at[begin : begin + len(x) // 8]
+        order = np.argsort(-total, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        begin, out = 0, []
+        for block, x in zip(rows["block"], asked, strict=True):
+            own = at[begin : begin + len(x)]
             begin += len(own)
-            out.append(packed("words", shard, block, a=ids[own], b=total[own]))
+            out.append(message("words", shard, block, a=planes(rank[own] * shards + shard), b=planes(total[own])))
         real = (distinct != BEGIN) & (total > 0)
-        out.append(packed("size", shard, -1, n=real.sum(), m=total[distinct != BEGIN].sum()))
-        return frame(out)
+        return frame([*out, message("size", shard, len(distinct), n=real.sum(), m=total[distinct != BEGIN].sum())])
 
-    said = stored(mapped(blocks.select("block", "c", "d"), ask_words).repartition(shards, "shard").groupBy("shard").applyInPandas(count_words, PACKED), "words")
-    vocabulary, tokens = said.where("kind = 'size'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    said = stored(by_shard(mapped(blocks.select("block", "c", "d"), ask_words), count_words), "words")
+    sizes = said.where("kind = 'size'")
+    vocabulary, tokens = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
     words_of = said.where("kind = 'words'").select("kind", "shard", "block", *BLOBS)
     hot = 0.5 * tokens / shards
     freed(spark)
 
     # pairs: merged by shard; what a block asked for is kept as places in the shard's arrays
     def ask_pairs(row: dict) -> Iterator[dict]:
-        words = unpacked(row["c"], np.uint64)
-        ids, counts = word_values(row["replies"], words, shards, "ab")
-        u, w, learned, _ = token_pairs(row)
-        home = pair_shards(ids[u], ids[w], counts[u], shards, hot)
-        order = np.argsort(home, kind="stable")
-        edges = np.searchsorted(home[order], np.arange(shards + 1))
-        for s in range(shards):
-            at = order[edges[s] : edges[s + 1]]
-            yield packed("ask", s, row["block"], a=ids[u[at]], b=ids[w[at]], c=learned[at].astype(np.int32))
+        ids, counts = of_words(row["replies"], "ab")
+        u, w, learned, _ = token_pairs(row, len(ids))
+        is_hot = counts[u] > hot
+        u, w = ids[u], ids[w]
+        order, parts = split(pair_home(u, w, is_hot, shards))
+        u, w, learned, is_hot = u[order], w[order], learned[order], is_hot[order]
+        for s, at in parts:
+            yield message("ask", s, row["block"], a=steps(u[at]), b=planes(w[at]), c=planes(learned[at]), d=planes(is_hot[at].astype(np.int8)))
+
+    def tells(shard: int, w: np.ndarray, t: np.ndarray, u: np.ndarray, hot_: np.ndarray) -> Iterator[dict]:
+        """A shard's tables by word, and by hot context, for their word shards; the receiver replies in the same order."""
+        for kind, keys, values in (("by word", w, t), ("by context", u[hot_ == 1], t[hot_ == 1])):
+            keys, values = summed(keys, values)
+            order, parts = split(keys % shards)
+            for s, at in parts:
+                yield message(kind, s, shard, a=steps(keys[order[at]] // shards), b=planes(values[order[at]]))
 
     def merge_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
-        u, w = (np.concatenate([ints(x) for x in rows[name]]) for name in "ab")
-        small = not len(u) or max(u.max(), w.max()) < 2**31
-        key = (u << 32 | w) if small else (mixed(u) * np.uint64(3) + mixed(w) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
-        _, first, at = np.unique(key, return_index=True, return_inverse=True)
-        c = np.bincount(at, np.concatenate([unpacked(x, np.int32) for x in rows["c"]]), len(first)).astype(np.int64)
+        u, w = np.concatenate([summed_steps(x) for x in rows["a"]]), np.concatenate([ints(x) for x in rows["b"]])
+        sizes_ = [len(x) for x in map(ints, rows["c"])]
+        order = np.lexsort((w, u))
+        new = np.ones(len(u), bool)
+        new[1:] = (u[order[1:]] != u[order[:-1]]) | (w[order[1:]] != w[order[:-1]])
+        at = np.empty(len(u), np.int64)
+        at[order] = np.cumsum(new) - 1
+        first = order[new]
+        c = np.bincount(at, np.concatenate([ints(x) for x in rows["c"]]), len(first)).astype(np.int64)
+        is_hot = np.concatenate([ints(x) for x in rows["d"]])[first]
         u, w = u[first], w[first]
         shared = np.flatnonzero(c >= 2)
-        place = np.where(c == 0, -2, -1).astype(np.int32)
+        place = np.where(c == 0, -2, -1)
         place[shared] = np.arange(len(shared))
         begin, out = 0, []
-        for block, x in zip(rows["block"], rows["a"], strict=True):
-            own = at[begin : begin + len(x) // 8]
-            begin += len(own)
-            out.append(packed("places", shard, block, a=place[own]))
-        u1, n_u1 = summed(u[c == 1], np.ones(int((c == 1).sum())))
-        w1, n_w1 = summed(w[c == 1], np.ones(int((c == 1).sum())))
-        blobs = {"a": u[shared], "b": w[shared], "c": c[shared], "d": u1, "e": n_u1.astype(np.int64), "f": w1, "g": n_w1.astype(np.int64)}
-        return frame([*out, packed("seats", shard, -1, n=(c == 1).sum(), m=(c == 2).sum(), **blobs)])
-
-    asked = mapped(blocks.repartition(max(n_blocks, 1), "block").join(per_block(words_of, n_blocks), "block"), ask_pairs)
-    merged = stored(asked.repartition(shards, "shard").groupBy("shard").applyInPandas(merge_pairs, PACKED), "pairs")
-    seats, places = merged.where("kind = 'seats'"), merged.where("kind = 'places'").select(F.col("shard").alias("shard"), F.col("block").alias("block"), F.col("a").alias("place"))
+        for block, size in zip(rows["block"], sizes_, strict=True):
+            out.append(message("places", shard, block, a=planes(place[at[begin : begin + size]])))
+            begin += size
+        for kind, keys in (("ones of word", w[c == 1]), ("ones of context", u[c == 1])):
+            keys, n = np.unique(keys, return_counts=True)
+            order, parts = split(keys % shards)
+            out.extend(message(kind, s, shard, a=steps(keys[order[x]] // shards), b=planes(n[order[x]])) for s, x in parts)
+        contexts = np.unique(u[shared])
+        ones = np.bincount(np.searchsorted(contexts, u[(c == 1) & np.isin(u, contexts)]), minlength=len(contexts))
+        out.append(message("seats", shard, -1, n=(c == 1).sum(), m=(c == 2).sum(), a=steps(u[shared]), b=planes(w[shared]), c=planes(c[shared]), d=planes(is_hot[shared]), e=planes(ones)))
+        out.extend(tells(shard, w[shared], np.ones(len(shared), np.int64), u[shared], is_hot[shared]))
+        return frame(out)
+
+    merged = stored(by_shard(mapped(with_replies(["a", "b", "e"], words_of), ask_pairs), merge_pairs), "pairs")
+    seats = merged.where("kind = 'seats'")
+    places = merged.where("kind = 'places'").select(F.col("shard").alias("shard"), F.col("block").alias("block"), F.col("a").alias("place"))
     once, twice = seats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
     discount = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
+    unseen = 1 / (vocabulary + 1)
     freed(spark)
 
-    # rounds between contexts and their parent
-    def tell_parent(row: dict, t: np.ndarray) -> Iterator[dict]:
-        """Tables by word and by context of a shard, sent to the words' shards; rows marked with the sender."""
-        u, w, u1, n_u1, w1, n_w1 = (ints(row[x]) for x in "abdefg")
-        for kind, keys, one, many in (("of word", w, w1, n_w1), ("of context", u, u1, n_u1)):
-            ids, sums = summed(np.concatenate([keys, one]), np.concatenate([t, many]))
-            wanted = np.isin(ids, keys)
-            for s in range(shards):
-                at = np.flatnonzero(ids % shards == s)
-                yield packed(kind, s, row["shard"], a=ids[at], b=sums[at], c=wanted[at])
-
-    def parent(root_tables: float, round_: int, last: bool):
-        """The parent's sampling in one word shard, and its replies to the shards of contexts."""
+    # rounds: the parent in word shards, contexts in pair shards
+    def parent(round_: int, root_tables: float):
+        """One word shard: its words' customers and tables in the parent, and replies to the shards that told of them."""
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            shard, out = int(rows["shard"].iloc[0]), []
-            both = {}
-            for kind in ("of word", "of context"):
-                own = rows[rows["kind"] == kind]
-                both[kind] = summed(np.concatenate([ints(x) for x in own["a"]] or [np.zeros(0, np.int64)]), np.concatenate([unpacked(x, np.float64) for x in own["b"]] or [np.zeros(0)]))
-            ids, customers = both["of word"]
-            rng = np.random.default_rng([seed, round_, shard, 1])
-            whole = np.maximum(np.rint(customers), 1).astype(np.int64)
-            tables = np.zeros(len(ids))
-            for _ in range(samples):
-                tables += draw_tables(whole, np.full(len(ids), root_tables), np.full(len(ids), 1 / (vocabulary + 1)), root_discount, root_strength, rng) / samples
-            counts = customers - root_discount * np.minimum(tables, customers)
-            if last:
-                out.append(packed("final", shard, -1, a=ids, b=counts, c=both["of context"][0], d=both["of context"][1]))
+            shard, kinds = int(rows["shard"].iloc[0]), dict(tuple(rows.groupby("kind")))
+            if "size" in kinds:
+                n = int(kinds["size"]["block"].iloc[0])
+                ones = {}
+                for kind in ("ones of word", "ones of context"):
+                    ones[kind] = np.zeros(n, np.int64)
+                    for a, b in zip(*(kinds[kind][x] for x in "ab"), strict=True) if kind in kinds else ():
+                        ones[kind][summed_steps(a)] += ints(b)
+                of_word, of_context, k, kept = ones["ones of word"], ones["ones of context"], np.zeros(n, np.int64), NONE
+            else:
+                state = kinds["state"].iloc[0]
+                of_word, of_context, k, kept = (ints(state[x]) for x in "abcd")
+                n = len(of_word)
+            told = {"by word": of_word.copy(), "by context": of_context.copy()}
+            for kind, sums in told.items():
+                for a, b in zip(*(kinds[kind][x] for x in "ab"), strict=True) if kind in kinds else ():
+                    sums[summed_steps(a)] += ints(b)
+            customers = told["by word"]
+            some = np.flatnonzero(customers)
+            others = np.maximum((root_tables if root_tables else float(vocabulary)) - np.maximum(k[some], 1), 0.0)
+            k[some] = draw_tables(customers[some], others, np.full(len(some), unseen), root_discount, root_strength, chances(seed, -round_ - 1, some * shards + shard))
+            out = []
+            for kind in told:
+                for sender, a in zip(*(kinds[kind][x] for x in ("block", "a")), strict=True) if kind in kinds else ():
+                    at = summed_steps(a)
+                    out.append(message(kind, sender, shard, a=planes(told[kind][at]), b=planes(k[at])))
+            if round_ > burn_in:
+                kept = np.concatenate([kept, customers, k])
+            if round_ < burn_in + samples:
+                out.append(message("state", shard, -1, a=planes(of_word), b=planes(of_context), c=planes(k), d=planes(kept)))
             else:
-                for kind, keys, values in (("of word", ids, counts), ("of context", *both["of context"])):
-                    own = rows[rows["kind"] == kind]
-                    for sender, x, wanted in zip(own["block"], own["a"], own["c"], strict=True):
-                        asked = ints(x)[unpacked(wanted, bool)]
-                        out.append(packed(kind, sender, shard, a=asked, b=values[np.searchsorted(keys, asked)]))
-            out.append(packed("total", shard, -2, a=np.array([customers.sum(), tables.sum()])))
-            return frame(out)
+                tables = np.tile(of_context, samples).reshape(samples, -1)
+                for a, b in zip(*(kinds["contexts"][x] for x in "ab"), strict=True) if "contexts" in kinds else ():
+                    tables[:, summed_steps(a)] += ints(b).reshape(samples, -1)
+                out.append(message("final", shard, -1, a=planes(kept), b=planes(tables.ravel())))
+            return frame([*out, message("total", shard, -2, n=customers.sum(), m=k.sum())])
 
         return run
 
-    def resample(customers: float, tables: float, round_: int):
-        """The contexts' sampling in one shard; gives the state (t) and, for the averages, their mean."""
+    def contexts(round_: int, customers: float, tables: float):
+        """One pair shard: its pairs' tables given the parent's probabilities, and what the word shards must know of them."""
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            seat = rows[rows["kind"] == "seats"].iloc[0]
-            shard = int(seat["shard"])
-            u, w, c = (ints(seat[x]) for x in "abc")
+            kinds = dict(tuple(rows.groupby("kind")))
+            if "seats" not in kinds:
+                return frame([])
+            seat = kinds["seats"].iloc[0]
+            shard, u, w, c, is_hot, ones = int(seat["shard"]), summed_steps(seat["a"]), *(ints(seat[x]) for x in "bcde")
+            if "tables" in kinds:
+                held = kinds["tables"].iloc[0]
+                t, sums, kept = (ints(held[x]) for x in "abc")
+            else:
+                t, sums, kept = np.ones(len(c), np.int64), np.zeros(len(c), np.int64), NONE
             got = {}
-            for kind in ("of word", "of context"):
-                own = rows[rows["kind"] == kind]
-                ids, values = np.concatenate([ints(x) for x in own["a"]] or [np.zeros(0, np.int64)]), np.concatenate([unpacked(x, np.float64) for x in own["b"]] or [np.zeros(0)])
-                order = np.argsort(ids)
-                got[kind] = ids[order], values[order]
-            held = rows[rows["kind"] == "tables"]
-            t = unpacked(held["a"].iloc[0], np.float64).astype(np.int64) if len(held) else np.ones(len(c), np.int64)
-            base = got["of word"][1][np.searchsorted(got["of word"][0], w)] if len(w) else np.zeros(0)
-            base = (base + (root_strength + root_discount * tables) / (vocabulary + 1)) / (root_strength + customers)
-            contexts, at = np.unique(u, return_inverse=True)
-            total = got["of context"][1][np.searchsorted(got["of context"][0], contexts)] if len(u) else np.zeros(0)
-            total, t, mean = total.copy(), t.copy(), np.zeros(len(c))
-            rng = np.random.default_rng([seed, round_, shard, 0])
-            for i in range(burn_in + samples):
-                t = sweep(at, c, t, total, base, discount, strength, rng)
-                if i >= burn_in:
-                    mean += t / samples
-            return frame([packed("tables", shard, -1, a=t.astype(np.float64), b=mean)])
+            for kind, keys in (("by word", np.unique(w)), ("by context", np.unique(u[is_hot == 1]))):
+                order, parts = split(keys % shards)
+                values, replies = np.zeros((2, len(keys)), np.int64), {}
+                if kind in kinds:
+                    replies = dict(zip(kinds[kind]["block"], zip(kinds[kind]["a"], kinds[kind]["b"], strict=True), strict=True))
+                for s, at in parts:
+                    values[:, order[at]] = [ints(x) for x in replies[s]]
+                got[kind] = keys, values
+            keys, (sat, k) = got["by word"]
+            base = (sat - root_discount * k + (root_strength + root_discount * tables) * unseen) / (root_strength + customers)
+            own, at = np.unique(u, return_inverse=True)
+            total = ones + np.bincount(at, t, len(own)).astype(np.int64)
+            keys_hot, values = got["by context"]
+            total[np.searchsorted(own, keys_hot)] = values[0]
+            t = sweep(at, c, t, total, base[np.searchsorted(keys, w)], discount, strength, chances(seed, round_, u, w))
+            out = list(tells(shard, w, t, u, is_hot))
+            if round_ > burn_in:
+                sums, kept = sums + t, np.concatenate([kept, np.bincount(at, t, len(own)).astype(np.int64)])
+            if round_ == burn_in + samples:
+                order, parts = split(own % shards)
+                kept = kept.reshape(samples, -1)
+                out.extend(message("contexts", s, shard, a=steps(own[order[x]] // shards), b=planes(kept[:, order[x]].ravel())) for s, x in parts)
+                kept = NONE
+            return frame([*out, message("tables", shard, -1, a=planes(t), b=planes(sums), c=planes(kept))])
 
         return run
 
-    state, root_tables = None, float(vocabulary)
-    for round_ in range(3):  # the parent, then contexts; twice; and the parent once more
-        if state is None:
-            told = mapped(seats, lambda row: tell_parent(row, np.ones(len(row["a"]) // 8)))
-        else:
-            column = "a" if round_ < 2 else "b"
-            joined = seats.repartition(shards, "shard").join(state.select("shard", F.col(column).alias("t")).repartition(shards, "shard"), "shard")
-            told = mapped(joined, lambda row: tell_parent(row, unpacked(row["t"], np.float64)))
-        replies = stored(told.repartition(shards, "shard").groupBy("shard").applyInPandas(parent(root_tables, round_, round_ == 2), PACKED), "parent")
-        sums = np.array([unpacked(r["a"], np.float64) for r in replies.where("kind = 'total'").select("a").collect()] or [[0.0, 0.0]]).sum(axis=0)
-        customers, root_tables = float(sums[0]), float(sums[1])
-        if round_ < 2:
-            parts = seats.unionByName(replies.where("kind like 'of %'"))
-            parts = parts if state is None else parts.unionByName(state)
-            before, state = state, stored(parts.repartition(shards, "shard").groupBy("shard").applyInPandas(resample(customers, root_tables, round_), PACKED), "tables")
-            removed(replies)
-            removed(before)
-            told = parts = None
+    tables, replies, drawn = None, None, []
+    for round_ in range(burn_in + samples + 1):
+        told = merged.where("kind like 'ones of %' or kind like 'by %'").unionByName(sizes) if tables is None else tables.where("kind like 'by %' or kind = 'contexts'").unionByName(replies.where("kind = 'state'"))
+        before, replies = replies, stored(by_shard(told, parent(round_, drawn[-1][1] if drawn else 0.0)), "parent")
+        deleted(before)
+        drawn.append(tuple(float(x) for x in replies.where("kind = 'total'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()))
+        if round_ < burn_in + samples:
+            parts = seats.unionByName(replies.where("kind like 'by %'"))
+            parts = parts if tables is None else parts.unionByName(tables.where("kind = 'tables'"))
+            before, tables = tables, stored(by_shard(parts, contexts(round_ + 1, *drawn[-1])), "tables")
+            deleted(before)
+        told = parts = None
         freed(spark)
-    unknown = (root_strength + root_discount * root_tables) / (vocabulary + 1)
+    drawn = drawn[burn_in + 1 :]
 
     # replies to blocks, and scores
-    def word_replies(final: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked_):
-            return frame([])
-        row = final.iloc[0] if len(final) else None
-        ids, counts, contexts, total = (unpacked(row[x], t) if row is not None else np.zeros(0, t) for x, t in zip("abcd", (np.int64, np.float64, np.int64, np.float64), strict=True))
-
-        def look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-            if not len(keys):
-                return np.zeros(len(wanted))
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return np.where(keys[at] == wanted, values[at], 0.0)
-
-        return frame([packed("words", s, b, a=ints(x), b=ints(y), c=(look(ids, counts, ints(x)) + unknown) / (root_strength + customers), d=look(contexts, total, ints(x))) for s, b, x, y in zip(asked_["shard"], asked_["block"], asked_["a"], asked_["b"], strict=True)])
+    def word_replies(final: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked):
+            kept, of_context = (ints(final[x].iloc[0]).reshape(rows, -1) for x, rows in (("a", 2 * samples), ("b", samples)))
+            for s, b, x, y in zip(asked["shard"], asked["block"], asked["a"], asked["b"], strict=True):
+                at = ints(x) // shards
+                out.append(message("words", s, b, a=x, b=y, c=planes(kept[:, at].T.ravel()), d=planes(of_context[:, at].T.ravel())))
+        return frame(out)
 
-    def pair_replies(tables: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
+    def pair_replies(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(asked_):
-            value = ints(tables["c"].iloc[0]) - discount * unpacked(tables["t"].iloc[0], np.float64)
-            value = np.concatenate([value, [0.0, 1 - discount]]).astype(np.float32)  # places -2 and -1: never seen, seen once
-            for s, b, x in zip(asked_["shard"], asked_["block"], asked_["place"], strict=True):
-                out.append(packed("pairs", s, b, a=value[unpacked(x, np.int32)]))
+        if len(asked):
+            # places -2 and -1, at the arrays' ends: never seen, and seen once at one table
+            c, t = np.concatenate([ints(own["c"].iloc[0]), [0, 1]]), np.concatenate([ints(own["sums"].iloc[0]), [0, samples]])
+            for s, b, x in zip(asked["shard"], asked["block"], asked["place"], strict=True):
+                at = ints(x)
+                out.append(message("pairs", s, b, a=planes(c[at]), b=planes(t[at])))
         return frame(out)
 
-    final = replies.where("kind = 'final'").select("shard", *"abcd")
-    to_words = final.groupBy("shard").cogroup(words_of.select("shard", "block", "a", "b").groupBy("shard")).applyInPandas(word_replies, PACKED)
-    tables = seats.select("shard", "c").join(state.select("shard", F.col("b").alias("t")), "shard")
-    to_pairs = tables.groupBy("shard").cogroup(places.groupBy("shard")).applyInPandas(pair_replies, PACKED)
-    ready = blocks.repartition(max(n_blocks, 1), "block").join(per_block(to_words.unionByName(to_pairs), n_blocks), "block")
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                words, n = unpacked(row["c"], np.uint64), ints(row["b"])
-                of_words = [r for r in row["replies"] if r["kind"] == "words"]
-                ids, counts, root, total = word_values(of_words, words, shards, "abcd")
-                u, w, _, at = token_pairs(row)
-                home = pair_shards(ids[u], ids[w], counts[u], shards, hot)
-                seen = np.zeros(len(u))
-                for r in row["replies"]:
-                    if r["kind"] == "pairs":
-                        seen[home == r["shard"]] = unpacked(r["a"], np.float32)
-                p = (seen + (strength + discount * total[u]) * root[w]) / (strength + counts[u])
-                codes = unpacked(row["a"], np.int32)
-                base = np.log10((counts + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
-                starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-                sums = [np.add.reduceat(x, starts) for x in (np.log10(p)[at], base[codes], (counts > 0)[codes].astype(np.int64))]
-                columns = [pa.array(row["ids"], pa.int64()), pa.array(unpacked(row["e"], np.int8) == 1), pa.array(n), pa.array(sums[2]), pa.array(np.full(len(n), tokens)), pa.array(sums[1]), pa.array(sums[0])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return ready.mapInArrow(scored, SCHEMA)
+    final = replies.where("kind = 'final'").select("shard", "a", "b")
+    to_words = final.repartition(tasks, "shard").groupBy("shard").cogroup(words_of.select("shard", "block", "a", "b").repartition(tasks, "shard").groupBy("shard")).applyInPandas(word_replies, PACKED)
+    sums = seats.select("shard", "c").join(tables.where("kind = 'tables'").select("shard", F.col("b").alias("sums")), "shard")
+    to_pairs = sums.repartition(tasks, "shard").groupBy("shard").cogroup(places.repartition(tasks, "shard").groupBy("shard")).applyInPandas(pair_replies, PACKED)
+
+    def scored(row: dict) -> Iterator[dict]:
+        ids, counts, kept, of_context = of_words(row["replies"], "abcd")
+        kept, of_context = kept.reshape(-1, samples, 2), of_context.reshape(-1, samples)
+        u, w, _, at = token_pairs(row, len(ids))
+        order, parts = split(pair_home(ids[u], ids[w], counts[u] > hot, shards))
+        pairs = {r["shard"]: r for r in row["replies"] if r["kind"] == "pairs"}
+        p = np.zeros(len(u))
+        for s, x in parts:
+            p[order[x]] = ints(pairs[s]["a"]) - discount * ints(pairs[s]["b"]) / samples
+        for i, (customers, tables_) in enumerate(drawn):  # each sample's predictive probability
+            base = (kept[:, i, 0] - root_discount * kept[:, i, 1] + (root_strength + root_discount * tables_) * unseen) / (root_strength + customers)
+            p += (strength + discount * of_context[u, i]) * base[w] / samples
+        p /= strength + counts[u]
+        n, codes = ints(row["b"]), ints(row["a"])
+        unigram = np.log10((counts + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        model, plain, known = (np.add.reduceat(x, starts) for x in (np.log10(p)[at], unigram[codes], (counts > 0)[codes].astype(np.int64)))
+        yield {"doc_id": row["ids"], "held_out": ints(row["e"]) == 1, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), tokens), "base_score": plain, "score": model, "perplexity": 10 ** (-model / n)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                for out in scored(b.slice(i, 1).to_pylist()[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) if k != "doc_id" else pa.array(x, pa.int64()) for k, x in out.items()], list(out))
+            pa.default_memory_pool().release_unused()
+
+    return with_replies(["ids", "a", "b", "e"], to_words.unionByName(to_pairs)).mapInArrow(run, SCHEMA)
