@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,23 +38,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written as Parquet in the shared folder and read again, so that later reads fetch single columns."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Written as Parquet in the shared folder (a folder for each value of `by`) and read again, so that later reads fetch single columns."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-def deleted(df: DataFrame | None) -> None:
-    """Deletes the folder of a table that stored() wrote and that nothing reads any more."""
+def deleted(df: DataFrame | None, part: str = "") -> None:
+    """Deletes the folder, or one part, of a table that stored() wrote and that nothing reads any more."""
     if df is not None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        folder = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        folder = jvm.org.apache.hadoop.fs.Path(f"{df._stored_at}/{part}")
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def released() -> None:
+    """Hands memory that was freed back to the system, so that workers that live on don't add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as fold of the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

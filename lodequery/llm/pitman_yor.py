@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequery.llm.common import Words, deleted, fold, stored, text_batches
+from lodequery.llm.common import Words, deleted, fold, released, stored, text_batches
 from lodequery.llm.seating import chances, draw_tables, mixed, stirling, sweep  # noqa: F401
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -88,6 +88,15 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, np.bincount(at, values, len(keys)).astype(np.int64)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and each key's place among them, by hashing first."""
+    at, keys = pd.factorize(keys)
+    order = np.argsort(keys, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return keys[order], rank[at]
+
+
 def split(home: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, slice]]]:
     """An order by home (stable), and of each home that occurs the slice of that order."""
     order = np.argsort(home, kind="stable")
@@ -130,7 +139,7 @@ def token_pairs(row: dict, n_words: int) -> tuple[np.ndarray, np.ndarray, np.nda
     codes, n = ints(row["a"]), ints(row["b"])
     before = np.concatenate([[0], codes[:-1]]) if len(codes) else codes
     before[np.concatenate([[0], np.cumsum(n)[:-1]])] = row["begin"]
-    pairs, at = np.unique(before * n_words + codes, return_inverse=True)
+    pairs, at = distinct(before * n_words + codes)
     learned = np.bincount(at, np.repeat(ints(row["e"]) == 0, n), len(pairs)).astype(np.int64)
     return pairs // n_words, pairs % n_words, learned, at
 
@@ -151,7 +160,7 @@ def mapped(df: DataFrame, work, schema: pa.Schema = ARROW, ddl: str = PACKED) ->
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                 rows = None
-            pa.default_memory_pool().release_unused()
+            released()
 
     return df.mapInArrow(run, ddl)
 
@@ -181,16 +190,25 @@ def score(
         for big in batches:
             for b in text_batches(iter([big]), block_bytes):
                 made = block_tokens(b)
-                columns = [pa.array([block]), pa.array([made["begin"]]), pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("doc_id")), *(pa.array([made[x]], pa.binary()) for x in BLOBS)]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "begin", "ids", *BLOBS])
+                tokens_ = {"part": "tokens", "block": block, "begin": made["begin"], "ids": b.column("doc_id").to_pylist()} | {x: made[x] for x in "abe"}
+                yield pa.RecordBatch.from_pylist([tokens_, {"part": "words", "block": block} | {x: made[x] for x in "cd"}], block_schema)
                 block += 1
-            pa.default_memory_pool().release_unused()
+            released()
 
-    blocks = stored(docs.mapInArrow(tokenised, "block long, begin long, ids array<long>, " + ", ".join(f"{x} binary" for x in BLOBS)), "blocks")
+    block_schema = pa.schema([("part", pa.string()), ("block", pa.int64()), ("begin", pa.int64()), ("ids", pa.list_(pa.int64())), *((x, pa.binary()) for x in BLOBS)])
+    both = stored(docs.mapInArrow(tokenised, "part string, block long, begin long, ids array<long>, " + ", ".join(f"{x} binary" for x in BLOBS)), "blocks", "part")
+    blocks = both.where("part = 'tokens'")
     n_blocks = max(blocks.count(), 1)
     shards = max(8, n_blocks)
     tasks, block_tasks = min(shards, most_tasks), min(n_blocks, most_tasks)
-    by_shard = lambda df, work: df.repartition(tasks, "shard").groupBy("shard").applyInPandas(work, PACKED)
+
+    def by_shard(df: DataFrame, work) -> DataFrame:
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            out = work(rows)
+            released()
+            return out
+
+        return df.repartition(tasks, "shard").groupBy("shard").applyInPandas(run, PACKED)
 
     def with_replies(columns: list[str], replies: DataFrame) -> DataFrame:
         """Blocks with all replies to them, at most one a shard and kind and in all bounded by the block."""
@@ -220,7 +238,8 @@ def score(
         real = (distinct != BEGIN) & (total > 0)
         return frame([*out, message("size", shard, len(distinct), n=real.sum(), m=total[distinct != BEGIN].sum())])
 
-    said = stored(by_shard(mapped(blocks.select("block", "c", "d"), ask_words), count_words), "words")
+    said = stored(by_shard(mapped(both.where("part = 'words'").select("block", "c", "d"), ask_words), count_words), "words")
+    deleted(both, "part=words")
     sizes = said.where("kind = 'size'")
     vocabulary, tokens = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
     words_of = said.where("kind = 'words'").select("kind", "shard", "block", *BLOBS)
@@ -250,15 +269,13 @@ def score(
         shard = int(rows["shard"].iloc[0])
         u, w = np.concatenate([summed_steps(x) for x in rows["a"]]), np.concatenate([ints(x) for x in rows["b"]])
         sizes_ = [len(x) for x in map(ints, rows["c"])]
-        order = np.lexsort((w, u))
-        new = np.ones(len(u), bool)
-        new[1:] = (u[order[1:]] != u[order[:-1]]) | (w[order[1:]] != w[order[:-1]])
-        at = np.empty(len(u), np.int64)
-        at[order] = np.cumsum(new) - 1
-        first = order[new]
-        c = np.bincount(at, np.concatenate([ints(x) for x in rows["c"]]), len(first)).astype(np.int64)
+        (contexts, at_u), (words, at_w) = distinct(u), distinct(w)
+        pairs, at = distinct(at_u * len(words) + at_w)
+        first = np.empty(len(pairs), np.int64)
+        first[at[::-1]] = np.arange(len(at))[::-1]
+        c = np.bincount(at, np.concatenate([ints(x) for x in rows["c"]]), len(pairs)).astype(np.int64)
         is_hot = np.concatenate([ints(x) for x in rows["d"]])[first]
-        u, w = u[first], w[first]
+        u, w = contexts[pairs // len(words)], words[pairs % len(words)]
         shared = np.flatnonzero(c >= 2)
         place = np.where(c == 0, -2, -1)
         place[shared] = np.arange(len(shared))
@@ -434,6 +451,6 @@ def score(
             for i in range(b.num_rows):
                 for out in scored(b.slice(i, 1).to_pylist()[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x) if k != "doc_id" else pa.array(x, pa.int64()) for k, x in out.items()], list(out))
-            pa.default_memory_pool().release_unused()
+            released()
 
     return with_replies(["ids", "a", "b", "e"], to_words.unionByName(to_pairs)).mapInArrow(run, SCHEMA)

@@ -16,7 +16,8 @@ from functools import lru_cache
 import numpy as np
 
 TABLED = 1024
-NODES = 64
+#: Nodes of the integral for weights, and for the search of their mode, which need not be exact.
+NODES, ROUGH = 64, 20
 
 
 @lru_cache(maxsize=4)
@@ -40,7 +41,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return series - sum(np.log(x + i) for i in range(8))
 
 
-def log_sibuya_sum(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+def log_sibuya_sum(c: np.ndarray, t: np.ndarray, discount: float, nodes: int = NODES) -> np.ndarray:
     """Logarithm of the probability that t independent Sibuya variables sum up to c, for each pair of c and t (1 to c)."""
     t, c = np.asarray(t, np.float64), np.broadcast_to(np.asarray(c, np.float64), np.shape(t))
     low, high = -np.log(c) - 1, np.full(len(t), -1e-16)
@@ -54,24 +55,24 @@ def log_sibuya_sum(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
     p = x**discount
     slope = (c + 1) / (1 - x) ** 2 + t * discount * x ** (discount - 2) * ((1 - discount) * (1 - p) - discount * p) / (1 - p) ** 2
     reach = np.minimum(10.0, 7 * c / (root * np.sqrt(np.maximum(np.abs(slope), 1e-300))))
-    s = (np.arange(NODES) + 0.5) / NODES * reach[:, None]
+    s = (np.arange(nodes) + 0.5) / nodes * reach[:, None]
     w = root[:, None] + 1j * s
     y = w * w / c[:, None]
     f = t[:, None] * np.log1p(-np.exp(discount * np.log(y))) - (c + 1)[:, None] * np.log1p(-y)
     top = f.real.max(axis=1, keepdims=True)
-    total = (np.exp(f - top) * w).real.sum(axis=1) * reach / NODES * 2 / np.pi / c
+    total = (np.exp(f - top) * w).real.sum(axis=1) * reach / nodes * 2 / np.pi / c
     return np.where(t == c, t * np.log(discount), np.log(np.maximum(total, 1e-300)) + top[:, 0])
 
 
 def draw_of_many(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, chance: np.ndarray, far: float = 40.0) -> np.ndarray:
     """Tables of dishes of many customers: the mode is found on ever finer grids, then all t within exp(-far) of it are weighed."""
 
-    def weigh(row: np.ndarray, t: np.ndarray) -> np.ndarray:
+    def weigh(row: np.ndarray, t: np.ndarray, nodes: int = ROUGH) -> np.ndarray:
         out = []
         for i in range(0, len(t), 8192):
             r, x = row[i : i + 8192], t[i : i + 8192].astype(np.float64)
             a = strength / discount + others[r]
-            out.append(log_sibuya_sum(c[r], x, discount) - log_gamma(x + 1) + log_gamma(a + x) - log_gamma(a) + x * np.log(base[r]))
+            out.append(log_sibuya_sum(c[r], x, discount, nodes) - log_gamma(x + 1) + log_gamma(a + x) - log_gamma(a) + x * np.log(base[r]))
         return np.concatenate(out)
 
     n, every = len(c), np.arange(len(c))
@@ -104,7 +105,8 @@ def draw_of_many(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount:
         starts = np.cumsum(many[rows]) - many[rows]
         row = np.repeat(rows, many[rows])
         t = np.arange(len(row)) - np.repeat(starts, many[rows]) + ends[0][row]
-        w = np.exp(weigh(row, t) - top[row])
+        w = weigh(row, t, NODES)
+        w = np.exp(w - np.repeat(np.maximum.reduceat(w, starts), many[rows]))
         for i, a in zip(rows.tolist(), starts.tolist(), strict=True):
             sums = np.cumsum(w[a : a + many[i]])
             out[i] = ends[0][i] + min(int(np.searchsorted(sums, chance[i] * sums[-1])), int(many[i]) - 1)
@@ -119,22 +121,26 @@ def draw_tables(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: f
     t = np.ones(len(c), np.int64)
     if isinstance(chance, np.random.Generator):
         chance = chance.random(len(c))
-    order = np.argsort(c, kind="stable")
-    sizes, starts = np.unique(c[order], return_index=True)
     table = stirling(discount)
-    for size, begin, stop in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(c)], strict=True):
-        if size < 2:
+    # dishes of about equal size together: 2, 3, 4, up to 6, 8, 12 and so on
+    edges = np.unique(np.concatenate([[1, 2, 3], 2 ** np.arange(2, 11), 3 * 2 ** np.arange(1, 9), [TABLED]]))
+    group = np.searchsorted(edges, c)
+    order = np.argsort(group, kind="stable")
+    groups, starts = np.unique(group[order], return_index=True)
+    for g, begin, stop in zip(groups.tolist(), starts.tolist(), [*starts[1:].tolist(), len(c)][: len(groups)], strict=True):
+        if g == 0:
             continue
-        if size > TABLED:
+        if g == len(edges):
             rows = order[begin:]
             t[rows] = draw_of_many(c[rows], others[rows], base[rows], discount, strength, chance[rows])
             break
-        step = max(1, 500_000 // size)
+        size = int(edges[g])
+        step = max(1, 400_000 // size)
         for i in range(begin, stop, step):
             rows = order[i : min(i + step, stop)]
             weight = np.log((strength + discount * (others[rows, None] + np.arange(size))) * base[rows, None])
             np.cumsum(weight, axis=1, out=weight)
-            weight += table[size, 1 : size + 1]
+            weight += table[c[rows], 1 : size + 1]
             weight -= weight.max(axis=1, keepdims=True)
             np.exp(weight, out=weight)
             np.cumsum(weight, axis=1, out=weight)
