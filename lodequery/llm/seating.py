@@ -167,7 +167,7 @@ def sweep(at: np.ndarray, c: np.ndarray, t: np.ndarray, total: np.ndarray, base:
     """One Gibbs sweep over dishes: t anew; at: index into total, the tables of each restaurant, kept up to date between the parts."""
     t = t.copy()
     part = (chance * 2**20).astype(np.int64) % parts
-    for k in range(parts):
+    for k in np.unique(part):
         rows = np.flatnonzero(part == k)
         new = draw_tables(c[rows], total[at[rows]] - t[rows], base[rows], discount, strength, chance[rows])
         total += np.bincount(at[rows], new - t[rows], len(total)).astype(total.dtype)
