@@ -6,11 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodequery.plans import reports, retrieval
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-ORACLES = {k: sql for m in (retrieval, reports) for k, sql in m.ORACLES.items()}
+ORACLES = {k: sql for m in entry.PLANS for k, sql in m.ORACLES.items()}
 
 
 @pytest.fixture(scope="module")
