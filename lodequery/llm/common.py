@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,7 +56,6 @@ def deleted(df: DataFrame | None, part: str = "") -> None:
 
 def released() -> None:
     """Hands memory that was freed back to the system, so that workers that live on don't add up."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
         trim(0)

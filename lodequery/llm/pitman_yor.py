@@ -88,13 +88,18 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, np.bincount(at, values, len(keys)).astype(np.int64)
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and each key's place among them, by hashing first."""
-    at, keys = pd.factorize(keys)
-    order = np.argsort(keys, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return keys[order], rank[at]
+def distinct_pairs(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, as two arrays, and the place of each pair given among them."""
+    width = int(w.max()) + 1 if len(w) else 1
+    if len(u) and int(u.max()) < 2**63 // width:
+        pairs, at = np.unique(u * width + w, return_inverse=True)
+        return pairs // width, pairs % width, at
+    order = np.lexsort((w, u))  # ids too large for one number: slower, the same result
+    new = np.ones(len(u), bool)
+    new[1:] = (u[order[1:]] != u[order[:-1]]) | (w[order[1:]] != w[order[:-1]])
+    at = np.empty(len(u), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return u[order[new]], w[order[new]], at
 
 
 def split(home: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, slice]]]:
@@ -134,14 +139,14 @@ def block_tokens(b: pa.RecordBatch) -> dict:
     return {"a": planes(codes), "b": planes(n + 1), "c": steps(words), "d": planes(counts), "e": planes(held.astype(np.int8)), "begin": int(back[-1])}
 
 
-def token_pairs(row: dict, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def token_pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Context and word codes of a block's distinct pairs, training counts of those, and each token's pair."""
     codes, n = ints(row["a"]), ints(row["b"])
     before = np.concatenate([[0], codes[:-1]]) if len(codes) else codes
     before[np.concatenate([[0], np.cumsum(n)[:-1]])] = row["begin"]
-    pairs, at = distinct(before * n_words + codes)
-    learned = np.bincount(at, np.repeat(ints(row["e"]) == 0, n), len(pairs)).astype(np.int64)
-    return pairs // n_words, pairs % n_words, learned, at
+    u, w, at = distinct_pairs(before, codes)
+    learned = np.bincount(at, np.repeat(ints(row["e"]) == 0, n), len(u)).astype(np.int64)
+    return u, w, learned, at
 
 
 def of_words(replies: list, names: str) -> list[np.ndarray]:
@@ -202,13 +207,7 @@ def score(
     shards = max(8, n_blocks)
     tasks, block_tasks = min(shards, most_tasks), min(n_blocks, most_tasks)
 
-    def by_shard(df: DataFrame, work) -> DataFrame:
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            out = work(rows)
-            released()
-            return out
-
-        return df.repartition(tasks, "shard").groupBy("shard").applyInPandas(run, PACKED)
+    by_shard = lambda df, work: df.repartition(tasks, "shard").groupBy("shard").applyInPandas(work, PACKED)
 
     def with_replies(columns: list[str], replies: DataFrame) -> DataFrame:
         """Blocks with all replies to them, at most one a shard and kind and in all bounded by the block."""
@@ -249,7 +248,7 @@ def score(
     # pairs: merged by shard; what a block asked for is kept as places in the shard's arrays
     def ask_pairs(row: dict) -> Iterator[dict]:
         ids, counts = of_words(row["replies"], "ab")
-        u, w, learned, _ = token_pairs(row, len(ids))
+        u, w, learned, _ = token_pairs(row)
         is_hot = counts[u] > hot
         u, w = ids[u], ids[w]
         order, parts = split(pair_home(u, w, is_hot, shards))
@@ -269,13 +268,11 @@ def score(
         shard = int(rows["shard"].iloc[0])
         u, w = np.concatenate([summed_steps(x) for x in rows["a"]]), np.concatenate([ints(x) for x in rows["b"]])
         sizes_ = [len(x) for x in map(ints, rows["c"])]
-        (contexts, at_u), (words, at_w) = distinct(u), distinct(w)
-        pairs, at = distinct(at_u * len(words) + at_w)
-        first = np.empty(len(pairs), np.int64)
-        first[at[::-1]] = np.arange(len(at))[::-1]
-        c = np.bincount(at, np.concatenate([ints(x) for x in rows["c"]]), len(pairs)).astype(np.int64)
-        is_hot = np.concatenate([ints(x) for x in rows["d"]])[first]
-        u, w = contexts[pairs // len(words)], words[pairs % len(words)]
+        all_hot = np.concatenate([ints(x) for x in rows["d"]])
+        u, w, at = distinct_pairs(u, w)
+        c = np.bincount(at, np.concatenate([ints(x) for x in rows["c"]]), len(u)).astype(np.int64)
+        is_hot = np.zeros(len(u), np.int64)
+        is_hot[at] = all_hot
         shared = np.flatnonzero(c >= 2)
         place = np.where(c == 0, -2, -1)
         place[shared] = np.arange(len(shared))
@@ -430,7 +427,7 @@ def score(
     def scored(row: dict) -> Iterator[dict]:
         ids, counts, kept, of_context = of_words(row["replies"], "abcd")
         kept, of_context = kept.reshape(-1, samples, 2), of_context.reshape(-1, samples)
-        u, w, _, at = token_pairs(row, len(ids))
+        u, w, _, at = token_pairs(row)
         order, parts = split(pair_home(ids[u], ids[w], counts[u] > hot, shards))
         pairs = {r["shard"]: r for r in row["replies"] if r["kind"] == "pairs"}
         p = np.zeros(len(u))
