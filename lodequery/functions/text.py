@@ -100,6 +100,12 @@ def bucket(ts: Column, granularity: str = "day") -> Column:
     return F.date_format(ts, "yyyy-MM-dd" if granularity == "day" else "yyyy-MM-dd'T'HH")
 
 
+def time_of(value: Column) -> Column:
+    """Seconds since 1970 of a number, a date or a date and time (UTC) as text; null for others."""
+    iso = F.when(F.rlike(value, F.lit(r"^\s*\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2})?\s*$")), F.unix_micros(F.try_to_timestamp(F.trim(value))) / 1e6)
+    return F.coalesce(value.try_cast("double"), iso)
+
+
 def age(seconds: Column) -> Column:
     """A rounded-down age: 5s, 3m, 2h, 4d."""
     whole = F.floor(F.greatest(seconds, F.lit(0.0))).cast("long")

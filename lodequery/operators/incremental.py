@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,42 @@ def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct hashes of texts that the cache (model, content_hash) lacks, with one text each."""
     rows = texts.select("model", F.sha2("text", 256).alias("content_hash"), "text").groupBy("model", "content_hash").agg(F.min("text").alias("text"))
     return rows.join(cache.select("model", "content_hash"), ["model", "content_hash"], "left_anti")
+
+
+def units(docs: DataFrame, chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Chunks (doc_id, ordinal, ...) of the wanted documents with their documents' columns, in order."""
+    own = wanted.select("doc_id").distinct()
+    return docs.join(own, "doc_id", "left_semi").join(chunks, "doc_id").orderBy("doc_id", "ordinal")
+
+
+def cached(cache: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Vectors of the cache for the wanted (model, content_hash)."""
+    return cache.join(wanted.select("model", "content_hash").distinct(), ["model", "content_hash"])
+
+
+def in_order(entries: DataFrame, ids: DataFrame, by: str) -> DataFrame:
+    """Entries of the given ids (place, id) in the order asked for; unknown ids are skipped."""
+    return ids.join(entries, by).orderBy("place")
+
+
+def collections(vectors: DataFrame) -> DataFrame:
+    """Each collection that has rows, and how many; a collection without rows doesn't exist."""
+    return vectors.groupBy("collection").agg(F.count("*").alias("n"))
+
+
+def delta(rows: DataFrame, fresh: DataFrame, updated: DataFrame, removed: DataFrame, by: str) -> DataFrame:
+    """rows without those of updated and removed keys, and with the fresh ones."""
+    return rows.join(updated.select(by).union(removed.select(by)).distinct(), by, "left_anti").unionByName(fresh)
+
+
+def build_mode(forced: Column, known: Column, runs: Column, every: Column) -> Column:
+    """full when asked for, without a usable manifest, or at the last of every `every` runs (0: never); else incremental."""
+    return F.when(forced | ~known | ((every > 0) & (runs >= every)), "full").otherwise("incremental")
+
+
+def brought_up(state: DataFrame, current: DataFrame) -> DataFrame:
+    """The manifest after an incremental run: changed and new paths as they are now, others as they were, vanished ones gone."""
+    classes = classified(state, current)
+    changed = current.join(classes.where("class in ('new', 'modified')"), "path", "left_semi")
+    gone = classes.where("class in ('modified', 'deleted')").select("path")
+    return state.join(gone, "path", "left_anti").unionByName(changed)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodequery.functions.text import scrubbed
+from lodequery.functions.text import let, scrubbed
 
 #: Fixed values of the full-text form of BM25; a negative idf becomes a tiny positive one.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -36,12 +36,104 @@ def listed(sessions: DataFrame, turns: DataFrame, limit: int) -> DataFrame:
     return last.join(n, "session_key", "left").withColumn("turn_count", F.coalesce("turn_count", F.lit(0)))
 
 
-def full_text(turns: DataFrame, queries: DataFrame, limit: int, digits: int = 6) -> DataFrame:
+def match_expression(text: Column) -> Column:
+    """A query's words as quoted phrases, inner quotes doubled; nothing in them is an operator."""
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
+    return F.array_join(F.transform(parts, lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))), " ")
+
+
+def archive_report(found: DataFrame, turns: DataFrame, sessions: DataFrame) -> DataFrame:
+    """One row: sessions archived (not known yet and with turns) and skipped, of the sessions found (session_key)."""
+    known, spoken = (df.select("session_key").distinct().withColumn(n, F.lit(True)) for df, n in ((sessions, "k"), (turns, "t")))
+    rows = found.select("session_key").distinct().join(known, "session_key", "left").join(spoken, "session_key", "left")
+    new = F.col("k").isNull() & F.col("t").isNotNull()
+    return rows.agg(F.count_if(new).alias("archived"), F.count_if(~new).alias("skipped"))
+
+
+def session(sessions: DataFrame, turns: DataFrame, keys: DataFrame) -> DataFrame:
+    """Sessions of the given keys with their turns in order, as one row each."""
+    own = sessions.join(keys.select("session_key").distinct(), "session_key", "left_semi")
+    spoken = turns.join(keys.select("session_key").distinct(), "session_key", "left_semi").groupBy("session_key").agg(F.array_sort(F.collect_list(F.struct("turn_index", "role", "text"))).alias("turns"))
+    return own.join(spoken, "session_key", "left")
+
+
+def checked_window(since: float | None, until: float | None) -> None:
+    if since is not None and until is not None and since > until:
+        raise ValueError(f"the window begins after its end: {since} > {until}")
+
+
+def in_window(c: Column, since: float | None, until: float | None) -> Column:
+    """Whether a time lies in a window with both ends included; a missing end is open."""
+    checked_window(since, until)
+    out = F.lit(True)
+    if since is not None:
+        out &= c >= since
+    return out & (c <= until) if until is not None else out
+
+
+def snippet(text: Column, phrases: Column, most: int = 12) -> Column:
+    """An excerpt of at most `most` words around the first word that begins a phrase's first word, hits in [ ], cut ends as …."""
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
+    first = F.transform(phrases, lambda p: F.get(words(p), 0))
+    hit = lambda w: F.exists(words(w), lambda x: F.array_contains(first, x))
+
+    def cut(own: Column) -> Column:
+        at = F.coalesce(F.get(F.filter(F.transform(own, lambda w, i: F.when(hit(w), i)), lambda x: x.isNotNull()), F.lit(0)), F.lit(0))
+        begin = F.greatest(F.least(at - most // 2, F.size(own) - most), F.lit(0))
+        marked = F.transform(F.slice(own, begin + 1, F.lit(most)), lambda w: F.when(hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+        return F.concat(F.when(begin > 0, "…").otherwise(""), F.array_join(marked, " "), F.when(begin + most < F.size(own), "…").otherwise(""))
+
+    return let(parts, cut)
+
+
+def episodes(sessions: DataFrame, turns: DataFrame, queries: DataFrame, limit: int, since: float | None = None, until: float | None = None, order: str = "relevance") -> DataFrame:
+    """Turns that hold a query's phrases, joined with their sessions, inside the window, best or latest first.
+
+    query_id, rank, session_key, captured_at, role, turn_index, score, snippet. Relevance orders by score, then capture
+    time; recency by capture time alone; what is left equal falls to session and turn.
+    """
+    checked_window(since, until)
+    kept = sessions.where(in_window(F.col("captured_at"), since, until)).select("session_key", "captured_at")
+    found = full_text(turns, queries, None).join(kept, "session_key")
+    by = [F.desc("captured_at")] if order == "recency" else [F.desc("score"), F.desc("captured_at")]
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*by, "session_key", "turn_index"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= limit).join(turns.select("session_key", "turn_index", "role", "text"), ["session_key", "turn_index"])
+    found = found.join(queries.select("query_id", F.filter(F.split("query", r"\s+"), lambda x: x != "").alias("_p")), "query_id")
+    return found.select("query_id", "rank", "session_key", "captured_at", "role", "turn_index", "score", snippet(F.col("text"), F.col("_p")).alias("snippet"))
+
+
+def unindexed(turns: DataFrame, index: DataFrame) -> DataFrame:
+    """Turns whose id (session_key#turn_index) the index lacks."""
+    rows = turns.withColumn("id", F.concat_ws("#", "session_key", "turn_index"))
+    return rows.join(index.select("id"), "id", "left_anti")
+
+
+def recalled(hits: DataFrame, turns: DataFrame, since: float | None = None, until: float | None = None) -> DataFrame:
+    """Ranked hits (query_id, id, score, rank) with their turns, of which the window's stay: the cut came before, so fewer may be left."""
+    own = turns.withColumn("id", F.concat_ws("#", "session_key", "turn_index"))
+    rows = hits.join(own, "id").where(in_window(F.col("captured_at"), since, until))
+    return rows.select("query_id", "rank", "session_key", "turn_index", "captured_at", "role", F.col("text").alias("snippet"), "score")
+
+
+def search_event(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """For telemetry: each query's hash (16 hex digits, never its text) and its number of results."""
+    n = results.groupBy("query_id").agg(F.count("*").alias("results"))
+    return queries.join(n, "query_id", "left").select("query_id", F.substring(F.sha2("query", 256), 1, 16).alias("query_hash"), F.coalesce("results", F.lit(0)).alias("results"))
+
+
+def well_formed(rows: DataFrame) -> DataFrame:
+    """Raw result rows of texts with their types; rows that can't be read are left out."""
+    out = rows.select(F.col("session_key"), F.expr("try_cast(captured_at AS double)").alias("captured_at"), "role", F.expr("try_cast(turn_index AS int)").alias("turn_index"), "snippet", (F.lit(0.0) - F.expr("try_cast(bm25 AS double)")).alias("score"))
+    return out.where("session_key is not null and captured_at is not null and role is not null and turn_index is not null and snippet is not null and score is not null")
+
+
+def full_text(turns: DataFrame, queries: DataFrame, limit: int | None, digits: int = 6) -> DataFrame:
     """Turns that hold every phrase of a query (query_id, query): query_id, session_key, turn_index, score, rank.
 
     White space parts a query into phrases; a phrase's words must stand next to each other. Phrases are
     found by joining their words with the positions of the turns' words, so only turns with the rarest
-    needs are read further; scores sum BM25 over phrases, ties fall to the later turn's key.
+    needs are read further; scores sum BM25 over phrases, ties fall to the later turn's key. Without a limit
+    all hits come back, unranked.
     """
     phrase = queries.select("query_id", F.posexplode(F.split(F.trim("query"), r"\s+")).alias("phrase", "p"))
     phrase = phrase.select("query_id", "phrase", words(F.col("p")).alias("w")).where(F.size("w") > 0)
@@ -57,5 +149,8 @@ def full_text(turns: DataFrame, queries: DataFrame, limit: int, digits: int = 6)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = tf.join(df, ["query_id", "phrase"]).join(F.broadcast(sizes)).groupBy("query_id", "session_key", "turn_index").agg(F.round(F.sum(part), digits).alias("score"), F.count("*").alias("phrases"))
     need = phrase.groupBy("query_id").agg(F.count("*").alias("phrases"))
+    hits = scored.join(need, ["query_id", "phrases"]).drop("phrases")
+    if limit is None:
+        return hits
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("session_key"), F.desc("turn_index"))
-    return scored.join(need, ["query_id", "phrases"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("phrases")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

@@ -79,3 +79,9 @@ def snapshot(events: DataFrame) -> DataFrame:
         F.count_if(is_("retrieve")).alias("retrieves"),
         F.count_if(is_("retrieve") & (F.col("hits") > 0)).alias("with_hits"),
     ).withColumn("hit_rate", F.coalesce(F.try_divide("with_hits", "retrieves"), F.lit(0.0)))
+
+
+def time_window(preset: str, now: float) -> tuple[float | None, float | None]:
+    """Begin and end of a named window (24h, 7d, anything else: all) that ends now; None is open."""
+    days = {"24h": 1, "7d": 7}.get(preset)
+    return (None if days is None else now - days * 86_400), None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodequery.functions import text as T
 from lodequery.operators import chunking, graph, incremental, memory, observe
+from lodequery.plans.index import SECTIONS
 from lodequery.sources.tables import GRAPH_SQL, TELEMETRY_SQL, table, telemetry
 from lodequery.sources.tables import graph as graph_tables
 
@@ -257,7 +258,7 @@ def scl01_scrub(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", T.scrubbed(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"WITH {SECTIONS} SELECT id, CAST(ordinal AS INTEGER) AS ordinal, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, CAST(level AS INTEGER) AS level, heading, CASE WHEN heading_path = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(heading_path, ' > ') END AS heading_path, text FROM fin")
 def chk01_markdown_sections(s: SparkSession, d: str) -> DataFrame:
     marked = table(s, d, "documents").withColumn("text", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.repeat(F.lit("#"), (i / 5 % 3 + 1).cast("int")), F.lit(" "), x)).otherwise(x)), "\n"))
     return chunking.markdown_sections(marked)

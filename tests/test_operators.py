@@ -123,7 +123,9 @@ def test_markdown_sections(spark):
 def test_size_windows():
     text = "".join(f"{'x' * 9}\n" for _ in range(10))
     got = list(chunking.windows_of(text, 40, 10))
-    assert got[0][:2] == (1, 4) and got[1][:2] == (4, 7) and got[-1][1] == 10
+    assert got[0][:2] == (1, 4) and got[1][:2] == (4, 7) and got[-1][1] == 11  # the empty line after the last line feed counts
+    long = [w[:2] for w in chunking.windows_of("\n".join(["x" * 149] * 30), 1500, 200)]
+    assert long[:2] == [(1, 10), (9, 18)]  # steps back until 200 characters are covered
     assert list(chunking.windows_of("y" * 100, 40, 10)) == [(1, 1, "y" * 100)]
     assert list(chunking.windows_of("  \n", 40, 10)) == []
 
