@@ -207,7 +207,14 @@ def score(
     shards = max(8, n_blocks)
     tasks, block_tasks = min(shards, most_tasks), min(n_blocks, most_tasks)
 
-    by_shard = lambda df, work: df.repartition(tasks, "shard").groupBy("shard").applyInPandas(work, PACKED)
+
+    def by_shard(df: DataFrame, work) -> DataFrame:
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            out = work(rows)
+            released()
+            return out
+
+        return df.repartition(tasks, "shard").groupBy("shard").applyInPandas(run, PACKED)
 
     def with_replies(columns: list[str], replies: DataFrame) -> DataFrame:
         """Blocks with all replies to them, at most one a shard and kind and in all bounded by the block."""
