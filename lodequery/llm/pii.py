@@ -8,13 +8,13 @@ vote patterns estimates how often each labeler votes which way for real and for
 Its posteriors train the final classifier, a logistic regression on categorical features of the span,
 which decides the candidates that the strict patterns leave open. Valid strict matches always stay.
 
-Counts of vote patterns (at most 4 * 3**5) and of feature combinations (at most 4 * 20 * 5 * 5 * 3 * 4)
+Counts of vote patterns (at most 4 * 3**5) and of feature combinations (at most 4 * 20 * 5 * 5 * 3 * 4 * 3 * 3)
 are summed by Spark over all documents; only those sums reach the driver. Positions are code points.
 Patterns are written with possessive repeats, so that very long texts neither overflow the stack nor
 take quadratic time.
 
 Cases: null and empty texts have no spans; repeated rows are scanned each; null doc_id is kept; spans
-that overlap a kept one or an added one before them are not added; extra columns are ignored; an empty table gives an empty result.
+that overlap a kept one or an open one before them are not added; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,18 +51,63 @@ FOR = {
 }
 AGAINST = r"(?i)\b(version|v|release|isbn|order|invoice|section|page|figure|table|id|sku|http|https)\b"
 VOTES = ("regex", "check", "gazetteer", "context", "form")
-FEATURES = ("digits", "before", "after", "gazetteer", "marks")
+FEATURES = ("digits", "before", "after", "gazetteer", "marks", "check", "form")
 PART_TO_255 = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})$"
 
 
+def prefixes(values: Column, merge, step: int = 64) -> Column:
+    """merge of all values (an array of ints, bound to a lambda) before each, from 0; n * step steps for n values, without copies that grow with n."""
+    over = lambda x: F.aggregate(x, F.lit(0), merge)
+    n = F.size(values)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda b: over(F.slice(values, b * step + 1, F.lit(step))))
+    starts = F.aggregate(parts, F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(merge(F.element_at(out, -1), x))))
+    inside = lambda i: over(F.slice(values, i - i % step + 1, i % step))
+    some = let(starts, lambda own: F.transform(values, lambda _, i: merge(F.get(own, F.floor(i / step).cast("int")), inside(i))))
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(some)
+
+
+def add(a: Column, x: Column) -> Column:
+    return a + x
+
+
+def most(a: Column, x: Column) -> Column:
+    return F.greatest(a, x)
+
+
+def overlapping(spans: Column, others: Column) -> Column:
+    """Whether each span meets one of the others, by one sort of all: a span meets one that began before it
+    if the furthest end so far lies beyond its start, and one that begins after it if the next begins before its end."""
+    far = 2**30
+
+    def flags(rows: Column) -> Column:
+        ends = F.transform(rows, lambda x: F.when(x["own"], x["e"]).otherwise(0))
+        nearest = F.transform(F.reverse(rows), lambda x: F.when(x["own"], far - x["s"]).otherwise(0))
+        met = lambda before, after: F.filter(F.zip_with(F.transform(rows, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), before, lambda r, b: F.struct(r["x"]["at"].alias("at"), r["x"]["own"].alias("own"), ((b > r["x"]["s"]) | (far - F.element_at(after, -1 - r["i"]) < r["x"]["e"])).alias("met"))), lambda r: ~r["own"])
+        return let(ends, lambda v: let(prefixes(v, most), lambda before: let(nearest, lambda w: let(prefixes(w, most), lambda after: met(before, after)))))
+
+    row = lambda x, own, at: F.struct(x["s"].alias("s"), F.lit(not own).alias("last"), x["e"].alias("e"), F.lit(own).alias("own"), at.alias("at"))
+    rows = F.concat(F.transform(spans, lambda x, i: row(x, False, i)), F.transform(others, lambda x: row(x, True, F.lit(-1))))
+    found = let(F.array_sort(rows), lambda r: F.transform(F.array_sort(flags(r)), lambda x: x["met"]))
+    none = F.transform(spans, lambda x: F.lit(False))
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), none).otherwise(found)
+
+
+def without(spans: Column, others: Column) -> Column:
+    """The spans that meet none of the others."""
+    return F.when(F.size(spans) == 0, spans).otherwise(F.transform(F.filter(F.zip_with(spans, overlapping(spans, others), lambda x, m: F.struct(x.alias("x"), m.alias("m"))), lambda r: ~r["m"]), lambda r: r["x"]))
+
+
 def located(text: Column, pattern: str, needs: str) -> Column:
     """Matches of pattern as structs (s, e, t): start and end in code points, and the matched text."""
 
     def spans(found: Column) -> Column:
         gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda x: F.length(x))
-        steps = F.zip_with(gaps, found, lambda gap, t: F.struct(gap.alias("gap"), F.length(t).alias("n")))
-        ends = F.aggregate(steps, F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + x["gap"] + x["n"])))
-        return F.zip_with(F.slice(ends, 2, F.size(found)), found, lambda e, t: F.struct((e - F.length(t)).alias("s"), e.alias("e"), t.alias("t")))
+        return let(F.zip_with(gaps, found, lambda gap, t: F.struct(gap.alias("gap"), F.length(t).alias("n"))), lambda steps: placed(steps, found))
+
+    def placed(steps: Column, found: Column) -> Column:
+        lengths = F.transform(steps, lambda x: x["gap"] + x["n"])
+        starts = let(lengths, lambda v: prefixes(v, add))
+        return F.zip_with(starts, F.zip_with(steps, found, lambda x, t: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), t.alias("t"))), lambda at, x: F.struct((at + x["gap"]).alias("s"), (at + x["gap"] + x["n"]).alias("e"), x["t"].alias("t")))
 
     none = F.array().cast("array<struct<s:int,e:int,t:string>>")
     matches = F.when(F.rlike(text, F.lit(needs)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -112,8 +157,7 @@ def candidates(text: Column) -> Column:
     wide = F.transform(located(text, WIDE["email"], WIDE_NEEDS["email"]), lambda x: made(F.lit(0), x, False, F.lit(False)))
     digits = F.transform(located(text, WIDE["digits"], WIDE_NEEDS["digits"]), lambda x: made(F.when(F.length(digits_of(x["t"])) >= 13, 2).otherwise(3), x, False, F.lit(False)))
     wide = F.concat(wide, F.filter(digits, lambda x: F.length(digits_of(x["t"])).between(9, 19)))
-    apart = lambda x, own: ~F.exists(own, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return let(F.concat(*found), lambda own: F.concat(own, F.filter(wide, lambda x: apart(x, own))))
+    return let(F.concat(*found), lambda own: let(wide, lambda more: F.concat(own, without(more, own))))
 
 
 def described(text: Column, x: Column) -> Column:
@@ -146,7 +190,7 @@ def described(text: Column, x: Column) -> Column:
             F.when(x["ok"], 1).when(x["strict"], -1).otherwise(0).alias("regex"), check.alias("check"), gazetteer.alias("gazetteer"),
             sign(F.rlike(before, F.lit(r"^$|[\s(\[{\"':;,<]")) & F.rlike(after, F.lit(r"^$|[\s.,;:!?)\]}\"'>]"))).alias("context"), form.alias("form"),
         ).alias("v"),
-        F.struct(F.least(n, F.lit(20)).cast("string").alias("digits"), side(before).alias("before"), side(after).alias("after"), gazetteer.cast("string").alias("gazetteer"), marks.alias("marks")).alias("f"),
+        F.struct(F.least(n, F.lit(20)).cast("string").alias("digits"), side(before).alias("before"), side(after).alias("after"), gazetteer.cast("string").alias("gazetteer"), marks.alias("marks"), check.cast("string").alias("check"), form.cast("string").alias("form")).alias("f"),
     )
 
 
@@ -221,10 +265,11 @@ def decided(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     real = lambda x: reduce(lambda a, n: a + weight(of(x, n)), FEATURES, weight(x["k"].cast("string"))) > 0
     span = lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))
     base = rows.withColumn("found", F.array_sort(F.transform(F.filter("_c", lambda x: x["ok"]), span)))
-    open_ = F.filter("_c", lambda x: ~x["ok"] & ~F.exists("found", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & real(x))
-    first = lambda x, i, own: ~F.exists(F.slice(own, 1, i), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    more = let(F.array_distinct(F.array_sort(F.transform(open_, span))), lambda own: F.filter(own, lambda x, i: first(x, i, own)))
-    return base.withColumn("more", more).drop("_c")
+    open_ = F.array_distinct(F.array_sort(F.transform(F.filter("_c", lambda x: ~x["ok"] & real(x)), span)))
+    furthest = lambda own: let(F.transform(own, lambda x: x["e"]), lambda v: prefixes(v, most))
+    first = lambda own: F.transform(F.filter(F.zip_with(own, furthest(own), lambda x, e: F.struct(x.alias("x"), e.alias("e"))), lambda r: r["e"] <= r["x"]["s"]), lambda r: r["x"])
+    more = let(open_, lambda own: let(without(own, F.col("found")), first))
+    return base.withColumn("more", F.when(F.size("_c") == 0, F.slice("found", 1, 0)).otherwise(more)).drop("_c")
 
 
 def joined(spans: Column, prefix: str = "") -> Column:
@@ -249,11 +294,9 @@ def find(docs: DataFrame) -> DataFrame:
 def masked(text: Column, spans: Column) -> Column:
     """text with each span (sorted; overlapping ones are masked once) replaced by its kind in brackets."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, x: F.when(x["s"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], x["e"]).alias("at"))).otherwise(
-        F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.get(names, x["k"] % 4)).alias("out"), x["e"].alias("at"))
-    )
-    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    piece = lambda x, at: F.when(x["s"] < at, "").otherwise(F.concat(F.substring(text, at + 1, x["s"] - at), F.get(names, x["k"] % 4)))
+    ends = lambda own: let(F.transform(own, lambda x: x["e"]), lambda v: prefixes(v, most))
+    return let(spans, lambda own: F.concat(F.array_join(F.zip_with(own, ends(own), piece), ""), F.substring(text, F.array_max(F.transform(own, lambda x: x["e"])) + 1, F.length(text))))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
