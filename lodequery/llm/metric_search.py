@@ -13,9 +13,9 @@ covering radius r around c follows q.x <= q.c + |q| r; bounds get a little slack
 are exact integers.
 
 Cases: rows without id, and vectors that are null, empty or hold null or non-finite components, take no
-part; rows that repeat a vec_id count once (the least vector); vectors are compared with those of their
-own length; equal scores rank by vec_id; extra columns are ignored; an empty table gives an empty
-result. Scores must fit in a long.
+part; rows that repeat a vec_id are candidates each, and as queries they share one ranking under their id;
+a query's candidates are the rows of other ids; vectors are compared with those of their own length; equal
+scores rank by vec_id; extra columns are ignored; an empty table gives an empty result. Scores must fit in a long.
 """
 
 from __future__ import annotations
@@ -124,21 +124,21 @@ class MTree:
 
 
 def vectors(table: DataFrame) -> DataFrame:
-    """vec_id and v, the components as floor(64 * x), of the rows that take part; one a vec_id."""
+    """vec_id and v, the components as floor(64 * x), of the rows that take part."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & F.forall("e", fine))
-    return rows.select("vec_id", F.transform("e", lambda x: F.floor(x * 64).cast("long")).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select("vec_id", F.transform("e", lambda x: F.floor(x * 64).cast("long")).alias("v"))
 
 
 def matrix(column) -> np.ndarray:
     return np.array(list(column), np.int64)
 
 
-def top_k(table: DataFrame, is_query: Column, k: int = 20, page: int = 8192, query_block: int = 2048, most_pivots: int = 1024) -> DataFrame:
+def top_k(table: DataFrame, is_query: Column, k: int = 20, page: int = 8192, query_block: int = 2048, most_pivots: int = 1024, most_pages: int = 100_000) -> DataFrame:
     """query_id, rank from 1, vec_id and score of the k best rows for each row that is_query (a condition on vec_id) holds for.
 
-    Pivots are the first rows by a hash of the id, one for each page of rows, `most_pivots` at most.
+    Pivots are the first rows by a hash of the id, one for each page of rows, `most_pivots` at most. Up to `most_pages` page sizes are broadcast, more are joined by a shuffle.
     """
     rows = cut(vectors(table))
     spark = table.sparkSession
@@ -170,7 +170,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, page: int = 8192, que
     cells = dealt.groupBy("d", "pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.max("norm2").alias("norm2")).collect()  # a row for each pivot, or length without one
     salts = {(c["d"], c["pivot"]): -(-c["n"] // page) for c in cells}
     sizes = spark.createDataFrame([(*key, s) for key, s in salts.items()] or [(0, 0, 1)], "d int, pivot int, salts int")
-    paged = dealt.join(F.broadcast(sizes), ["d", "pivot"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int")).drop("salts", "far", "norm2")
+    paged = dealt.join(F.broadcast(sizes), ["d", "pivot"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.col("salts")).cast("int")).drop("salts", "far", "norm2")
     paged = cut(paged)
     bounds = spark.sparkContext.broadcast([(c["d"], c["pivot"], c["radius"], c["norm2"], salts[c["d"], c["pivot"]]) for c in cells])
 
@@ -186,9 +186,11 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, page: int = 8192, que
     key = ["d", "pivot", "salt", "block"]
 
     def run(queries: DataFrame) -> DataFrame:
-        """Searches each query (vec_id, v, least, d, pivot, salt) in that page."""
-        blocked = queries.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("d", "pivot", "salt").orderBy("vec_id")) - 1) / query_block).cast("int"))
-        blocked = cut(blocked)
+        """Searches each query (vec_id, v, least, d, pivot, salt) in that page; a page's queries are dealt into blocks by hash."""
+        queries = cut(queries)
+        many = queries.groupBy("d", "pivot", "salt").agg(F.ceil(F.count("*") / query_block).alias("blocks")).where("blocks > 1")
+        dealt_ = queries.join(F.broadcast(many) if len(salts) <= most_pages else many, ["d", "pivot", "salt"], "left")
+        blocked = cut(dealt_.withColumn("block", F.coalesce(F.pmod(F.xxhash64("vec_id"), F.col("blocks")), F.lit(0)).cast("int")).drop("blocks"))
         needed = blocked.select(*key).distinct()
         data = paged.select("vec_id", "v", "d", "pivot", "salt").join(needed, ["d", "pivot", "salt"])
         data = data.select(*(F.col(c).alias(c) for c in data.columns))  # columns of its own, apart from those of the queries

@@ -18,18 +18,17 @@ SF = "/root/testdata/sf0.001"
 IS_QUERY = lambda: F.col("vec_id") % 20 == 0
 
 
-def brute(vectors, k=20):
-    """vectors: id to integers; (query, rank, id, score) rows."""
-    out = set()
-    for q, x in vectors.items():
-        if q % 20 == 0:
-            scores = sorted((-sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), i) for i, y in vectors.items() if i != q and len(x) == len(y))
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])}
-    return out
+def brute(rows, k=20):
+    """rows: (id, integers), ids may repeat; (query_id, rank, vec_id, score) of all pairs of rows of two ids."""
+    out = []
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), i) for j, x in rows if j == q for i, y in rows if i != q and len(x) == len(y))
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
 
 
 def found(df):
-    return {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect()}
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect())
 
 
 @pytest.mark.parametrize("options", [{}, {"page": 16, "query_block": 2}])
@@ -39,15 +38,16 @@ def test_search_against_all_pairs(spark, options):
     rows = [(int(i), (centers[i % 5] + rng.normal(scale=0.2, size=8)).tolist()) for i in range(300)]
     rows += [(1000 + i, [0.5] * 8) for i in range(60)]  # equal vectors
     rows += [(2000 + i, [1.0, -1.0]) for i in range(3)] + [(2020, [0.25, 0.75])]  # another length
-    good = {i: np.floor(64 * np.array(v)).astype(int) for i, v in rows}
+    rows += rows[:5] + [(25, [2.0] * 8), (40, [-1.0] * 8)]  # repeated ids, with equal vectors and others
+    good = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
     bad = [(3000, None), (3020, [float("nan")] * 8), (3040, [float("inf")] + [0.0] * 7), (3060, [None] * 8), (3080, []), (None, [1.0] * 8)]
-    table = spark.createDataFrame([(i, v, 1.0) for i, v in rows + rows[:5] + bad], "vec_id long, embedding array<double>, score double")
+    table = spark.createDataFrame([(i, v, 1.0) for i, v in rows + bad], "vec_id long, embedding array<double>, score double")
     assert found(metric_search.top_k(table, IS_QUERY(), **options)) == brute(good)
 
 
 def test_search_of_the_embeddings_and_of_no_rows(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
-    good = {r["vec_id"]: np.floor(64 * np.array(r["embedding"], float)).astype(int) for r in table.collect()}
+    good = [(r["vec_id"], np.floor(64 * np.array(r["embedding"], float)).astype(int)) for r in table.collect()]
     assert found(metric_search.top_k(table, IS_QUERY())) == brute(good)
     assert metric_search.top_k(table.where("false"), IS_QUERY()).count() == 0
 
@@ -168,4 +168,4 @@ def test_search_agrees_with_its_sql(spark):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF}/embeddings.parquet')")
     twin = con.sql(entry.oracle_sql()["op7_metric_search"])
     cols = ["query_id", "rank", "vec_id", "score"]
-    assert {tuple(r[twin.columns.index(c)] for c in cols) for r in twin.fetchall()} == found(entry.queries()["op7_metric_search"](spark, SF))
+    assert sorted(tuple(r[twin.columns.index(c)] for c in cols) for r in twin.fetchall()) == found(entry.queries()["op7_metric_search"](spark, SF))
