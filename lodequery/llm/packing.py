@@ -5,8 +5,9 @@ partially filled windows by fill; a document's last piece goes to the level that
 squared counts smallest. Documents of a window or more fill whole windows first. What is still open
 at the end of a partition is closed by cutting: full windows, then windows of powers of two.
 
-Nothing is shuffled: a task holds the ids of one document and of its open windows, at most
-`max_open` of them.
+Nothing is shuffled. A task holds the ids of one document and of its open windows; those of windows beyond
+`max_open` wait in a temporary file of the task, which changes nothing in the packing, since ids of open
+windows are read only when they are cut at the end.
 
 Cases: null or empty text is the end id alone; null doc_id is kept; repeated rows are packed each;
 extra columns are ignored; an empty table gives an empty result.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -90,11 +92,38 @@ class WordEncoder:
         return b"".join(ids)
 
 
+class Held:
+    """Ids of pieces in open windows: up to `most` pieces in memory, others in a temporary file."""
+
+    def __init__(self, most: int):
+        self.most, self.own, self.file, self.made = most, {}, None, 0
+
+    def put(self, ids: bytes) -> int | tuple[int, int]:
+        """A key for ids: a number in memory, (place, size) in the file."""
+        if len(self.own) < self.most:
+            self.made += 1
+            self.own[self.made] = ids
+            return self.made
+        self.file = self.file or tempfile.TemporaryFile()
+        at = self.file.seek(0, os.SEEK_END)
+        self.file.write(ids)
+        return at, len(ids)
+
+    def drop(self, key: int | tuple[int, int]) -> None:
+        self.own.pop(key, None)
+
+    def get(self, key: int | tuple[int, int]) -> bytes:
+        if isinstance(key, int):
+            return self.own.pop(key)
+        self.file.seek(key[0])
+        return self.file.read(key[1])
+
+
 class SquaresPacker:
-    """Windows of `size` ids; add() and close() give the pieces that are final: (document, start, ids, window, offset)."""
+    """Windows of `size` ids; add() and close() give the pieces that are final: (document, start, length, crc32, window, offset)."""
 
     def __init__(self, size: int, max_open: int):
-        self.size, self.max_open, self.windows = size, max_open, 0
+        self.size, self.windows, self.held = size, 0, Held(max_open)
         self.levels = np.zeros(size + 1, np.int64)
         self.open: dict[int, list[list[tuple]]] = {}
 
@@ -114,50 +143,44 @@ class SquaresPacker:
         size, total = self.size, len(ids) // 4
         whole = total - total % size
         for start in range(0, whole, size):
-            yield from self.out([(document, start, ids[4 * start : 4 * (start + size)])])
+            yield from self.out([(document, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]))])
         if whole < total:
-            piece, length = (document, whole, ids[4 * whole :]), total - whole
+            rest, length = ids[4 * whole :], total - whole
             level = self.place(length)
             window = self.open[level].pop() if level else []
             self.levels[level] -= bool(level)
-            window.append(piece)
             if level + length == size:
-                yield from self.out(window)
+                for piece in window:
+                    self.held.drop(piece[4])
+                yield from self.out([*window, (document, whole, length, zlib.crc32(rest))])
             else:
+                window.append((document, whole, length, zlib.crc32(rest), self.held.put(rest)))
                 self.levels[level + length] += 1
                 self.open.setdefault(level + length, []).append(window)
-                if self.levels.sum() > self.max_open:
-                    yield from self.close(final=False)
 
-    def close(self, final: bool = True) -> Iterator[tuple]:
-        """Cuts the open windows' pieces into full windows; the rest stays open or, at the end, fills powers of two."""
+    def close(self) -> Iterator[tuple]:
+        """Cuts the pieces of the windows that are open at the end into full windows and, last, powers of two."""
         pieces = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
         self.open, self.levels[:] = {}, 0
-        left = sum(len(p[2]) // 4 for p in pieces)
-        window, held = [], 0
-        room = self.size
-        for document, start, ids in pieces:
+        left = sum(p[2] for p in pieces)
+        window, filled, room = [], 0, self.size
+        for document, start, _, _, key in pieces:
+            ids = self.held.get(key)
             while ids:
-                if not held:
-                    if left < self.size and not final:
-                        room = self.size
-                    else:
-                        room = self.size if left >= self.size else 1 << (left.bit_length() - 1)
-                take = min(room - held, len(ids) // 4)
-                window.append((document, start, ids[: 4 * take]))
-                ids, start, held, left = ids[4 * take :], start + take, held + take, left - take
-                if held == room:
+                if not filled:
+                    room = self.size if left >= self.size else 1 << (left.bit_length() - 1)
+                take = min(room - filled, len(ids) // 4)
+                window.append((document, start, take, zlib.crc32(ids[: 4 * take])))
+                ids, start, filled, left = ids[4 * take :], start + take, filled + take, left - take
+                if filled == room:
                     yield from self.out(window)
-                    window, held = [], 0
-        if window:
-            self.levels[held] += 1
-            self.open[held] = [window]
+                    window, filled = [], 0
 
     def out(self, window: list[tuple]) -> Iterator[tuple]:
         offset = 0
-        for document, start, ids in window:
-            yield document, start, ids, self.windows, offset
-            offset += len(ids) // 4
+        for document, start, length, crc, *_ in window:
+            yield document, start, length, crc, self.windows, offset
+            offset += length
         self.windows += 1
 
 
@@ -178,8 +201,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, max
         base, rows = TaskContext.get().partitionId() << 33, []
 
         def note(pieces: Iterator[tuple]) -> None:
-            for (doc_id, total), start, ids, window, offset in pieces:
-                rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), total, base + window, offset))
+            for (doc_id, total), start, length, crc, window, offset in pieces:
+                rows.append((doc_id, start, length, crc, total, base + window, offset))
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [()] * len(FIELDS)
