@@ -3,10 +3,11 @@
 Long texts are cut into overlapping chunks that are pre-tokenised in parallel. Neighbouring chunks
 are stitched at the first position of their overlap where the pre-token boundaries of both
 resynchronise; where an overlap has none, the left chunk's last boundary is extended over the text of
-the next. The pieces are then encoded, and decoding concatenates the raw bytes of the ids.
+the next. The stitched text is cut at sure boundaries into pieces that are encoded and decoded in parallel;
+their ids and bytes are hashed in order. Decoding concatenates the raw bytes of the ids.
 
-Texts of one chunk need no stitching and stay in the task that read them; only chunks of long texts
-are shuffled, spread by text and chunk number. A task holds one text at a time.
+Texts of one chunk, up to `chunk` characters, need no stitching and stay in the task that read them; only
+chunks of long texts are shuffled, spread by text and chunk number. A task holds one text at a time.
 
 Cases: null or empty text has no ids and the hashes of the empty string; null doc_id and repeated rows
 are kept, each row on its own; extra columns are ignored; an empty table gives an empty result.
@@ -168,11 +169,34 @@ def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 65_536, overl
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends, pa.binary())], [*b.schema.names, "ends"])
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
+        """A long text's pieces of about `chunk` characters, each ending where a pre-token ends."""
         bpe, rows = coder(ranks, pattern), rows.sort_values("part")
         text = "".join(x[(part > 0) * overlap :] for part, x in zip(rows["part"], rows["text"], strict=True))
         chunks = [(at, np.frombuffer(x, np.int64)) for at, x in zip(rows["at"], rows["ends"], strict=True)]
-        n, ids, decoded = digest(bpe, bpe.encode_pieces(text, stitch(bpe, text, chunks)))
-        return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64").iloc[:1], "n_tokens": [n], "ids_sha256": [ids], "decoded_sha256": [decoded]})
-
-    chunks = docs.where(long).mapInArrow(parts, "row long, part long, doc_id long, at long, text string").repartition("row", "part").mapInArrow(pretokenise, "row long, part long, doc_id long, at long, text string, ends binary")
-    return docs.where(~long).mapInArrow(short, SCHEMA).unionByName(chunks.groupBy("row").applyInPandas(join, SCHEMA))
+        ends = np.array(stitch(bpe, text, chunks), np.int64)
+        cuts = np.unique(np.searchsorted(ends, np.arange(chunk, len(text) + chunk, chunk)).clip(max=len(ends) - 1))
+        edges, out = ends[cuts].tolist(), []
+        for i, (a, b, own) in enumerate(zip([0, *edges[:-1]], edges, np.split(ends, cuts[:-1] + 1), strict=True)):
+            out.append((rows["row"].iloc[0], i, rows["doc_id"].iloc[0], 0, text[a:b], (own - a).tobytes()))
+        return pd.DataFrame(out, columns=["row", "part", "doc_id", "at", "text", "ends"]).astype({"doc_id": "Int64"})
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(ranks, pattern)
+        for b in batches:
+            ids = [bpe.encode_pieces(x.as_py(), np.frombuffer(e.as_py(), np.int64).tolist()) for x, e in zip(b.column("text"), b.column("ends"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("row", "part", "doc_id")), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["row", "part", "doc_id", "ids", "decoded"])
+
+    def hashed(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
+        rows = rows.sort_values("part")
+        for a, b in zip(rows["ids"], rows["decoded"], strict=True):
+            ids.update(a)
+            decoded.update(b)
+            n += len(a) // 4
+        return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64").iloc[:1], "n_tokens": [n], "ids_sha256": [ids.hexdigest()], "decoded_sha256": [decoded.hexdigest()]})
+
+    fields = "row long, part long, doc_id long, at long, text string"
+    chunks = docs.where(long).mapInArrow(parts, fields).repartition("row", "part").mapInArrow(pretokenise, f"{fields}, ends binary")
+    pieces = chunks.groupBy("row").applyInPandas(join, f"{fields}, ends binary").repartition("row", "part")
+    pieces = pieces.mapInArrow(encoded, "row long, part long, doc_id long, ids binary, decoded binary")
+    return docs.where(~long).mapInArrow(short, SCHEMA).unionByName(pieces.groupBy("row").applyInPandas(hashed, SCHEMA))
