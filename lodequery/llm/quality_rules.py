@@ -25,8 +25,10 @@ from lodequery.llm.common import SPACES, cut, let, stored
 
 #: ratio: what counts as little whatever the group, added to the upper fence
 SLACK = {"symbol_ratio": 0.05, "dup_line_ratio": 0.5, "repeat_ratio": 0.4, "word_length": 4.0}
-#: ratio: (lower quantile, upper quantile, spread, tolerance) of the tail's fence, upper + spread * (upper - lower) + tolerance
-TAIL = {"symbol_ratio": (0.5, 0.9, 6.0, 0.02), "dup_line_ratio": (0.95, 0.99, 1.0, 0.05), "repeat_ratio": (0.5, 0.95, 6.0, 0.05)}
+#: ratio: (lower quantile, upper quantile, spread, tolerance) of the tail's fence. Where the tail is that of plain documents, the fence
+#: lies beyond it: upper + spread * (upper - lower) + tolerance. Symbols are absent from most documents and their tail is junk, so that
+#: theirs lies a tenth of the way from the body to the tail: lower + spread * (upper - lower) + tolerance.
+TAIL = {"symbol_ratio": (0.9, 0.99, 0.1, 0.02), "dup_line_ratio": (0.95, 0.99, 1.0, 0.05), "repeat_ratio": (0.5, 0.95, 6.0, 0.05)}
 #: word length: tolerance below the lower quartile's fence
 LOW_SLACK = 0.5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -103,7 +105,7 @@ def fences(counted: DataFrame, k: int = 400, least_rows: int = 100, spread: floa
         high = q(0.75) + wide + SLACK[n]
         if n in TAIL:
             lower, upper, times, tolerance = TAIL[n]
-            high = F.least(high, q(upper) + times * (q(upper) - q(lower)) + tolerance)
+            high = F.least(high, q(lower if n == "symbol_ratio" else upper) + times * (q(upper) - q(lower)) + tolerance)
         return [(q(0.25) - wide - LOW_SLACK).alias(f"low_{n}"), high.alias(f"high_{n}")]
 
     level = lambda df, name, *by: df.select(*by, F.struct("n", *(b for x in SLACK for b in bounds(x))).alias(name))
