@@ -8,6 +8,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,13 +72,20 @@ SECRET_PATTERNS = (
 )
 
 
+def compiles(pattern: str) -> bool:
+    """Whether the JVM, which runs the patterns, takes this one."""
+    jvm = SparkContext._active_spark_context._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def scrubbed(text: Column, extra: tuple[str, ...] = ()) -> Column:
-    """Text with secrets replaced, pattern after pattern. An extra pattern that is no valid regex blanks the whole text."""
-    for pattern in extra:
-        try:
-            re.compile(pattern)
-        except re.error:
-            return F.when(text.isNotNull(), F.lit("[REDACTED]"))
+    """Text with secrets replaced, pattern after pattern. An extra pattern that the engine can't compile blanks the whole text."""
+    if any(not compiles(pattern) for pattern in extra):
+        return F.when(text.isNotNull(), F.lit("[REDACTED]"))
     return reduce(lambda t, pattern: F.regexp_replace(t, pattern, "[REDACTED]"), (*SECRET_PATTERNS, *extra), text)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodequery.operators import graph
+
 
 def first_relevant(results: DataFrame, truth: DataFrame) -> DataFrame:
     """query_id and first (the best rank of an expected id, null if none) of every query in truth (query_id, id)."""
@@ -12,6 +14,26 @@ def first_relevant(results: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.select("query_id").distinct().join(hits, "query_id", "left")
 
 
+def holding(docs: DataFrame, items: DataFrame, inner: int = 3) -> DataFrame:
+    """query_id, id of documents (id, text) that hold an item's (query_id, text) whole text.
+
+    An item's words but its first and last stand whole in every text that holds it, so items and texts meet on
+    the hash of `inner` of those, parted at spaces, and only such pairs are compared. Items of fewer
+    words than that meet on their longest inner word, and those without any inner word are compared with every text.
+    """
+    words = F.split("text", " ")
+    keyed = items.where("text is not null").withColumn("_w", words).withColumn("_n", F.size("_w"))
+    long = keyed.where(F.col("_n") >= inner + 2).select("query_id", F.col("text").alias("item"), F.xxhash64(*(F.col("_w")[i + 1] for i in range(inner))).alias("key"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("_w") - inner), lambda i: F.xxhash64(*(F.get(F.col("_w"), i + j) for j in range(inner))))
+    runs = docs.where("text is not null").withColumn("_w", words).select("id", "text", F.explode(F.array_distinct(F.when(F.size("_w") >= inner, grams).otherwise(F.array().cast("array<long>")))).alias("key"))
+    found = runs.join(long, "key").where(F.contains("text", "item")).select("query_id", "id")
+    single = keyed.where((F.col("_n") < inner + 2) & (F.col("_n") > 2)).select("query_id", F.col("text").alias("item"), F.element_at(F.array_sort(F.transform(F.slice("_w", F.lit(2), F.col("_n") - 2), lambda w: F.struct(F.length(w), w.alias("w")))), -1)["w"].alias("key"))
+    each = docs.where("text is not null").select("id", "text", F.explode(F.array_distinct(words)).alias("key"))
+    found = found.union(each.join(single, "key").where(F.contains("text", "item")).select("query_id", "id"))
+    bare = keyed.where("_n <= 2").select("query_id", F.col("text").alias("item"))
+    return found.union(docs.join(bare, F.contains("text", "item")).select("query_id", "id")).distinct()
+
+
 def report(results: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), by: tuple[str, ...] = ()) -> DataFrame:
     """n, hit_k for each k, and mrr over the first ten ranks; by: columns of truth to report apart."""
     rows = first_relevant(results, truth.select("query_id", "id").distinct())
@@ -62,3 +84,22 @@ def regression(current: DataFrame, baseline: DataFrame, tolerance: float = 0.0)
 def missing(expected: DataFrame, known: DataFrame, by: str = "path") -> DataFrame:
     """Expected values that the index doesn't have."""
     return expected.select(by).distinct().join(known.select(by), by, "left_anti")
+
+
+def graph_answers(nodes: DataFrame, edges: DataFrame, cases: DataFrame) -> DataFrame:
+    """relation, target, ref: what the graph answers to cases (relation, target): who_calls the callers of a name, defines its definitions."""
+    asked = lambda relation: cases.where(F.col("relation") == relation).select(F.col("target").alias("name")).distinct()
+    row = lambda rows, relation: rows.select(F.lit(relation).alias("relation"), F.col("name").alias("target"), "ref").distinct()
+    return row(graph.related(nodes, edges, asked("who_calls"), "calls"), "who_calls").unionByName(row(graph.find_symbol(nodes, asked("defines")), "defines"))
+
+
+def graph_metrics(answers: DataFrame, expected: DataFrame, cases: DataFrame) -> DataFrame:
+    """Set metrics of each case (relation, target)."""
+    key = lambda df: df.withColumn("case_id", F.struct("relation", "target"))
+    rows = set_metrics(key(answers).select("case_id", "ref"), key(expected).select("case_id", "ref"), key(cases))
+    return rows.select("case_id.relation", "case_id.target", "got", "expected", "precision", "recall", "f1")
+
+
+def unknown_refs(wanted: DataFrame, answers: DataFrame) -> DataFrame:
+    """References of cases (relation, target, ref) that the graph doesn't answer."""
+    return wanted.join(answers.select("relation", "target", "ref"), ["relation", "target", "ref"], "left_anti")

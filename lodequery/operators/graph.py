@@ -57,26 +57,78 @@ def mentions(docs: DataFrame, definitions: DataFrame) -> DataFrame:
     return rows.join(definitions.where(distinctive(F.col("name"))).select("id", "name"), "name").select("doc_id", "id", "name").distinct()
 
 
+#: What looks like a name in a question, and where a qualified name parts.
+IDENTIFIER = r"(?U)(\b(?:[A-Za-z_]\w*\.)+[A-Za-z_]\w*|\b\w*[a-z]\w*_\w+|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z]+[A-Z]\w*)"
+PARTS = r"[._]|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+
+
 def identifiers(question: Column) -> Column:
     """Dotted, snake, camel and Pascal names in a question, in order of appearance."""
-    pattern = r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+|[A-Za-z0-9]*_[A-Za-z0-9_]+|[a-z]+[A-Z][A-Za-z0-9]*|[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+)"
-    return F.array_distinct(F.regexp_extract_all(question, F.lit(pattern), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(question, F.lit(IDENTIFIER), F.lit(1)))
 
 
 def parts_of(qualname: Column) -> Column:
-    """The lower-case parts of a qualified name, split at dots, underscores and humps."""
-    spaced = F.regexp_replace(F.regexp_replace(qualname, r"(?<=[a-z0-9])(?=[A-Z])", " "), r"[._]+", " ")
-    return F.array_distinct(F.filter(F.split(F.lower(spaced), " "), lambda x: x != ""))
+    """The distinct lower-case parts of a qualified name, split at dots, underscores and humps."""
+    return F.array_distinct(F.transform(F.filter(F.split(qualname, PARTS), lambda x: x != ""), F.lower))
+
+
+def akin(part: Column, word: Column, stem: int = 4) -> Column:
+    """Whether two words are equal or, both of `stem` letters or more, begin with the same `stem` letters."""
+    return (part == word) | (F.length(part) >= stem) & (F.length(word) >= stem) & (F.substring(part, 1, stem) == F.substring(word, 1, stem))
+
 
+def symbol_table(questions: DataFrame, names: DataFrame, least: int = 2) -> DataFrame:
+    """query_id, name, overlap: symbols whose whole name a question has (its parts and one more), or whose parts are akin to its words, `least` at least.
 
-def symbol_table(questions: DataFrame, names: DataFrame, least: int = 2, most: int = 3) -> DataFrame:
-    """Symbols whose parts meet at least `least` words of a question: equal, or both of 4 letters or more with the first 4 equal."""
-    words = questions.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("word"))
-    part = names.select("name", F.explode(parts_of(F.col("name"))).alias("part"))
+    Words and parts meet on their first four letters, shorter ones on themselves, so no pair of all is formed.
+    """
+    own = names.select("name").distinct()
+    words = questions.select("query_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit("([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower))).alias("word"))
+    whole = questions.select("query_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit(r"(?U)([\w.]+)"), F.lit(1)), F.lower))).alias("low"))
+    named = whole.join(own.withColumn("low", F.lower("name")), "low").select("query_id", "name", (F.size(parts_of(F.col("name"))) + 1).alias("overlap"))
+    named = named.join(words.select("query_id").distinct(), "query_id", "left_semi")
+    part = own.select("name", F.explode(parts_of(F.col("name"))).alias("part"))
     key = lambda c: F.when(F.length(c) >= 4, F.substring(c, 1, 4)).otherwise(F.col(c))
-    rows = words.withColumn("k", key("word")).join(part.withColumn("k", key("part")), "k").where((F.col("word") == F.col("part")) | (F.length("word") >= 4) & (F.length("part") >= 4))
-    hits = rows.groupBy("query_id", "name").agg(F.count_distinct("part").alias("overlap")).where(F.col("overlap") >= least)
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "name"))).where(F.col("rank") <= most)
+    rows = words.withColumn("k", key("word")).join(part.withColumn("k", key("part")), "k").where(akin(F.col("part"), F.col("word")))
+    hits = rows.groupBy("query_id", "name").agg(F.count_distinct("part").cast("int").alias("overlap")).where(F.col("overlap") >= least)
+    return named.unionByName(hits).groupBy("query_id", "name").agg(F.max("overlap").alias("overlap"))
+
+
+def entry_points(questions: DataFrame, names: DataFrame, most: int = 3, least: int = 2) -> DataFrame:
+    """query_id, place, name, source: at most `most` symbols to enter the graph by; names written in the question come first, in
+    its order, then those of the symbol table by falling overlap, then name. A name counts where it comes first."""
+    own = names.select("name").distinct()
+    written = questions.select("query_id", F.posexplode(identifiers(F.col("query"))).alias("at", "name")).join(own, "name", "left_semi")
+    first = written.select("query_id", "name", F.lit("extracted_from_query").alias("source"), F.lit(0).alias("rank"), "at")
+    table = symbol_table(questions, names, least).join(written.select("query_id", "name"), ["query_id", "name"], "left_anti")
+    rows = first.unionByName(table.select("query_id", "name", F.lit("symbol_table_match").alias("source"), F.lit(1).alias("rank"), (-F.col("overlap")).alias("at")))
+    order = Window.partitionBy("query_id").orderBy("rank", "at", "name")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "place", "name", "source")
+
+
+def branch_status(questions: DataFrame, points: DataFrame, sections: DataFrame | None, reason: str = "graph not built") -> DataFrame:
+    """query_id, status and reason of the graph's part of an answer: unavailable (no graph), not_attempted (no entry point),
+    partial (a section of an entry point could not be read: its row has a reason), ok.
+
+    sections: query_id, name, section, reason; None where there is no graph.
+    """
+    own = questions.select("query_id")
+    if sections is None:
+        return own.select("query_id", F.lit("unavailable").alias("status"), F.lit(reason).alias("reason"))
+    n = points.groupBy("query_id").agg(F.count("*").alias("n"))
+    bad = sections.where("reason is not null").groupBy("query_id").agg(F.min("reason").alias("reason"))
+    rows = own.join(n, "query_id", "left").join(bad, "query_id", "left")
+    return rows.select("query_id", F.when(F.col("n").isNull(), "not_attempted").when(F.col("reason").isNotNull(), "partial").otherwise("ok").alias("status"), F.when(F.col("n").isNotNull(), F.col("reason")).alias("reason"))
+
+
+def total_for(totals: Column, section: str, items: Column) -> Column:
+    """A section's number of rows before the cut; that of the rows shown where it isn't known."""
+    return F.coalesce(F.try_element_at(totals, F.lit(section)), F.size(items))
+
+
+def unavailable_reason(error: Column, key: Column) -> Column:
+    """Why the graph can't be read, by the kind of error and the setting it names."""
+    return F.when(error == "GraphNotFound", "graph_not_built").when((error == "Config") & (key == "graph"), "navigation_library_missing").otherwise("graph_artifact_unusable")
 
 
 def corroborated(hits: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -1,15 +1,23 @@
-"""BM25 retrieval for batches of queries over a postings table.
+"""BM25 retrieval for batches of queries over a stored index of postings.
 
-Statistics are sums by term with partial aggregation; a query touches the postings of its own terms
+The index is built by one pass over the documents: postings, a row a term, and one row of sizes, each
+written as Parquet. Statistics are sums by term with partial aggregation; a query touches the postings of its own terms
 only. No hot term gathers rows in one task: scoring joins on the term and sums by (query, document).
+
+Null texts count as one empty token, as do texts without any; a document id that repeats counts as one document; queries without tokens have
+no hits; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodequery.functions.text import indexed_tokens, tokens
+from lodequery.sources import store
 
 #: Fixed values of the Okapi form.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -31,6 +39,46 @@ def statistics(post: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf")), size
 
 
+@dataclass
+class Index:
+    """Stored postings (id, len, term, tf), terms (term, df, idf) and sizes (one row: n, avgdl)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    sizes: DataFrame
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that the session shares with its executors; a temporary one only in local sessions that name none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="lodequery-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def built(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text") -> Index:
+    """The index of docs, written to path in place of what was there; postings are sorted by term within files, so that reads skip."""
+    post = store.replaced(postings(docs, id_, text).repartition("term").sortWithinPartitions("term"), f"{path}/postings")
+    terms, sizes = statistics(post)
+    sizes = store.replaced(sizes, f"{path}/sizes")
+    return Index(post, store.replaced(terms, f"{path}/terms"), sizes)
+
+
+_KNOWN: dict[tuple, Index] = {}
+
+
+def indexed(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Index:
+    """The session's index of a table of files, built when it isn't there or its files have changed."""
+    spark = docs.sparkSession
+    key = (spark.sparkContext.applicationId, store.token(docs), id_, text)
+    if key not in _KNOWN:
+        _KNOWN[key] = built(docs, f"{shared(spark)}/lexical-{abs(hash(key)):x}", id_, text)
+    return _KNOWN[key]
+
+
 def query_terms(queries: DataFrame, id_: str = "query_id", text: str = "query") -> DataFrame:
     """query_id, term and how often the query has it."""
     return queries.select(F.col(id_).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
@@ -46,16 +94,20 @@ def ranked(rows: DataFrame, k: int, score: str = "score", id_: str = "id", by: s
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id", text: str = "text", keep: Column | None = None, digits: int = 6) -> DataFrame:
+def scored(index: Index, queries: DataFrame, keep: DataFrame | None = None, digits: int = 6) -> DataFrame:
+    """query_id, id, score of documents that share a token with the query; keep: the documents (id) that may come back."""
+    terms = query_terms(queries).join(index.terms, "term")
+    hits = index.postings if keep is None else index.postings.join(keep.select("id"), "id", "left_semi")
+    part = F.col("times") * score_of(F.col("tf"), F.col("len"), F.col("avgdl"), F.col("idf"))
+    return hits.join(terms, "term").join(F.broadcast(index.sizes)).groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id", text: str = "text", keep: Column | None = None, digits: int = 6, index: Index | None = None) -> DataFrame:
     """query_id, id, score, rank: documents that share a token with the query, even those of score 0 or less.
 
     keep filters documents before the cut, not the statistics. Scores are rounded before ranking, so
     that equal ones tie by id on every machine.
     """
-    post = postings(docs, id_, text)
-    idf, size = statistics(post)
-    terms = query_terms(queries).join(idf, "term")
-    hits = post if keep is None else post.join(docs.where(keep).select(F.col(id_).alias("id")), "id", "left_semi")
-    part = F.col("times") * score_of(F.col("tf"), F.col("len"), F.col("avgdl"), F.col("idf"))
-    scored = hits.join(terms, "term").join(F.broadcast(size)).groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
-    return ranked(scored, k)
+    index = indexed(docs, id_, text) if index is None else index
+    own = None if keep is None else docs.where(keep).select(F.col(id_).alias("id"))
+    return ranked(scored(index, queries, own, digits), k)

@@ -13,7 +13,7 @@ from lodequery.functions.text import containment, shingles
 from lodequery.operators.lexical import ranked
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", query_block: int = 1024, page: int = 8192, digits: int = 9) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", query_block: int = 1024, page: int = 8192, digits: int = 9, most_tasks: int = 10_000) -> DataFrame:
     """query_id, id, score (cosine), rank: the k rows nearest to each query (query_id, vector), for any number of queries.
 
     Queries are dealt into blocks of about `query_block` and vectors into pages of about `page`, both by
@@ -45,6 +45,8 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", v
                     parts.append(pd.DataFrame({"query_id": query, "id": own[top], "score": row[top]}))
         return pd.concat(parts)
 
+    tasks = min(n_blocks * n_pages, most_tasks)
+    asked, rows = asked.repartition(tasks, "block", "page"), rows.repartition(tasks, "block", "page")
     part = asked.groupBy("block", "page").cogroup(rows.groupBy("block", "page")).applyInPandas(best, "query_id long, id long, score double")
     return ranked(part, k)
 
@@ -114,7 +116,13 @@ def per_flow(rows: DataFrame, flow: Column, k: int) -> DataFrame:
     return rows.withColumn("flow", flow).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def fan_out(collections: list[DataFrame], k: int, least: float | None = None) -> DataFrame:
-    """The k best over several collections' own k best, by score, then id; the threshold comes after the cut."""
+def fan_out(collections: list[DataFrame], k: int, least: float | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """The k best over several collections' own k best, by score, then id; the threshold comes after the cut.
+
+    With texts (id, text), rows near a better one go before the cut.
+    """
     rows = reduce(DataFrame.unionByName, [x.where(F.col("rank") <= k).drop("rank") for x in collections])
-    return above(ranked(rows, k), least)
+    if texts is None:
+        return above(ranked(rows, k), least)
+    every = ranked(rows, 2**31 - 1).join(texts.select("id", "text"), "id").select("query_id", "id", "score", "rank", "text")
+    return above(deduplicated(every).drop("text").where(F.col("rank") <= k), least)

@@ -52,6 +52,15 @@ legs AS (SELECT query_id, id, rank FROM den WHERE rank <= 30 UNION ALL SELECT qu
 fu AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 12) AS score FROM legs GROUP BY query_id, id),
 fus AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM fu)
 """
+NEAR_BY_RANK = """
+near AS (SELECT a.query_id, b.rank, list(a.rank) AS before FROM cand a JOIN cand b ON a.query_id = b.query_id AND a.rank < b.rank
+  WHERE CASE WHEN least(len(a.s), len(b.s)) = 0 THEN len(a.s) = len(b.s) ELSE len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)) >= 0.8 END GROUP BY 1, 2),
+fold AS (SELECT query_id, 0 AS rank, CAST([] AS INTEGER[]) AS kept FROM (SELECT DISTINCT query_id FROM cand)
+  UNION ALL SELECT f.query_id, c.rank, CASE WHEN list_has_any(f.kept, coalesce(n.before, CAST([] AS INTEGER[]))) THEN f.kept ELSE list_append(f.kept, c.rank) END
+  FROM fold f JOIN cand c ON c.query_id = f.query_id AND c.rank = f.rank + 1 LEFT JOIN near n ON n.query_id = c.query_id AND n.rank = c.rank),
+last AS (SELECT query_id, arg_max(kept, rank) AS kept FROM fold GROUP BY 1),
+dedup AS (SELECT c.query_id, c.id, c.score, CAST(list_position(l.kept, c.rank) AS INTEGER) AS rank FROM cand c JOIN last l ON l.query_id = c.query_id AND list_contains(l.kept, c.rank))
+"""
 COLLAPSED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'), ' ')"
 SHINGLES = """CASE WHEN w[1] = '' THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END"""
@@ -81,8 +90,7 @@ def _entries(s, d):
 
 
 def _truth(s, d):
-    b, docs = table(s, d, "benchmark").alias("b"), _docs(s, d).alias("d")
-    return docs.join(b, F.contains("d.text", "b.text")).select(F.col("b.item_id").alias("query_id"), F.col("d.doc_id").alias("id"))
+    return evaluate.holding(_docs(s, d).select(F.col("doc_id").alias("id"), "text"), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
 TRUTH = "tru AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
@@ -96,8 +104,7 @@ def ret03_tokens(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {POSTINGS} SELECT term, df, round(idf, 9) AS idf FROM idf")
 def agg22_bm25_statistics(s: SparkSession, d: str) -> DataFrame:
-    idf, _ = lexical.statistics(lexical.postings(_docs(s, d)))
-    return idf.select("term", "df", F.round("idf", 9).alias("idf"))
+    return lexical.indexed(_docs(s, d)).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT query_id, id, score, rank FROM lex WHERE rank <= 10")
@@ -133,7 +140,10 @@ def ret06_materialise(s: SparkSession, d: str) -> DataFrame:
     return retrieve.materialised(retrieve.fused([_dense(s, d), _lexical(s, d)], 15), dense_rows, _entries(s, d)).select("query_id", "id", "score", "rank", "text")
 
 
-@query()
+HYBRID = f"""WITH RECURSIVE {BM25}, {DENSE}, {FUSED}, cand AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank, {SHINGLES} AS s FROM (SELECT query_id, id, score, rank, {WORDS.format('text')} AS w FROM fus JOIN documents ON doc_id = id WHERE rank <= 15)), {NEAR_BY_RANK}"""
+
+
+@query(HYBRID + " SELECT query_id, id, score, rank FROM dedup WHERE rank <= 5")
 def ret08_hybrid_deduplicated(s: SparkSession, d: str) -> DataFrame:
     return retrieve.hybrid(_lexical(s, d), _dense(s, d), _entries(s, d), 5).select("query_id", "id", "score", "rank")
 
@@ -165,7 +175,7 @@ def ret10_containment(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BM25}, fl AS (SELECT query_id, sc.id, score, CASE WHEN lang = 'en' THEN 'code' ELSE 'docs' END AS flow FROM sc JOIN documents ON doc_id = id) SELECT * FROM (SELECT query_id, id, score, flow, CAST(row_number() OVER (PARTITION BY query_id, flow ORDER BY score DESC, id) AS INTEGER) AS rank FROM fl) WHERE rank <= 3")
 def ret13_two_flows(s: SparkSession, d: str) -> DataFrame:
-    rows = _lexical(s, d, 2**31 - 1).join(_docs(s, d).select(F.col("doc_id").alias("id"), "lang"), "id")
+    rows = lexical.scored(lexical.indexed(_docs(s, d)), _items(s, d)).join(_docs(s, d).select(F.col("doc_id").alias("id"), "lang"), "id")
     flow = F.when(F.col("lang") == "en", "code").otherwise("docs")
     return retrieve.per_flow(rows, flow, 3).select("query_id", "id", "score", "flow", "rank")
 

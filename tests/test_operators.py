@@ -147,5 +147,5 @@ def test_full_text_needs_adjacent_words(spark):
 def test_symbol_table(spark):
     q = spark.createDataFrame([(1, "how does the parser config load")], "query_id int, query string")
     names = spark.createDataFrame([("load_config",), ("ConfigParser",), ("other",)], "name string")
-    got = graph.symbol_table(q, names).orderBy("rank").collect()
+    got = graph.symbol_table(q, names).orderBy(F.desc("overlap"), "name").collect()
     assert [r["name"] for r in got] == ["ConfigParser", "load_config"]
