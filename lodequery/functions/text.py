@@ -10,6 +10,7 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def compiles(pattern: str) -> bool:
     jvm = SparkContext._active_spark_context._jvm
     try:
         jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 

@@ -11,6 +11,7 @@ no hits; empty tables give empty results; extra columns are ignored.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -71,11 +72,14 @@ _KNOWN: dict[tuple, Index] = {}
 
 
 def indexed(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Index:
-    """The session's index of a table of files, built when it isn't there or its files have changed."""
-    spark = docs.sparkSession
-    key = (spark.sparkContext.applicationId, store.token(docs), id_, text)
-    if key not in _KNOWN:
-        _KNOWN[key] = built(docs, f"{shared(spark)}/lexical-{abs(hash(key)):x}", id_, text)
+    """The session's index of a table of files, built when it isn't there or its files have changed; other rows are indexed anew."""
+    spark, state = docs.sparkSession, store.token(docs)
+    key = (spark.sparkContext.applicationId, state, id_, text)
+    if state is None or key not in _KNOWN:
+        made = built(docs, f"{shared(spark)}/lexical-{uuid.uuid4().hex}", id_, text)
+        if state is None:
+            return made
+        _KNOWN[key] = made
     return _KNOWN[key]
 
 

@@ -19,7 +19,7 @@ QUOTAS = ("user_capability", "behaviour", "implementation")
 def diff_lines(changesets: DataFrame) -> DataFrame:
     """Lines with their kind, file and hunk number; what stands before the first file is left out."""
     rows = changesets.select("ref", F.posexplode(D.lines_of(F.col("text"))).alias("n", "line")).withColumn("kind", D.line_kind(F.col("line")))
-    count = lambda kind, *by: F.sum((F.col("kind") == kind).cast("int")).over(Window.partitionBy(*by).orderBy("n"))
+    count = lambda kind, *by: F.sum((F.col("kind") == kind).cast("int")).over(Window.partitionBy(*by).orderBy("n")).cast("int")
     rows = rows.withColumn("file", count("file", "ref") - 1).where("file >= 0")
     return rows.withColumn("hunk", count("hunk", "ref", "file") - 1)
 

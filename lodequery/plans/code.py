@@ -150,7 +150,7 @@ def sub11_unavailable_reasons(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", graph.unavailable_reason(F.when(c == 0, "GraphNotFound").otherwise("Config"), F.when(c == 1, "graph").otherwise("path")).alias("reason"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 50 ELSE 3 END AS total FROM supplier")
+@query("SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 50 ELSE 3 END AS INTEGER) AS total FROM supplier")
 def sub13_section_totals(s: SparkSession, d: str) -> DataFrame:
     c = F.col("s_suppkey")
     totals = F.when(c % 2 == 0, F.create_map(F.lit("callers"), (c % 50).cast("int"))).otherwise(F.create_map(F.lit("callees"), F.lit(1)))

@@ -37,7 +37,7 @@ def ret19_content_fields(s: SparkSession, d: str) -> DataFrame:
     return facade.content_fields(_items(s, d), results, 3).select("query_id", F.nullif("preview", F.lit("")).alias("preview"))
 
 
-@query(f"WITH {DENSE} SELECT query_id, 0.5 AS threshold, max(score) AS best_score, count(*) AS candidates FROM den WHERE rank <= 30 AND rank > 1 GROUP BY query_id HAVING count_if(score >= 0.5) = 0")
+@query(f"WITH {DENSE} SELECT query_id, 0.5::DOUBLE AS threshold, max(score) AS best_score, count(*) AS candidates FROM den WHERE rank <= 30 AND rank > 1 GROUP BY query_id HAVING count_if(score >= 0.5) = 0")
 def sub07_low_confidence(s: SparkSession, d: str) -> DataFrame:
     return facade.low_confidence(_dense(s, d).where("rank > 1"), 0.5)
 

@@ -103,7 +103,7 @@ def scl08_iso_times(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", transcripts.epoch(iso).alias("seconds"))
 
 
-@query("SELECT preset, CASE preset WHEN '7d' THEN 1000000 - 604800.0 WHEN '24h' THEN 1000000 - 86400.0 END AS since, CAST(NULL AS DOUBLE) AS until FROM (SELECT unnest(['all', '7d', '24h']) AS preset)")
+@query("SELECT preset, CAST(CASE preset WHEN '7d' THEN 1000000 - 604800 WHEN '24h' THEN 1000000 - 86400 END AS DOUBLE) AS since, CAST(NULL AS DOUBLE) AS until FROM (SELECT unnest(['all', '7d', '24h']) AS preset)")
 def scl04_time_windows(s: SparkSession, d: str) -> DataFrame:
     rows = [(p, *observe.time_window(p, 1_000_000.0)) for p in ("all", "7d", "24h")]
     return s.createDataFrame(rows, "preset string, since double, until double")
@@ -134,7 +134,7 @@ def jon05_sessions_to_archive(s: SparkSession, d: str) -> DataFrame:
     return sessions.join(sessions.where("session_key % 3 = 0").select("session_key"), "session_key", "left_anti").select("session_key")
 
 
-@query(f"WITH {TURNS} SELECT count_if(session_key % 3 <> 0 AND session_key IN (SELECT session_key FROM tr)) AS archived, count_if(NOT (session_key % 3 <> 0 AND session_key IN (SELECT session_key FROM tr))) AS skipped FROM ses")
+@query(f"WITH {TURNS} SELECT count_if(session_key % 3 <> 0 AND session_key IN (SELECT session_key FROM tr))::BIGINT AS archived, count_if(NOT (session_key % 3 <> 0 AND session_key IN (SELECT session_key FROM tr)))::BIGINT AS skipped FROM ses")
 def agg20_archive_report(s: SparkSession, d: str) -> DataFrame:
     sessions = _sessions(s, d)
     return memory.archive_report(sessions, _turns(s, d), sessions.where("session_key % 3 = 0"))

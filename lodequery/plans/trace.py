@@ -56,12 +56,12 @@ def sub44_diff_files(s: SparkSession, d: str) -> DataFrame:
     return _files(s, d)
 
 
-@query(f"WITH {HK} SELECT ref, file, hunk, path, CAST(old_start AS INTEGER) AS old_start, CAST(old_len AS INTEGER) AS old_len, CAST(new_start AS INTEGER) AS new_start, CAST(new_len AS INTEGER) AS new_len, identifiers, n_lines FROM hk")
+@query(f"WITH {HK} SELECT ref, file, hunk, path, CAST(old_start AS INTEGER) AS old_start, CAST(old_len AS INTEGER) AS old_len, CAST(new_start AS INTEGER) AS new_start, CAST(new_len AS INTEGER) AS new_len, identifiers, CAST(n_lines AS INTEGER) AS n_lines FROM hk")
 def scl19_diff_hunks(s: SparkSession, d: str) -> DataFrame:
     return _hunks(s, d).withColumn("n_lines", F.size("lines")).withColumn("identifiers", F.array_join("identifiers", ",")).drop("lines")
 
 
-@query(f"WITH {HK} SELECT ref, file, hunk, new_start AS first_line, CASE WHEN new_len > 0 THEN new_start + new_len - 1 ELSE new_start END AS last_line FROM hk")
+@query(f"WITH {HK} SELECT ref, file, hunk, CAST(new_start AS INTEGER) AS first_line, CAST(CASE WHEN new_len > 0 THEN new_start + new_len - 1 ELSE new_start END AS INTEGER) AS last_line FROM hk")
 def scl21_hunk_lines(s: SparkSession, d: str) -> DataFrame:
     a, b = D.span(F.col("new_start"), F.col("new_len"))
     return _hunks(s, d).select("ref", "file", "hunk", a.alias("first_line"), b.alias("last_line"))
@@ -115,13 +115,13 @@ def sub47_located_symbols(s: SparkSession, d: str) -> DataFrame:
     return trace.located(_hunks(s, d), _evidence(s, d)).select("ref", "file", "hunk", "path", "name", "symbol_path", "line")
 
 
-@query(f"WITH {HK}, {ITEMS} SELECT ref, item, file, path, symbol, granularity, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, CAST(hunks AS BIGINT) AS hunks, names, n_lines FROM it")
+@query(f"WITH {HK}, {ITEMS} SELECT ref, item, file, path, symbol, granularity, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, CAST(hunks AS BIGINT) AS hunks, names, CAST(n_lines AS INTEGER) AS n_lines FROM it")
 def trc03_evidence_items(s: SparkSession, d: str) -> DataFrame:
     items, _ = _items(s, d)
     return items.select("ref", "item", "file", "path", "symbol", "granularity", "start_line", "end_line", "hunks", F.array_join("identifiers", ",").alias("names"), F.size("lines").alias("n_lines"))
 
 
-@query(f"WITH {HK}, m AS (SELECT path, count(*) AS hunks, min(old_start) AS old_start, max(old_start + greatest(old_len - 1, 0)) AS old_end, min(new_start) AS new_start, CASE WHEN count(*) = 1 AND max(new_len) = 0 THEN min(new_start) ELSE max(new_start + greatest(new_len - 1, 0)) END AS new_end, sum(n_lines) AS n_lines FROM hk WHERE file = 0 GROUP BY path) SELECT path, hunks, old_start, old_end, new_start, new_end, CAST(n_lines AS BIGINT) AS n_lines FROM m")
+@query(f"WITH {HK}, m AS (SELECT path, count(*) AS hunks, min(old_start) AS old_start, max(old_start + greatest(old_len - 1, 0)) AS old_end, min(new_start) AS new_start, CASE WHEN count(*) = 1 AND max(new_len) = 0 THEN min(new_start) ELSE max(new_start + greatest(new_len - 1, 0)) END AS new_end, sum(n_lines) AS n_lines FROM hk WHERE file = 0 GROUP BY path) SELECT path, hunks, CAST(old_start AS INTEGER) AS old_start, CAST(old_end AS INTEGER) AS old_end, CAST(new_start AS INTEGER) AS new_start, CAST(new_end AS INTEGER) AS new_end, CAST(n_lines AS BIGINT) AS n_lines FROM m")
 def agg17_merged_hunks(s: SparkSession, d: str) -> DataFrame:
     rows = _hunks(s, d).where("file = 0").withColumn("hunk", F.struct("ref", "hunk"))
     return trace.merged(rows, "path").select("path", "hunks", "old_start", "old_end", "new_start", "new_end", F.size("lines").cast("long").alias("n_lines"))
@@ -144,7 +144,7 @@ def jon20_missing_quotas(s: SparkSession, d: str) -> DataFrame:
     return trace.missing_quotas(items, trace.placeholder_requirements(items).where(KEPT))
 
 
-@query(f"WITH {HK}, {ITEMS}, {UNRESOLVED} SELECT ref, 'item' AS what, path, symbol, start_line, end_line FROM it WHERE ref % 3 = 0 AND item = 0 UNION ALL SELECT ref, 'hunk', path, NULL, CASE WHEN new_start = 0 THEN old_start ELSE new_start END, CASE WHEN new_start = 0 THEN old_start ELSE new_start END FROM un")
+@query(f"WITH {HK}, {ITEMS}, {UNRESOLVED} SELECT ref, 'item' AS what, path, symbol, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM it WHERE ref % 3 = 0 AND item = 0 UNION ALL SELECT ref, 'hunk', path, NULL, CAST(CASE WHEN new_start = 0 THEN old_start ELSE new_start END AS INTEGER), CAST(CASE WHEN new_start = 0 THEN old_start ELSE new_start END AS INTEGER) FROM un")
 def jon21_drift(s: SparkSession, d: str) -> DataFrame:
     items, unresolved = _items(s, d)
     return trace.drift(items, unresolved, trace.placeholder_requirements(items).where(KEPT))

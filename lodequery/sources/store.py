@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +71,13 @@ def collection_reset(rows: DataFrame, path: str, by: str = "collection") -> None
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(by).parquet(path)
 
 
-def token(files: DataFrame) -> int:
-    """A number that changes when the files behind a table do: of their names, sizes and times, summed where they are listed."""
+def token(files: DataFrame) -> int | None:
+    """A number that changes when the files behind a table do, or what is taken of them: of the plan, and of the files' names, sizes
+    and times, summed where they are listed. None for rows that don't come from files."""
+    try:
+        files.select("_metadata")
+    except AnalysisException:
+        return None
     meta = files.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("t")).distinct()
-    return int(meta.agg(F.coalesce(F.sum(F.xxhash64("p", "s", "t").cast("decimal(38,0)")), F.lit(0))).first()[0]) % 2**61
+    total = meta.agg(F.coalesce(F.sum(F.xxhash64("p", "s", "t").cast("decimal(38,0)")), F.lit(0))).first()[0]
+    return (int(total) * 31 + files.semanticHash()) % 2**61

@@ -149,3 +149,50 @@ def test_symbol_table(spark):
     names = spark.createDataFrame([("load_config",), ("ConfigParser",), ("other",)], "name string")
     got = graph.symbol_table(q, names).orderBy(F.desc("overlap"), "name").collect()
     assert [r["name"] for r in got] == ["ConfigParser", "load_config"]
+
+
+def test_lexical_index_follows_rows_and_files(spark, tmp_path):
+    ask = spark.createDataFrame([(1, "cat")], "query_id int, query string")
+    ids = lambda docs: {r["id"] for r in lexical.bm25(docs, ask, 5).collect()}
+    rows = lambda *x: spark.createDataFrame(x, "doc_id int, text string")
+    assert ids(rows((1, "cat"), (2, None))) == {1} and ids(rows((3, "a cat"))) == {3} and ids(rows((4, "")).where("false")) == set()
+    rows((1, "cat"), (2, "cat dog")).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    assert ids(docs) == {1, 2} and ids(docs.where("doc_id = 2")) == {2} and ids(docs) == {1, 2}
+    rows((5, "cat")).write.mode("append").parquet(f"{tmp_path}/t")
+    assert ids(spark.read.parquet(f"{tmp_path}/t")) == {1, 2, 5}
+
+
+def test_tables_are_replaced_and_upserted(spark, tmp_path):
+    from lodequery.sources import store
+
+    rows = lambda *x: spark.createDataFrame(x, "k int, v string")
+    at = f"{tmp_path}/t"
+    get = lambda df: sorted((r["k"], r["v"]) for r in df.collect())
+    assert get(store.upserted(rows((1, "a")), at, ["k"])) == [(1, "a")]
+    assert get(store.upserted(rows((1, "b"), (2, "c")), at, ["k"])) == [(1, "b"), (2, "c")]
+    assert get(store.inserted_or_ignored(rows((2, "x"), (3, "y")), at, ["k"])) == [(1, "b"), (2, "c"), (3, "y")]
+    assert get(store.without(rows((1, "")), at, rows((1, "")), ["k"])) == [(2, "c"), (3, "y")]
+    assert get(store.replaced(rows((9, "z")), at)) == [(9, "z")]
+    store.dropped(spark, at)
+    assert get(store.kept(spark, at, rows((1, "a")))) == []
+
+
+def test_entry_points_put_written_names_first(spark):
+    q = spark.createDataFrame([(1, "why does load_index call HTTPServer in the index server loader"), (2, "nothing here")], "query_id int, query string")
+    names = spark.createDataFrame([("load_index",), ("HTTPServer",), ("IndexServer",), ("index",), ("Loading.index",)], "name string")
+    got = [(r["name"], r["source"]) for r in graph.entry_points(q, names).orderBy("place").collect()]
+    assert got[0] == ("load_index", "extracted_from_query") and got[1][1] == "symbol_table_match" and len(got) == 3
+    assert one(spark, "HTTPServer.get_x", graph.parts_of) == ["http", "server", "get", "x"] and one(spark, "_x and a.b then fooBar", graph.identifiers) == ["a.b", "fooBar"]
+
+
+def test_streams_give_what_batches_give(spark, tmp_path):
+    from lodequery.streaming import flows
+
+    rows = spark.createDataFrame([(i, f"2024-01-0{i % 3 + 1} 10:00:00", "op") for i in range(30)], "k int, t string, operation string").withColumn("ts", F.to_timestamp("t"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    counts = flows.bucket_counts(stream, late="30 days").writeStream.format("memory").queryName("counts").outputMode("complete")
+    flows.finished(counts)
+    want = {(r["begin"], r["n"]) for r in flows.bucket_counts(rows).collect()}
+    assert {(r["begin"], r["n"]) for r in spark.table("counts").collect()} == want and len(want) == 3
