@@ -233,6 +233,18 @@ def test_a_bad_source_does_not_open_its_own_fence(spark):
     assert dropped(of_sources(spark, bad)) >= set(range(600, 710))
 
 
+def test_sources_of_other_habits_judge_one_text_differently(spark):
+    """A text with 0.04 symbols a character passes where such are usual and goes where there are none."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 5))
+    text = lambda marks: " ".join(word() + ("$" if i < marks else "") for i in range(100))
+    rows = [(i, text(16 if i % 2 else 0), "en", "maths" if i % 2 else "prose") for i in range(400)]
+    same = text(20)
+    docs = spark.createDataFrame([*rows, (1000, same, "en", "maths"), (1001, same, "en", "prose")], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs).where("doc_id >= 1000").collect()} == {1000: True, 1001: False}
+    assert dropped(docs) == {1001}
+
+
 def test_rules_of_no_rows_and_repeated_rows(spark):
     docs = frame(spark, ["a b", None])
     assert quality_rules.judge(docs.where("false")).count() == 0 and quality_rules.kept(docs.where("false")).count() == 0
