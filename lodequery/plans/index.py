@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodequery.functions import embed as E
 from lodequery.functions import text as T
-from lodequery.operators import chunking, incremental
+from lodequery.operators import chunking, incremental, lexical
 from lodequery.plans.common import Registry
+from lodequery.sources import store
 from lodequery.sources.tables import table
 
 REGISTRY = Registry()
@@ -230,3 +233,50 @@ def src04_languages_and_exclusions(s: SparkSession, d: str) -> DataFrame:
     folder = F.element_at(F.array(*map(F.lit, ("src", "node_modules", ".git", "out", "a.pem"))), (c % 5 + 1).cast("int"))
     path = F.concat(folder, F.lit("/f"), c.cast("string"), suffix)
     return table(s, d, "pages").select("page_id", T.language(path).alias("language"), T.excluded(path).alias("excluded"))
+
+
+# ---- tables that are written -------------------------------------------------------------------
+
+
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{lexical.shared(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, lang AS collection FROM documents WHERE lang <> 'en' OR doc_id % 3 = 0")
+def snk03_collection_reset(s: SparkSession, d: str) -> DataFrame:
+    """All documents written by language, then English reset to a third of them."""
+    rows, at = table(s, d, "documents").select("doc_id", F.col("lang").alias("collection")), _folder(s, "collections")
+    store.collection_reset(rows, at)
+    store.collection_reset(rows.where("collection = 'en' and doc_id % 3 = 0"), at)
+    return store.kept(s, at, rows)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS version FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 <> 0")
+def snk01_written_upsert(s: SparkSession, d: str) -> DataFrame:
+    rows, at = table(s, d, "documents").select("doc_id"), _folder(s, "upserts")
+    store.upserted(rows.where("doc_id % 5 <> 0").withColumn("version", F.lit("old")), at, ["doc_id"])
+    return store.upserted(rows.where("doc_id % 4 = 0").withColumn("version", F.lit("new")), at, ["doc_id"])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN 'first' ELSE 'second' END AS version FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 <> 0")
+def snk13_first_write_wins(s: SparkSession, d: str) -> DataFrame:
+    rows, at = table(s, d, "documents").select("doc_id"), _folder(s, "inserts")
+    store.inserted_or_ignored(rows.where("doc_id % 5 <> 0").withColumn("version", F.lit("first")), at, ["doc_id"])
+    return store.inserted_or_ignored(rows.where("doc_id % 4 = 0").withColumn("version", F.lit("second")), at, ["doc_id"])
+
+
+@query("SELECT 'node' AS what, 'nation' AS kind, count(*) AS n FROM nation UNION ALL SELECT 'edge', 'contains', count(*) FROM supplier")
+def snk06_graph_artifact(s: SparkSession, d: str) -> DataFrame:
+    """Nodes and edges replaced as tables, and counted by kind and type as they were kept."""
+    nodes = table(s, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit("nation").alias("kind"))
+    edges = table(s, d, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("source"), F.concat(F.lit("s"), "s_suppkey").alias("target"), F.lit("contains").alias("kind"))
+    at = _folder(s, "graph")
+    count = lambda what, df: df.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "kind", "n")
+    return count("node", store.replaced(nodes, f"{at}/nodes")).unionByName(count("edge", store.replaced(edges, f"{at}/edges")))
+
+
+@query("SELECT doc_id, sha256(concat('blob ', octet_length(encode(coalesce(text, ''))), chr(10), coalesce(text, ''))) AS line_sha256 FROM documents")
+def src32_content_lines(s: SparkSession, d: str) -> DataFrame:
+    """What a content's identity is taken of, with a line feed in place of the zero byte; tests hold the identity itself."""
+    text = F.coalesce("text", F.lit(""))
+    return table(s, d, "documents").select("doc_id", F.sha2(F.concat(F.lit("blob "), F.octet_length(text).cast("string"), F.lit("\n"), text), 256).alias("line_sha256"))

@@ -175,3 +175,20 @@ def test_word_vectors_from_a_file(spark, tmp_path):
     (tmp_path / "bad.txt").write_text("cat 1\n")
     with pytest.raises(Exception, match="unexpected line"):
         E.word_vectors(spark, f"{tmp_path}/bad.txt", dim=2).select(F.sum(F.size("vector"))).collect()
+
+
+def test_files_are_discovered_and_read(spark, tmp_path):
+    from lodequery.sources import files
+
+    for name, data in {"src/a.py": b"x = 1", "src/b.MD": b"# t\xff", "out/c.py": b"c", "src/d.bin": b"1", "a/e.sql": b"s", "a-b/f.go": b"f", "src/_hidden.py": b"h", "src/empty.py": b""}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    every = files.all_files(spark, str(tmp_path))
+    assert [r["path"] for r in files.discovered(every).collect()] == ["a/e.sql", "a-b/f.go", "src/a.py", "src/b.MD"]
+    docs = {r["path"]: (r["text"], r["doc_type"], r["language"]) for r in files.documents(every).collect()}
+    assert docs["src/b.MD"] == ("# t", "doc", "markdown") and docs["src/a.py"] == ("x = 1", "code", "python")
+    ids = {r["path"]: r["i"] for r in every.select("path", files.content_id(F.col("content")).alias("i")).collect()}
+    assert set(ids) == {"src/a.py", "src/b.MD", "out/c.py", "src/d.bin", "a/e.sql", "a-b/f.go"}
+    empty = spark.range(1).select(files.content_id(F.lit(b""))).first()[0]
+    assert empty == "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"
+    assert spark.range(1).select(files.content_id(F.lit(None).cast("binary"))).first()[0] == "-"
