@@ -143,3 +143,18 @@ def text_batches(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> It
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def whole(embedding: Column) -> Column:
+    """Whether a vector is there and all its components are finite numbers."""
+    return embedding.isNotNull() & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def matrices(batch: pa.RecordBatch, column: str = "x") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of the vectors in a batch: which rows have it, and their vectors as a matrix of longs."""
+    held = batch.column(column)
+    begin = np.asarray(held.offsets).astype(np.int64)
+    size, flat = np.diff(begin), np.asarray(held.values)
+    for d in np.unique(size):
+        rows = np.flatnonzero(size == d)
+        yield rows, flat[begin[rows][:, None] + np.arange(d)]
