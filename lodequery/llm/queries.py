@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequery.llm import byte_bpe, jaccard_join, metric_search, packing, pii, pitman_yor, quality_model, quality_rules, secrets, toxicity, vector_codes, whitening
+from lodequery.llm import byte_bpe, jaccard_join, metric_search, packing, pii, pitman_yor, quality_model, quality_rules, secrets, suffix_dedup, toxicity, vector_codes, whitening
 from lodequery.llm.common import table
 
 
@@ -63,6 +63,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that repeat, in strings of 50 bytes, from documents of smaller id; null texts are empty."""
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code and error of every whole vector, with the errors of its label and the hash of the codebooks."""
     return vector_codes.code(table(spark, sf_dir, "embeddings"))
@@ -80,6 +85,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pitman_yor, op2_quality_rules, op3_secret_scan, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_metric_search, op8_quality_classifier, op9_byte_bpe, op10_packing, op12_vector_codes, op13_whitening, pipeline)
+    for f in (op1_pitman_yor, op2_quality_rules, op3_secret_scan, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_metric_search, op8_quality_classifier, op9_byte_bpe, op10_packing, op11_suffix_dedup, op12_vector_codes, op13_whitening, pipeline)
 }
-ORACLES: dict[str, str] = {"op7_metric_search": metric_search.ORACLE, "op12_vector_codes": vector_codes.ORACLE}
+ORACLES: dict[str, str] = {"op7_metric_search": metric_search.ORACLE, "op11_suffix_dedup": suffix_dedup.ORACLE, "op12_vector_codes": vector_codes.ORACLE}
