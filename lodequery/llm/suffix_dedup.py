@@ -219,7 +219,7 @@ def multikey(symbols: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, new
 
 
-def removed(docs: DataFrame, length: int = 50, bucket_bytes: int = 64 << 20, flush_bytes: int = 32 << 20, most_rows: int = 4096, rows_per_task: int = 200_000, sample_bytes: int = 32 << 20, most_broadcast: int = 64 << 20, segment: int = 1 << 18) -> DataFrame:
+def removed(docs: DataFrame, length: int = 50, bucket_bytes: int = 32 << 20, flush_bytes: int = 16 << 20, most_rows: int = 4096, rows_per_task: int = 200_000, sample_bytes: int = 32 << 20, most_broadcast: int = 64 << 20, segment: int = 1 << 18) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, text).
 
     bucket_bytes: text whose anchors one task gathers; flush_bytes: text whose anchors a task compares before it sends them;
