@@ -102,19 +102,23 @@ def imported(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes.where("kind = 'module'").select(F.col("id").alias("target")), "target", "left_semi").select("source", "target", F.lit("imports").alias("type"))
 
 
-def extracted(docs: DataFrame, most: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Nodes and distinct edges (source, target, type) of docs (path, text, doc_type, language). A call whose name has more than `most` definitions gives no edge."""
-    found = facts(docs)
+def joined(docs: DataFrame, found: DataFrame, texts: DataFrame, most: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Nodes and distinct edges (source, target, type) of facts, of files (path, doc_type) and of the texts (doc_id, text) that may mention symbols.
+    A call whose name has more than `most` definitions gives no edge."""
     nodes = nodes_of(docs, found)
     symbols = nodes.where("qualname is not null").select("id", "name")
     sites = found.where("fact = 'call'").select(F.concat_ws("::", "path", "source").alias("source"), F.col("name").alias("callee"))
     calls = graph.resolved_calls(sites, symbols, most).withColumn("type", F.lit("calls"))
-    texts = docs.where("doc_type = 'doc'").select(F.col("path").alias("doc_id"), "text")
     mentions = graph.mentions(texts, symbols).select(F.col("doc_id").alias("source"), F.col("id").alias("target"), F.lit("mentions").alias("type"))
     edges = contained(nodes).unionByName(calls).unionByName(inherited(found, nodes)).unionByName(imported(found, nodes)).unionByName(mentions)
     return nodes, edges.distinct()
 
 
+def extracted(docs: DataFrame, most: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Nodes and distinct edges of docs (path, text, doc_type, language)."""
+    return joined(docs, facts(docs), docs.where("doc_type = 'doc'").select(F.col("path").alias("doc_id"), "text"), most)
+
+
 def one_type_a_pair(edges: DataFrame) -> DataFrame:
     """Edges as a graph without parallel edges keeps them: of several types of a pair the last by name."""
     return edges.groupBy("source", "target").agg(F.max("type").alias("type"))

@@ -1,10 +1,14 @@
 """BM25 retrieval for batches of queries over a stored index of postings.
 
-The index is built by one pass over the documents: postings, a row a term, and one row of sizes, each
-written as Parquet. Statistics are sums by term with partial aggregation; a query touches the postings of its own terms
-only. No hot term gathers rows in one task: scoring joins on the term and sums by (query, document).
+Texts are shuffled by document, so that a document's terms are counted where it is; postings, a row for each term of a document, are shuffled
+once, into a folder for each bucket of terms, sorted by term. Statistics are sums by term with partial aggregation. The buckets that a batch of
+queries has are filtered before the join, so other folders aren't read. No hot term gathers rows in one task: scoring joins on the term
+and sums by (query, document).
 
-Null texts count as one empty token, as do texts without any; a document id that repeats counts as one document; queries without tokens have
+An index lives in a versioned folder (sources/versions.py) whose name is that of the table's files and of what is taken of them: whichever session
+asks first builds it, others that share the folder open it. index.py holds the form that is brought up by segments.
+
+Null texts count as one empty token, as do texts without any; a document id that repeats counts as one document of several texts' postings; queries without tokens have
 no hits; empty tables give empty results; extra columns are ignored.
 """
 
@@ -16,33 +20,49 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodequery.functions.text import indexed_tokens, tokens
-from lodequery.sources import store
+from lodequery.sources import store, versions
 
 #: Fixed values of the Okapi form.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Folders that postings are dealt into by term.
+BUCKETS = 32
+
+
+def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def dealt(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows with a term, with its bucket, each bucket's in one task and sorted by term."""
+    return rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term")
+
+
+def repeats(docs: DataFrame, id_: str) -> bool:
+    """Whether an id has several rows."""
+    return not docs.groupBy(id_).count().where("count > 1").isEmpty()
 
 
 def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, term, tf and len (tokens of the document) for all rows."""
-    rows = docs.select(F.col(id_).alias("id"), indexed_tokens(F.col(text)).alias("t"))
+    """id, len (tokens of the document), term and tf for all rows; texts are shuffled by id, tokens aren't."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't made smaller: tokens are many times the text's rows
+    rows = docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).repartition(n, "id").select("id", indexed_tokens(F.col("text")).alias("t"))
     return rows.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def statistics(post: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per term df and idf (a negative one becomes EPSILON times the mean of all), and one row of n and avgdl."""
-    size = post.groupBy("id").agg(F.max("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+def weighted(df: DataFrame, size: DataFrame) -> DataFrame:
+    """term, df and idf (a negative one becomes EPSILON times the mean of all), of df by term and one row of n."""
     raw = df.join(F.broadcast(size)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    return raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf")), size
+    return raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
 
 
 @dataclass
 class Index:
-    """Stored postings (id, len, term, tf), terms (term, df, idf) and sizes (one row: n, avgdl)."""
+    """Stored postings (id, len, term, tf and, where they are dealt into folders, bucket), terms (term, df, idf) and sizes (one row: n, avgdl)."""
 
     postings: DataFrame
     terms: DataFrame
@@ -60,27 +80,50 @@ def shared(spark: SparkSession) -> str:
     return path
 
 
-def built(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text") -> Index:
-    """The index of docs, written to path in place of what was there; postings are sorted by term within files, so that reads skip."""
-    post = store.replaced(postings(docs, id_, text).repartition("term").sortWithinPartitions("term"), f"{path}/postings")
-    terms, sizes = statistics(post)
-    sizes = store.replaced(sizes, f"{path}/sizes")
-    return Index(post, store.replaced(terms, f"{path}/terms"), sizes)
+def _schemas(id_type: str) -> dict[str, StructType]:
+    read = StructType.fromDDL
+    return {"postings": read(f"id {id_type}, len int, term string, tf long, bucket int"), "terms": read("term string, df long, idf double"), "sizes": read("n long, avgdl double")}
+
+
+def opened(spark: SparkSession, path: str) -> Index | None:
+    """The index kept in a folder; None where there is none."""
+    _, state = versions.last(spark, path)
+    if not state:
+        return None
+    part = {t: versions.read(spark, path, t, [state["segment"]], schema).drop("_seg") for t, schema in _schemas(state["id"]).items()}
+    return Index(part["postings"], part["terms"], part["sizes"])
 
 
-_KNOWN: dict[tuple, Index] = {}
+def built(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text") -> Index:
+    """The index of docs, written to path; where another writer commits first, that one's index of the same documents stands."""
+    spark, (seen, _) = docs.sparkSession, versions.last(docs.sparkSession, path)
+    kind, segment = docs.select(id_).schema.fields[0].dataType.simpleString(), versions.new_segment(seen)
+    schemas = _schemas(kind)
+    several = repeats(docs, id_)
+    versions.write(dealt(postings(docs, id_, text)), path, "postings", segment, "bucket")
+    post = versions.read(spark, path, "postings", [segment], schemas["postings"])
+    if several:
+        sizes = post.groupBy("id").agg(F.max("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    else:  # every document has a token at least
+        n = docs.count()
+        sizes = post.agg(F.lit(n).cast("long").alias("n"), (F.sum("tf") / n if n else F.lit(None).cast("double")).alias("avgdl"))
+    versions.write(sizes, path, "sizes", segment)
+    counted = post.groupBy("term").agg(F.count("*").alias("df"))
+    versions.write(weighted(counted, versions.read(spark, path, "sizes", [segment], schemas["sizes"])), path, "terms", segment)
+    try:
+        versions.committed(spark, path, seen, {"segment": segment, "id": kind})
+    except versions.Conflict:
+        pass
+    return opened(spark, path)
 
 
 def indexed(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Index:
-    """The session's index of a table of files, built when it isn't there or its files have changed; other rows are indexed anew."""
-    spark, state = docs.sparkSession, store.token(docs)
-    key = (spark.sparkContext.applicationId, state, id_, text)
-    if state is None or key not in _KNOWN:
-        made = built(docs, f"{shared(spark)}/lexical-{uuid.uuid4().hex}", id_, text)
-        if state is None:
-            return made
-        _KNOWN[key] = made
-    return _KNOWN[key]
+    """The index of a table of files, opened where a session has built it for these files, else built; other rows are indexed anew."""
+    spark, state = docs.sparkSession, store.token(docs.select(id_, text))
+    if state is None:
+        return built(docs, f"{shared(spark)}/lexical-{uuid.uuid4().hex}", id_, text)
+    path = f"{shared(spark)}/lexical-{state}"
+    return opened(spark, path) or built(docs, path, id_, text)
 
 
 def query_terms(queries: DataFrame, id_: str = "query_id", text: str = "query") -> DataFrame:
@@ -98,10 +141,21 @@ def ranked(rows: DataFrame, k: int, score: str = "score", id_: str = "id", by: s
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def scored(index: Index, queries: DataFrame, keep: DataFrame | None = None, digits: int = 6) -> DataFrame:
-    """query_id, id, score of documents that share a token with the query; keep: the documents (id) that may come back."""
-    terms = query_terms(queries).join(index.terms, "term")
-    hits = index.postings if keep is None else index.postings.join(keep.select("id"), "id", "left_semi")
+def scored(index: Index, queries: DataFrame, keep: DataFrame | None = None, digits: int = 6, most_broadcast: int = 200_000) -> DataFrame:
+    """query_id, id, score of documents that share a token with the query; keep: the documents (id) that may come back.
+
+    Up to `most_broadcast` terms of queries are broadcast to the postings; more are joined by a shuffle.
+    """
+    terms, hits = query_terms(queries), index.postings
+    found = terms.select(bucket_of(F.col("term")).alias("bucket")).groupBy("bucket").count().collect()  # BUCKETS rows at most
+    if sum(r["count"] for r in found) <= most_broadcast:
+        terms = F.broadcast(terms)
+    terms = index.terms.select("term", "idf").join(terms, "term")
+    if sum(r["count"] for r in found) <= most_broadcast:
+        terms = F.broadcast(terms)
+    if "bucket" in hits.columns:
+        hits = hits.where(F.col("bucket").isin([r["bucket"] for r in found]))
+    hits = hits if keep is None else hits.join(keep.select("id"), "id", "left_semi")
     part = F.col("times") * score_of(F.col("tf"), F.col("len"), F.col("avgdl"), F.col("idf"))
     return hits.join(terms, "term").join(F.broadcast(index.sizes)).groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
 

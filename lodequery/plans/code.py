@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodequery.operators import evaluate, extraction, graph, lexical
+from lodequery.operators import index as kept_index
 from lodequery.plans.common import Registry
 from lodequery.sources import store
-from lodequery.sources.tables import table, telemetry
+from lodequery.sources.tables import table
 from lodequery.streaming import flows
 
 REGISTRY = Registry()
@@ -57,6 +58,16 @@ def grf01_edges(s: SparkSession, d: str) -> DataFrame:
     return extraction.extracted(_sources(s, d))[1]
 
 
+@query(f"{GRAPH} SELECT source, target, type FROM ed")
+def idx05_graph_of_a_kept_index(s: SparkSession, d: str) -> DataFrame:
+    """Edges over the facts of an index that was built over other sources and brought up: unchanged files aren't parsed again."""
+    now, at = _sources(s, d).withColumn("mtime", F.lit(2)), f"{lexical.shared(s)}/index-{uuid.uuid4().hex}"
+    other = F.when(F.col("path").rlike(r"[05]\.(py|md)$"), F.concat("text", F.lit("\ndef former():\n    shared_help()\n"))).otherwise(F.col("text"))
+    before = now.where(~F.col("path").rlike(r"3\.(py|md)$")).withColumn("mtime", F.when(F.col("path").rlike(r"[05]\.(py|md)$"), 1).otherwise(2)).withColumn("text", other)
+    kept_index.build(before.unionByName(now.limit(1).withColumn("path", F.lit("gone.py"))), at, vectors=False)
+    return kept_index.bring_up(now, at)[0].graph()[1]
+
+
 @query(f"{GRAPH} SELECT source, target FROM ed WHERE type = 'inherits'")
 def jon08_bases(s: SparkSession, d: str) -> DataFrame:
     docs = _sources(s, d)
@@ -190,18 +201,35 @@ def evl05_unknown_references(s: SparkSession, d: str) -> DataFrame:
 # ---- streams -----------------------------------------------------------------------------------
 
 
+def _fed(s: SparkSession, d: str, rows: DataFrame, parts: int, work, batch: str | None = None) -> DataFrame:
+    """A stream over rows, written as `parts` files that arrive one a batch, run to its end; what work(stream, folder) gives.
+
+    batch: an expression that numbers the batches from 0; files arrive in that order.
+    """
+    at = f"{lexical.shared(s)}/stream-{uuid.uuid4().hex}"
+    if batch is None:
+        rows.repartition(parts).write.parquet(f"{at}/in")
+    else:
+        for i in range(parts):  # files are taken by age
+            rows.where(f"{batch} = {i}").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return work(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), at)
+
+
 @query("SELECT date_trunc('day', ts) AS begin, event_type AS operation, count(*) AS n FROM events GROUP BY 1, 2")
 def str01_day_counts(s: SparkSession, d: str) -> DataFrame:
-    """The streaming plan's operators over the table as one batch; tests run it as a stream."""
-    rows = table(s, d, "events").withColumnRenamed("event_type", "operation")
-    return flows.bucket_counts(rows).withColumn("begin", F.col("begin").cast("timestamp_ntz"))
+    """Counts of a stream of six batches in the order of time, its windows closed by the watermark; a last row far ahead closes the last."""
+    rows = table(s, d, "events").select("ts", F.col("event_type").alias("operation"))
+    span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    ahead = span.select((F.col("b") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit("end").alias("operation"), F.lit(6).alias("part"))
+    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    part = F.least(F.lit(5), F.floor(6 * (seconds("ts") - seconds("a")) / (1 + seconds("b") - seconds("a"))).cast("int"))
+    fed = rows.join(F.broadcast(span)).select("ts", "operation", part.alias("part")).unionByName(ahead)
 
+    def work(stream: DataFrame, at: str) -> DataFrame:
+        flows.finished(flows.bucket_counts(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode("append"))
+        return s.read.schema("begin timestamp, operation string, n long").parquet(f"{at}/out")
 
-def _fed(s: SparkSession, d: str, rows: DataFrame, parts: int, work) -> DataFrame:
-    """A stream over rows, written as `parts` files that arrive one a batch, run to its end; what work(stream, folder) gives."""
-    at = f"{lexical.shared(s)}/stream-{uuid.uuid4().hex}"
-    rows.repartition(parts).write.parquet(f"{at}/in")
-    return work(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), at)
+    return _fed(s, d, fed, 7, work, "part").where("operation <> 'end' or operation is null").withColumn("begin", F.col("begin").cast("timestamp_ntz"))
 
 
 @query("SELECT content_hash, count(*) AS n FROM (SELECT DISTINCT sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL) GROUP BY 1")
@@ -216,30 +244,36 @@ def str03_ingested_once(s: SparkSession, d: str) -> DataFrame:
 
 
 def _states(s, d):
+    """States of every document's file over eight batches: it comes in one, a third change in a later one, a seventh go in one after that, and
+    some of these come again in the last."""
     c = F.col
     docs = table(s, d, "documents")
-    row = lambda when, mtime, text, gone: docs.where(when).select(F.concat(F.lit("d"), "doc_id").alias("path"), mtime.alias("mtime"), F.sha2(text, 256).alias("content_hash"), F.lit("v").alias("logic_version"), F.lit(gone).alias("gone"))
-    return row("true", c("n_chars"), F.concat("text", F.lit("!")), False).unionByName(row("doc_id % 3 = 0", c("n_chars") + 1, c("text"), False)).unionByName(row("doc_id % 7 = 0", c("n_chars") + 2, c("text"), True))
+    row = lambda when, part, mtime, text, gone: docs.where(when).select(F.concat(F.lit("d"), "doc_id").alias("path"), mtime.alias("mtime"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("content_hash"), F.lit("v").alias("logic_version"), F.lit(gone).alias("gone"), part.cast("int").alias("part"))
+    first = row("true", c("doc_id") % 3, c("n_chars"), F.concat("text", F.lit("!")), False)
+    second = row("doc_id % 3 = 0", 3 + c("doc_id") % 2, c("n_chars") + 1, c("text"), False)
+    third = row("doc_id % 7 = 0", 5 + c("doc_id") % 2, c("n_chars") + 2, c("text"), True)
+    return first.unionByName(second).unionByName(third).unionByName(row("doc_id % 21 = 0", F.lit(7), c("n_chars") + 3, F.concat("text", F.lit("?")), False))
 
 
-@query("SELECT concat('d', doc_id) AS path, sha256(CASE WHEN doc_id % 3 = 0 THEN text ELSE text || '!' END) AS content_hash FROM documents WHERE doc_id % 7 <> 0")
+@query("SELECT concat('d', doc_id) AS path, sha256(coalesce(CASE WHEN doc_id % 21 = 0 THEN text || '?' WHEN doc_id % 3 = 0 THEN text ELSE text || '!' END, '')) AS content_hash, CAST(n_chars + CASE WHEN doc_id % 21 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS mtime FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 21 = 0")
 def str04_manifest_kept_up(s: SparkSession, d: str) -> DataFrame:
     rows = _states(s, d)
 
     def work(stream: DataFrame, at: str) -> DataFrame:
-        flows.finished(flows.kept_up(stream, f"{at}/manifest", f"{at}/log"))
-        return store.kept(s, f"{at}/manifest", rows.drop("gone"))
+        flows.finished(flows.kept_up(stream.drop("part"), f"{at}/manifest", f"{at}/log"))
+        return store.kept(s, f"{at}/manifest", rows.drop("gone", "part"))
 
-    return _fed(s, d, rows, 1, work).select("path", "content_hash")
+    return _fed(s, d, rows, 8, work, "part").select("path", "content_hash", "mtime")
 
 
-@query("SELECT concat('d', doc_id) AS path, sha256(text) AS content_hash FROM documents")
+@query("SELECT concat('d', doc_id) AS path, sha256(coalesce(CASE WHEN doc_id % 21 = 0 THEN text || '?' ELSE text END, '')) AS content_hash FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 21 = 0 OR doc_id % 2 = 0")
 def str06_reconciled(s: SparkSession, d: str) -> DataFrame:
+    """Every sixth batch the state of all files replaces the manifest; the seventh and eighth change that."""
     rows = _states(s, d)
-    full = lambda: table(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("path"), F.col("n_chars").alias("mtime"), F.sha2("text", 256).alias("content_hash"), F.lit("v").alias("logic_version"))
+    full = lambda: table(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("path"), F.col("n_chars").alias("mtime"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.lit("v").alias("logic_version"))
 
     def work(stream: DataFrame, at: str) -> DataFrame:
-        flows.finished(flows.kept_up(stream, f"{at}/manifest", f"{at}/log", 1, full))
-        return store.kept(s, f"{at}/manifest", rows.drop("gone"))
+        flows.finished(flows.kept_up(stream.drop("part"), f"{at}/manifest", f"{at}/log", 6, full))
+        return store.kept(s, f"{at}/manifest", rows.drop("gone", "part"))
 
-    return _fed(s, d, rows, 1, work).select("path", "content_hash")
+    return _fed(s, d, rows, 8, work, "part").select("path", "content_hash")

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from lodequery.functions import embed as E
 from lodequery.functions import text as T
 from lodequery.operators import chunking, incremental, lexical
+from lodequery.operators import index as kept_index
 from lodequery.plans.common import Registry
-from lodequery.sources import store
+from lodequery.plans.retrieval import POSTINGS, TOKENS
+from lodequery.sources import files, store
 from lodequery.sources.tables import table
 
 REGISTRY = Registry()
@@ -28,6 +30,10 @@ anc AS (SELECT s.id, s.section, string_agg(a.heading, ' > ' ORDER BY a.section)
 fin AS (SELECT sec.*, coalesce(heading_path, '') AS heading_path, row_number() OVER (PARTITION BY sec.id ORDER BY sec.section) - 1 AS ordinal FROM sec LEFT JOIN anc USING (id, section) WHERE sec.section > 0 OR regexp_matches(text, '\S'))"""
 
 
+#: The same with the headings of a path joined as a flat payload has them.
+SLASHED = SECTIONS.replace("' > '", "'/'")
+
+
 def _marked(s: SparkSession, d: str) -> DataFrame:
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.repeat(F.lit("#"), (F.floor(i / 5) % 3 + 1).cast("int")), F.lit(" "), x)).otherwise(x))
     return table(s, d, "documents").withColumn("text", F.array_join(lines, "\n"))
@@ -61,7 +67,7 @@ def chk05_capped_chunks(s: SparkSession, d: str) -> DataFrame:
     return chunking.cap(rows, 200, 20)
 
 
-@query(f"WITH {SECTIONS}, p AS (SELECT concat(id, '#', ordinal) AS chunk_id, id, start_line, heading_path, text FROM fin) SELECT chunk_id, concat('p/', id) AS path, concat('', start_line) AS start_line, nullif(heading_path, '') AS heading_path, CAST(NULL AS VARCHAR) AS qualname, 'markdown' AS chunker FROM p WHERE id IN (SELECT doc_id FROM documents WHERE lang <> 'en')")
+@query(f"WITH {SLASHED}, p AS (SELECT concat(id, '#', ordinal) AS chunk_id, id, start_line, heading_path, text FROM fin) SELECT chunk_id, concat('p/', id) AS path, concat('', start_line) AS start_line, nullif(heading_path, '') AS heading_path, CAST(NULL AS VARCHAR) AS qualname, 'markdown' AS chunker FROM p WHERE id IN (SELECT doc_id FROM documents WHERE lang <> 'en')")
 def chk09_flat_payloads(s: SparkSession, d: str) -> DataFrame:
     docs = _typed(s, d).where("doc_type = 'doc'")
     none = F.lit(None).cast("string")
@@ -69,11 +75,7 @@ def chk09_flat_payloads(s: SparkSession, d: str) -> DataFrame:
     rows = chunking.payload(sections, docs)
     fields = {f.name: f.dataType.simpleString() for f in rows.schema["payload"].dataType.fields}
     flat = rows.select("chunk_id", chunking.flat_payload(F.col("payload"), fields).alias("m"))
-    value = lambda k: F.try_element_at("m", F.lit(k))
-    # the path's parts are joined by /, in the twin by " > "
-    return flat.select("chunk_id", value("path").alias("path"), value("start_line").alias("start_line"), F.when(value("heading_path").isNotNull(), value("heading_path")).alias("_h"), value("qualname").alias("qualname"), value("chunker").alias("chunker")).join(
-        sections.select("chunk_id", F.array_join("heading_path", "/").alias("_h"), F.array_join("heading_path", " > ").alias("heading_path")), ["chunk_id", "_h"], "left"
-    ).drop("_h")
+    return flat.select("chunk_id", *(F.try_element_at("m", F.lit(k)).alias(k) for k in ("path", "start_line", "heading_path", "qualname", "chunker")))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[0-9a-zA-Z]+')) AS n, sha256(array_to_string(regexp_extract_all(text, '[0-9a-zA-Z]+'), ' ')) AS tokens_sha256 FROM documents")
@@ -187,8 +189,10 @@ def snk08_manifest_delta(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CHUNKS} SELECT concat(doc_id, '#', ordinal) AS chunk_id FROM ck WHERE CAST(substr(doc_id, 2) AS BIGINT) % 3 <> 0")
 def snk02_deleted_ids(s: SparkSession, d: str) -> DataFrame:
-    own = _chunks(s, d)
-    return incremental.without(own, own.where("CAST(substr(doc_id, 2) AS BIGINT) % 3 = 0").select("chunk_id"), ["chunk_id"]).select("chunk_id")
+    """Chunks written as a table, then a third deleted from it by id."""
+    own, at = _chunks(s, d).select("chunk_id", "doc_id"), _folder(s, "deletes")
+    store.replaced(own, at)
+    return store.without(own.where("CAST(substr(doc_id, 2) AS BIGINT) % 3 = 0"), at, own, ["chunk_id"]).select("chunk_id")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'full' WHEN doc_id % 4 = 1 AND doc_id % 3 = 0 THEN 'full' WHEN doc_id % 4 = 2 AND doc_id % 7 >= 5 THEN 'full' ELSE 'incremental' END AS mode FROM documents")
@@ -275,8 +279,76 @@ def snk06_graph_artifact(s: SparkSession, d: str) -> DataFrame:
     return count("node", store.replaced(nodes, f"{at}/nodes")).unionByName(count("edge", store.replaced(edges, f"{at}/edges")))
 
 
-@query("SELECT doc_id, sha256(concat('blob ', octet_length(encode(coalesce(text, ''))), chr(10), coalesce(text, ''))) AS line_sha256 FROM documents")
-def src32_content_lines(s: SparkSession, d: str) -> DataFrame:
-    """What a content's identity is taken of, with a line feed in place of the zero byte; tests hold the identity itself."""
-    text = F.coalesce("text", F.lit(""))
-    return table(s, d, "documents").select("doc_id", F.sha2(F.concat(F.lit("blob "), F.octet_length(text).cast("string"), F.lit("\n"), text), 256).alias("line_sha256"))
+@query("""WITH x AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents WHERE doc_id % 5 <> 0), y AS (SELECT doc_id, unhex(hex(encode(concat('blob ', octet_length(b)))) || '00' || hex(b)) AS whole FROM x)
+SELECT doc_id, sha1(whole) AS content_id FROM y UNION ALL SELECT doc_id, '-' FROM documents WHERE doc_id % 5 = 0""")
+def src32_content_ids(s: SparkSession, d: str) -> DataFrame:
+    """The identities of the documents' bytes; one in five has no file."""
+    content = F.when(F.col("doc_id") % 5 != 0, F.coalesce("text", F.lit("")).cast("binary"))
+    return table(s, d, "documents").select("doc_id", files.content_id(content).alias("content_id"))
+
+
+# ---- an index that is kept ---------------------------------------------------------------------
+
+SECTION_TERMS = f"""{SECTIONS},
+tok AS (SELECT concat('d', id, '.md#', ordinal) AS id, CASE WHEN len(t) = 0 THEN [''] ELSE t END AS t FROM (SELECT id, ordinal, {TOKENS.format("text")} AS t FROM fin)),
+post AS{POSTINGS.split("post AS", 1)[1]}"""
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    """The documents as Markdown files, each fifth line a heading."""
+    return _marked(s, d).select(F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("path"), "text", F.lit("doc").alias("doc_type"), F.lit("markdown").alias("language"), F.col("n_chars").alias("mtime"), "doc_id")
+
+
+def _before(s: SparkSession, d: str) -> DataFrame:
+    """The files as they were: some of other texts, some that aren't there, some that are gone by now."""
+    old = _files(s, d)
+    other = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("# former\nzebra "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    gone = old.where("doc_id % 25 = 0").withColumn("path", F.concat(F.lit("gone/"), "path"))
+    return old.where("doc_id % 20 <> 7").withColumn("text", other).withColumn("mtime", F.when(F.col("doc_id") % 10 == 3, F.col("mtime") - 1).otherwise(F.col("mtime"))).unionByName(gone)
+
+
+@query(f"WITH {SECTION_TERMS} SELECT term, df, round(idf, 9) AS idf FROM idf")
+def idx01_built_index(s: SparkSession, d: str) -> DataFrame:
+    """Statistics of the terms of an index over chunks, built in one call from all files."""
+    kept = kept_index.build(_files(s, d), _folder(s, "index"), most_tokens=2**20, vectors=False)
+    return kept.lexical().terms.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(f"WITH {SECTION_TERMS} SELECT term, df, round(idf, 9) AS idf FROM idf")
+def idx02_brought_up_index(s: SparkSession, d: str) -> DataFrame:
+    """The same statistics of an index that was built over the files as they were and then brought up."""
+    at = _folder(s, "index")
+    kept_index.build(_before(s, d), at, most_tokens=2**20, vectors=False)
+    kept, _ = kept_index.bring_up(_files(s, d), at)
+    return kept.lexical().terms.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query("SELECT count_if(doc_id % 20 = 7) AS new, count_if(doc_id % 10 = 3) AS modified, count_if(doc_id % 25 = 0 AND doc_id % 20 <> 7) AS deleted, count_if(doc_id % 20 <> 7 AND doc_id % 10 <> 3) AS unchanged FROM documents")
+def idx08_counts_of_a_run(s: SparkSession, d: str) -> DataFrame:
+    """What a run over a kept index found new, modified, deleted and unchanged."""
+    at = _folder(s, "index")
+    small = lambda df: df.withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, 40))
+    kept_index.build(small(_before(s, d)), at, vectors=False)
+    found = kept_index.bring_up(small(_files(s, d)), at)[1]
+    return s.createDataFrame([tuple(found[k] for k in ("new", "modified", "deleted", "unchanged"))], "new long, modified long, deleted long, unchanged long")
+
+
+@query(f"""WITH {SECTION_TERMS}, qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT query_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM post JOIN qt USING (term) JOIN idf USING (term), size GROUP BY query_id, id)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc) WHERE rank <= 5""")
+def src16_search_of_a_kept_index(s: SparkSession, d: str) -> DataFrame:
+    """BM25 over an index that was built over older files, brought up, compacted, and opened again from its folder."""
+    at = _folder(s, "index")
+    kept_index.build(_before(s, d), at, most_tokens=2**20, vectors=False)
+    kept_index.bring_up(_files(s, d), at)
+    kept_index.compact(s, at)
+    items = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return kept_index.search(kept_index.opened(s, at), items, 5)
+
+
+@query("SELECT concat('d', doc_id, '.md') AS path, sha256(coalesce(text, '')) AS content_hash, n_chars AS mtime FROM (SELECT id AS doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM mk GROUP BY 1) JOIN documents_chars USING (doc_id)".replace("SELECT concat", f"WITH {MARKED}, documents_chars AS (SELECT doc_id, n_chars FROM documents) SELECT concat", 1))
+def src12_manifest_of_an_index(s: SparkSession, d: str) -> DataFrame:
+    """The manifest that a kept index has after it was brought up."""
+    at = _folder(s, "index")
+    kept_index.build(_before(s, d), at, vectors=False)
+    return kept_index.bring_up(_files(s, d), at)[0].files.select("path", "content_hash", "mtime")

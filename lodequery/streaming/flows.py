@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from lodequery.operators import incremental
 from lodequery.sources import store
 
 
@@ -29,12 +28,12 @@ def first_seen(rows: DataFrame, by: list[str], ts: str, late: str = "1 day") ->
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(by)
 
 
-def ingested(rows: DataFrame, path: str, by: list[str], checkpoint: str) -> DataStreamWriter:
-    """Appends rows of keys that the table at path doesn't have, batch by batch: the first write of a key wins, for ever."""
+def ingested(rows: DataFrame, path: str, by: list[str], checkpoint: str, order: tuple[str, ...] = ()) -> DataStreamWriter:
+    """Adds rows of keys that the table at path doesn't have, batch by batch: the first write of a key wins, for ever; inside a batch the first by `order`."""
     like = rows.sparkSession.createDataFrame([], rows.schema)
 
     def put(batch: DataFrame, _: int) -> None:
-        store.inserted_or_ignored(batch.select(*like.columns), path, by)
+        store.inserted_or_ignored(batch.select(*like.columns), path, by, order)
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
@@ -42,8 +41,10 @@ def ingested(rows: DataFrame, path: str, by: list[str], checkpoint: str) -> Data
 def kept_up(files: DataFrame, manifest: str, checkpoint: str, reconcile_every: int = 0, full=None) -> DataStreamWriter:
     """Brings the manifest at a path up with a stream of file states (path, mtime, content_hash, logic_version, gone).
 
-    Of a path's rows in a batch the one of latest mtime counts; gone paths leave the manifest. Every
-    `reconcile_every` batches (0: never) the manifest is replaced by full(), the state of all files.
+    Of a path's rows in a batch the one of latest mtime counts, of equal ones that of the largest hash; a batch's states count after those of the batches before;
+    gone paths leave the manifest. A batch writes its own paths alone, as a segment (sources/store.py), and reads nothing of the manifest; a batch that
+    runs again writes the same rows once more, which changes nothing. Every `reconcile_every` batches (0: never) full(), the state of all files, takes the
+    manifest's place, and between them compacted() may make its segments one.
     """
     columns = ["path", "mtime", "content_hash", "logic_version"]
 
@@ -51,10 +52,10 @@ def kept_up(files: DataFrame, manifest: str, checkpoint: str, reconcile_every: i
         if full is not None and reconcile_every > 0 and (n + 1) % reconcile_every == 0:
             store.replaced(full().select(*columns), manifest)
             return
-        last = batch.groupBy("path").agg(F.max_by(F.struct("mtime", "content_hash", "logic_version", "gone"), F.struct("mtime", "content_hash")).alias("x")).select("path", "x.*")
-        state = store.kept(batch.sparkSession, manifest, last.select(*columns))
-        left = incremental.without(state, last.select("path"), ["path"])
-        store.replaced(left.unionByName(last.where("not gone").select(*columns)), manifest)
+        own = F.struct("mtime", "content_hash", "logic_version", "gone")
+        last = batch.groupBy("path").agg(F.max_by(own, F.struct("mtime", "content_hash", "gone")).alias("x")).select("path", "x.*").persist()
+        store.changed(last.where("not gone").select(*columns), last.where("gone").select("path"), manifest, ["path"])
+        last.unpersist()
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
