@@ -1,8 +1,12 @@
-"""Retrieval quality: hit rate, reciprocal rank, set metrics, and verdicts against a baseline."""
+"""Retrieval quality: hit rate, reciprocal rank, set metrics, and verdicts against a baseline.
+
+A query that has expected ids and no hit counts with a first rank of null; repeated expected ids count once; empty tables give one row of n = 0 where a
+report has one row, else none; extra columns are ignored.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodequery.operators import graph
@@ -14,24 +18,42 @@ def first_relevant(results: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.select("query_id").distinct().join(hits, "query_id", "left")
 
 
+def _keys(kind: str, inner: int) -> Column:
+    """Hashes of all runs of words (_w), of all words, or of all runs of characters of a text."""
+    if kind in ("word", "run"):
+        n, of = inner if kind == "run" else 1, F.size("_w")
+        gram = lambda i: F.array_join(F.slice("_w", i, n), " ")
+    else:
+        n, of = int(kind.removeprefix("chars")), F.length("text")
+        gram = lambda i: F.substring("text", i, F.lit(n))
+    return F.when(of >= n, F.transform(F.sequence(F.lit(1), of - n + 1), lambda i: F.xxhash64(F.lit(kind), gram(i)))).otherwise(F.array().cast("array<long>"))
+
+
 def holding(docs: DataFrame, items: DataFrame, inner: int = 3) -> DataFrame:
     """query_id, id of documents (id, text) that hold an item's (query_id, text) whole text.
 
     An item's words but its first and last stand whole in every text that holds it, so items and texts meet on
-    the hash of `inner` of those, parted at spaces, and only such pairs are compared. Items of fewer
-    words than that meet on their longest inner word, and those without any inner word are compared with every text.
+    the hash of `inner` of those, parted at spaces; items of fewer words meet on their longest inner word, and those without one on their
+    first three characters or fewer. Texts send the keys that some item has, not themselves; the texts of the pairs that meet are fetched and compared.
+    Null and empty items are held by none.
     """
     words = F.split("text", " ")
-    keyed = items.where("text is not null").withColumn("_w", words).withColumn("_n", F.size("_w"))
-    long = keyed.where(F.col("_n") >= inner + 2).select("query_id", F.col("text").alias("item"), F.xxhash64(*(F.col("_w")[i + 1] for i in range(inner))).alias("key"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("_w") - inner), lambda i: F.xxhash64(*(F.get(F.col("_w"), i + j) for j in range(inner))))
-    runs = docs.where("text is not null").withColumn("_w", words).select("id", "text", F.explode(F.array_distinct(F.when(F.size("_w") >= inner, grams).otherwise(F.array().cast("array<long>")))).alias("key"))
-    found = runs.join(long, "key").where(F.contains("text", "item")).select("query_id", "id")
-    single = keyed.where((F.col("_n") < inner + 2) & (F.col("_n") > 2)).select("query_id", F.col("text").alias("item"), F.element_at(F.array_sort(F.transform(F.slice("_w", F.lit(2), F.col("_n") - 2), lambda w: F.struct(F.length(w), w.alias("w")))), -1)["w"].alias("key"))
-    each = docs.where("text is not null").select("id", "text", F.explode(F.array_distinct(words)).alias("key"))
-    found = found.union(each.join(single, "key").where(F.contains("text", "item")).select("query_id", "id"))
-    bare = keyed.where("_n <= 2").select("query_id", F.col("text").alias("item"))
-    return found.union(docs.join(bare, F.contains("text", "item")).select("query_id", "id")).distinct()
+    keyed = items.where("text <> ''").withColumn("_w", words).withColumn("_n", F.size("_w"))
+    inside = F.slice("_w", F.lit(2), F.col("_n") - 2)
+    longest = F.element_at(F.array_sort(F.transform(inside, lambda w: F.struct(F.length(w), w.alias("w")))), -1)["w"]
+    kind = F.when(F.col("_n") >= inner + 2, "run").when(F.col("_n") > 2, "word").otherwise(F.concat(F.lit("chars"), F.least(F.lit(3), F.length("text"))))
+    value = F.when(kind == "run", F.array_join(F.slice("_w", 2, inner), " ")).when(kind == "word", longest).otherwise(F.substring("text", 1, 3))
+    asked = keyed.select("query_id", F.col("text").alias("item"), kind.alias("kind"), F.xxhash64(kind, value).alias("key"))
+    held = {r["kind"] for r in asked.select("kind").distinct().collect()}  # five kinds at most
+    texts = docs.where("text is not null").withColumn("_w", words)
+    found = None
+    for k in sorted(held):
+        keys = texts.select("id", F.explode(F.array_distinct(_keys(k, inner))).alias("key"))
+        found = keys if found is None else found.unionByName(keys)
+    if found is None:
+        return items.select("query_id").join(docs.select("id"), F.lit(False)).select("query_id", "id")
+    pairs = found.join(asked, "key").select("query_id", "item", "id").distinct()
+    return pairs.join(docs.select("id", "text"), "id").where(F.contains("text", "item")).select("query_id", "id").distinct()
 
 
 def report(results: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), by: tuple[str, ...] = ()) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodequery.operators import graph
 
 #: What is read from the sources of a language.
-COVERAGE = {"python": ("calls", "imports", "inherits")}
+COVERAGE = {"python": ("calls", "imports", "inherits"), "javascript": ("calls", "imports", "inherits"), "java": ("calls", "imports", "inherits"), "go": ("calls", "imports"), "c": ("calls", "imports")}
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 FACTS = "path string, fact string, source string, name string, kind string, line int"
 
@@ -102,6 +102,12 @@ def imported(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes.where("kind = 'module'").select(F.col("id").alias("target")), "target", "left_semi").select("source", "target", F.lit("imports").alias("type"))
 
 
+def coverage(files: DataFrame) -> DataFrame:
+    """language, kind, files: how many files (language) each kind of edge is read from; languages that aren't read give no row."""
+    kinds = F.create_map(*(x for k, v in COVERAGE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return files.select("language", F.explode(F.try_element_at(kinds, "language")).alias("kind")).groupBy("language", "kind").agg(F.count("*").alias("files"))
+
+
 def joined(docs: DataFrame, found: DataFrame, texts: DataFrame, most: int = 2) -> tuple[DataFrame, DataFrame]:
     """Nodes and distinct edges (source, target, type) of facts, of files (path, doc_type) and of the texts (doc_id, text) that may mention symbols.
     A call whose name has more than `most` definitions gives no edge."""

@@ -1,4 +1,8 @@
-"""Code-graph navigation over nodes (id, kind, name, path, line, qualname) and edges (source, target, type): one hop a relation."""
+"""Code-graph navigation over nodes (id, kind, name, path, line, qualname) and edges (source, target, type): one hop a relation.
+
+Ids of nodes are unique; names aren't, and a lookup answers for all symbols of a name. Edges whose ends are no nodes give no rows; repeated edges count
+once; null names match nothing; names that no symbol has give no rows; empty tables give empty results; extra columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -27,15 +31,33 @@ def related(nodes: DataFrame, edges: DataFrame, names: DataFrame, type_: str, ou
     return hits.join(nodes, "id").select(F.col("of").alias("name"), "id", "kind", "path", "line", F.concat_ws("#", "path", "qualname").alias("ref"))
 
 
+#: The section that an edge's row stands in, at its target and at its source.
+SECTIONS = {"calls": ("callers", "callees"), "inherits": (None, "bases"), "mentions": ("docs", None)}
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """id, section, other: each edge as it is seen from its target and from its source."""
+    pair = lambda own, other, at: F.struct(F.col(own).alias("id"), F.element_at(F.create_map(*(F.lit(x) for t, s in SECTIONS.items() for x in (t, s[at]))), F.col("type")).alias("section"), F.col(other).alias("other"))
+    rows = edges.where(F.col("type").isin(*SECTIONS)).select(F.explode(F.array(pair("target", "source", 0), pair("source", "target", 1))).alias("x"))
+    return rows.select("x.*").where("section is not null")
+
+
 def context(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
-    """The five sections of each name, each cut at its limit, with the number of rows before the cut."""
-    part = lambda section, rows: rows.select("name", F.lit(section).alias("section"), "ref")
-    rows = part("definitions", find_symbol(nodes, names))
-    for section, type_, outgoing in (("callers", "calls", False), ("callees", "calls", True), ("bases", "inherits", True), ("docs", "mentions", False)):
-        rows = rows.unionByName(part(section, related(nodes, edges, names, type_, outgoing)))
-    group = Window.partitionBy("name", "section")
+    """The five sections of each name, each cut at its limit, with the number of rows before the cut: name, section, ref, total, place.
+
+    Both directions of an edge meet the named symbols in one join. Totals are counted with partial sums, and the cut keeps few rows of a name before
+    the shuffle, so a name with very many callers fills no task.
+    """
+    wanted = names.select("name").distinct()
+    own = nodes.join(wanted, "name").select("id", "name")
+    refs = nodes.select(F.col("id").alias("other"), F.concat_ws("#", "path", "qualname").alias("ref"))
+    hits = adjacency(edges).join(own, "id").select("name", "section", "other").distinct().join(refs, "other").select("name", "section", "ref")
+    rows = find_symbol(nodes, wanted).select("name", F.lit("definitions").alias("section"), "ref").unionByName(hits)
+    totals = rows.groupBy("name", "section").agg(F.count("*").alias("total"))
+    place = F.row_number().over(Window.partitionBy("name", "section").orderBy("ref"))
     limit = F.element_at(F.create_map(*(F.lit(x) for pair in LIMITS.items() for x in pair)), F.col("section"))
-    return rows.withColumn("total", F.count("*").over(group)).withColumn("place", F.row_number().over(group.orderBy("ref"))).where(F.col("place") <= limit)
+    cut = rows.withColumn("place", place).where(F.col("place") <= max(LIMITS.values())).where(F.col("place") <= limit)
+    return cut.join(totals, ["name", "section"]).select("name", "section", "ref", "total", "place")
 
 
 def resolved_calls(sites: DataFrame, definitions: DataFrame, most: int = 2) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Incremental index: file classification, deltas, keyed upserts and the content-hash cache."""
+"""Incremental index: file classification, deltas, keyed upserts and the content-hash cache.
+
+Paths and keys are unique where a state is kept; null keys match nothing in joins and so count as new; null hashes and times count as changed; of rows that
+repeat a key inserted_or_ignored() takes any one (sources/store.py orders them); empty tables give empty results, counters() one row of zeros.
+"""
 
 from __future__ import annotations
 

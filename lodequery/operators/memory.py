@@ -1,4 +1,9 @@
-"""Conversation memory: sessions and turns, full-text and listing queries, first-write-wins archiving."""
+"""Conversation memory: sessions and turns, full-text and listing queries, first-write-wins archiving.
+
+Null texts are blank, blank texts are no turns; session keys are unique in sessions, and of several new rows of a key one is archived; queries without words
+have no hits; equal scores fall to later captures, then to session and turn as each function says; empty tables give empty results; extra columns are ignored.
+A snippet shows the first hit, not the window of most hits.
+"""
 
 from __future__ import annotations
 

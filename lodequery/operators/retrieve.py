@@ -1,4 +1,8 @@
-"""Dense retrieval, rank fusion, thresholds, near-duplicate removal and the hybrid pipeline, for batches of queries."""
+"""Dense retrieval, rank fusion, thresholds, near-duplicate removal and the hybrid pipeline, for batches of queries.
+
+Ranked rows are (query_id, id, score, rank); equal scores fall to the smaller id; a query without rows is not in a result; null ids are ids like others;
+empty tables give empty results; extra columns are ignored unless said.
+"""
 
 from __future__ import annotations
 
@@ -19,11 +23,18 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", v
     Queries are dealt into blocks of about `query_block` and vectors into pages of about `page`, both by
     hash; each task compares one block with one page and keeps its k best rows a query, so at most
     pages * k rows a query are shuffled. Only the two row counts reach the driver.
+
+    Vectors and queries that are null or hold null or non-finite components take no part; a query meets the vectors of its own length;
+    a vector of zeros scores 0; equal scores fall to the smaller id; rows that repeat an id are hits each.
     """
+    kinds = {n: dict(df.dtypes)[c] for n, df, c in (("query_id", queries, "query_id"), ("id", vectors, id_))}
+    kinds = {n: "long" if kind in ("tinyint", "smallint", "int", "bigint") else kind for n, kind in kinds.items()}
+    out = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
     if k <= 0:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("q"))
-    rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        return vectors.sparkSession.createDataFrame([], f"{out}, rank int")
+    whole = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked = queries.select(F.col("query_id").cast(kinds["query_id"]), F.col("vector").cast("array<double>").alias("q")).where(whole("q")).withColumn("d", F.size("q"))
+    rows = vectors.select(F.col(id_).cast(kinds["id"]).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(whole("v")).withColumn("d", F.size("v"))
     n_blocks, n_pages = (max(1, -(-df.count() // most)) for df, most in ((asked, query_block), (rows, page)))
     deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -31,8 +42,9 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", v
     rows = rows.withColumn("page", deal(n_pages, "id", "v")).withColumn("block", every(n_blocks))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        parts = [pd.DataFrame({"query_id": a["query_id"][:0], "id": b["id"][:0], "score": np.zeros(0)})]
         if len(a) and len(b):
+            b = b.sort_values("id", kind="stable")  # a stable sort by score then leaves ties by id
             x, own = np.array(b["v"].tolist(), np.float64), b["id"].to_numpy()
             q, ids = np.array(a["q"].tolist(), np.float64), a["query_id"].to_numpy()
             norms, length = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
@@ -40,14 +52,13 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", v
                 step = slice(begin, begin + 128)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     s = np.nan_to_num((q[step] @ x.T) / (norms[step, None] * length[None, :]), nan=0.0, posinf=0.0, neginf=0.0).round(digits)
-                for query, row in zip(ids[step], s, strict=True):
-                    top = np.lexsort((own, -row))[:k]
-                    parts.append(pd.DataFrame({"query_id": query, "id": own[top], "score": row[top]}))
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                parts.append(pd.DataFrame({"query_id": np.repeat(ids[step], top.shape[1]), "id": own[top.ravel()], "score": np.take_along_axis(s, top, axis=1).ravel()}))
         return pd.concat(parts)
 
-    tasks = min(n_blocks * n_pages, most_tasks)
-    asked, rows = asked.repartition(tasks, "block", "page"), rows.repartition(tasks, "block", "page")
-    part = asked.groupBy("block", "page").cogroup(rows.groupBy("block", "page")).applyInPandas(best, "query_id long, id long, score double")
+    tasks, by = min(n_blocks * n_pages, most_tasks), ("block", "page", "d")
+    asked, rows = asked.repartition(tasks, *by), rows.repartition(tasks, *by)
+    part = asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(best, out)
     return ranked(part, k)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodequery.functions import text as T
-from lodequery.operators import memory, observe
+from lodequery.operators import lexical, memory, observe, recall
 from lodequery.plans.common import Registry
 from lodequery.sources import transcripts
 from lodequery.sources.tables import table
@@ -103,10 +105,17 @@ def scl08_iso_times(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", transcripts.epoch(iso).alias("seconds"))
 
 
-@query("SELECT preset, CAST(CASE preset WHEN '7d' THEN 1000000 - 604800 WHEN '24h' THEN 1000000 - 86400 END AS DOUBLE) AS since, CAST(NULL AS DOUBLE) AS until FROM (SELECT unnest(['all', '7d', '24h']) AS preset)")
+DAYS = CAPTURED.replace("AS DOUBLE)", "AS DOUBLE) * 3600")
+
+
+@query(f"""WITH se AS (SELECT DISTINCT conv_id, {DAYS} AS captured_at FROM conversations), now AS (SELECT max(captured_at) AS now FROM se)
+SELECT preset, count(*) AS sessions, min(captured_at) AS first FROM (SELECT unnest(['all', '7d', '24h']) AS preset), se, now WHERE preset = 'all' OR captured_at >= now - CASE preset WHEN '7d' THEN 604800 ELSE 86400 END GROUP BY 1""")
 def scl04_time_windows(s: SparkSession, d: str) -> DataFrame:
-    rows = [(p, *observe.time_window(p, 1_000_000.0)) for p in ("all", "7d", "24h")]
-    return s.createDataFrame(rows, "preset string, since double, until double")
+    """Sessions inside each preset's window, counted back from the last capture."""
+    sessions = table(s, d, "conversations").select("conv_id", F.expr(DAYS).alias("captured_at")).distinct()
+    now = sessions.agg(F.max("captured_at")).first()[0]
+    rows = [sessions.where(memory.in_window(F.col("captured_at"), *observe.time_window(p, now or 0.0))).withColumn("preset", F.lit(p)) for p in ("all", "7d", "24h")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("preset").agg(F.count("*").alias("sessions"), F.min("captured_at").alias("first"))
 
 
 @query(f"WITH {TURNS} SELECT session_key, captured_at FROM ses WHERE captured_at >= 200 AND captured_at <= 600")
@@ -154,12 +163,13 @@ def jon06_unindexed_turns(s: SparkSession, d: str) -> DataFrame:
     return memory.unindexed(turns, known).select("id")
 
 
-ASKED = [(1, "the"), (2, "the of"), (3, 'a-b "q" x.y:z'), (4, "  ")]
-
-
-@query("SELECT unnest([1, 2, 3, 4]) AS query_id, unnest(['\"the\"', '\"the\" \"of\"', '\"a-b\" \"\"\"q\"\"\" \"x.y:z\"', '']) AS expression")
+@query("""SELECT conv_id, turn, array_to_string(list_transform(list_filter(regexp_split_to_array(coalesce(q, ''), '\\s+'), lambda x: x <> ''), lambda x: '"' || replace(x, '"', '""') || '"'), ' ') AS expression
+FROM (SELECT conv_id, turn, concat(left(text, 40), CASE turn % 3 WHEN 0 THEN ' "q" x.y:z' WHEN 1 THEN '  a-b*' ELSE '' END) AS q FROM conversations)""")
 def mem02_match_expressions(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame(ASKED, "query_id int, query string").select("query_id", memory.match_expression(F.col("query")).alias("expression"))
+    """What turns would be as queries, some with quotes and operators."""
+    extra = F.when(F.col("turn") % 3 == 0, ' "q" x.y:z').when(F.col("turn") % 3 == 1, "  a-b*").otherwise("")
+    query_ = F.concat(F.coalesce(F.substring("text", 1, 40), F.lit("")), extra)
+    return table(s, d, "conversations").select("conv_id", "turn", memory.match_expression(query_).alias("expression"))
 
 
 # two-word phrases, taken from the turns themselves: words 3 and 4 of every twentieth turn
@@ -215,6 +225,51 @@ def sub19_well_formed_rows(s: SparkSession, d: str) -> DataFrame:
     return memory.well_formed(raw)
 
 
+# ---- semantic memory ---------------------------------------------------------------------------
+
+VECTORS = "ev AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), ne AS (SELECT count(*) AS n FROM embeddings)"
+
+
+def _vectors(s, d, place):
+    """An embedding for each row of a table: one of the given vectors, chosen by a number of the row."""
+    given = table(s, d, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").cast("array<double>").alias("vector"))
+    n = given.count()
+    return lambda rows: rows.withColumn("_v", F.expr(place) % n).join(given, "_v").drop("_v")
+
+
+TURN_VECTOR, QUERY_VECTOR = "cast(substring_index(id, '#', 1) as bigint) * 7 + cast(substring_index(id, '#', -1) as bigint)", "query_id * 11"
+
+
+@query(f"""WITH {TURNS}, {VECTORS}, tv AS (SELECT tr.*, v FROM tr, ne JOIN ev ON vec_id = (session_key * 7 + turn_index) % n), qv AS (SELECT item_id AS query_id, v FROM benchmark, ne JOIN ev ON vec_id = (item_id * 11) % n),
+sc AS (SELECT query_id, concat(session_key, '#', turn_index) AS id, session_key, turn_index, captured_at, role, text AS snippet, round(list_cosine_similarity(qv.v, tv.v), 9) AS score FROM qv, tv)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, session_key, turn_index, captured_at, role, snippet, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 5 AND captured_at >= 300 AND captured_at <= 900""")
+def mem08_semantic_search(s: SparkSession, d: str) -> DataFrame:
+    """A memory grown in two runs, the second over all turns, then asked; the window comes after the cut."""
+    at = f"{lexical.shared(s)}/memory-{uuid.uuid4().hex}"
+    turns, of_turn = _turns(s, d), _vectors(s, d, TURN_VECTOR)
+    recall.grown(turns.where("session_key % 3 = 0"), _sessions(s, d), at, of_turn)
+    recall.grown(turns, _sessions(s, d), at, of_turn)
+    asked = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return recall.search(s, at, asked, 5, 300.0, 900.0, _vectors(s, d, QUERY_VECTOR))
+
+
+@query(f"WITH {TURNS} SELECT r.run, CASE r.run WHEN 1 THEN count_if(session_key % 4 = 0) WHEN 2 THEN count_if(session_key % 4 <> 0) ELSE 0 END AS added, CASE r.run WHEN 1 THEN count_if(session_key % 4 = 0) ELSE count(*) END AS kept FROM (SELECT unnest([1, 2, 3]) AS run) r, tr GROUP BY 1")
+def mem07_backfill(s: SparkSession, d: str) -> DataFrame:
+    """How many turns three runs over the archive embedded and kept: a part, the rest, and none."""
+    at, turns, rows = f"{lexical.shared(s)}/memory-{uuid.uuid4().hex}", _turns(s, d), []
+    for run, own in enumerate((turns.where("session_key % 4 = 0"), turns, turns), 1):
+        rows.append((run, recall.grown(own, _sessions(s, d), at), recall.kept(s, at).count()))
+    return s.createDataFrame(rows, "run int, added long, kept long")
+
+
+@query(f"WITH {TURNS} SELECT concat(session_key, '#', turn_index) AS id, CAST(floor(captured_at / 86400) AS INTEGER) AS day, session_key, role FROM tr")
+def mem06_kept_turns(s: SparkSession, d: str) -> DataFrame:
+    """What a memory keeps of the turns, with vectors of their hashed n-grams."""
+    at = f"{lexical.shared(s)}/memory-{uuid.uuid4().hex}"
+    recall.grown(_turns(s, d), _sessions(s, d), at)
+    return recall.kept(s, at).where("size(vector) = 512").select("id", "day", "session_key", "role")
+
+
 NAMES = "CASE event_id % 6 WHEN 0 THEN 'apiKey' WHEN 1 THEN 'API_TOKEN' WHEN 2 THEN 'monkey' WHEN 3 THEN 'user.password' WHEN 4 THEN 'tokens' ELSE 'keyName' END"
 
 

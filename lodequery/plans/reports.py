@@ -92,11 +92,12 @@ def agg13_graph_counts(s: SparkSession, d: str) -> DataFrame:
     return graph.counts(nodes, "kind").select(F.concat(F.lit("node "), "kind").alias("what"), "n").unionByName(graph.counts(edges, "type").select(F.concat(F.lit("edge "), "type").alias("what"), "n"))
 
 
-NAMES = "names AS (SELECT DISTINCT name FROM nodes WHERE id IN ('p0', 'p1', 's0', 's1', 'n3'))"
+NAMES = "names AS (SELECT DISTINCT name FROM nodes WHERE CAST(substr(id, 2) AS BIGINT) % 20 = 0)"
 
 
 def _names(nodes):
-    return nodes.where(F.col("id").isin("p0", "p1", "s0", "s1", "n3")).select("name")
+    """Names of every symbol whose key is divisible by 20."""
+    return nodes.where("cast(substring(id, 2) as bigint) % 20 = 0").select("name")
 
 
 @query(gr(f", {NAMES} SELECT name, path || '#' || name AS ref, kind, path, line FROM nodes SEMI JOIN names USING (name)").replace(") ,", "),", 1))
@@ -153,13 +154,6 @@ def grf09_list_symbols(s: SparkSession, d: str) -> DataFrame:
     return graph_tables(s, d)[0].select("name").distinct()
 
 
-@query(gr(", def AS (SELECT id, name FROM nodes WHERE kind = 'method'), tg AS (SELECT name FROM def GROUP BY name HAVING count(DISTINCT id) <= 40) SELECT DISTINCT e.source, def.id AS target FROM edges e JOIN nodes t ON t.id = e.target JOIN def ON def.name = t.name WHERE e.type = 'calls' AND def.name IN (SELECT name FROM tg) AND e.source <> def.id"))
-def jon07_resolved_calls(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = graph_tables(s, d)
-    sites = edges.where("type = 'calls'").join(nodes.select(F.col("id").alias("target"), F.col("name").alias("callee")), "target").select("source", "callee")
-    return graph.resolved_calls(sites, nodes.where("kind = 'method'").select("id", "name"), 40)
-
-
 #: A part's name for call sites that stays selective at any size. Of ten keys in a row seven have a name of their own,
 #: two share one, and the tenths share one by three, which is ambiguous.
 SITE_NAME = "CASE WHEN p_partkey % 10 = 0 THEN concat('tenths ', CAST(floor(p_partkey / 30) AS BIGINT)) WHEN p_partkey % 10 <= 2 THEN concat('pair ', CAST(floor(p_partkey / 10) AS BIGINT)) ELSE concat(p_name, '#', p_brand, '#', p_partkey) END"
@@ -173,6 +167,15 @@ def jon07b_resolved_calls_by_full_name(s: SparkSession, d: str) -> DataFrame:
     return graph.resolved_calls(sites, parts)
 
 
+@query(f"WITH def AS (SELECT p_partkey AS key, {SITE_NAME} AS name FROM part), tg AS (SELECT name FROM def GROUP BY name HAVING count(DISTINCT key) <= 1) SELECT DISTINCT 's' || l_suppkey AS source, 'p' || d.key AS target FROM lineitem JOIN def c ON c.key = l_partkey JOIN def d ON d.name = c.name JOIN tg ON tg.name = d.name")
+def jon07_resolved_calls(s: SparkSession, d: str) -> DataFrame:
+    """Calls whose name has a single definition."""
+    parts = table(s, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.expr(SITE_NAME).alias("name"))
+    _, edges = graph_tables(s, d)
+    sites = edges.where("type = 'calls'").join(parts.select(F.col("id").alias("target"), F.col("name").alias("callee")), "target").select("source", "callee")
+    return graph.resolved_calls(sites, parts, 1)
+
+
 @query("SELECT DISTINCT doc_id, w AS id, w AS name FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'))) AS w FROM documents) WHERE w IN (SELECT DISTINCT unnest(string_split(text, ' ')) FROM benchmark) AND (length(w) >= 5 OR regexp_matches(w, '^.+[A-Z]') OR contains(w, '_'))")
 def jon09_mentions(s: SparkSession, d: str) -> DataFrame:
     words = table(s, d, "benchmark").select(F.explode(F.split("text", " ")).alias("name")).distinct().select(F.col("name").alias("id"), "name")
