@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodequery.functions import diff as D
-from lodequery.operators import audit, trace
+from lodequery.operators import audit, lexical, trace
 from lodequery.plans.common import Registry
+from lodequery.sources import history
 from lodequery.sources.tables import table
 
 REGISTRY = Registry()
@@ -280,3 +283,47 @@ def agg23_faults(s: SparkSession, d: str) -> DataFrame:
     o = F.col("original")
     broken = rows.where("original is null or original % 50 <> 9").withColumn("original", F.when(o % 50 == 4, o + 100000).otherwise(o))
     return audit.faults(original, lifted, broken.unionByName(rows.where("original % 50 = 11")))
+
+
+# ---- version control ---------------------------------------------------------------------------
+
+LISTED = "concat('d', doc_id % 16, '/', lang, '/f', doc_id, '.txt')"
+BODY = "concat(coalesce(text, ''), chr(10))"
+
+
+def _history(s: SparkSession, d: str) -> tuple[str, str, str]:
+    """A repository of the documents as files, with two commits: in the second a fifth have a line more, a fifth are gone, a fifth are new, and a tenth have moved."""
+    root = f"{lexical.shared(s)}/history-{uuid.uuid4().hex}".removeprefix("file://")
+    docs = table(s, d, "documents")
+    state = lambda when, path, body, n: history.put(docs.where(when).select("doc_id", F.expr(path).alias("path"), F.encode(F.expr(body), "UTF-8").alias("content"), F.lit(n).alias("n")), root, "blob")
+    old = state("doc_id % 5 <> 2", LISTED, BODY, 0)
+    new = state("doc_id % 5 <> 1", f"CASE WHEN doc_id % 10 = 3 THEN concat('moved/', {LISTED}) ELSE {LISTED} END", f"CASE WHEN doc_id % 5 = 0 THEN concat({BODY}, 'one line more', chr(10)) ELSE {BODY} END", 1)
+    first = history.committed(old.select("path", F.col("id").alias("blob")), root, "main", "first", 1)
+    second = history.committed(new.select("path", F.col("id").alias("blob")), root, "main", "second", 2, (first,))
+    return root, first, second
+
+
+@query(f"""WITH x AS (SELECT {LISTED} AS path, doc_id, sha1(coalesce(text, '')) AS same FROM documents)
+SELECT path, 'modified' AS status FROM x WHERE doc_id % 5 = 0 UNION ALL SELECT path, 'deleted' FROM x WHERE doc_id % 5 = 1 OR doc_id % 10 = 3 UNION ALL SELECT path, 'added' FROM x WHERE doc_id % 5 = 2 UNION ALL SELECT concat('moved/', path), 'added' FROM x WHERE doc_id % 10 = 3""")
+def sub35_changed_files(s: SparkSession, d: str) -> DataFrame:
+    """The files in which two commits differ, told from their trees."""
+    root, first, second = _history(s, d)
+    found = history.objects(s, root)
+    at = lambda commit: history.listed(found, s.createDataFrame([("r", commit)], "ref string, id string"))
+    return history.changes(at(first), at(second), renames=False).select("path", "status")
+
+
+@query(f"""WITH x AS (SELECT {LISTED} AS path, doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)
+SELECT path, CASE doc_id % 5 WHEN 0 THEN 'modified' WHEN 1 THEN 'deleted' ELSE 'added' END AS change_type, CAST(CASE doc_id % 5 WHEN 0 THEN greatest(n - 2, 1) WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS old_start, CAST(CASE doc_id % 5 WHEN 0 THEN least(n, 3) WHEN 1 THEN n ELSE 0 END AS INTEGER) AS old_len,
+  CAST(CASE doc_id % 5 WHEN 0 THEN greatest(n - 2, 1) WHEN 1 THEN 0 ELSE 1 END AS INTEGER) AS new_start, CAST(CASE doc_id % 5 WHEN 0 THEN least(n, 3) + 1 WHEN 1 THEN 0 ELSE n END AS INTEGER) AS new_len FROM x WHERE doc_id % 5 <= 2""")
+def src30_hunks_of_two_commits(s: SparkSession, d: str) -> DataFrame:
+    """From objects to hunks: commits, trees, blobs, the line diff of each changed file and its reading; without those that moved."""
+    root, first, second = _history(s, d)
+    found = history.objects(s, root)
+    at = lambda commit: history.listed(found, s.createDataFrame([("r", commit)], "ref string, id string"))
+    # the twin doesn't know which of several equal files moved where, so files that came or went as copies are told apart without renames
+    changed = history.changes(at(first), at(second), renames=False)
+    parts = history.patches(found, changed).select(F.concat_ws(":", "ref", "path").alias("ref"), F.col("patch").alias("text"))  # each file is a changeset of its own, so that none gathers all
+    lines = trace.diff_lines(parts)
+    told = trace.diff_files(lines)
+    return trace.diff_hunks(lines, told).join(told.select("ref", "file", "change_type"), ["ref", "file"]).where("path not like 'moved/%' and not (change_type = 'deleted' and try_cast(regexp_extract(path, 'f([0-9]+)', 1) as bigint) % 10 = 3)").select("path", "change_type", "old_start", "old_len", "new_start", "new_len")
