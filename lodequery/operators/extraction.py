@@ -1,7 +1,7 @@
 """A graph of code from its sources: symbols, calls, bases, imports and mentions, as joins over facts of each file.
 
-Facts come from the syntax tree of Python files, one file at a time; files of other languages and files that can't be parsed
-give their module alone. Null texts read as empty ones; empty tables give empty results; paths must be unique; extra columns are ignored.
+Facts come from the syntax tree of Python files, and from one pass over the tokens of files in languages with braces (functions/syntax.py), one
+file at a time; files of other languages and Python files that can't be parsed give their module alone. Null texts read as empty ones; empty tables give empty results; paths must be unique; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodequery.functions import syntax
 from lodequery.operators import graph
 
 #: What is read from the sources of a language.
-COVERAGE = {"python": ("calls", "imports", "inherits"), "javascript": ("calls", "imports", "inherits"), "java": ("calls", "imports", "inherits"), "go": ("calls", "imports"), "c": ("calls", "imports")}
+COVERAGE = {"python": ("calls", "imports", "inherits")} | {k: ("calls",) for k in ("javascript", "typescript", "java", "c_sharp", "go", "c", "cpp", "php")}
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 FACTS = "path string, fact string, source string, name string, kind string, line int"
 
@@ -62,15 +63,24 @@ def file_facts(path: str, text: str) -> Iterator[tuple]:
             waiting.append((x, own, inside))
 
 
+def outline_facts(path: str, text: str, language: str) -> Iterator[tuple]:
+    """Facts of one file of a language with braces: symbol and call."""
+    found = syntax.outline(text, language)
+    for d in found.definitions:
+        yield path, "symbol", d.qualname, d.name, d.kind, d.start
+    for function, name, line in found.calls:
+        yield path, "call", function, name, None, line
+
+
 def facts(docs: DataFrame) -> DataFrame:
-    """Facts of the Python files among docs (path, text, language)."""
+    """Facts of the files of known languages among docs (path, text, language)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [x for p, t in zip(f["path"], f["text"], strict=True) for x in file_facts(p, t or "")]
+            rows = [x for p, t, own in zip(f["path"], f["text"], f["language"], strict=True) for x in (file_facts(p, t or "") if own == "python" else outline_facts(p, t or "", own))]
             yield pd.DataFrame(rows, columns=["path", "fact", "source", "name", "kind", "line"]).astype({"line": "Int32"})
 
-    return docs.where("language = 'python'").select("path", "text").mapInPandas(run, FACTS)
+    return docs.where(F.col("language").isin(*COVERAGE)).select("path", "text", "language").mapInPandas(run, FACTS)
 
 
 def nodes_of(docs: DataFrame, found: DataFrame) -> DataFrame:
