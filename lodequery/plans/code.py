@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodequery.functions import text as T
-from lodequery.operators import chunking, evaluate, extraction, graph, lexical
+from lodequery.operators import agent, chunking, evaluate, extraction, graph, lexical
 from lodequery.operators import index as kept_index
 from lodequery.plans.common import Registry
+from lodequery.plans.retrieval import POSTINGS, TOKENS
 from lodequery.sources import store
 from lodequery.sources.tables import table
 from lodequery.streaming import flows
@@ -263,6 +264,41 @@ def evl05_unknown_references(s: SparkSession, d: str) -> DataFrame:
     return evaluate.unknown_refs(answers.unionByName(fake), answers).select("target", "ref")
 
 
+# ---- an agent's context ------------------------------------------------------------------------
+
+AGENT = f"""WITH {SUP}, {POSTINGS}, q AS (SELECT item_id AS query_id, concat(text, ' sup_', item_id % 40) AS query FROM benchmark), qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS.format("query")}) AS term FROM q) GROUP BY ALL),
+sc AS (SELECT query_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM post JOIN qt USING (term) JOIN idf USING (term), size GROUP BY query_id, id),
+fl AS (SELECT query_id, doc_id, CASE WHEN lang = 'en' THEN 'code' ELSE 'docs' END AS branch, row_number() OVER (PARTITION BY query_id, lang = 'en' ORDER BY score DESC, id) AS place FROM sc JOIN documents ON doc_id = id),
+pt AS (SELECT query_id, sup.* FROM q JOIN sup ON k = query_id % 40),
+sec AS (SELECT query_id, name, 'definitions' AS section, replace(id, '::', '#') AS ref, 10 AS most FROM pt
+  UNION ALL SELECT query_id, pt.name, 'callers', replace(o.id, '::', '#'), 8 FROM pt JOIN sup o ON o.k = pt.k - 25 UNION ALL SELECT query_id, pt.name, 'callees', replace(o.id, '::', '#'), 8 FROM pt JOIN sup o ON o.k = pt.k + 25
+  UNION ALL SELECT query_id, pt.name, 'docs', concat('docs/d', doc_id, '.md'), 8 FROM pt JOIN documents ON doc_id % 40 = pt.k)
+SELECT fl.query_id, branch, 'passages' AS section, CAST(place AS INTEGER) AS place, concat('', doc_id) AS id, CASE WHEN branch = 'code' AND n = doc_id % 25 THEN name ELSE '' END AS detail FROM fl LEFT JOIN pt ON pt.query_id = fl.query_id WHERE place <= 5
+UNION ALL SELECT query_id, 'graph', concat(name, ':', section), CAST(place AS INTEGER), ref, concat('', total) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, name, section ORDER BY ref) AS place, count(*) OVER (PARTITION BY query_id, name, section) AS total FROM sec) WHERE place <= most"""
+
+
+def _asked(s, d):
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" sup_"), F.col("item_id") % 40).alias("query"))
+
+
+@query(AGENT)
+def grf13_agent_context(s: SparkSession, d: str) -> DataFrame:
+    """For each question two flows of passages, the graph's sections of the symbol it names, and which passages that symbol's file supports."""
+    docs = table(s, d, "documents")
+    path = F.when(F.col("lang") == "en", F.concat(F.lit("pkg/nation"), F.col("doc_id") % 25, F.lit(".py"))).otherwise(F.concat(F.lit("notes/"), "doc_id"))
+    own = docs.select(F.col("doc_id").alias("id"), path.alias("path"), F.when(F.col("lang") == "en", "code").otherwise("doc").alias("doc_type"))
+    nodes, edges = extraction.extracted(_sources(s, d))
+    return agent.context(lexical.indexed(docs), own, _asked(s, d), nodes, edges)
+
+
+@query(f"WITH {SUP} SELECT item_id AS query_id, branch, CASE branch WHEN 'graph' THEN CASE WHEN item_id % 40 IN (SELECT k FROM sup) THEN 'ok' ELSE 'not_attempted' END ELSE 'ok' END AS status FROM benchmark, (SELECT unnest(['docs', 'code', 'graph']) AS branch)")
+def grf13_branch_status(s: SparkSession, d: str) -> DataFrame:
+    asked = _asked(s, d)
+    nodes, _ = extraction.extracted(_sources(s, d))
+    points = graph.entry_points(asked, nodes.where("qualname is not null").select("name"))
+    return agent.status(asked, grf13_agent_context(s, d), points)
+
+
 # ---- streams -----------------------------------------------------------------------------------
 
 

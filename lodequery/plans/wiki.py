@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodequery.functions import wiki as W
-from lodequery.operators import wiki
+from lodequery.operators import edits, lexical, wiki
 from lodequery.plans.common import Registry
 from lodequery.sources.tables import table
 
@@ -308,3 +310,70 @@ def set02_changed_paths(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {FILES}, {LINKS} SELECT rel_path, count(*) <= 8 AS neighbours_count FROM lk GROUP BY rel_path")
 def flt10_hubs(s: SparkSession, d: str) -> DataFrame:
     return _files(s, d).select("rel_path", (F.size(W.wikilinks(F.col("text"))) <= 8).alias("neighbours_count"))
+
+
+# ---- edits -------------------------------------------------------------------------------------
+
+WITH_PATHS = f"concat({TEXT}, {N}, 'and [p](../en/page-', doc_id + 1, '.md#part), [q](page-', (doc_id * 3) % 200, '.md), [w](https://x/page-1.md), [t](#top)', {N})"
+TO = "concat('moved/deep/new-', doc_id, '.md')"
+
+
+def _tree(s, d):
+    return table(s, d, "documents").select("doc_id", F.expr(PATH).alias("rel_path"), F.expr(WITH_PATHS).alias("text"))
+
+
+def _moves(s, d):
+    return table(s, d, "documents").where(f"doc_id % 10 = 1 and {PATH} like 'en/%'").select(F.expr(PATH).alias("src"), F.expr(TO).alias("dest"))
+
+
+@query(rf"""WITH wf AS (SELECT doc_id, {PATH} AS rel_path, {WITH_PATHS} AS text FROM documents), mv AS (SELECT rel_path AS src, {TO} AS dest FROM wf WHERE doc_id % 10 = 1 AND rel_path LIKE 'en/%'),
+fm AS (SELECT unnest([src, regexp_replace(src, '\.md$', ''), regexp_replace(regexp_extract(src, '[^/]+$'), '\.md$', '')]) AS target FROM mv),
+pg AS (SELECT * FROM wf WHERE NOT starts_with(rel_path, 'log/')),
+wl AS (SELECT rel_path, trim(unnest(regexp_extract_all(text, '\[\[([^\[\]|#]+)((?:[#|][^\[\]]*)?)\]\]', 1))) AS target FROM pg),
+ml AS (SELECT rel_path, regexp_replace(raw, '#.*$', '') AS base FROM (SELECT rel_path, trim(unnest(regexp_extract_all(text, '\]\(([^)]+)\)', 1))) AS raw FROM pg) WHERE NOT regexp_matches(raw, '^([#/<]|mailto:)|://')),
+rl AS (SELECT rel_path, CASE WHEN starts_with(base, '../') THEN substr(base, 4) WHEN contains(rel_path, '/') THEN concat(regexp_extract(rel_path, '^[^/]+'), '/', base) ELSE base END AS src FROM ml WHERE NOT starts_with(base, '../') OR contains(rel_path, '/'))
+SELECT rel_path, count(*) AS edits FROM (SELECT rel_path FROM wl SEMI JOIN (SELECT DISTINCT target FROM fm) USING (target) UNION ALL SELECT rel_path FROM rl SEMI JOIN mv USING (src)) GROUP BY 1""")
+def snk20_edits_of_moves(s: SparkSession, d: str) -> DataFrame:
+    """How many links of each page a batch of moves rewrites."""
+    return edits.move_edits(_tree(s, d), _moves(s, d)).groupBy("rel_path").agg(F.count("*").alias("edits"))
+
+
+@query(rf"""WITH wf AS (SELECT doc_id, {PATH} AS rel_path FROM documents) SELECT CASE WHEN doc_id % 10 = 1 AND rel_path LIKE 'en/%' THEN {TO} ELSE rel_path END AS rel_path, 0 AS newly_broken FROM wf WHERE rel_path <> 'index.md' AND NOT starts_with(rel_path, 'log/')""")
+def wik09_links_after_moves(s: SparkSession, d: str) -> DataFrame:
+    """The pages of the tree after the moves, and how many more broken links each has than before: none."""
+    tree, moves = _tree(s, d), _moves(s, d)
+    after = edits.moved(tree, moves)
+    broken = lambda files: wiki.lint(files).where("finding = 'broken-link'").groupBy("rel_path").agg(F.count("*").alias("n"))
+    old = broken(tree).join(moves.select(F.col("src").alias("rel_path"), "dest"), "rel_path", "left").select(F.coalesce("dest", "rel_path").alias("rel_path"), F.col("n").alias("was"))
+    rows = wiki.pages(after).select("rel_path").join(broken(after), "rel_path", "left").join(old, "rel_path", "left")
+    return rows.select("rel_path", F.greatest(F.coalesce("n", F.lit(0)) - F.coalesce("was", F.lit(0)), F.lit(0)).cast("int").alias("newly_broken"))
+
+
+@query("""WITH e AS (SELECT DISTINCT concat('2024-03-', lpad(concat('', doc_id % 28 + 1), 2, '0')) AS day, concat('record | ', source, ' ', doc_id % 28) AS t FROM documents)
+SELECT concat('log/', day, '.md') AS rel_path, concat(string_agg(concat('## [', day, '] ', t, chr(10), chr(10), 'about ', t, CASE WHEN n = 1 THEN concat(chr(10), chr(10), '<!-- covers/1', chr(10), (SELECT string_agg(concat(lang, '@', n), chr(10) ORDER BY lang) FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)), chr(10), '-->') ELSE '' END), concat(chr(10), chr(10)) ORDER BY t), chr(10)) AS text
+FROM (SELECT *, row_number() OVER (ORDER BY day, t) AS n FROM e) GROUP BY day""")
+def snk16_log_after_two_writers(s: SparkSession, d: str) -> DataFrame:
+    """Daily files of a log that got all its entries twice; the first entry covers all that was pending, no other anything."""
+    at = f"{lexical.shared(s)}/log-{uuid.uuid4().hex}"
+    day = F.concat(F.lit("2024-03-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    docs = table(s, d, "documents")
+    title = F.concat("source", F.lit(" "), F.col("doc_id") % 28)
+    new = docs.select(day.alias("day"), F.lit("record").alias("op"), title.alias("title"), F.concat(F.lit("about record | "), title, F.lit("\n")).alias("body")).distinct()
+    current = docs.groupBy(F.col("lang").alias("path")).agg(F.count("*").cast("string").alias("content_id"))
+    edits.appended(new, at, current)
+    edits.appended(new, at, current)
+    return edits.partitions(edits.entries(s, at))
+
+
+@query("SELECT concat('# Log Index', chr(10), chr(10), 'Daily partitions (chronological):', chr(10), chr(10), string_agg(concat('- [', day, '](', day, '.md)', chr(10)), '' ORDER BY day)) AS text FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events)")
+def snk17_log_index(s: SparkSession, d: str) -> DataFrame:
+    return edits.log_index(table(s, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day")))
+
+
+@query("SELECT url AS rel_path, concat('- [', url, '](', url, '): ', CASE WHEN page_id % 3 = 0 THEN 'new' ELSE 'old' END) AS line FROM pages")
+def snk19_index_rows(s: SparkSession, d: str) -> DataFrame:
+    """A line for each page, a third of them written anew."""
+    at, u = f"{lexical.shared(s)}/rows-{uuid.uuid4().hex}", F.col("url")
+    line = lambda word: F.concat(F.lit("- ["), u, F.lit("]("), u, F.lit(f"): {word}"))
+    edits.index_rows(table(s, d, "pages").select(u.alias("rel_path"), line("old").alias("line")), at)
+    return edits.index_rows(table(s, d, "pages").where("page_id % 3 = 0").select(u.alias("rel_path"), line("new").alias("line")), at)

@@ -98,6 +98,11 @@ def inserted_or_ignored(rows: DataFrame, path: str, by: list[str], order: tuple[
     return kept(spark, path, rows)
 
 
+def inserted_by(spark: SparkSession, path: str, like: DataFrame, make: Callable[[DataFrame], DataFrame]) -> None:
+    """Adds the rows that make(the table as it is) gives; made anew where another writer was first."""
+    _changed(spark, path, lambda seen, old: [*old, _segment(seen, make(_read(spark, path, old, like)), path)])
+
+
 def without(keys: DataFrame, path: str, like: DataFrame, by: list[str]) -> DataFrame:
     """The table after rows of the given keys were deleted."""
     _changed(like.sparkSession, path, lambda seen, old: [*old, _segment(seen, None, path, keys.select(*by).distinct())])
