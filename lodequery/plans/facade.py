@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodequery.operators import evaluate, facade, lexical, retrieve
 from lodequery.plans.common import Registry
 from lodequery.plans.retrieval import BM25, DENSE, FUSED, NEAR_BY_RANK, SHINGLES, TRUTH, WORDS, _dense, _docs, _entries, _items, _lexical, _truth
+from lodequery.sources import suites
 from lodequery.sources.tables import table
 
 REGISTRY = Registry()
@@ -137,3 +138,49 @@ def src16_stored_index(s: SparkSession, d: str) -> DataFrame:
     """The index written to a folder of its own, read again and asked."""
     index = lexical.indexed(_docs(s, d))
     return lexical.ranked(lexical.scored(index, _items(s, d)), 3).select("query_id", "id", "rank")
+
+
+# ---- suites as files ---------------------------------------------------------------------------
+
+
+def _suite(s: SparkSession, d: str) -> DataFrame:
+    """Cases of the documents in 20 suites: some faulty, some of the graph."""
+    c, none = F.col("doc_id"), F.lit(None).cast("string")
+    graph_case = c % 4 == 0
+    rows = table(s, d, "documents").withColumn("place", F.row_number().over(Window.partitionBy(c % 20, graph_case).orderBy(c)) - 1)
+    return rows.select(
+        F.concat(F.lit("s"), c % 20).alias("path"), F.col("place").cast("int").alias("place"), F.when(graph_case, "graph_case").otherwise("case").alias("form"),
+        F.when(~graph_case, F.concat(F.lit('say "'), F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 60), r"[\x00-\x08\x0b-\x1f\x7f]", ""), F.lit('"\n\\'), c)).alias("query"),
+        F.when(graph_case, F.when(c % 8 == 0, "defines").otherwise("who_calls")).alias("relation"), F.when(graph_case, F.concat(F.lit("t"), c)).alias("target"),
+        F.when(graph_case & (c % 3 == 0), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("a/"), c), F.lit("b"))).alias("expected"),
+        F.when(~graph_case & (c % 3 == 0), "nl").alias("kind"), F.when(~graph_case & (c % 5 == 1), "code").when(~graph_case & (c % 5 == 2), "unknown").alias("intent"), none.alias("fault"), c.alias("doc_id"),
+    )
+
+
+@query(r"""SELECT concat('s', doc_id % 20) AS path, CASE WHEN doc_id % 4 = 0 THEN 'graph_case' ELSE 'case' END AS form, CASE WHEN doc_id % 4 <> 0 THEN sha256(concat('say "', regexp_replace(left(coalesce(text, ''), 60), '[\x00-\x08\x0b-\x1f\x7f]', '', 'g'), '"', chr(10), chr(92), doc_id)) END AS query_sha256,
+CASE WHEN doc_id % 4 = 0 THEN concat('t', doc_id) END AS target, CASE WHEN doc_id % 4 = 0 AND doc_id % 3 = 0 THEN '' ELSE concat('a/', doc_id, ',b') END AS expected, CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 THEN 'nl' END AS kind,
+CASE WHEN doc_id % 4 <> 0 AND doc_id % 5 = 1 THEN 'code' WHEN doc_id % 4 <> 0 AND doc_id % 5 = 2 THEN 'unknown' END AS intent, CASE WHEN doc_id % 4 <> 0 AND doc_id % 5 = 2 THEN 'intent' END AS fault FROM documents""")
+def src24_suites_written_and_read(s: SparkSession, d: str) -> DataFrame:
+    """Suites written as TOML and read again, with the faults of their cases."""
+    found = suites.parsed(suites.text_of(_suite(s, d)))
+    return found.select("path", "form", F.sha2("query", 256).alias("query_sha256"), "target", F.array_join("expected", ",").alias("expected"), "kind", "intent", "fault")
+
+
+@query("""SELECT concat('s', doc_id % 20) AS path, CASE WHEN doc_id % 4 = 0 THEN 'graph_case' ELSE 'case' END AS form, count(*) AS n, count_if(doc_id % 7 = 0 AND doc_id % 4 <> 0) AS amended FROM documents GROUP BY 1, 2""")
+def snk14_suites_added_to(s: SparkSession, d: str) -> DataFrame:
+    """Suites that got two thirds of their cases, then all of them twice, and of every seventh case another kind."""
+    whole = _suite(s, d).withColumn("intent", F.when(F.col("intent") == "code", "code"))
+    first = whole.where("doc_id % 3 <> 1").drop("doc_id")
+    new = whole.drop("place", "fault", "doc_id")
+    once, _ = suites.added(first, new)
+    twice, _ = suites.added(suites.parsed(suites.text_of(once)), new)
+    changes = whole.where("doc_id % 7 = 0 and form = 'case'").select("path", "query", F.lit(None).cast("array<string>").alias("expected"), F.lit("amended").alias("kind"), F.lit(None).cast("string").alias("intent"))
+    rows = suites.amended(twice, changes)
+    return rows.groupBy("path", "form").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "amended").alias("amended"))
+
+
+@query("""WITH m AS (SELECT source AS path, unnest(['mrr', 'queries', 'hit_1', 'hit_10']) AS name, unnest([avg(n_chars), count(*), avg(CAST(doc_id % 2 AS DOUBLE)), 1.0]) AS value FROM documents GROUP BY source) SELECT path, 'ir' AS form, name, round(value, 9) AS value FROM m""")
+def src25_baselines_written_and_read(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "documents").groupBy(F.col("source").alias("path")).agg(F.avg("n_chars").alias("mrr"), F.count("*").cast("double").alias("queries"), F.avg((F.col("doc_id") % 2).cast("double")).alias("hit_1"), F.lit(1.0).alias("hit_10"))
+    long = rows.unpivot("path", ["mrr", "queries", "hit_1", "hit_10"], "name", "value")
+    return suites.baselines(suites.baseline_text(long, "2024-01-01T00:00:00Z", 'own "x"')).select("path", "form", "name", F.round("value", 9).alias("value"))

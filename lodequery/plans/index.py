@@ -226,6 +226,25 @@ def sub26_indexed_paths(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("lang = 'en'").select(F.concat(F.lit("d"), "doc_id").alias("path")).distinct()
 
 
+def _tokenizer() -> chunking.Tokenizer:
+    import public_tokenizers
+
+    return chunking.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def chk05_exact_windows(s: SparkSession, d: str) -> DataFrame:
+    """Every document in windows of at most 256 tokens of a tokenizer, 32 of them shared with the window before; tests hold it against the library."""
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("ordinal"), F.coalesce("text", F.lit("")).alias("text"))
+    return chunking.cap(rows, 256, 32, _tokenizer())
+
+
+@query()
+def chk06_exact_counts(s: SparkSession, d: str) -> DataFrame:
+    """How many tokens of a tokenizer every document has."""
+    return table(s, d, "documents").select("doc_id", chunking.token_counts(F.col("text"), _tokenizer()).alias("n_tokens"))
+
+
 SUFFIXES = "list_extract(['.py', '.MD', '.tsx', '.txt', '.hh', '.sql'], CAST(page_id % 6 + 1 AS INTEGER))"
 FOLDERS = "list_extract(['src', 'node_modules', '.git', 'out', 'a.pem', 'lib'], CAST(page_id % 5 + 1 AS INTEGER))"
 

@@ -5,13 +5,9 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from lodequery.plans import reports, retrieval
 from tests.compare import rows, views
 
 SF = "/root/testdata/sf0.001"
-#: All twins of retrieval and reports, and one in four of the others, which keeps this run short; `python -m tests.compare FOLDER` runs all.
-OLD = [k for m in (retrieval, reports) for k in m.ORACLES]
-NEW = [k for m in entry.PLANS if m not in (retrieval, reports) for k in m.ORACLES]
 ORACLES = entry.oracle_sql()
 
 
@@ -20,7 +16,7 @@ def db():
     return views(SF)
 
 
-@pytest.mark.parametrize("name", sorted(OLD) + sorted(NEW)[::4])
+@pytest.mark.parametrize("name", [k for m in entry.PLANS for k in sorted(m.ORACLES)])
 def test_same_rows(spark, db, name):
     df = entry.queries()[name](spark, SF)
     twin = db.sql(ORACLES[name])

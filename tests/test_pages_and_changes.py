@@ -159,6 +159,28 @@ def test_capped_pieces_keep_to_the_budget(spark):
     assert sum(r["id"] == 1 for r in got) > 5 and all(len(r["text"]) <= 60 for r in got)
 
 
+def test_windows_of_exact_tokens(spark):
+    public = pytest.importorskip("public_tokenizers")
+    own = chunking.Tokenizer(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    texts = ["", "short", "größe 日本語 🎉 " * 40, "a b\n" * 100, "x" * 500, None]
+    rows = spark.createDataFrame([(i, 0, t, "kept") for i, t in enumerate(texts)], "id long, ordinal int, text string, other string")
+    for most, overlap in ((10, 3), (7, 0), (5, 9), (1, 0)):
+        got = {(r["id"], r["piece"]): r["text"] for r in chunking.cap(rows.where("text is not null"), most, overlap, own).collect()}
+        for i, t in enumerate(texts[:-1]):
+            ids = own.encoding().encode_ordinary(t)
+            want, at = [t], 0
+            if len(ids) > most:
+                want = []
+                while True:
+                    want.append(own.encoding().decode(ids[at : at + most]))
+                    if at + most >= len(ids):
+                        break
+                    at += max(1, most - overlap)
+            assert [got[i, n] for n in range(len(want))] == want and (i, len(want)) not in got
+    counts = [r["n"] for r in rows.select("id", chunking.token_counts(F.col("text"), own).alias("n")).orderBy("id").collect()]
+    assert counts == [len(own.encoding().encode_ordinary(t or "")) for t in texts]
+
+
 def test_hashed_vectors(spark):
     rows = E.hashed(spark.createDataFrame([(1, "Ab"), (2, None), (3, "ab  ab")], "i int, text string")).orderBy("i").collect()
     a = np.array(rows[0]["vector"])
@@ -184,11 +206,11 @@ def test_files_are_discovered_and_read(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     every = files.all_files(spark, str(tmp_path))
-    assert [r["path"] for r in files.discovered(every).collect()] == ["a/e.sql", "a-b/f.go", "src/a.py", "src/b.MD"]
+    assert [r["path"] for r in files.discovered(every).collect()] == ["a/e.sql", "a-b/f.go", "src/_hidden.py", "src/a.py", "src/b.MD", "src/empty.py"]
     docs = {r["path"]: (r["text"], r["doc_type"], r["language"]) for r in files.documents(every).collect()}
     assert docs["src/b.MD"] == ("# t", "doc", "markdown") and docs["src/a.py"] == ("x = 1", "code", "python")
     ids = {r["path"]: r["i"] for r in every.select("path", files.content_id(F.col("content")).alias("i")).collect()}
-    assert set(ids) == {"src/a.py", "src/b.MD", "out/c.py", "src/d.bin", "a/e.sql", "a-b/f.go"}
+    assert set(ids) == {"src/a.py", "src/b.MD", "out/c.py", "src/d.bin", "a/e.sql", "a-b/f.go", "src/_hidden.py", "src/empty.py"}
     empty = spark.range(1).select(files.content_id(F.lit(b""))).first()[0]
     assert empty == "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"
     assert spark.range(1).select(files.content_id(F.lit(None).cast("binary"))).first()[0] == "-"
