@@ -62,7 +62,7 @@ def checked(files: DataFrame, moves: DataFrame) -> DataFrame:
 def move_edits(files: DataFrame, moves: DataFrame, index: str = "index.md") -> DataFrame:
     """Edits of the pages and the index (not of log partitions, which are history) that make links to moved pages point at where they go.
 
-    A wikilink keeps its form (path, path without .md, file name) and what follows # or |; a relative link keeps its #part.
+    A wikilink keeps its form (path, path without .md, file name) and what follows # or |, and the backslash before it; a relative link keeps its #part.
     """
 
     @F.pandas_udf(StringType())
@@ -79,8 +79,9 @@ def move_edits(files: DataFrame, moves: DataFrame, index: str = "index.md") -> D
     forms = good.select("src", F.explode(F.arrays_zip(form("src").alias("target"), form("dest").alias("new"), F.array(F.lit(0), F.lit(-1), F.lit(-2)).alias("rank"))).alias("x"))
     forms = forms.groupBy("x.target").agg(F.min_by("x.new", F.struct("src", "x.rank")).alias("new"))
     links = texts.select("rel_path", F.explode(spans(F.col("text"), WIKILINK)).alias("x")).select("rel_path", "x.*")
-    links = links.withColumn("target", W.stripped(F.regexp_extract("text", WIKILINK, 1))).join(forms, "target")
-    first = links.select("rel_path", "begin", "end", F.concat(F.lit("[["), "new", F.regexp_extract("text", WIKILINK, 2), F.lit("]]")).alias("text"))
+    written = W.stripped(F.regexp_extract("text", WIKILINK, 1))  # in a table it may end in the backslash that guards the |
+    links = links.withColumn("target", W.stripped(F.regexp_replace(written, r"\\+$", ""))).join(forms, "target")
+    first = links.select("rel_path", "begin", "end", F.concat(F.lit("[["), "new", F.regexp_extract(written, r"(\\*)$", 1), F.regexp_extract("text", WIKILINK, 2), F.lit("]]")).alias("text"))
     own = texts.select("rel_path", F.explode(spans(F.col("text"), PATH_LINK)).alias("x")).select("rel_path", "x.*", W.stripped(F.regexp_extract("x.text", PATH_LINK, 1)).alias("raw"))
     base = F.substring_index("raw", "#", 1)
     own = own.where(~F.rlike("raw", F.lit(FOREIGN)) & (base != "")).withColumn("src", meant("rel_path", base)).join(good, "src")

@@ -329,7 +329,7 @@ def _moves(s, d):
 @query(rf"""WITH wf AS (SELECT doc_id, {PATH} AS rel_path, {WITH_PATHS} AS text FROM documents), mv AS (SELECT rel_path AS src, {TO} AS dest FROM wf WHERE doc_id % 10 = 1 AND rel_path LIKE 'en/%'),
 fm AS (SELECT unnest([src, regexp_replace(src, '\.md$', ''), regexp_replace(regexp_extract(src, '[^/]+$'), '\.md$', '')]) AS target FROM mv),
 pg AS (SELECT * FROM wf WHERE NOT starts_with(rel_path, 'log/')),
-wl AS (SELECT rel_path, trim(unnest(regexp_extract_all(text, '\[\[([^\[\]|#]+)((?:[#|][^\[\]]*)?)\]\]', 1))) AS target FROM pg),
+wl AS (SELECT rel_path, rtrim(trim(unnest(regexp_extract_all(text, '\[\[([^\[\]|#]+)((?:[#|][^\[\]]*)?)\]\]', 1))), chr(92)) AS target FROM pg),
 ml AS (SELECT rel_path, regexp_replace(raw, '#.*$', '') AS base FROM (SELECT rel_path, trim(unnest(regexp_extract_all(text, '\]\(([^)]+)\)', 1))) AS raw FROM pg) WHERE NOT regexp_matches(raw, '^([#/<]|mailto:)|://')),
 rl AS (SELECT rel_path, CASE WHEN starts_with(base, '../') THEN substr(base, 4) WHEN contains(rel_path, '/') THEN concat(regexp_extract(rel_path, '^[^/]+'), '/', base) ELSE base END AS src FROM ml WHERE NOT starts_with(base, '../') OR contains(rel_path, '/'))
 SELECT rel_path, count(*) AS edits FROM (SELECT rel_path FROM wl SEMI JOIN (SELECT DISTINCT target FROM fm) USING (target) UNION ALL SELECT rel_path FROM rl SEMI JOIN mv USING (src)) GROUP BY 1""")

@@ -22,7 +22,8 @@ def plain_move(pages, src, dest):
     out = {}
     for page, text in pages.items():
         if not page.startswith("log/"):
-            text = re.sub(edits.WIKILINK, lambda m: f"[[{new[m[1].strip()]}{m[2]}]]" if m[1].strip() in new else m[0], text)
+            bare = lambda m: m[1].strip().rstrip("\\").strip()
+            text = re.sub(edits.WIKILINK, lambda m: f"[[{new[bare(m)]}{m[1].strip()[len(m[1].strip().rstrip(chr(92))) :]}{m[2]}]]" if bare(m) in new else m[0], text)
 
             def path(m, page=page):
                 raw = m[1].strip()
@@ -40,14 +41,14 @@ def plain_move(pages, src, dest):
 def test_a_page_moves_with_all_links_to_it(spark):
     pages = {
         "index.md": "[[tech/Old page]] [i](tech/Old page.md) [[Old page]]", "tech/Old page.md": "[[Old page#self]] [s](./Old page.md#x) [b](b.md)", "tech/b.md": "a[[ Old page |über]]b[[tech/Old page.md]][[Old page]] [x](../tech/Old page.md#part)é[y](Old page.md)",
-        "log/2024-01-01.md": "[[Old page]]", "deep/er/c.md": "[z](../../tech/Old page.md) [w](https://x/tech/Old page.md) [v](/tech/Old page.md) [u](#Old page.md) [[Other]]", "d.md": "", "notes.txt": "[[Old page]]",
+        "log/2024-01-01.md": "[[Old page]]", "deep/er/c.md": "[z](../../tech/Old page.md) [w](https://x/tech/Old page.md) [v](/tech/Old page.md) [u](#Old page.md) [[Other]]", "d.md": "| [[Old page\\|in a table]] |", "notes.txt": "[[Old page]]",
     }
     tree = spark.createDataFrame(list(pages.items()), "rel_path string, text string")
     moves = spark.createDataFrame([("tech/Old page.md", "new/place/New page.md")], "src string, dest string")
     want = plain_move({p: t for p, t in pages.items() if p.endswith(".md")}, "tech/Old page.md", "new/place/New page.md") | {"notes.txt": pages["notes.txt"]}
     assert {r["rel_path"]: r["text"] for r in edits.moved(tree, moves).collect()} == want
     changed = {r["rel_path"]: r["n"] for r in edits.move_edits(tree, moves).groupBy("rel_path").agg(F.count("*").alias("n")).collect()}
-    assert changed == {"index.md": 3, "tech/Old page.md": 2, "tech/b.md": 5, "deep/er/c.md": 1}
+    assert changed == {"index.md": 3, "tech/Old page.md": 2, "tech/b.md": 5, "deep/er/c.md": 1, "d.md": 1}
     back = edits.moved(spark.createDataFrame(list(want.items()), "rel_path string, text string"), moves.select(F.col("dest").alias("src"), F.col("src").alias("dest")))
     assert wiki.lint(back).where("finding = 'broken-link'").count() == wiki.lint(tree).where("finding = 'broken-link'").count()
 
