@@ -83,17 +83,18 @@ def clamped(confidence: Column, alignment: Column) -> Column:
     return F.when(alignment == LEVELS[0], F.lit(LEVELS[0])).otherwise(confidence)
 
 
-def records(original: DataFrame, lifted: DataFrame, verdicts: DataFrame) -> DataFrame:
+def records(original: DataFrame, lifted: DataFrame, verdicts: DataFrame, more: bool = False) -> DataFrame:
     """Audit records: verdict, clamped confidence, references, risk and notes, with their rank within the ref.
 
     Rank: by falling risk, then falling severity of the verdict, groups before extras, then index. lifted rows carry path,
-    start_line, end_line, symbol and verified; references and notes keep the order of a verdict's items.
+    start_line, end_line, symbol and verified; references and notes keep the order of a verdict's items. more adds explanation,
+    alignment, severity, detectability and anchors (those of lifted rows, which then carry an anchor each).
     """
     place = F.concat(F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
-    cited = lifted.select("ref", F.col("index").alias("_s"), F.when(F.col("symbol").isNotNull(), F.concat("symbol", F.lit(" ("), place, F.lit(")"))).otherwise(place).alias("cite"), F.when(~F.col("verified"), place).alias("doubt"))
+    cited = lifted.select("ref", F.col("index").alias("_s"), F.when(F.col("symbol").isNotNull(), F.concat("symbol", F.lit(" ("), place, F.lit(")"))).otherwise(place).alias("cite"), F.when(~F.col("verified"), place).alias("doubt"), *(["anchor"] if more else []))
     numbered = verdicts.withColumn("_v", F.when(F.col("original").isNotNull(), F.col("original")).otherwise(F.get("lifted", F.lit(0)))).withColumn("_extra", F.col("original").isNull())
     parts = numbered.select("ref", "_v", "_extra", F.posexplode("lifted").alias("_p", "_s")).join(cited, ["ref", "_s"])
-    own = parts.groupBy("ref", "_v", "_extra").agg(F.array_sort(F.collect_list(F.struct("_p", "cite", "doubt"))).alias("x"))
+    own = parts.groupBy("ref", "_v", "_extra").agg(F.array_sort(F.collect_list(F.struct("_p", "cite", "doubt", *(["anchor"] if more else [])))).alias("x"))
     rows = numbered.join(own, ["ref", "_v", "_extra"], "left").join(original.select("ref", F.col("index").alias("original"), F.col("id").alias("original_ref")), ["ref", "original"], "left")
     x = F.coalesce("x", F.slice("x", 1, 0), F.array().cast(own.schema["x"].dataType))
     weak = (F.col("alignment") == LEVELS[0]) & (F.col("confidence") != LEVELS[0])
@@ -105,6 +106,7 @@ def records(original: DataFrame, lifted: DataFrame, verdicts: DataFrame) -> Data
     return out.select(
         "ref", "rank", "verdict", clamped(F.col("confidence"), F.coalesce("alignment", F.lit(""))).alias("confidence"), "original_ref", refs.alias("lifted_refs"), "risk",
         (F.col("verdict") == "DRIFTED").alias("proposed"), notes.alias("notes"), F.coalesce("original_ref", F.get(refs, F.lit(0)), F.lit("(none)")).alias("record_ref"),
+        *(["explanation", "alignment", "severity", "detectability", F.transform(x, lambda r: r["anchor"]).alias("anchors")] if more else []),
     )
 
 

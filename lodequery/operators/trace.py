@@ -132,12 +132,17 @@ def missing_quotas(items: DataFrame, requirements: DataFrame, quotas: tuple[str,
     return wanted.join(requirements.select("ref", "item", "quota"), ["ref", "item", "quota"], "left_anti")
 
 
-def drift(items: DataFrame, unresolved: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """What no confirmed requirement covers: items, and hunks without evidence, each with the lines it concerns."""
+def drift(items: DataFrame, unresolved: DataFrame, confirmed: DataFrame, more: bool = False) -> DataFrame:
+    """What no confirmed requirement covers: items, and hunks without evidence, each with the lines it concerns.
+
+    more adds granularity and place, a struct that orders items before hunks and each as the diff has them.
+    """
     open_items = items.join(confirmed.select("ref", "item").distinct(), ["ref", "item"], "left_anti")
     line = F.when(F.col("new_start") == 0, F.col("old_start")).otherwise(F.col("new_start"))
-    a = open_items.select("ref", F.lit("item").alias("what"), "path", "symbol", "start_line", "end_line")
-    return a.unionByName(unresolved.select("ref", F.lit("hunk").alias("what"), "path", F.lit(None).cast("string").alias("symbol"), line.alias("start_line"), line.alias("end_line")))
+    place = lambda what, a, b: F.struct(F.lit(what).alias("what"), a.cast("int").alias("a"), b.cast("int").alias("b")).alias("place")
+    a = open_items.select("ref", F.lit("item").alias("what"), "path", "symbol", "start_line", "end_line", "granularity", place(0, F.col("item"), F.lit(0)))
+    b = unresolved.select("ref", F.lit("hunk").alias("what"), "path", F.lit(None).cast("string").alias("symbol"), line.alias("start_line"), line.alias("end_line"), F.lit("hunk").alias("granularity"), place(1, F.col("file"), F.col("hunk")))
+    return a.unionByName(b) if more else a.unionByName(b).drop("granularity", "place")
 
 
 def verified(anchors: DataFrame, lines: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodequery.functions import diff as D
-from lodequery.operators import audit, lexical, trace
+from lodequery.operators import audit, lexical, reports, trace
 from lodequery.plans.common import Registry
 from lodequery.sources import history
 from lodequery.sources.tables import table
@@ -327,3 +327,74 @@ def src30_hunks_of_two_commits(s: SparkSession, d: str) -> DataFrame:
     lines = trace.diff_lines(parts)
     told = trace.diff_files(lines)
     return trace.diff_hunks(lines, told).join(told.select("ref", "file", "change_type"), ["ref", "file"]).where("path not like 'moved/%' and not (change_type = 'deleted' and try_cast(regexp_extract(path, 'f([0-9]+)', 1) as bigint) % 10 = 3)").select("path", "change_type", "old_start", "old_len", "new_start", "new_len")
+
+
+# ---- lifts and audits over kept texts ----------------------------------------------------------
+
+REF = "concat('', doc_id)"
+#: Of every other document someone has written one requirement, of its first item; the tree lacks a symbol of every third file and the last lines of every fourth.
+WRITTEN = """'{"requirements": [{"item": 0, "quota": "behaviour", "statement": " must do so "}], "open_questions": ["why?"]}'"""
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """Texts (ref, text) written to the shared folder and read from it, as (path, text)."""
+    at = f"{lexical.shared(rows.sparkSession)}/texts-{uuid.uuid4().hex}"
+    rows.select(F.col("ref").alias("path"), "text").write.parquet(at)
+    return rows.sparkSession.read.schema("path string, text string").parquet(at)
+
+
+def _lifted(s: SparkSession, d: str) -> reports.Lift:
+    docs = table(s, d, "documents").withColumn("ref", F.expr(REF))
+    bundle = reports.bundled(docs.select("ref", F.expr(TEXT).alias("text")), _evidence(s, d)).kept(f"{lexical.shared(s)}/bundle-{uuid.uuid4().hex}")
+    first = F.expr(f"CASE WHEN doc_id % 3 <> 0 THEN concat('class ', {HUNK0}) ELSE 'class other' END")
+    tree = docs.select("ref", F.expr(NAME).alias("path"), F.explode(F.array(F.struct(F.lit(1).alias("n"), first.alias("line")), F.struct(F.expr("CASE WHEN doc_id % 4 = 1 THEN 209 ELSE 211 END").alias("n"), F.lit("end").alias("line")))).alias("x"))
+    return reports.lift(bundle, tree.select("ref", "path", "x.*"), docs.where("doc_id % 2 = 0").select("ref", F.expr(WRITTEN).alias("text")))
+
+
+LIFTED = f"""dx AS (SELECT *, {DIR} IN ('docs', 'specs') OR doc_id % 9 = 0 AS left_out FROM documents), fx AS (SELECT *, NOT {BINARY} AND NOT left_out AS shown, doc_id % 6 <> 0 AS second, doc_id % 2 = 0 AS written, doc_id % 3 <> 0 AS v0, doc_id % 4 <> 1 AS v1 FROM dx),
+lf AS (SELECT *, CASE WHEN NOT shown THEN 0 WHEN written THEN CAST(v0 AS INT) ELSE 3 * CAST(v0 AS INT) + 3 * CAST(second AND v1 AS INT) END AS needs, CASE WHEN NOT shown THEN 0 WHEN written THEN 1 ELSE 3 + 3 * CAST(second AS INT) END AS tried,
+  1 + CASE WHEN NOT shown THEN 0 ELSE CAST(NOT second AS INT) + CAST(NOT v0 AS INT) + CAST(second AND (written OR NOT v1) AS INT) END AS loose,
+  CASE WHEN NOT shown THEN 0 ELSE (doc_id % 80 + 1) * CASE WHEN NOT v0 OR written THEN 1 ELSE 3 END + CASE WHEN NOT second THEN 210 WHEN NOT written AND v1 THEN 630 ELSE 210 END END + CASE WHEN doc_id = 0 THEN 1 ELSE doc_id END AS starts FROM fx WHERE NOT (written AND NOT shown))"""
+
+
+@query(f"WITH {LIFTED} SELECT {REF} AS ref, needs AS requirements, tried - needs AS excluded, loose AS drifts, CASE WHEN written THEN 3 ELSE 0 END + CAST(left_out AS INT) AS questions FROM lf")
+def trc01_lift_reports(s: SparkSession, d: str) -> DataFrame:
+    """From diffs to reports: what each report's JSON holds."""
+    size = lambda name: F.size(F.from_json(F.get_json_object("text", f"$.{name}"), "array<string>")).alias(name if name != "open_questions" else "questions")
+    return _lifted(s, d).reports.select("ref", *map(size, ("requirements", "excluded", "drifts", "open_questions")))
+
+
+@query(f"WITH {LIFTED} SELECT DISTINCT {REF} AS ref, 0 AS place, 'item' AS fault FROM fx WHERE written AND NOT shown")
+def sub50_refused_lifts(s: SparkSession, d: str) -> DataFrame:
+    """Written requirements that name no item of their bundle."""
+    return _lifted(s, d).refused
+
+
+@query(f"WITH {LIFTED} SELECT {REF} AS ref, CAST(needs AS BIGINT) AS needs, CAST(loose AS BIGINT) AS loose, CAST(starts AS BIGINT) AS starts, CAST(NULL AS VARCHAR) AS fault FROM lf WHERE doc_id % 10 <> 7 UNION ALL SELECT {REF}, NULL, NULL, NULL, 'version' FROM lf WHERE doc_id % 10 = 7")
+def src34_lifted_items(s: SparkSession, d: str) -> DataFrame:
+    """Items of kept reports, a tenth of which are of another version: how many of each ref, the sum of their first lines, and the fault."""
+    kept = _kept(_lifted(s, d).reports).withColumn("text", F.when(F.col("path").cast("bigint") % 10 == 7, F.replace("text", F.lit('"version":"1"'), F.lit('"version":"0"'))).otherwise(F.col("text")))
+    items, refused = reports.read_lifts(kept)
+    n = lambda origin: F.count(F.when(F.col("origin") == origin, 1))
+    told = items.groupBy("ref").agg(n("requirement").alias("needs"), n("drift").alias("loose"), F.sum("start_line").alias("starts"))
+    return told.unionByName(refused.select("ref", "fault"), allowMissingColumns=True)
+
+
+@query(f"""WITH {LIFTED}, au AS (SELECT *, needs + loose AS n FROM lf WHERE doc_id % 10 <> 7)
+SELECT {REF} AS ref, CASE WHEN doc_id % 10 = 9 THEN 'dangling' END AS fault, CAST(CASE WHEN doc_id % 10 <> 9 THEN least(n, 2) END AS BIGINT) AS met, CAST(CASE WHEN doc_id % 10 <> 9 THEN greatest(n - 2, 0) END AS BIGINT) AS undocumented, CAST(CASE WHEN doc_id % 10 <> 9 THEN greatest(2 - n, 0) END AS BIGINT) AS missing,
+  CASE WHEN doc_id % 10 <> 9 THEN concat('REQ-A', doc_id) END AS first_met, CAST(CASE WHEN doc_id % 10 <> 9 THEN loose END AS BIGINT) AS unverified FROM au""")
+def aud04_audits_of_kept_reports(s: SparkSession, d: str) -> DataFrame:
+    """Lift reports, requirements of Markdown and kept verdicts to audits: the matrix of each, its faults; a tenth of the verdicts name a requirement too many."""
+    kept = _kept(_lifted(s, d).reports.where("cast(ref as bigint) % 10 <> 7"))
+    items, _ = reports.read_lifts(kept)
+    refs = kept.select(F.col("path").alias("ref"))
+    original = audit.requirement_bullets(_bullet_docs(s, d)).select(F.substring("path", 2, 30).alias("ref"), F.col("place").alias("index"), "id")
+    drawn = audit.placeholder_verdicts(original.join(refs, "ref", "left_semi"), items)
+    extra = refs.where("cast(ref as bigint) % 10 = 9").select("ref", F.lit(5).alias("original"), F.array().cast("array<int>").alias("lifted"), F.lit(audit.MET).alias("verdict"), *(F.lit(audit.LEVELS[1]).alias(c) for c in ("confidence", "alignment")), *(F.lit(None).cast("string").alias(c) for c in ("severity", "detectability", "explanation")))
+    verdicts, asked, _ = reports.read_verdicts(_kept(reports.verdict_texts(drawn.unionByName(extra), refs)))
+    done = reports.audit_reports(original, items, verdicts, asked, refs)
+    told, _ = reports.read_audits(_kept(done.reports))
+    n = lambda v: F.element_at("x.matrix.counts", F.lit(v))
+    doubts = F.size(F.filter(F.flatten(F.transform("x.records", lambda r: r["notes"])), lambda t: F.startswith(t, F.lit("unverified"))))
+    rows = told.select("ref", F.lit(None).cast("string").alias("fault"), n(audit.MET).alias("met"), n(audit.UNDOCUMENTED).alias("undocumented"), n(audit.MISSING).alias("missing"), F.get(F.element_at("x.matrix.records_by_verdict", F.lit(audit.MET)), F.lit(0)).alias("first_met"), doubts.cast("long").alias("unverified"))
+    return rows.unionByName(done.refused.select("ref", "fault").distinct(), allowMissingColumns=True)
