@@ -1,6 +1,6 @@
 """Lift and audit as runs over many changesets, with bundles, reports and verdicts kept as versioned JSON texts.
 
-    bundle = bundled(changesets, evidence)                       # diff to evidence
+    bundle = bundled(changesets, evidence).kept(folder)          # diff to evidence
     lifted = lift(bundle, tree, authored)                        # reports (ref, text) and what was refused
     items, refused = read_lifts(kept_reports)                    # (path, text) back to rows
     verdicts, unread = read_verdicts(kept_verdicts)
@@ -202,7 +202,7 @@ def lift(bundle: Bundle, tree: DataFrame, authored: DataFrame | None = None) ->
     """From evidence to reports: requirements, their anchors held against the tree, drift, what was left out and open questions.
 
     tree: lines (ref, path, n from 1, line) of each changeset's files. authored: JSON texts (ref, text) of those who wrote the requirements; a changeset
-    without one has a placeholder for each item and quota. A changeset whose text is at fault has no report but rows of refused.
+    without one has a placeholder for each item and quota. The bundle should be a kept one: its items are read a dozen times. A changeset whose text is at fault has no report but rows of refused.
     """
     spark = bundle.refs.sparkSession
     texts = authored.select("ref", "text") if authored is not None else spark.createDataFrame([], "ref string, text string")

@@ -28,13 +28,13 @@ diff --git a/docs/b.md b/docs/b.md
 
 
 @pytest.fixture(scope="module")
-def bundle(spark):
+def bundle(spark, tmp_path_factory):
     changesets = spark.createDataFrame([("r1", DIFF, 7), ("r2", "", 7), ("r3", None, 7), ("r4", DIFF, 7)], "ref string, text string, item int")
     located = {"symbols": {"src/a.py::beta": [{"name": "beta", "path": "src/a.py", "line": 2}, {"name": "beta", "path": "src/a.py", "line": 9}], "src/a.py::alpha": [{"name": "far", "path": "src/z.py"}]}, "tests": {"beta": [{"name": "t", "path": "tests/t.py"}, {"name": "u", "path": "tests/t.py"}]}}
     evidence, tests = reports.read_evidence(spark.createDataFrame([(json.dumps(located),), ("{",), (None,), ('{"symbols": {"no separator": [{"name": "x", "path": "y"}]}}',)], "text string"))
     assert sorted(map(tuple, evidence.collect())) == [("src/a.py", "alpha", "far", "src/z.py", 0, 0), ("src/a.py", "beta", "beta", "src/a.py", 2, 0)]
     assert [tuple(r) for r in tests.collect()] == [("beta", "tests/t.py", "t", 0)]
-    return reports.bundled(changesets, evidence)
+    return reports.bundled(changesets, evidence).kept(str(tmp_path_factory.mktemp("bundle") / "b"))
 
 
 @pytest.fixture(scope="module")
@@ -46,20 +46,19 @@ def loaded(rows):
     return {r["ref"]: json.loads(r["text"]) for r in rows.collect()}
 
 
-def test_a_diff_becomes_a_report(spark, bundle, tree, tmp_path):
-    for own in (bundle, bundle.kept(str(tmp_path / "bundle"))):
-        found = reports.lift(own, tree)
-        out = loaded(found.reports)
-        assert set(out) == {"r1", "r2", "r3", "r4"} and found.refused.count() == 0
-        one = out["r1"]
-        assert one["version"] == "1" and one["changeset_ref"] == "r1" and one["excluded"] == []
-        assert [(r["id"], r["source_item"]) for r in one["requirements"]] == [(f"REQ-000-{q}", "item-0") for q in trace.QUOTAS]
-        assert one["requirements"][0]["anchor"] == {"file": "src/a.py", "lines": [1, 3], "symbol": "beta", "test": None, "granularity": "symbol", "status": "verified"}
-        assert [(d["anchor"]["lines"], d["anchor"]["status"], d["status"]) for d in one["drifts"]] == [([10, 10], "unverified", "proposed")]
-        assert one["open_questions"] == ["left out as documentation: docs/b.md"]
-        # too short a file: nothing is confirmed, so the item itself is drift, before the hunk
-        assert out["r4"]["requirements"] == [] and len(out["r4"]["excluded"]) == 3 and [d["anchor"]["lines"] for d in out["r4"]["drifts"]] == [[1, 3], [10, 10]]
-        assert all(not out[r][k] for r in ("r2", "r3") for k in ("requirements", "drifts", "excluded", "open_questions"))
+def test_a_diff_becomes_a_report(bundle, tree):
+    found = reports.lift(bundle, tree)
+    out = loaded(found.reports)
+    assert set(out) == {"r1", "r2", "r3", "r4"} and found.refused.count() == 0
+    one = out["r1"]
+    assert one["version"] == "1" and one["changeset_ref"] == "r1" and one["excluded"] == []
+    assert [(r["id"], r["source_item"]) for r in one["requirements"]] == [(f"REQ-000-{q}", "item-0") for q in trace.QUOTAS]
+    assert one["requirements"][0]["anchor"] == {"file": "src/a.py", "lines": [1, 3], "symbol": "beta", "test": None, "granularity": "symbol", "status": "verified"}
+    assert [(d["anchor"]["lines"], d["anchor"]["status"], d["status"]) for d in one["drifts"]] == [([10, 10], "unverified", "proposed")]
+    assert one["open_questions"] == ["left out as documentation: docs/b.md"]
+    # too short a file: nothing is confirmed, so the item itself is drift, before the hunk
+    assert out["r4"]["requirements"] == [] and len(out["r4"]["excluded"]) == 3 and [d["anchor"]["lines"] for d in out["r4"]["drifts"]] == [[1, 3], [10, 10]]
+    assert all(not out[r][k] for r in ("r2", "r3") for k in ("requirements", "drifts", "excluded", "open_questions"))
 
 
 def test_written_requirements(spark, bundle, tree):
