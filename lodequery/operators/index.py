@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodequery.functions import embed
-from lodequery.operators import chunking, extraction, graph, incremental, lexical
+from lodequery.operators import chunking, extraction, graph, incremental, lexical, retrieve, wiki
 from lodequery.sources import versions
 
 #: Changes when chunks, terms or vectors of equal texts do.
@@ -190,3 +190,40 @@ def search(kept: Kept, queries: DataFrame, k: int, doc_type: str | None = None)
     """query_id, id, score, rank: BM25 over the kept chunks for queries (query_id, query), of one doc_type where it is given."""
     keep = None if doc_type is None else kept.chunks.where(F.col("doc_type") == doc_type).select(F.col("chunk_id").alias("id"))
     return lexical.ranked(lexical.scored(kept.lexical(), queries, keep), k)
+
+
+class Absent(LookupError):
+    """There is no index in the folder."""
+
+
+def existing(spark: SparkSession, at: str) -> Kept:
+    """The index as it is now; Absent where there is none, before anything is asked of it."""
+    kept = opened(spark, at)
+    if kept is None:
+        raise Absent(f"no index in {at}")
+    return kept
+
+
+def nearest(kept: Kept, queries: DataFrame, k: int, doc_type: str | None = None) -> DataFrame:
+    """query_id, id, score, rank: cosine over the kept vectors for queries (query_id, query), of one doc_type where it is given."""
+    rows = kept.vectors if doc_type is None else kept.vectors.where(F.col("doc_type") == doc_type)
+    asked = embed.hashed(queries.select("query_id", F.col("query").alias("text"))).select("query_id", "vector")
+    return retrieve.dense(rows.select("chunk_id", "vector"), asked, k, "chunk_id", "vector")
+
+
+def hybrid(kept: Kept, queries: DataFrame, k: int, doc_type: str | None = None, pool: int = 30, least: float | None = None, dedup: bool = True) -> DataFrame:
+    """Both searches of a kept index, fused as retrieve.hybrid() does; the index must have been built with vectors."""
+    if not kept.options["vectors"]:
+        raise ValueError("the index was built without vectors")
+    entries = kept.chunks.select(F.col("chunk_id").alias("id"), "text")
+    return retrieve.hybrid(search(kept, queries, pool, doc_type), nearest(kept, queries, pool, doc_type), entries, k, pool, least=least, dedup=dedup)
+
+
+def build_pages(files: DataFrame, at: str, enabled: bool = True, **options) -> Kept | None:
+    """The Markdown pages of a tree (rel_path, text) as an index of their own, built anew; nothing is read or written where it is not enabled."""
+    if not enabled:
+        return None
+    pages = wiki.linkable(files)
+    none = F.lit(None)
+    mtime = F.col("mtime") if "mtime" in files.columns else none
+    return build(pages.select(F.col("rel_path").alias("path"), "text", F.lit("doc").alias("doc_type"), F.lit("markdown").alias("language"), mtime.cast("long").alias("mtime")), at, **options)

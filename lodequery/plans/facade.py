@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodequery.operators import evaluate, facade, lexical, retrieve
+from lodequery.operators import evaluate, facade, health, lexical, retrieve
 from lodequery.plans.common import Registry
 from lodequery.plans.retrieval import BM25, DENSE, FUSED, NEAR_BY_RANK, SHINGLES, TRUTH, WORDS, _dense, _docs, _entries, _items, _lexical, _truth
 from lodequery.sources import suites
@@ -184,3 +184,34 @@ def src25_baselines_written_and_read(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "documents").groupBy(F.col("source").alias("path")).agg(F.avg("n_chars").alias("mrr"), F.count("*").cast("double").alias("queries"), F.avg((F.col("doc_id") % 2).cast("double")).alias("hit_1"), F.lit(1.0).alias("hit_10"))
     long = rows.unpivot("path", ["mrr", "queries", "hit_1", "hit_10"], "name", "value")
     return suites.baselines(suites.baseline_text(long, "2024-01-01T00:00:00Z", 'own "x"')).select("path", "form", "name", F.round("value", 9).alias("value"))
+
+
+GROUPS = "gr AS (SELECT *, min(doc_id) OVER (PARTITION BY source) AS g FROM documents), so AS (SELECT DISTINCT source AS collection, g FROM gr)"
+
+
+@query(f"""WITH {GROUPS}, st AS (SELECT source AS collection, count(*) AS n, bool_or((g % 4 = 1 AND doc_id % 7 = 0) OR (g % 4 = 2 AND doc_id % 11 = 3)) AS stale FROM gr WHERE doc_id % 5 <> 4 AND g % 4 <> 0 GROUP BY 1),
+pr AS (SELECT so.collection, g % 3 = 0 AS no_end, g % 5 = 0 AS no_key, g % 7 = 1 AS away, n IS NULL AS absent, coalesce(stale, false) AS stale, g % 2 = 0 AS registered, g % 6 = 0 AS moves FROM so LEFT JOIN st USING (collection)),
+ar AS (SELECT collection, 0 AS place, 'config' AS area, CASE WHEN no_end OR no_key THEN 'env_missing_key' ELSE '' END AS codes, CASE WHEN no_end OR no_key THEN 2 ELSE 0 END AS r FROM pr
+  UNION ALL SELECT collection, 1, 'provider', CASE WHEN no_end THEN 'provider_config_incomplete' WHEN away THEN 'provider_unreachable' ELSE '' END, CASE WHEN no_end THEN 2 WHEN away THEN 1 ELSE 0 END FROM pr
+  UNION ALL SELECT collection, 2, 'index', CASE WHEN absent THEN 'index_absent' WHEN stale THEN 'index_stale' ELSE '' END, CASE WHEN absent THEN 2 WHEN stale THEN 1 ELSE 0 END FROM pr
+  UNION ALL SELECT collection, 3, 'mcp', CASE WHEN NOT registered THEN 'mcp_not_registered' WHEN moves THEN 'mcp_invocation_moves_cwd' WHEN stale THEN 'mcp_stale_after_reindex' ELSE '' END, CASE WHEN NOT registered OR moves OR stale THEN 1 ELSE 0 END FROM pr)
+SELECT collection, CAST(place AS INTEGER) AS place, area, list_extract(['pass', 'warn', 'fail'], r + 1) AS status, codes, list_extract(['pass', 'warn', 'fail'], CAST(max(r) OVER (PARTITION BY collection) + 1 AS INTEGER)) AS overall FROM ar""")
+def hlt02_health_of_collections(s: SparkSession, d: str) -> DataFrame:
+    """Every source as a collection, with settings, probe, server, manifest and files that its first document decides."""
+    docs = table(s, d, "documents").select("doc_id", F.col("source").alias("collection"), "text")
+    groups = docs.groupBy("collection").agg(F.min("doc_id").alias("g"))
+    rows = docs.join(groups, "collection")
+    c, g = F.col("doc_id"), F.col("g")
+    path, digest = c.cast("string").alias("path"), F.xxhash64("text").cast("string")
+    manifests = rows.where("doc_id % 5 <> 4").select("collection", F.when(g % 4 == 0, "0").otherwise("1").alias("version"), path, c.alias("mtime"), digest.alias("content_hash"))
+    touched = c % 7 == 0
+    stats = rows.where("not (g % 4 = 2 and doc_id % 11 = 3)").select("collection", path, (c + touched.cast("long")).alias("mtime"), F.when(touched & (g % 4 == 1), F.concat(digest, F.lit("x"))).otherwise(digest).alias("content_hash"))
+    end, key = F.struct(F.lit("ENDPOINT").alias("key"), F.when(g % 3 != 0, "set").alias("value")), F.struct(F.lit("KEY").alias("key"), F.when(g % 5 == 0, " ").otherwise("set").alias("value"))
+    settings = groups.select("collection", F.explode(F.array(end, key)).alias("x")).select("collection", "x.*")
+    needs = settings.select("collection", "key")
+    fresh = health.freshness(groups, manifests, stats)
+    problems = (
+        health.config(groups, needs, settings), health.provider(groups, needs.where("key = 'ENDPOINT'"), settings, groups.select("collection", F.when(g % 7 == 1, "unreachable").otherwise("reachable").alias("status"))),
+        health.index(fresh), health.server(fresh, groups.select("collection", (g % 2 == 0).alias("registered"), F.array(F.lit("run"), F.when(g % 6 == 0, "--directory").otherwise("--project")).alias("invocation"))),
+    )
+    return health.report(groups, *problems).withColumn("codes", F.array_join("codes", ","))
