@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodequery.operators import graph
+from lodequery.operators import graph, retrieve
 
 
 def first_relevant(results: DataFrame, truth: DataFrame) -> DataFrame:
@@ -68,10 +68,7 @@ def report(results: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3, 5,
 
 def union_hit_rate(flows: list[DataFrame], truth: DataFrame, k: int) -> DataFrame:
     """Share of queries for which any flow has an expected id among its first k."""
-    found = None
-    for flow in flows:
-        part = flow.where(F.col("rank") <= k).select("query_id", "id")
-        found = part if found is None else found.unionByName(part)
+    found = retrieve.together([flow.where(F.col("rank") <= k).select("query_id", "id") for flow in flows])
     hits = found.join(truth, ["query_id", "id"], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(1.0))
     rows = truth.select("query_id").distinct().join(hits, "query_id", "left")
     return rows.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 9).alias("union_hit_rate"))

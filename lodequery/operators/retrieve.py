@@ -62,9 +62,18 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", v
     return ranked(part, k)
 
 
+def together(legs: list[DataFrame]) -> DataFrame:
+    """The rows of several legs, dealt anew by query and id.
+
+    A union of legs that are dealt alike counts as dealt so itself, and what is grouped or joined above it isn't shuffled again; where the
+    engine deals one of the legs otherwise while it runs, that no longer holds.
+    """
+    return reduce(DataFrame.unionByName, legs).repartition("query_id", "id")
+
+
 def fused(legs: list[DataFrame], k: int, c: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked legs (query_id, id, rank): query_id, id, score, rank."""
-    rows = reduce(DataFrame.unionByName, [x.select("query_id", "id", "rank") for x in legs])
+    rows = together([x.select("query_id", "id", "rank") for x in legs])
     return ranked(rows.groupBy("query_id", "id").agg(F.round(F.sum(1 / (c + F.col("rank"))), 12).alias("score")), k)
 
 
@@ -117,7 +126,7 @@ def hybrid(lexical_leg: DataFrame, dense_leg: DataFrame, entries: DataFrame, k:
 
 def interleaved(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two ranked flows as one: first[1], second[1], first[2], ...; what is left of the longer follows."""
-    rows = first.withColumn("flow", F.lit(0)).unionByName(second.withColumn("flow", F.lit(1)))
+    rows = together([first.withColumn("flow", F.lit(0)), second.withColumn("flow", F.lit(1))])
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "flow")))
 
 
@@ -132,7 +141,7 @@ def fan_out(collections: list[DataFrame], k: int, least: float | None = None, te
 
     With texts (id, text), rows near a better one go before the cut.
     """
-    rows = reduce(DataFrame.unionByName, [x.where(F.col("rank") <= k).drop("rank") for x in collections])
+    rows = together([x.where(F.col("rank") <= k).drop("rank") for x in collections])
     if texts is None:
         return above(ranked(rows, k), least)
     every = ranked(rows, 2**31 - 1).join(texts.select("id", "text"), "id").select("query_id", "id", "score", "rank", "text")

@@ -196,3 +196,11 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     flows.finished(counts)
     want = {(r["begin"], r["n"]) for r in flows.bucket_counts(rows).collect()}
     assert {(r["begin"], r["n"]) for r in spark.table("counts").collect()} == want and len(want) == 3
+
+
+def test_legs_are_dealt_anew_before_they_are_fused(spark):
+    """The sums of fused legs must not rest on the legs' own partitions: the engine may change those of one leg while it runs."""
+    leg = lambda seed: lexical.ranked(spark.range(400).selectExpr("id % 20 AS query_id", f"id * {seed} % 97 AS id", "cast(id AS double) AS score"), 30)
+    for rows in (retrieve.fused([leg(7), leg(11)], 15), retrieve.interleaved(leg(7), leg(11)), retrieve.fan_out([leg(7), leg(11)], 5)):
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        assert "Exchange hashpartitioning(query_id" in plan.split("Union")[0]
