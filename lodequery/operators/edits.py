@@ -154,6 +154,10 @@ def log_index(kept: DataFrame) -> DataFrame:
     return days.select(F.concat(F.lit("# Log Index\n\nDaily partitions (chronological):\n\n"), F.array_join(lines, "")).alias("text"))
 
 
-def index_rows(pages: DataFrame, at: str) -> DataFrame:
-    """The index kept at a path, a line for each page, after pages (rel_path, line) took the place of those they have there."""
-    return store.upserted(pages.select("rel_path", "line"), at, ["rel_path"])
+def index_rows(pages: DataFrame, at: str, by: tuple[str, ...] = ("rel_path",)) -> DataFrame:
+    """The index kept at a path, a line for each page, after pages (rel_path, line) took the place of those they have there.
+
+    by: the columns that tell pages apart, where several pages have one path.
+    """
+    rows = pages.select(*dict.fromkeys((*by, "rel_path", "line")))
+    return store.upserted(rows, at, list(by)).select("rel_path", "line")

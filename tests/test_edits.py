@@ -141,3 +141,18 @@ def test_texts_that_hold_items_of_any_length(spark):
     want = {(q, i) for q, x in enumerate(items) if x for i, t in enumerate(texts) if x in t}
     assert {tuple(r) for r in evaluate.holding(docs, asked).select("query_id", "id").collect()} == want
     assert evaluate.holding(docs, asked.where("false")).count() == 0
+
+
+def test_pages_of_one_address_have_a_line_each(spark, tmp_path):
+    import __spark_entry__ as entry
+    from tests.compare import rows
+
+    import duckdb
+
+    pages = [(i, f"u{i // 2}", "") for i in range(9)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    df, twin = entry.queries()["snk19_index_rows"](spark, str(tmp_path)), con.sql(entry.oracle_sql()["snk19_index_rows"])
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    assert len(got) == 9 and got == rows(list(twin.columns), twin.fetchall())
