@@ -47,6 +47,17 @@ def test_call_sites_are_resolved_at_every_size(spark, size):
     assert targets == want and len(want) > 0.8 * len(called & parts)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_resolved_calls_hold_those_of_either_name(spark, size):
+    """Every call of a name that has up to 40 definitions is resolved, the plain name's and the full one's."""
+    sf, name = f"/root/testdata/{size}", "jon07_resolved_calls"
+    db = views(sf)
+    plain = "WITH def AS (SELECT p_partkey AS key, p_name AS name FROM part), tg AS (SELECT name FROM def GROUP BY name HAVING count(DISTINCT key) <= 40) SELECT DISTINCT 's' || l_suppkey AS source, 'p' || d.key AS target FROM lineitem JOIN def c ON c.key = l_partkey JOIN def d ON d.name = c.name JOIN tg ON tg.name = d.name"
+    got = {tuple(r) for r in entry.queries()[name](spark, sf).select("source", "target").collect()}
+    full = {tuple(r) for r in entry.queries()["jon07b_resolved_calls_by_full_name"](spark, sf).select("source", "target").collect()}
+    assert got >= full | set(db.sql(plain).fetchall()) and got == {r for r in db.sql(f"SELECT source, target FROM ({ORACLES[name]})").fetchall()}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
