@@ -99,20 +99,40 @@ def akin(part: Column, word: Column, stem: int = 4) -> Column:
     return (part == word) | (F.length(part) >= stem) & (F.length(word) >= stem) & (F.substring(part, 1, stem) == F.substring(word, 1, stem))
 
 
+def _key(word: Column, stem: int = 4) -> Column:
+    """What words share that are akin: the first `stem` letters, or all of a shorter word."""
+    return F.substring(word, 1, stem)
+
+
+def word_keys(questions: DataFrame) -> DataFrame:
+    """query_id and k, the distinct keys of a question's words."""
+    words = F.transform(F.regexp_extract_all("query", F.lit("([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower)
+    return questions.select("query_id", F.explode(words).alias("word")).select("query_id", _key(F.col("word")).alias("k")).distinct()
+
+
+def askable(asked: DataFrame, names: DataFrame, least: int) -> DataFrame:
+    """name, part and k of the distinct names' parts that any question has a word for (asked: k), of names with `least` such parts at least."""
+    part = names.select("name").distinct().select("name", F.explode(parts_of(F.col("name"))).alias("part")).withColumn("k", _key(F.col("part")))
+    part = part.join(asked.select("k").distinct(), "k", "left_semi")
+    return part.join(part.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least), "name", "left_semi")
+
+
 def symbol_table(questions: DataFrame, names: DataFrame, least: int = 2) -> DataFrame:
     """query_id, name, overlap: symbols whose whole name a question has (its parts and one more), or whose parts are akin to its words, `least` at least.
 
-    Words and parts meet on their first four letters, shorter ones on themselves, so no pair of all is formed.
+    Words and parts meet on their first four letters, shorter ones on themselves. A symbol of fewer than `least` parts that any question has words
+    for is none's hit and stays out of that join, and questions of the same such words meet the symbols once.
     """
     own = names.select("name").distinct()
-    words = questions.select("query_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit("([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower))).alias("word"))
     whole = questions.select("query_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit(r"(?U)([\w.]+)"), F.lit(1)), F.lower))).alias("low"))
     named = whole.join(own.withColumn("low", F.lower("name")), "low").select("query_id", "name", (F.size(parts_of(F.col("name"))) + 1).alias("overlap"))
-    named = named.join(words.select("query_id").distinct(), "query_id", "left_semi")
-    part = own.select("name", F.explode(parts_of(F.col("name"))).alias("part"))
-    key = lambda c: F.when(F.length(c) >= 4, F.substring(c, 1, 4)).otherwise(F.col(c))
-    rows = words.withColumn("k", key("word")).join(part.withColumn("k", key("part")), "k").where(akin(F.col("part"), F.col("word")))
-    hits = rows.groupBy("query_id", "name").agg(F.count_distinct("part").cast("int").alias("overlap")).where(F.col("overlap") >= least)
+    asked = word_keys(questions)
+    named = named.join(asked.select("query_id").distinct(), "query_id", "left_semi")
+    part = askable(asked, own, least)
+    sets = asked.join(part.select("k").distinct(), "k", "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_set("k")).alias("set"))
+    met = sets.select("set").distinct().select("set", F.explode("set").alias("k")).join(part, "k")
+    hits = met.groupBy("set", "name").agg(F.count_distinct("part").cast("int").alias("overlap")).where(F.col("overlap") >= least)
+    hits = sets.join(hits, "set").select("query_id", "name", "overlap")
     return named.unionByName(hits).groupBy("query_id", "name").agg(F.max("overlap").alias("overlap"))
 
 

@@ -204,3 +204,13 @@ def test_legs_are_dealt_anew_before_they_are_fused(spark):
     for rows in (retrieve.fused([leg(7), leg(11)], 15), retrieve.interleaved(leg(7), leg(11)), retrieve.fan_out([leg(7), leg(11)], 5)):
         plan = rows._jdf.queryExecution().sparkPlan().toString()
         assert "Exchange hashpartitioning(query_id" in plan.split("Union")[0]
+
+
+def test_symbols_that_share_one_word_with_all_questions_stay_out_of_the_join(spark):
+    asked = spark.createDataFrame([(i, f"who calls sup_{i} and BuildIndex of the index builders?") for i in range(6)], "query_id long, query string")
+    names = spark.createDataFrame([(f"sup_{i}",) for i in range(6)] + [("BuildIndex",), ("index.of.sup",), ("HTTPServer",)], "name string")
+    parts = graph.askable(graph.word_keys(asked), names, 2)
+    assert {tuple(r) for r in parts.select("name", "part").collect()} == {("BuildIndex", "build"), ("BuildIndex", "index"), ("index.of.sup", "index"), ("index.of.sup", "of"), ("index.of.sup", "sup")}
+    got = {(r["query_id"], r["name"]): r["overlap"] for r in graph.symbol_table(asked, names).collect()}
+    want = {(i, f"sup_{i}"): 3 for i in range(6)} | {(i, "BuildIndex"): 3 for i in range(6)} | {(i, "index.of.sup"): 3 for i in range(6)}
+    assert got == want
