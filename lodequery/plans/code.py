@@ -12,7 +12,7 @@ from lodequery.operators import agent, chunking, evaluate, extraction, graph, le
 from lodequery.operators import index as kept_index
 from lodequery.plans.common import Registry
 from lodequery.plans.retrieval import POSTINGS, TOKENS
-from lodequery.sources import store
+from lodequery.sources import store, versions
 from lodequery.sources.tables import table
 from lodequery.streaming import flows
 
@@ -303,17 +303,25 @@ def grf13_branch_status(s: SparkSession, d: str) -> DataFrame:
 
 
 def _fed(s: SparkSession, d: str, rows: DataFrame, parts: int, work, batch: str | None = None) -> DataFrame:
-    """A stream over rows, written as `parts` files that arrive one a batch, run to its end; what work(stream, folder) gives.
+    """A stream over rows that arrive in `parts` batches, run to its end; what work(stream, folder) gives.
 
-    batch: an expression that numbers the batches from 0; files arrive in that order.
+    batch: an expression that numbers the batches from 0. A batch has as many files as tasks wrote it; it arrives as a folder, and the stream runs
+    over it before the next one does.
     """
     at = f"{lexical.shared(s)}/stream-{uuid.uuid4().hex}"
     if batch is None:
         rows.repartition(parts).write.parquet(f"{at}/in")
-    else:
-        for i in range(parts):  # files are taken by age
-            rows.where(f"{batch} = {i}").coalesce(1).write.mode("append").parquet(f"{at}/in")
-    return work(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), at)
+        return work(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), at)
+    rows.withColumn("_batch", F.expr(batch)).write.partitionBy("_batch").parquet(f"{at}/staged")
+    for i in range(parts):
+        staged, fs = versions.file_of(s, f"{at}/staged/_batch={i}")
+        if fs.exists(staged):
+            fs.mkdirs(versions.file_of(s, f"{at}/in")[0])
+            fs.rename(staged, versions.file_of(s, f"{at}/in/{i}")[0])
+        else:  # an empty batch is one, too
+            s.createDataFrame([], rows.schema).write.parquet(f"{at}/in/{i}")
+        out = work(s.readStream.schema(rows.schema).parquet(f"{at}/in/*"), at)
+    return out
 
 
 @query("SELECT date_trunc('day', ts) AS begin, event_type AS operation, count(*) AS n FROM events GROUP BY 1, 2")

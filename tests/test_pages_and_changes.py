@@ -214,3 +214,19 @@ def test_files_are_discovered_and_read(spark, tmp_path):
     empty = spark.range(1).select(files.content_id(F.lit(b""))).first()[0]
     assert empty == "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"
     assert spark.range(1).select(files.content_id(F.lit(None).cast("binary"))).first()[0] == "-"
+
+
+def test_a_streams_batch_has_as_many_files_as_tasks_wrote_it(spark):
+    from lodequery.plans.code import _fed
+
+    rows = spark.range(60).repartition(3).selectExpr("id", "cast(id % 2 * 2 AS int) AS part")
+    seen = []
+
+    def work(stream, at):
+        put = lambda batch, n: seen.append((n, sorted(r[0] % 2 for r in batch.select("id").distinct().collect()), len(batch.inputFiles()) if batch.isLocal() else batch.rdd.getNumPartitions()))
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{at}/in/*")
+
+    out = _fed(spark, "", rows, 3, work, "part")
+    assert out.count() == 60 and [(n, set(v)) for n, v, _ in seen] == [(0, {0}), (1, set()), (2, {1})]
+    assert len({r[0] for r in out.selectExpr("input_file_name()").distinct().collect()}) >= 6
