@@ -95,16 +95,18 @@ def episodes(sessions: DataFrame, turns: DataFrame, queries: DataFrame, limit: i
     """Turns that hold a query's phrases, joined with their sessions, inside the window, best or latest first.
 
     query_id, rank, session_key, captured_at, role, turn_index, score, snippet. Relevance orders by score, then capture
-    time; recency by capture time alone; what is left equal falls to session and turn.
+    time; recency by capture time alone; what is left equal falls to session and turn. Queries of one text are answered once.
     """
     checked_window(since, until)
     kept = sessions.where(in_window(F.col("captured_at"), since, until)).select("session_key", "captured_at")
-    found = full_text(turns, queries, None).join(kept, "session_key")
+    asked = queries.where("query is not null").select(F.col("query").alias("query_id"), "query").distinct()
+    found = full_text(turns, asked, None).join(kept, "session_key")
     by = [F.desc("captured_at")] if order == "recency" else [F.desc("score"), F.desc("captured_at")]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*by, "session_key", "turn_index"))
     found = found.withColumn("rank", rank).where(F.col("rank") <= limit).join(turns.select("session_key", "turn_index", "role", "text"), ["session_key", "turn_index"])
-    found = found.join(queries.select("query_id", F.filter(F.split("query", r"\s+"), lambda x: x != "").alias("_p")), "query_id")
-    return found.select("query_id", "rank", "session_key", "captured_at", "role", "turn_index", "score", snippet(F.col("text"), F.col("_p")).alias("snippet"))
+    phrases = F.filter(F.split("query", r"\s+"), lambda x: x != "")
+    shown = found.withColumnRenamed("query_id", "query").withColumn("snippet", snippet(F.col("text"), phrases))
+    return queries.select("query_id", "query").join(shown, "query").select("query_id", "rank", "session_key", "captured_at", "role", "turn_index", "score", "snippet")
 
 
 def unindexed(turns: DataFrame, index: DataFrame) -> DataFrame:
@@ -132,27 +134,37 @@ def well_formed(rows: DataFrame) -> DataFrame:
     return out.where("session_key is not null and captured_at is not null and role is not null and turn_index is not null and snippet is not null and score is not null")
 
 
+def occurrences(own: DataFrame, phrases: DataFrame) -> DataFrame:
+    """p, session_key, turn_index, len and tf: how often each turn (w: its words) has a phrase (p: its words joined by spaces, w: these), where it has."""
+    asked = phrases.select("p", F.size("w").alias("n"), F.array_join(F.slice("w", 1, 2), " ").alias("key"))
+    lengths = {r[0] for r in asked.select(F.least("n", F.lit(3))).distinct().collect()}  # three at most
+    none = F.array().cast("array<struct<pos:int,key:string>>")
+    gram = lambda m: F.when(F.size("w") >= m, F.transform(F.sequence(F.lit(0), F.size("w") - m), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("w", i + 1, m), " ").alias("key")))).otherwise(none)
+    grams = F.concat(*(gram(m) for m in sorted({min(n, 2) for n in lengths})), none)
+    found = own.select("session_key", "turn_index", F.size("w").alias("len"), F.explode(grams).alias("g")).select("session_key", "turn_index", "len", "g.pos", "g.key").join(asked, "key")
+    hits = found.where("n <= 2").select("p", "session_key", "turn_index", "len")
+    if 3 in lengths:
+        rest = found.where("n > 2").join(own, ["session_key", "turn_index"])
+        hits = hits.unionByName(rest.where(F.array_join(F.slice("w", F.col("pos") + 1, F.col("n")), " ") == F.col("p")).select("p", "session_key", "turn_index", "len"))
+    return hits.groupBy("p", "session_key", "turn_index", "len").agg(F.count("*").alias("tf"))
+
+
 def full_text(turns: DataFrame, queries: DataFrame, limit: int | None, digits: int = 6) -> DataFrame:
     """Turns that hold every phrase of a query (query_id, query): query_id, session_key, turn_index, score, rank.
 
-    White space parts a query into phrases; a phrase's words must stand next to each other. Phrases are
-    found by joining their words with the positions of the turns' words, so only turns with the rarest
-    needs are read further; scores sum BM25 over phrases, ties fall to the later turn's key. Without a limit
-    all hits come back, unranked.
+    White space parts a query into phrases; a phrase's words must stand next to each other. Phrases and turns meet on the first two words of a
+    phrase as one key, longer ones are then compared in the turn's words; each distinct phrase is counted once, however many
+    queries have it. Scores sum BM25 over phrases, ties fall to the later turn's key. Without a limit all hits come back, unranked.
     """
     phrase = queries.select("query_id", F.posexplode(F.split(F.trim("query"), r"\s+")).alias("phrase", "p"))
-    phrase = phrase.select("query_id", "phrase", words(F.col("p")).alias("w")).where(F.size("w") > 0)
-    asked = phrase.select("query_id", "phrase", F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
+    phrase = phrase.select("query_id", "phrase", words(F.col("p")).alias("w")).where(F.size("w") > 0).withColumn("p", F.array_join("w", " "))
     own = turns.select("session_key", "turn_index", words(F.col("text")).alias("w"))
     sizes = own.agg(F.count("*").alias("turns"), F.avg(F.size("w")).alias("avg_len"))
-    placed = own.select("session_key", "turn_index", F.size("w").alias("len"), F.posexplode("w").alias("pos", "word"))
-    key = ["query_id", "phrase", "session_key", "turn_index"]
-    starts = placed.join(asked, "word").withColumn("start", F.col("pos") - F.col("at")).groupBy(*key, "len", "n", "start").agg(F.count("*").alias("met")).where(F.col("met") == F.col("n"))
-    tf = starts.groupBy(*key, "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
+    tf = occurrences(own, phrase.select("p", "w").distinct())
+    df = tf.groupBy("p").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("turns") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = tf.join(df, ["query_id", "phrase"]).join(F.broadcast(sizes)).groupBy("query_id", "session_key", "turn_index").agg(F.round(F.sum(part), digits).alias("score"), F.count("*").alias("phrases"))
+    scored = phrase.select("query_id", "phrase", "p").join(tf.join(df, "p"), "p").join(F.broadcast(sizes)).groupBy("query_id", "session_key", "turn_index").agg(F.round(F.sum(part), digits).alias("score"), F.count("*").alias("phrases"))
     need = phrase.groupBy("query_id").agg(F.count("*").alias("phrases"))
     hits = scored.join(need, ["query_id", "phrases"]).drop("phrases")
     if limit is None:

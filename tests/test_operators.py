@@ -214,3 +214,15 @@ def test_symbols_that_share_one_word_with_all_questions_stay_out_of_the_join(spa
     got = {(r["query_id"], r["name"]): r["overlap"] for r in graph.symbol_table(asked, names).collect()}
     want = {(i, f"sup_{i}"): 3 for i in range(6)} | {(i, "BuildIndex"): 3 for i in range(6)} | {(i, "index.of.sup"): 3 for i in range(6)}
     assert got == want
+
+
+def test_phrases_of_many_words_and_queries_of_one_text(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "A b c a b d"), (1, 1, "user", "b c a-b c"), (2, 0, "user", "c")], "session_key int, turn_index int, role string, text string")
+    own = turns.select("session_key", "turn_index", memory.words(F.col("text")).alias("w"))
+    phrases = spark.createDataFrame([(p, p.split()) for p in ("a b", "a b c", "c", "b c a b c", "x")], "p string, w array<string>")
+    got = {(r["p"], r["session_key"], r["turn_index"]): r["tf"] for r in memory.occurrences(own, phrases).collect()}
+    assert got == {("a b", 1, 0): 2, ("a b", 1, 1): 1, ("a b c", 1, 0): 1, ("a b c", 1, 1): 1, ("c", 1, 0): 1, ("c", 1, 1): 2, ("c", 2, 0): 1, ("b c a b c", 1, 1): 1}
+    sessions = spark.createDataFrame([(1, 5.0), (2, 7.0)], "session_key int, captured_at double")
+    asked = spark.createDataFrame([(7, "a-b"), (8, "a-b"), (9, "x c"), (10, None)], "query_id int, query string")
+    rows = memory.episodes(sessions, turns, asked, 5)
+    assert {(r["query_id"], r["rank"], r["turn_index"]) for r in rows.collect()} == {(q, 1, 0) for q in (7, 8)} | {(q, 2, 1) for q in (7, 8)}
