@@ -2,8 +2,8 @@
 
 Texts are shuffled by document, so that a document's terms are counted where it is; postings, a row for each term of a document, are shuffled
 once, into a folder for each bucket of terms, sorted by term. Statistics are sums by term with partial aggregation. The buckets that a batch of
-queries has are filtered before the join, so other folders aren't read. No hot term gathers rows in one task: scoring joins on the term
-and sums by (query, document).
+queries has are filtered before the join, so other folders aren't read. No hot term gathers rows in one task: the postings of the
+batch's terms are dealt by document, and each query's sum over a document is made there.
 
 An index lives in a versioned folder (sources/versions.py) whose name is that of the table's files and of what is taken of them: whichever session
 asks first builds it, others that share the folder open it. index.py holds the form that is brought up by segments.
@@ -36,8 +36,10 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
 
 
 def dealt(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Rows with a term, with its bucket, each bucket's in one task and sorted by term."""
-    return rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term")
+    """Rows with a term, with its bucket, sorted by term; where there are more partitions than buckets, several tasks share a bucket of postings by id."""
+    n = max(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = ("bucket", F.pmod(F.xxhash64("id"), F.lit(-(-n // buckets)))) if "id" in rows.columns else ("bucket",)
+    return rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(n if len(by) > 1 else buckets, *by).sortWithinPartitions("bucket", "term")
 
 
 def repeats(docs: DataFrame, id_: str) -> bool:
@@ -49,7 +51,8 @@ def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
     """id, len (tokens of the document), term and tf for all rows; texts are shuffled by id, tokens aren't."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't made smaller: tokens are many times the text's rows
     rows = docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).repartition(n, "id").select("id", indexed_tokens(F.col("text")).alias("t"))
-    return rows.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    # explode_outer: every row has a token, and no filter on that, which would tokenise all texts once more, is put under the shuffle
+    return rows.select("id", F.size("t").alias("len"), F.explode_outer("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
 def weighted(df: DataFrame, size: DataFrame) -> DataFrame:
@@ -156,6 +159,7 @@ def scored(index: Index, queries: DataFrame, keep: DataFrame | None = None, digi
     if "bucket" in hits.columns:
         hits = hits.where(F.col("bucket").isin([r["bucket"] for r in found]))
     hits = hits if keep is None else hits.join(keep.select("id"), "id", "left_semi")
+    hits = hits.join(terms.select("term").distinct(), "term", "left_semi").repartition("id")  # a document's sums, for each query, are then made where its postings are
     part = F.col("times") * score_of(F.col("tf"), F.col("len"), F.col("avgdl"), F.col("idf"))
     return hits.join(terms, "term").join(F.broadcast(index.sizes)).groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
 

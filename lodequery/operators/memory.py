@@ -141,7 +141,7 @@ def occurrences(own: DataFrame, phrases: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<pos:int,key:string>>")
     gram = lambda m: F.when(F.size("w") >= m, F.transform(F.sequence(F.lit(0), F.size("w") - m), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("w", i + 1, m), " ").alias("key")))).otherwise(none)
     grams = F.concat(*(gram(m) for m in sorted({min(n, 2) for n in lengths})), none)
-    found = own.select("session_key", "turn_index", F.size("w").alias("len"), F.explode(grams).alias("g")).select("session_key", "turn_index", "len", "g.pos", "g.key").join(asked, "key")
+    found = own.select("session_key", "turn_index", F.size("w").alias("len"), F.explode_outer(grams).alias("g")).select("session_key", "turn_index", "len", "g.pos", "g.key").join(asked, "key")
     hits = found.where("n <= 2").select("p", "session_key", "turn_index", "len")
     if 3 in lengths:
         rest = found.where("n > 2").join(own, ["session_key", "turn_index"])

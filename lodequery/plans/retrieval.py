@@ -167,10 +167,10 @@ def ret09_shingles(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {BM25}, top AS (SELECT query_id, id, rank, {SHINGLES} AS s FROM (SELECT query_id, id, rank, {WORDS.format('text')} AS w FROM lex JOIN documents ON doc_id = id WHERE rank <= 2))
 SELECT a.query_id, a.id AS first_id, b.id AS second_id, round(len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)), 9) AS containment FROM top a JOIN top b ON a.query_id = b.query_id AND a.rank = 1 AND b.rank = 2""")
 def ret10_containment(s: SparkSession, d: str) -> DataFrame:
-    top = _lexical(s, d, 2).join(_entries(s, d), "id").select("query_id", "id", "rank", T.shingles(F.col("text")).alias("s"))
-    a, b = top.where("rank = 1").alias("a"), top.where("rank = 2").alias("b")
-    rows = a.join(b, F.col("a.query_id") == F.col("b.query_id"))
-    return rows.select("a.query_id", F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id"), F.round(T.containment(F.col("a.s"), F.col("b.s")), 9).alias("containment"))
+    top = _lexical(s, d, 2).join(_entries(s, d), "id").select("query_id", "rank", F.struct("id", T.shingles(F.col("text")).alias("s")).alias("x"))
+    of = lambda rank: F.first(F.when(F.col("rank") == rank, F.col("x")), ignorenulls=True)
+    rows = top.groupBy("query_id").agg(of(1).alias("a"), of(2).alias("b")).where("a is not null and b is not null")
+    return rows.select("query_id", F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id"), F.round(T.containment(F.col("a.s"), F.col("b.s")), 9).alias("containment"))
 
 
 @query(f"WITH {BM25}, fl AS (SELECT query_id, sc.id, score, CASE WHEN lang = 'en' THEN 'code' ELSE 'docs' END AS flow FROM sc JOIN documents ON doc_id = id) SELECT * FROM (SELECT query_id, id, score, flow, CAST(row_number() OVER (PARTITION BY query_id, flow ORDER BY score DESC, id) AS INTEGER) AS rank FROM fl) WHERE rank <= 3")

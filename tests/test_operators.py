@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +228,23 @@ def test_phrases_of_many_words_and_queries_of_one_text(spark):
     asked = spark.createDataFrame([(7, "a-b"), (8, "a-b"), (9, "x c"), (10, None)], "query_id int, query string")
     rows = memory.episodes(sessions, turns, asked, 5)
     assert {(r["query_id"], r["rank"], r["turn_index"]) for r in rows.collect()} == {(q, 1, 0) for q in (7, 8)} | {(q, 2, 1) for q in (7, 8)}
+
+
+def test_hashed_vectors_are_sums_of_their_words(spark):
+    from lodequery.functions import embed
+
+    text = "Load user_id load é x " + " ".join(f"w{i}" for i in range(50))
+    got = {r["k"]: r["vector"] for r in embed.hashed(spark.createDataFrame([(1, text), (2, " "), (3, None)], "k int, text string"), most=7).collect()}
+    want = sum(embed.word_vector(w) for w in text.lower().split())
+    assert np.array_equal(got[1], want / np.sqrt((want**2).sum())) and not any(got[2]) and not any(got[3]) and len(got[2]) == embed.DIM
+    assert embed.codes("ab").dtype == np.int16 and len(embed.codes("x" * 9)) == 9 + 8 + 7
+
+
+def test_a_documents_scores_are_summed_where_its_postings_are(spark):
+    """Texts are tokenised once for an index, and pairs of query and document aren't shuffled before they are ranked."""
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i}") for i in range(30)], "doc_id long, text string")
+    plan = lexical.postings(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
+    asked = spark.createDataFrame([(1, "a b1"), (2, "a c7 c8")], "query_id int, query string")
+    plan = lexical.scored(lexical.indexed(docs), asked)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and not re.search(r"hashpartitioning\(query_id#\w+, id#", plan)
