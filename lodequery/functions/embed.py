@@ -37,21 +37,30 @@ def word_vector(word: str) -> np.ndarray:
     return out
 
 
-def hashed(rows: DataFrame, text: str = "text", vector: str = "vector", most: int = 20_000) -> DataFrame:
-    """Rows with the unit vector of their text's hashed n-grams; a text without words has zeros. Vectors of words are kept, `most` at a time."""
+def codes(word: str) -> np.ndarray:
+    """The n-grams of one word, each as twice its dimension and 1 where its sign is positive."""
+    padded = f" {word} "
+    places = (place(padded[i : i + n]) for n in SIZES for i in range(len(padded) - n + 1))
+    return np.array([2 * at + (sign > 0) for at, sign in places], np.int16)
+
+
+def hashed(rows: DataFrame, text: str = "text", vector: str = "vector", most: int = 200_000) -> DataFrame:
+    """Rows with the unit vector of their text's hashed n-grams; a text without words has zeros. The places of words' n-grams are kept, of `most` words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
         for b in batches:
             out = []
             for t in b.column(text).to_pylist():
-                total = np.zeros(DIM)
+                found = []
                 for w in (t or "").lower().split():
-                    if w not in known:
+                    if (own := known.get(w)) is None:
                         if len(known) >= most:
                             known.clear()
-                        known[w] = word_vector(w)
-                    total += known[w]
+                        own = known[w] = codes(w)
+                    found.append(own)
+                seen = np.bincount(np.concatenate(found), minlength=2 * DIM) if found else np.zeros(2 * DIM)
+                total = (seen[1::2] - seen[::2]).astype(np.float64)
                 norm = np.sqrt((total**2).sum())
                 out.append(total / norm if norm else total)
             flat = pa.array(np.concatenate(out) if out else np.zeros(0))
