@@ -18,8 +18,10 @@ from lodequery.operators import graph, lexical, retrieve
 
 def flows(index: lexical.Index, entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, flow, rank, id, path: the k best entries (id, path, doc_type) of each type, by one scoring of all."""
-    rows = lexical.scored(index, queries).join(entries.select("id", "path", "doc_type"), "id")
-    return retrieve.per_flow(rows, F.when(F.col("doc_type") == "code", "code").otherwise("docs"), k).select("query_id", "flow", "rank", "id", "path")
+    flow = F.when(F.col("doc_type") == "code", "code").otherwise("docs")
+    own = entries.select("id", "path", flow.alias("flow"))
+    rows = lexical.best(index, queries, k, own.select("id", "flow").distinct()).join(own, ["id", "flow"])
+    return retrieve.per_flow(rows, F.col("flow"), k).select("query_id", "flow", "rank", "id", "path")
 
 
 def context(index: lexical.Index, entries: DataFrame, queries: DataFrame, nodes: DataFrame | None, edges: DataFrame | None, k: int = 5, most: int = 3, least: int = 2) -> DataFrame:

@@ -188,8 +188,8 @@ def swept(spark: SparkSession, at: str) -> int:
 
 def search(kept: Kept, queries: DataFrame, k: int, doc_type: str | None = None) -> DataFrame:
     """query_id, id, score, rank: BM25 over the kept chunks for queries (query_id, query), of one doc_type where it is given."""
-    keep = None if doc_type is None else kept.chunks.where(F.col("doc_type") == doc_type).select(F.col("chunk_id").alias("id"))
-    return lexical.ranked(lexical.scored(kept.lexical(), queries, keep), k)
+    keep = None if doc_type is None else kept.chunks.where(F.col("doc_type") == doc_type).select(F.col("chunk_id").alias("id"), F.lit("").alias("flow"))
+    return lexical.ranked(lexical.best(kept.lexical(), queries, max(k, 0), keep).select("query_id", "id", "score"), k)
 
 
 class Absent(LookupError):

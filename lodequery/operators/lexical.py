@@ -1,9 +1,10 @@
 """BM25 retrieval for batches of queries over a stored index of postings.
 
-Texts are shuffled by document, so that a document's terms are counted where it is; postings, a row for each term of a document, are shuffled
-once, into a folder for each bucket of terms, sorted by term. Statistics are sums by term with partial aggregation. The buckets that a batch of
-queries has are filtered before the join, so other folders aren't read. No hot term gathers rows in one task: the postings of the
-batch's terms are dealt by document, and each query's sum over a document is made there.
+Documents are taken in blocks of some thousands, as they are read. A block's postings are runs: a row for each of its terms, with the documents
+that have it. Runs are shuffled once, into a folder for each bucket of terms, sorted by term. Statistics are sums by term with partial
+aggregation. The buckets that a batch of queries has are filtered before the join, so other folders aren't read. No hot term gathers rows in
+one task: the runs of the batch's terms are dealt by block, where every query's sums over the block's documents are one product of matrices
+and only its k best are kept (best()); scored() gives all pairs.
 
 An index lives in a versioned folder (sources/versions.py) whose name is that of the table's files and of what is taken of them: whichever session
 asks first builds it, others that share the folder open it. index.py holds the form that is brought up by segments.
@@ -16,8 +17,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,6 +35,10 @@ from lodequery.sources import store, versions
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Folders that postings are dealt into by term.
 BUCKETS = 32
+#: Documents of a block at most.
+BLOCK = 8192
+#: What a text's bytes in lower case become before it is parted at spaces: all but the signs of tokens are spaces.
+SIGNS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789_" else 32 for c in range(256))
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
@@ -38,7 +48,8 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
 def dealt(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Rows with a term, with its bucket, sorted by term; where there are more partitions than buckets, several tasks share a bucket of postings by id."""
     n = max(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    by = ("bucket", F.pmod(F.xxhash64("id"), F.lit(-(-n // buckets)))) if "id" in rows.columns else ("bucket",)
+    own = [c for c in ("id", "block") if c in rows.columns]
+    by = ("bucket", F.pmod(F.xxhash64(own[0]), F.lit(4 * -(-n // buckets)))) if own else ("bucket",)  # four shares a bucket: hashes of buckets alone meet in one task
     return rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(n if len(by) > 1 else buckets, *by).sortWithinPartitions("bucket", "term")
 
 
@@ -55,6 +66,63 @@ def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
     return rows.select("id", F.size("t").alias("len"), F.explode_outer("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
+def plain(text: bytes) -> bytes:
+    """A text in lower case as its tokens, as functions.text.indexed_tokens() has them in another order, parted at spaces."""
+    words = text.translate(SIGNS)
+    if b"_" in words:
+        words += b" " + b" ".join(part for w in words.split() if b"_" in w for part in w.split(b"_") if part)
+    return words.strip()
+
+
+def blocks(batch: pa.RecordBatch, most_rows: int = BLOCK, most_bytes: int = 2**25) -> Iterator[pa.RecordBatch]:
+    """A batch (id, text) in slices of so many rows and about so many bytes of text at most."""
+    ends, begin = np.cumsum(pc.binary_length(batch["text"]).to_numpy(), dtype=np.int64), 0
+    while begin < len(batch):
+        n = np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most_bytes) - begin
+        n = int(min(max(n, 1), most_rows))
+        yield batch.slice(begin, n)
+        begin += n
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of blocks of documents (id, text as bytes): block, term, total, ids, lens, tfs; and, without a term, each block's documents with the sum of their tokens."""
+    number = TaskContext.get().partitionId() << 32
+    for ids, texts in (b.columns for batch in batches for b in blocks(batch)):
+        words = pc.ascii_split_whitespace(pa.array([plain(t) for t in texts.to_pylist()], pa.binary()).cast(pa.string()))
+        lens, each = pc.list_value_length(words).to_numpy(), np.arange(len(ids))
+        terms = words.flatten().dictionary_encode()
+        key = terms.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(each, lens)
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        code, doc = np.divmod(key[first], len(ids))
+        tf, size = np.diff(first, append=len(key)), np.bincount(code, minlength=len(terms.dictionary))
+        doc, tf = np.concatenate([doc, each]), np.concatenate([tf, np.zeros(len(ids), np.int64)])
+        ends = pa.array(np.concatenate([[0], np.cumsum(size), [len(doc)]]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(size) + 1, number)), pa.concat_arrays([terms.dictionary, pa.nulls(1, pa.string())]), pa.array(np.append(size, lens.sum(dtype=np.int64))),
+            pa.ListArray.from_arrays(ends, ids.take(pa.array(doc))), pa.ListArray.from_arrays(ends, pa.array(lens[doc].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32))),
+        ], ["block", "term", "total", "ids", "lens", "tfs"])
+        number += 1
+
+
+def runs(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """The runs of documents whose ids don't repeat; texts are neither shuffled nor tokenised by the engine."""
+    rows = docs.select(F.col(id_).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_runs, f"block long, term string, total long, ids array<{kind}>, lens array<int>, tfs array<int>")
+
+
+def gathered(post: DataFrame, n_blocks: int, markers: bool = True) -> DataFrame:
+    """The same rows of postings (id, len, term, tf), an id's in one block."""
+    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")
+    lists = lambda rows: rows.agg(F.collect_list(F.struct("id", "len", "tf")).alias("l"), F.sum("total").alias("total"))
+    rows = lists(post.select(block, "term", "id", "len", F.col("tf").cast("int").alias("tf"), F.lit(1).cast("long").alias("total")).groupBy("block", "term"))
+    if markers:
+        each = post.groupBy("id").agg(F.max("len").alias("len"))
+        rows = rows.unionByName(lists(each.select(block, F.lit(None).cast("string").alias("term"), "id", "len", F.lit(0).alias("tf"), F.col("len").cast("long").alias("total")).groupBy("block", "term")))
+    return rows.select("block", "term", "total", F.col("l.id").alias("ids"), F.col("l.len").alias("lens"), F.col("l.tf").alias("tfs"))
+
+
 def weighted(df: DataFrame, size: DataFrame) -> DataFrame:
     """term, df and idf (a negative one becomes EPSILON times the mean of all), of df by term and one row of n."""
     raw = df.join(F.broadcast(size)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
@@ -65,11 +133,12 @@ def weighted(df: DataFrame, size: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """Stored postings (id, len, term, tf and, where they are dealt into folders, bucket), terms (term, df, idf) and sizes (one row: n, avgdl)."""
+    """Postings (id, len, term, tf and, where they are dealt into folders, bucket), terms (term, df, idf), sizes (one row: n, avgdl), and runs where these are what is stored."""
 
     postings: DataFrame
     terms: DataFrame
     sizes: DataFrame
+    runs: DataFrame | None = None
 
 
 def shared(spark: SparkSession) -> str:
@@ -85,7 +154,7 @@ def shared(spark: SparkSession) -> str:
 
 def _schemas(id_type: str) -> dict[str, StructType]:
     read = StructType.fromDDL
-    return {"postings": read(f"id {id_type}, len int, term string, tf long, bucket int"), "terms": read("term string, df long, idf double"), "sizes": read("n long, avgdl double")}
+    return {"runs": read(f"block long, term string, total long, ids array<{id_type}>, lens array<int>, tfs array<int>, bucket int"), "terms": read("term string, df long, idf double"), "sizes": read("n long, avgdl double")}
 
 
 def opened(spark: SparkSession, path: str) -> Index | None:
@@ -94,7 +163,9 @@ def opened(spark: SparkSession, path: str) -> Index | None:
     if not state:
         return None
     part = {t: versions.read(spark, path, t, [state["segment"]], schema).drop("_seg") for t, schema in _schemas(state["id"]).items()}
-    return Index(part["postings"], part["terms"], part["sizes"])
+    each = F.explode(F.arrays_zip("ids", "lens", "tfs")).alias("x")
+    post = part["runs"].where("term is not null").select("term", "bucket", each).select(F.col("x.ids").alias("id"), F.col("x.lens").alias("len"), "term", F.col("x.tfs").cast("long").alias("tf"), "bucket")
+    return Index(post, part["terms"], part["sizes"], part["runs"])
 
 
 def built(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text") -> Index:
@@ -102,17 +173,13 @@ def built(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text") -
     spark, (seen, _) = docs.sparkSession, versions.last(docs.sparkSession, path)
     kind, segment = docs.select(id_).schema.fields[0].dataType.simpleString(), versions.new_segment(seen)
     schemas = _schemas(kind)
-    several = repeats(docs, id_)
-    versions.write(dealt(postings(docs, id_, text)), path, "postings", segment, "bucket")
-    post = versions.read(spark, path, "postings", [segment], schemas["postings"])
-    if several:
-        sizes = post.groupBy("id").agg(F.max("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    else:  # every document has a token at least
-        n = docs.count()
-        sizes = post.agg(F.lit(n).cast("long").alias("n"), (F.sum("tf") / n if n else F.lit(None).cast("double")).alias("avgdl"))
-    versions.write(sizes, path, "sizes", segment)
-    counted = post.groupBy("term").agg(F.count("*").alias("df"))
-    versions.write(weighted(counted, versions.read(spark, path, "sizes", [segment], schemas["sizes"])), path, "terms", segment)
+    rows = gathered(postings(docs, id_, text), -(-docs.count() // BLOCK) or 1) if repeats(docs, id_) else runs(docs, id_, text)
+    versions.write(dealt(rows), path, "runs", segment, "bucket")
+    kept = versions.read(spark, path, "runs", [segment], schemas["runs"])
+    blocks = kept.where("term is null").select(F.size("ids").alias("n"), "total")
+    versions.write(blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl")), path, "sizes", segment)
+    df = kept.where("term is not null").groupBy("term").agg(F.sum("total").alias("df"))
+    versions.write(weighted(df, versions.read(spark, path, "sizes", [segment], schemas["sizes"])), path, "terms", segment)
     try:
         versions.committed(spark, path, seen, {"segment": segment, "id": kind})
     except versions.Conflict:
@@ -124,8 +191,8 @@ def indexed(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Index:
     """The index of a table of files, opened where a session has built it for these files, else built; other rows are indexed anew."""
     spark, state = docs.sparkSession, store.token(docs.select(id_, text))
     if state is None:
-        return built(docs, f"{shared(spark)}/lexical-{uuid.uuid4().hex}", id_, text)
-    path = f"{shared(spark)}/lexical-{state}"
+        return built(docs, f"{shared(spark)}/runs-{uuid.uuid4().hex}", id_, text)
+    path = f"{shared(spark)}/runs-{state}"
     return opened(spark, path) or built(docs, path, id_, text)
 
 
@@ -164,6 +231,93 @@ def scored(index: Index, queries: DataFrame, keep: DataFrame | None = None, digi
     return hits.join(terms, "term").join(F.broadcast(index.sizes)).groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
 
 
+def _bests(k: int, digits: int, flowing: bool):
+    """A function of one block's rows for some queries: the k best documents of each query (and flow).
+
+    Rows are runs with the queries that ask for their term (asked: query_id, w) or, without these, a flow's documents of the block.
+    """
+
+    def best(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        held = rows.filter(pc.is_valid(rows["asked"]))
+        flat = lambda t, c: pc.list_flatten(t[c]).combine_chunks()
+        at = lambda t, c: np.repeat(np.arange(len(t)), pc.list_value_length(t[c]).to_numpy())
+        ids, asked = flat(held, "ids"), flat(held, "asked")
+        values = pc.unique(ids)
+        values = values.take(pc.sort_indices(values, null_placement="at_start"))  # a stable sort by score then leaves ties by id
+        doc, run = pc.index_in(ids, values).to_numpy(), at(held, "ids")
+        tf, length = flat(held, "tfs").to_numpy().astype(np.float64), flat(held, "lens").to_numpy()
+        avgdl = held["avgdl"][0].as_py() if len(held) else 1.0
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl))
+        queries = pc.unique(asked.field("query_id"))
+        who, w = pc.index_in(asked.field("query_id"), queries).to_numpy(), pc.fill_null(asked.field("w"), 0.0).to_numpy()  # a term in more postings than documents has no weight
+        n_runs, n_queries = len(held), len(queries)
+        weight, meets = np.zeros((n_runs, n_queries)), np.zeros((n_runs, n_queries), np.float32)
+        weight[at(held, "asked"), who], meets[at(held, "asked"), who] = w, 1
+        if flowing:
+            told = rows.filter(pc.is_null(rows["asked"]))
+            own = [(name, np.unique(pc.drop_null(pc.index_in(flat(told.slice(i, 1), "ids"), values)).to_numpy())) for i, name in enumerate(told["flow"].to_pylist())]
+        else:
+            own = [(None, np.arange(len(values)))]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), None)]
+        step = max(1, 4_000_000 // max(n_runs, 1))
+        score = np.full((n_queries, len(values)), -np.inf)
+        order = np.argsort(doc, kind="stable")
+        doc, run, part = doc[order], run[order], part[order]
+        for begin in range(0, len(values), step):
+            n = min(step, len(values) - begin)
+            of = slice(*np.searchsorted(doc, [begin, begin + n]))
+            cells = np.bincount((doc[of] - begin) * np.int64(n_runs) + run[of], part[of], n * n_runs).reshape(n, n_runs)
+            s = cells @ weight
+            shared = s > 0 if (w > 0).all() else (cells > 0).astype(np.float32) @ meets > 0
+            score[:, begin : begin + n] = np.where(shared, np.rint(s * 10.0**digits) / 10.0**digits, -np.inf).T
+        for name, docs in own:
+            s = score[:, docs]
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            found = np.take_along_axis(s, top, axis=1)
+            q, j = np.nonzero(found > -np.inf)
+            out.append((q, docs[top[q, j]], found[q, j], name))
+        q, d, s = (np.concatenate([x[i] for x in out]) for i in range(3))
+        columns = {"query_id": queries.take(pa.array(q)), "id": values.take(pa.array(d)), "score": pa.array(s)}
+        if flowing:
+            columns["flow"] = pa.concat_arrays([pa.array([x[3]] * len(x[0]), pa.string()) for x in out])
+        return pa.table(columns)
+
+    return best
+
+
+def best(index: Index, queries: DataFrame, k: int, flows: DataFrame | None = None, digits: int = 6, query_block: int = 256, most_broadcast: int = 200_000) -> DataFrame:
+    """query_id, id, score of, among others, the k best documents of each query that share a token with it; with flows (id, flow), of each flow, and flow.
+
+    Queries are dealt into parts of about `query_block`; a task scores a block's documents for one of them and keeps its k best, so that at most k rows
+    a query and block are shuffled. A document in several flows stands in each, one in none in none.
+    """
+    terms = query_terms(queries)
+    found = terms.select(bucket_of(F.col("term")).alias("bucket")).groupBy("bucket").count().collect()  # BUCKETS rows at most
+    n_parts = max(1, -(-queries.count() // query_block))
+    small = F.broadcast if sum(r["count"] for r in found) <= most_broadcast else (lambda df: df)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n_parts)).cast("int").alias("part")
+    asked = index.terms.select("term", "idf").join(small(terms), "term").select(part, "term", F.struct("query_id", (F.col("times") * F.col("idf")).alias("w")).alias("x")).groupBy("part", "term").agg(F.collect_list("x").alias("asked"))
+    rows = index.runs if index.runs is not None else index.postings
+    if "bucket" in rows.columns:
+        rows = rows.where(F.col("bucket").isin([r["bucket"] for r in found]))
+    if index.runs is None:  # an index that keeps postings: those of the queries' terms are gathered into blocks
+        n_blocks = -(-(index.sizes.first()["n"] or 0) // BLOCK) or 1
+        rows = gathered(rows.join(small(terms.select("term").distinct()), "term", "left_semi"), n_blocks, markers=False)
+    hits = rows.join(small(asked), "term").join(F.broadcast(index.sizes.select("avgdl"))).select("block", "part", "ids", "lens", "tfs", "asked", "avgdl", F.lit(None).cast("string").alias("flow"))
+    if flows is not None:
+        if index.runs is None:
+            own = flows.select("id", "flow", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"))
+        else:
+            own = index.runs.where("term is null").select("block", F.explode("ids").alias("id")).join(flows.select("id", "flow"), "id")
+        own = own.groupBy("block", "flow").agg(F.collect_list("id").alias("ids")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+        none = lambda c: F.lit(None).cast(hits.schema[c].dataType).alias(c)
+        hits = hits.unionByName(own.select("block", "part", "ids", none("lens"), none("tfs"), none("asked"), none("avgdl"), "flow"))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    out = f"query_id {kind(terms, 'query_id')}, id {kind(index.postings, 'id')}, score double" + (", flow string" if flows is not None else "")
+    return hits.groupBy("block", "part").applyInArrow(_bests(k, digits, flows is not None), out)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id", text: str = "text", keep: Column | None = None, digits: int = 6, index: Index | None = None) -> DataFrame:
     """query_id, id, score, rank: documents that share a token with the query, even those of score 0 or less.
 
@@ -171,5 +325,5 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id", text:
     that equal ones tie by id on every machine.
     """
     index = indexed(docs, id_, text) if index is None else index
-    own = None if keep is None else docs.where(keep).select(F.col(id_).alias("id"))
-    return ranked(scored(index, queries, own, digits), k)
+    own = None if keep is None else docs.where(keep).select(F.col(id_).alias("id"), F.lit("").alias("flow"))
+    return ranked(best(index, queries, max(k, 0), own, digits).select("query_id", "id", "score"), k)

@@ -137,7 +137,7 @@ def hlt01_config_problems(s: SparkSession, d: str) -> DataFrame:
 def src16_stored_index(s: SparkSession, d: str) -> DataFrame:
     """The index written to a folder of its own, read again and asked."""
     index = lexical.indexed(_docs(s, d))
-    return lexical.ranked(lexical.scored(index, _items(s, d)), 3).select("query_id", "id", "rank")
+    return lexical.ranked(lexical.best(index, _items(s, d), 3), 3).select("query_id", "id", "rank")
 
 
 # ---- suites as files ---------------------------------------------------------------------------

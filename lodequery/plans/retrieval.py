@@ -175,9 +175,9 @@ def ret10_containment(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BM25}, fl AS (SELECT query_id, sc.id, score, CASE WHEN lang = 'en' THEN 'code' ELSE 'docs' END AS flow FROM sc JOIN documents ON doc_id = id) SELECT * FROM (SELECT query_id, id, score, flow, CAST(row_number() OVER (PARTITION BY query_id, flow ORDER BY score DESC, id) AS INTEGER) AS rank FROM fl) WHERE rank <= 3")
 def ret13_two_flows(s: SparkSession, d: str) -> DataFrame:
-    rows = lexical.scored(lexical.indexed(_docs(s, d)), _items(s, d)).join(_docs(s, d).select(F.col("doc_id").alias("id"), "lang"), "id")
-    flow = F.when(F.col("lang") == "en", "code").otherwise("docs")
-    return retrieve.per_flow(rows, flow, 3).select("query_id", "id", "score", "flow", "rank")
+    own = _docs(s, d).select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "code").otherwise("docs").alias("flow"))
+    rows = lexical.best(lexical.indexed(_docs(s, d)), _items(s, d), 3, own.distinct()).join(own, ["id", "flow"])
+    return retrieve.per_flow(rows, F.col("flow"), 3).select("query_id", "id", "score", "flow", "rank")
 
 
 FAN = DENSE.replace("FROM qv, vec)", "FROM qv, vec), p AS (SELECT ds.*, label % 3 AS part FROM ds JOIN embeddings ON vec_id = id), pr AS (SELECT *, row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, id) AS pk FROM p)")

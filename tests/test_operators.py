@@ -248,3 +248,34 @@ def test_a_documents_scores_are_summed_where_its_postings_are(spark):
     asked = spark.createDataFrame([(1, "a b1"), (2, "a c7 c8")], "query_id int, query string")
     plan = lexical.scored(lexical.indexed(docs), asked)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id#" in plan and not re.search(r"hashpartitioning\(query_id#\w+, id#", plan)
+
+
+def test_a_block_keeps_the_best_of_each_query(spark):
+    """Runs of blocks give the scores that postings give, ties by id, also by flow and where ids repeat, and fewer rows than pairs are left to rank."""
+    words = ["a", "b", "load_user", "_x_", "é", "7"]
+    texts = [" ".join(words[(i * j) % 6] for j in range(i % 9)) for i in range(300)] + [None, "", "..."]
+    asked = spark.createDataFrame([(1, "a b"), (2, "user load_user x"), (3, "a"), (4, "nothing here")], "query_id int, query string")
+    for ids in (list(range(303)), [i if i > 5 else i // 2 for i in range(303)], [None, *range(302)]):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        own = lexical.indexed(docs)
+        rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "score", "rank").collect()), key=str)
+        want = rows(lexical.ranked(lexical.scored(own, asked), 7))
+        assert rows(lexical.ranked(lexical.best(own, asked, 7), 7)) == want and len(want) == 21
+        kept = lexical.Index(own.postings.drop("bucket"), own.terms, own.sizes)
+        assert rows(lexical.ranked(lexical.best(kept, asked, 7, query_block=1), 7)) == want
+        post = lexical.postings(docs).select("id", "len", "term", "tf")
+        assert sorted(map(tuple, post.collect()), key=str) == sorted(map(tuple, own.postings.select(*post.columns).collect()), key=str)
+    flows = docs.where("doc_id is not null").selectExpr("doc_id AS id", "if(doc_id % 3 = 0, 'x', 'y') AS flow")
+    every = lexical.scored(own, asked).join(flows, "id")
+    for index in (own, kept):
+        got = lexical.best(index, asked, 4, flows)
+        assert rows(retrieve.per_flow(got, F.col("flow"), 4)) == rows(retrieve.per_flow(every, F.col("flow"), 4)) and got.count() < every.count() / 5
+    assert lexical.best(own, asked.where("query_id = 4"), 4).count() == 0 and lexical.best(lexical.indexed(docs.where("false")), asked, 4).count() == 0
+
+
+def test_texts_are_held_by_words_of_any_kind(spark):
+    texts = ["the cat sat on the mat today", " x  y ", "cat", "a cat sat on the matter", "", None, "é è ü ö ä", "x  y z w"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    items = spark.createDataFrame(list(enumerate(["cat sat on the mat", "a cat sat", "ca", "x  y", "è ü ö", "", None, "  ", "t on the m", "no cat sat on the mat"])), "query_id long, text string")
+    got = {tuple(r) for r in evaluate.holding(docs, items).collect()}
+    assert got == {(q, i) for q, t in ((r["query_id"], r["text"]) for r in items.collect()) if t for i, d in enumerate(texts) if d and t in d}
