@@ -6,10 +6,17 @@ report has one row, else none; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodequery.operators import graph, retrieve
+from lodequery.operators.lexical import blocks
 
 
 def first_relevant(results: DataFrame, truth: DataFrame) -> DataFrame:
@@ -18,23 +25,54 @@ def first_relevant(results: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.select("query_id").distinct().join(hits, "query_id", "left")
 
 
-def _keys(kind: str, inner: int) -> Column:
-    """Hashes of all runs of words (_w), of all words, or of all runs of characters of a text."""
-    if kind in ("word", "run"):
-        n, of = inner if kind == "run" else 1, F.size("_w")
-        gram = lambda i: F.array_join(F.slice("_w", i, n), " ")
-    else:
-        n, of = int(kind.removeprefix("chars")), F.length("text")
-        gram = lambda i: F.substring("text", i, F.lit(n))
-    return F.when(of >= n, F.transform(F.sequence(F.lit(1), of - n + 1), lambda i: F.xxhash64(F.lit(kind), gram(i)))).otherwise(F.array().cast("array<long>"))
-
-
-def holding(docs: DataFrame, items: DataFrame, inner: int = 3) -> DataFrame:
+def _keys(kind: str) -> Column:
+    """Hashes of all runs of characters of a text."""
+    n, of = int(kind.removeprefix("chars")), F.length("text")
+    return F.when(of >= n, F.transform(F.sequence(F.lit(1), of - n + 1), lambda i: F.xxhash64(F.lit(kind), F.substring("text", i, F.lit(n))))).otherwise(F.array().cast("array<long>"))
+
+
+def _runs_of_words(lengths: tuple[int, ...]):
+    """A function of batches (id, text as bytes): id and the hashes of all runs of so many words, parted at spaces, of each text, by length of runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in (b.columns for batch in batches for b in blocks(batch)):
+            words = pc.split_pattern(texts, b" ")
+            size = pc.list_value_length(words).to_numpy()
+            coded = words.flatten().dictionary_encode()
+            known, code = coded.dictionary, coded.indices.to_numpy()
+            length = pc.binary_length(known).to_numpy().astype(np.int64)
+            ends = np.cumsum(length)
+            place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
+            powers = np.cumprod(np.full(int(length.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+            data = np.frombuffer(b"".join(known.to_pylist()), np.uint8)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers[place], dtype=np.uint64)])
+            h = sums[ends] - sums[ends - length]
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = h ^ (h >> np.uint64(32))
+            last = np.cumsum(size)
+            for n in lengths:
+                found = np.full(max(len(code) - n + 1, 0), n, np.uint64)
+                for i in range(n):
+                    found = found * np.uint64(0x94D049BB133111EB) + h[code[i : i + len(found)]]
+                own = np.maximum(size - n + 1, 0)
+                begin = np.repeat(last - size, own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(own)).astype(np.int32)), pa.array(found[begin].view(np.int64)))], ["id", "keys"])
+
+    return run
+
+
+def word_keys(rows: DataFrame, id_: str, text: str, *lengths: int) -> DataFrame:
+    """id and keys, the hashes of all runs of n words of a text, for each length n."""
+    rows = rows.select(F.col(id_).alias("id"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(_runs_of_words(lengths), f"id {rows.schema['id'].dataType.simpleString()}, keys array<long>")
+
+
+def holding(docs: DataFrame, items: DataFrame, inner: int = 3, most_broadcast: int = 100_000) -> DataFrame:
     """query_id, id of documents (id, text) that hold an item's (query_id, text) whole text.
 
     An item's words but its first and last stand whole in every text that holds it, so items and texts meet on
     the hash of `inner` of those, parted at spaces; items of fewer words meet on their longest inner word, and those without one on their
-    first three characters or fewer. Texts send the keys that some item has, not themselves; the texts of the pairs that meet are fetched and compared.
+    first three characters or fewer. Keys of words are hashed a block of texts at a time. Texts send the keys that some item has, not themselves; the texts of the pairs that meet are fetched and compared.
     Null and empty items are held by none.
     """
     words = F.split("text", " ")
@@ -43,16 +81,23 @@ def holding(docs: DataFrame, items: DataFrame, inner: int = 3) -> DataFrame:
     longest = F.element_at(F.array_sort(F.transform(inside, lambda w: F.struct(F.length(w), w.alias("w")))), -1)["w"]
     kind = F.when(F.col("_n") >= inner + 2, "run").when(F.col("_n") > 2, "word").otherwise(F.concat(F.lit("chars"), F.least(F.lit(3), F.length("text"))))
     value = F.when(kind == "run", F.array_join(F.slice("_w", 2, inner), " ")).when(kind == "word", longest).otherwise(F.substring("text", 1, 3))
-    asked = keyed.select("query_id", F.col("text").alias("item"), kind.alias("kind"), F.xxhash64(kind, value).alias("key"))
+    asked = keyed.select("query_id", F.col("text").alias("item"), kind.alias("kind"), value.alias("value"))
     held = {r["kind"] for r in asked.select("kind").distinct().collect()}  # five kinds at most
-    texts = docs.where("text is not null").withColumn("_w", words)
-    found = None
-    for k in sorted(held):
-        keys = texts.select("id", F.explode(F.array_distinct(_keys(k, inner))).alias("key"))
-        found = keys if found is None else found.unionByName(keys)
-    if found is None:
+    texts, found = docs.where("text is not null"), []
+    small = F.broadcast if asked.count() <= most_broadcast else (lambda df: df)
+    lengths = {"run": inner, "word": 1}
+    if kinds := [k for k in lengths if k in held]:
+        own = [word_keys(asked.where(F.col("kind") == k).select(F.struct("query_id", "item").alias("x"), "value"), "x", "value", lengths[k]) for k in kinds]
+        own = reduce(DataFrame.unionByName, own).select("id.*", F.element_at("keys", 1).alias("key"))
+        keys = word_keys(texts, "id", "text", *(lengths[k] for k in kinds)).select("id", F.explode("keys").alias("key"))
+        found.append(keys.join(small(own), "key").select("query_id", "item", "id"))
+    for k in sorted(held - set(lengths)):
+        keys = texts.select("id", F.explode(F.array_distinct(_keys(k))).alias("key"))
+        own = asked.where(F.col("kind") == k).select("query_id", "item", F.xxhash64("kind", "value").alias("key"))
+        found.append(keys.join(small(own), "key").select("query_id", "item", "id"))
+    if not found:
         return items.select("query_id").join(docs.select("id"), F.lit(False)).select("query_id", "id")
-    pairs = found.join(asked, "key").select("query_id", "item", "id").distinct()
+    pairs = reduce(DataFrame.unionByName, found).distinct()
     return pairs.join(docs.select("id", "text"), "id").where(F.contains("text", "item")).select("query_id", "id").distinct()
 
 
