@@ -7,8 +7,8 @@ those of the chunks it kills. So a segment's size follows what changed.
 compact() makes one segment of all that is alive. Every step is one version of the folder (sources/versions.py): readers see
 all of it or nothing, two writers can't mix, another session opens what one has built.
 
-Rows of postings are dealt into folders by term; a query reads those of its terms. Rows whose path a later segment killed are left out when
-read. Nodes and edges of the code graph are joins over the facts of all files that are alive, so an unchanged file isn't parsed again.
+A segment's chunks are taken in blocks of some thousands; its runs (a term's places in a block) are dealt into folders by term, and a query reads those
+of its terms. Postings name the chunk at each place; places whose path a later segment killed are left out when read. Nodes and edges of the code graph are joins over the facts of all files that are alive, so an unchanged file isn't parsed again.
 
 Cases: paths are unique (of several rows of a path the one of latest mtime, then of largest hash, counts); null texts are empty and give no chunk;
 files without chunks are kept in the manifest; rows without path are left out; empty tables give an empty index; bringing up a folder without an
@@ -29,11 +29,14 @@ from lodequery.sources import versions
 
 #: Changes when chunks, terms or vectors of equal texts do.
 LOGIC = "1"
+#: Changes when the tables do; an index of another layout is as none, and is built anew.
+LAYOUT = 2
 TABLES = {
     "files": "path string, mtime long, content_hash string, logic_version string, doc_type string, language string",
     "chunks": "path string, chunk_id string, ordinal int, chunker string, start_line int, end_line int, heading_path array<string>, symbol string, node_type string, qualname string, doc_type string, language string, text string",
     "vectors": "path string, chunk_id string, doc_type string, vector array<double>",
-    "postings": "path string, id string, len int, term string, tf long, bucket int",
+    "runs": "block long, term string, total long, ids array<string>, lens array<int>, places array<int>, tfs array<int>, bucket int",
+    "postings": "path string, id string, len int, block long, place int",
     "df": "term string, n long, bucket int",
     "sizes": "chunks long, tokens long",
     "facts": extraction.FACTS,
@@ -77,10 +80,12 @@ class Kept:
         return self.alive("vectors")
 
     def lexical(self) -> lexical.Index:
-        """Postings, terms and sizes as lexical.scored() takes them."""
+        """Postings, terms, sizes, runs and the chunks that are alive, as lexical.best() and lexical.scored() take them."""
         sizes = self.every("sizes").agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n"), (F.sum("tokens") / F.sum("chunks")).alias("avgdl"))
         counts = self.every("df").groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
-        return lexical.Index(self.alive("postings").drop("path"), lexical.weighted(counts, sizes), sizes)
+        docs, runs = self.alive("postings").drop("path"), self.every("runs").where("term is not null").select("block", "term", "places", "tfs", "bucket")
+        each = runs.select("block", "term", "bucket", F.explode(F.arrays_zip("places", "tfs")).alias("x")).select("block", F.col("x.places").alias("place"), "term", F.col("x.tfs").cast("long").alias("tf"), "bucket")
+        return lexical.Index(each.join(docs, ["block", "place"]).select("id", "len", "term", "tf", "bucket"), lexical.weighted(counts, sizes), sizes, runs, docs)
 
     def graph(self, most: int = 2) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges of the code among the files."""
@@ -92,13 +97,15 @@ class Kept:
 def opened(spark: SparkSession, at: str) -> Kept | None:
     """The index as it is now; None where there is none."""
     number, state = versions.last(spark, at)
-    return Kept(spark, at, number, state["segments"], state["options"]) if state else None
+    return Kept(spark, at, number, state["segments"], state["options"]) if state.get("layout") == LAYOUT else None
 
 
 def current(files: DataFrame) -> DataFrame:
-    """The files with their state, one row a path."""
+    """The files with their state, one row a path. Texts are shuffled only where paths repeat."""
     text = F.coalesce("text", F.lit(""))
     rows = files.where("path is not null").select("path", F.col("mtime").cast("long").alias("mtime"), F.sha2(text, 256).alias("content_hash"), F.lit(LOGIC).alias("logic_version"), "doc_type", "language", text.alias("text"))
+    if not lexical.repeats(rows, "path"):
+        return rows
     last = F.max_by(F.struct(*rows.columns), F.struct(F.coalesce("mtime", F.lit(-(2**63))), "content_hash"))
     return rows.groupBy("path").agg(last.alias("x")).select("x.*")
 
@@ -110,29 +117,28 @@ def _written(kept: Kept | None, spark: SparkSession, at: str, seen: int, fresh:
     own = lambda table: versions.read(spark, at, table, [seg], schema(table)).drop("_seg")
     put(gone.select("path").distinct(), "gone")
     put(fresh, "files")
-    docs = fresh.select(F.col("path").alias("doc_id"), "text", "doc_type", "language")
-    chunks = chunking.chunked(docs, options["size"], options["overlap"], options["most_tokens"]).withColumnRenamed("id", "path")
-    kinds = fresh.select("path", "doc_type", "language")
-    put(chunks.join(kinds, "path"), "chunks")
+    texts = fresh.select(F.col("path").alias("doc_id"), "text", "doc_type", "language")
+    chunks = chunking.chunked(texts, options["size"], options["overlap"], options["most_tokens"], carried=("doc_type", "language"))
+    put(chunks.withColumnRenamed("id", "path"), "chunks")
     if options["vectors"]:
         put(embed.hashed(own("chunks").select("path", "chunk_id", "doc_type", "text")).drop("text"), "vectors")
     else:
         put(own("chunks").select("path", "chunk_id", "doc_type", F.lit(None).cast("array<double>").alias("vector")).where("false"), "vectors")
     put(extraction.facts(fresh), "facts")
-    counted = lambda rows: lexical.postings(rows.select("chunk_id", "text"), "chunk_id")
-    put(lexical.dealt(counted(own("chunks")).withColumn("path", F.regexp_replace("id", "#[0-9]+$", ""))), "postings", "bucket")
-    post = own("postings")
-    term_n, totals = post.groupBy("term").agg(F.count("*").alias("n")), post.select(F.col("tf").alias("t"))
-    n = own("chunks").count()
+    put(lexical.dealt(lexical.runs(own("chunks"), "chunk_id", first=(seen + 1) << 48)), "runs", "bucket")
+    told = own("runs").where(F.col("term").isNull() & (F.col("bucket") == lexical.bucket_of(F.lit(None).cast("string"))))
+    told = told.select("block", F.posexplode(F.arrays_zip("ids", "lens")).alias("place", "x"))
+    put(told.select(F.regexp_replace("x.ids", "#[0-9]+$", "").alias("path"), F.col("x.ids").alias("id"), F.col("x.lens").alias("len"), "block", "place"), "postings")
+    count = lambda rows, sign: rows.where("term is not null").groupBy("term").agg((sign * F.sum("total")).alias("n"))
+    size = lambda rows, sign: rows.agg((sign * F.count("*")).alias("chunks"), (sign * F.coalesce(F.sum("len"), F.lit(0))).alias("tokens"))
+    term_n, sizes = count(own("runs"), 1), size(own("postings"), 1)
     if kept is not None and segments:  # what the killed chunks had; changed texts alone are tokenised again
-        dead = kept.chunks.join(gone.select("path").distinct(), "path", "left_semi")
-        n -= dead.count()
-        old = counted(dead)
-        term_n = term_n.unionByName(old.groupBy("term").agg((-F.count("*")).alias("n"))).groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0")
-        totals = totals.unionByName(old.select((-F.col("tf")).alias("t")))
+        dead = lambda table: kept.alive(table).join(own("gone"), "path", "left_semi")
+        term_n = term_n.unionByName(count(lexical.runs(dead("chunks"), "chunk_id"), -1)).groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0")
+        sizes = sizes.unionByName(size(dead("postings"), -1)).agg(F.sum("chunks").alias("chunks"), F.sum("tokens").alias("tokens"))
     put(lexical.dealt(term_n), "df", "bucket")
-    put(totals.agg(F.lit(n).cast("long").alias("chunks"), F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("tokens")), "sizes")
-    versions.committed(spark, at, seen, {"segments": [*segments, seg], "options": options})
+    put(sizes, "sizes")
+    versions.committed(spark, at, seen, {"segments": [*segments, seg], "options": options, "layout": LAYOUT})
     return opened(spark, at)
 
 
@@ -155,13 +161,21 @@ def bring_up(files: DataFrame, at: str, reconcile_every: int = 0, **options) ->
     if kept is None:
         made = build(files, at, **options)
         return made, {"new": made.files.count(), "modified": 0, "deleted": 0, "unchanged": 0}
-    classes = incremental.classified(kept.files.select("path", "mtime", "content_hash", "logic_version"), now)
+    classes = incremental.classified(kept.files.select("path", "mtime", "content_hash", "logic_version"), now).persist()  # texts are hashed once for it
+    try:
+        return _brought_up(kept, now, classes, reconcile_every)
+    finally:
+        classes.unpersist()
+
+
+def _brought_up(kept: Kept, now: DataFrame, classes: DataFrame, reconcile_every: int) -> tuple[Kept, dict]:
+    spark, at = kept.spark, kept.at
     counts = incremental.counters(classes).first().asDict()
     if not counts["new"] + counts["modified"] + counts["deleted"] and not reconcile_every:
         return kept, counts
     runs = kept.options["runs"] + 1
     if reconcile_every and runs >= reconcile_every:
-        return build(files, at, **{k: v for k, v in kept.options.items() if k != "runs"}), counts
+        return build(now, at, **{k: v for k, v in kept.options.items() if k != "runs"}), counts
     fresh = now.join(classes.where("class in ('new', 'modified')").select("path"), "path", "left_semi")
     gone = classes.where("class in ('modified', 'deleted')").select("path")
     return _written(kept, spark, at, kept.number, fresh, gone, kept.segments, kept.options | {"runs": runs}), counts
@@ -171,13 +185,16 @@ def compact(spark: SparkSession, at: str) -> Kept:
     """The same index with one segment; nothing is chunked, tokenised, embedded or parsed again."""
     kept = opened(spark, at)
     seg = versions.new_segment(kept.number)
-    for table in ("files", "chunks", "vectors", "facts"):
+    for table in ("files", "chunks", "vectors", "facts", "postings"):
         versions.write(kept.alive(table), at, table, seg)
-    versions.write(lexical.dealt(kept.alive("postings").drop("bucket")), at, "postings", seg, "bucket")
+    runs = kept.every("runs").where("term is not null").select("block", "term", "total", "places", "tfs")
+    runs = lexical.thinned(runs, kept.alive("postings")) if len(kept.segments) > 1 else runs
+    none = {c: F.lit(None).cast(t) for c, t in (("ids", "array<string>"), ("lens", "array<int>"))}  # postings have the chunks of places
+    versions.write(lexical.dealt(runs.withColumns(none).select("block", "term", "total", "ids", "lens", "places", "tfs")), at, "runs", seg, "bucket")
     versions.write(lexical.dealt(kept.every("df").groupBy("term").agg(F.sum("n").alias("n")).where("n > 0")), at, "df", seg, "bucket")
     versions.write(kept.every("sizes").agg(F.sum("chunks").alias("chunks"), F.sum("tokens").alias("tokens")), at, "sizes", seg)
     versions.write(spark.createDataFrame([], schema("gone")), at, "gone", seg)
-    versions.committed(spark, at, kept.number, {"segments": [seg], "options": kept.options})
+    versions.committed(spark, at, kept.number, {"segments": [seg], "options": kept.options, "layout": LAYOUT})
     return opened(spark, at)
 
 

@@ -84,32 +84,70 @@ def blocks(batch: pa.RecordBatch, most_rows: int = BLOCK, most_bytes: int = 2**2
         begin += n
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of blocks of documents (id, text as bytes): block, term, total, ids, lens, tfs; and, without a term, each block's documents with the sum of their tokens."""
-    number = TaskContext.get().partitionId() << 32
-    for ids, texts in (b.columns for batch in batches for b in blocks(batch)):
-        words = pc.ascii_split_whitespace(pa.array([plain(t) for t in texts.to_pylist()], pa.binary()).cast(pa.string()))
-        lens, each = pc.list_value_length(words).to_numpy(), np.arange(len(ids))
-        terms = words.flatten().dictionary_encode()
-        key = terms.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(each, lens)
-        key.sort()
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        code, doc = np.divmod(key[first], len(ids))
-        tf, size = np.diff(first, append=len(key)), np.bincount(code, minlength=len(terms.dictionary))
-        doc, tf = np.concatenate([doc, each]), np.concatenate([tf, np.zeros(len(ids), np.int64)])
-        ends = pa.array(np.concatenate([[0], np.cumsum(size), [len(doc)]]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(size) + 1, number)), pa.concat_arrays([terms.dictionary, pa.nulls(1, pa.string())]), pa.array(np.append(size, lens.sum(dtype=np.int64))),
-            pa.ListArray.from_arrays(ends, ids.take(pa.array(doc))), pa.ListArray.from_arrays(ends, pa.array(lens[doc].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32))),
-        ], ["block", "term", "total", "ids", "lens", "tfs"])
-        number += 1
-
-
-def runs(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """The runs of documents whose ids don't repeat; texts are neither shuffled nor tokenised by the engine."""
+def _runs(first: int | None):
+    """A function of blocks of documents (id, text as bytes) that gives their runs, and without a term each block's documents with the sum of their tokens.
+
+    first: None, or the number of the first block of the first task; runs then have places in the block instead of ids and lens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (first or 0) + (TaskContext.get().partitionId() << 32)
+        for ids, texts in (b.columns for batch in batches for b in blocks(batch)):
+            words = pc.ascii_split_whitespace(pa.array([plain(t) for t in texts.to_pylist()], pa.binary()).cast(pa.string()))
+            lens, each = pc.list_value_length(words).to_numpy(), np.arange(len(ids))
+            terms = words.flatten().dictionary_encode()
+            key = terms.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(each, lens)
+            key.sort()
+            begin = np.flatnonzero(np.diff(key, prepend=-1))
+            code, doc = np.divmod(key[begin], len(ids))
+            tf, size = np.diff(begin, append=len(key)), np.bincount(code, minlength=len(terms.dictionary))
+            doc, tf = np.concatenate([doc, each]), np.concatenate([tf, np.zeros(len(ids), np.int64)])
+            ends = np.concatenate([[0], np.cumsum(size), [len(doc)]])
+            lists = lambda values, at=ends: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32)))
+            if first is None:
+                held = {"ids": lists(ids.take(pa.array(doc))), "lens": lists(lens[doc])}
+            else:
+                once = np.concatenate([np.zeros(len(size) + 1, np.int64), [len(ids)]])
+                held = {"ids": lists(ids, once), "lens": lists(lens, once), "places": lists(doc)}
+            out = {"block": pa.array(np.full(len(size) + 1, number)), "term": pa.concat_arrays([terms.dictionary, pa.nulls(1, pa.string())]), "total": pa.array(np.append(size, lens.sum(dtype=np.int64)))} | held | {"tfs": lists(tf)}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            number += 1
+
+    return run
+
+
+def runs(docs: DataFrame, id_: str = "doc_id", text: str = "text", first: int | None = None) -> DataFrame:
+    """The runs of documents whose ids don't repeat: block, term, total, ids, lens and tfs or, with a first number for their blocks, places and tfs; texts are
+    neither shuffled nor tokenised by the engine."""
     rows = docs.select(F.col(id_).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_runs, f"block long, term string, total long, ids array<{kind}>, lens array<int>, tfs array<int>")
+    return rows.mapInArrow(_runs(first), f"block long, term string, total long, ids array<{kind}>, lens array<int>, {'' if first is None else 'places array<int>, '}tfs array<int>")
+
+
+def _thinned(table: pa.Table, keep: np.ndarray) -> dict[str, pa.Array]:
+    """Of runs (places, tfs): places and tfs as lists of those places that keep has, and `flat`, these places one after the other."""
+    places, tfs = (pc.list_flatten(table[c]).combine_chunks() for c in ("places", "tfs"))
+    at, n = places.to_numpy(), pc.list_value_length(table["places"]).to_numpy()
+    held = (at < len(keep)) & keep[np.minimum(at, len(keep) - 1)] if len(keep) else np.zeros(len(at), bool)
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n)[held], minlength=len(n)))]).astype(np.int32))
+    mask = pa.array(held)
+    return {"ends": ends, "flat": at[held], "places": pa.ListArray.from_arrays(ends, places.filter(mask)), "tfs": pa.ListArray.from_arrays(ends, tfs.filter(mask))}
+
+
+def thinned(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Runs of places without those that docs (block, place) don't have; a block's runs meet its documents in one task."""
+    names = ["block", "term", "total", "places", "tfs"]
+
+    def work(own: pa.Table, docs: pa.Table) -> pa.Table:
+        at = docs["place"].to_numpy()
+        keep = np.zeros(int(at.max()) + 1 if len(at) else 0, bool)
+        keep[at] = True
+        left = _thinned(own, keep)
+        total = np.diff(left["ends"].to_numpy())
+        out = pa.table({"block": own["block"], "term": own["term"], "total": pa.array(total.astype(np.int64)), "places": left["places"], "tfs": left["tfs"]})
+        return out.filter(pa.array(total > 0))
+
+    return rows.select(names).groupBy("block").cogroup(docs.select("block", "place").groupBy("block")).applyInArrow(work, "block long, term string, total long, places array<int>, tfs array<int>")
 
 
 def gathered(post: DataFrame, n_blocks: int, markers: bool = True) -> DataFrame:
@@ -133,12 +171,14 @@ def weighted(df: DataFrame, size: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """Postings (id, len, term, tf and, where they are dealt into folders, bucket), terms (term, df, idf), sizes (one row: n, avgdl), and runs where these are what is stored."""
+    """Postings (id, len, term, tf and, where they are dealt into folders, bucket), terms (term, df, idf), sizes (one row: n, avgdl), and runs where these are what is stored;
+    docs (id, len, block, place) where runs have places: those that may come back."""
 
     postings: DataFrame
     terms: DataFrame
     sizes: DataFrame
     runs: DataFrame | None = None
+    docs: DataFrame | None = None
 
 
 def shared(spark: SparkSession) -> str:
@@ -231,14 +271,29 @@ def scored(index: Index, queries: DataFrame, keep: DataFrame | None = None, digi
     return hits.join(terms, "term").join(F.broadcast(index.sizes)).groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
 
 
-def _bests(k: int, digits: int, flowing: bool):
+def _named(rows: pa.Table) -> pa.Table:
+    """A block's rows with ids and lens in the place of places, which are those of its documents' rows; places without a document are left out."""
+    told, held = rows.filter(pc.is_null(rows["asked"])), rows.filter(pc.is_valid(rows["asked"]))
+    ids, lens, at = (pc.list_flatten(told[c]).combine_chunks() for c in ("ids", "lens", "places"))
+    at = at.to_numpy()
+    row = np.full(int(at.max()) + 1 if len(at) else 0, -1)
+    row[at] = np.arange(len(at))
+    left = _thinned(held, row >= 0)
+    own = pa.array(row[left["flat"]])
+    lists = {"ids": pa.ListArray.from_arrays(left["ends"], ids.take(own)), "lens": pa.ListArray.from_arrays(left["ends"], lens.take(own)), "tfs": left["tfs"]}
+    out = pa.table({c: lists.get(c, held[c]) for c in held.column_names if c != "places"})
+    return pa.concat_tables([out, told.drop_columns(["places"]).select(out.column_names).cast(out.schema)])
+
+
+def _bests(k: int, digits: int, flowing: bool, placed: bool = False):
     """A function of one block's rows for some queries: the k best documents of each query (and flow).
 
-    Rows are runs with the queries that ask for their term (asked: query_id, w) or, without these, a flow's documents of the block.
+    Rows are runs with the queries that ask for their term (asked: query_id, w) or, without these, a flow's documents of the block. placed: runs have places, and
+    all documents that may come back have such rows.
     """
 
     def best(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
+        rows = _named(rows.combine_chunks()).combine_chunks() if placed else rows.combine_chunks()
         held = rows.filter(pc.is_valid(rows["asked"]))
         flat = lambda t, c: pc.list_flatten(t[c]).combine_chunks()
         at = lambda t, c: np.repeat(np.arange(len(t)), pc.list_value_length(t[c]).to_numpy())
@@ -304,18 +359,28 @@ def best(index: Index, queries: DataFrame, k: int, flows: DataFrame | None = Non
     if index.runs is None:  # an index that keeps postings: those of the queries' terms are gathered into blocks
         n_blocks = -(-(index.sizes.first()["n"] or 0) // BLOCK) or 1
         rows = gathered(rows.join(small(terms.select("term").distinct()), "term", "left_semi"), n_blocks, markers=False)
-    hits = rows.join(small(asked), "term").join(F.broadcast(index.sizes.select("avgdl"))).select("block", "part", "ids", "lens", "tfs", "asked", "avgdl", F.lit(None).cast("string").alias("flow"))
-    if flows is not None:
-        if index.runs is None:
+    placed = index.docs is not None
+    lists = ["ids", "lens", "places", "tfs"] if placed else ["ids", "lens", "tfs"]
+    if placed:
+        rows = rows.where("term is not null").withColumns({c: F.lit(None).cast(t) for c, t in (("ids", f"array<{index.docs.schema['id'].dataType.simpleString()}>"), ("lens", "array<int>"))})
+    hits = rows.join(small(asked), "term").join(F.broadcast(index.sizes.select("avgdl"))).select("block", "part", *lists, "asked", "avgdl", F.lit(None).cast("string").alias("flow"))
+    if placed or flows is not None:
+        if placed:
+            own = index.docs.withColumn("flow", F.lit(None).cast("string")) if flows is None else index.docs.join(flows.select("id", "flow"), "id")
+        elif index.runs is None:
             own = flows.select("id", "flow", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"))
         else:
             own = index.runs.where("term is null").select("block", F.explode("ids").alias("id")).join(flows.select("id", "flow"), "id")
-        own = own.groupBy("block", "flow").agg(F.collect_list("id").alias("ids")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-        none = lambda c: F.lit(None).cast(hits.schema[c].dataType).alias(c)
-        hits = hits.unionByName(own.select("block", "part", "ids", none("lens"), none("tfs"), none("asked"), none("avgdl"), "flow"))
+        if placed:
+            own = own.groupBy("block", "flow").agg(F.collect_list(F.struct("id", "len", "place")).alias("l")).select("block", "flow", F.col("l.id").alias("ids"), F.col("l.len").alias("lens"), F.col("l.place").alias("places"))
+        else:
+            own = own.groupBy("block", "flow").agg(F.collect_list("id").alias("ids"))
+        own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+        none = lambda c: F.col(c) if c in own.columns else F.lit(None).cast(hits.schema[c].dataType).alias(c)
+        hits = hits.unionByName(own.select(*map(none, hits.columns)))
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     out = f"query_id {kind(terms, 'query_id')}, id {kind(index.postings, 'id')}, score double" + (", flow string" if flows is not None else "")
-    return hits.groupBy("block", "part").applyInArrow(_bests(k, digits, flows is not None), out)
+    return hits.groupBy("block", "part").applyInArrow(_bests(k, digits, flows is not None, placed), out)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id", text: str = "text", keep: Column | None = None, digits: int = 6, index: Index | None = None) -> DataFrame:
