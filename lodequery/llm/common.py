@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,6 @@ from pyspark.sql import functions as F
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
-_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -100,7 +101,7 @@ def aside(docs: DataFrame, own: tuple[str, ...]) -> DataFrame:
 class Words:
     """The white-space separated words of a batch of texts, dictionary coded.
 
-    types: the distinct words; codes: an index into types per word; starts: where each text's words
+    types: the distinct words (words: as an array); codes: an index into types per word; starts: where each text's words
     begin in codes, with one more entry for the end. Null texts have no words.
     """
 
@@ -113,13 +114,25 @@ class Words:
         ends = np.concatenate([[0], np.cumsum(held)])
         self.starts = ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
         coded = flat.filter(full).dictionary_encode()
-        self.types: list[str] = coded.dictionary.to_pylist()
+        self.words: pa.Array = coded.dictionary
         self.codes = np.asarray(coded.indices).astype(np.int64)
         if lower:
-            again = pa.array([x.lower() if x.isascii() else x.translate(_LOWER) for x in self.types], pa.large_string()).dictionary_encode()
-            self.types = again.dictionary.to_pylist()
+            again = pc.ascii_lower(self.words).dictionary_encode()
+            self.words = again.dictionary
             self.codes = np.asarray(again.indices).astype(np.int64)[self.codes]
 
+    @cached_property
+    def types(self) -> list[str]:
+        return self.words.to_pylist()
+
+    def encoded(self) -> Iterator[bytes]:
+        """The distinct words' bytes, cut out of the array's own."""
+        if not len(self.words):
+            return iter(())
+        _, ends, data = self.words.buffers()
+        ends, data = np.frombuffer(ends, np.int64)[self.words.offset :][: len(self.words) + 1].tolist(), data.to_pybytes()
+        return (data[a:b] for a, b in pairwise(ends))
+
     def per_text(self, values: np.ndarray) -> np.ndarray:
         """Sums of values (one per word) for each text."""
         sums = np.concatenate([[0], np.cumsum(values)])

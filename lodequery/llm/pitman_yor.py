@@ -83,8 +83,23 @@ def frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "shard", "block", "n", "m", *BLOBS])
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and the place of each number given among them: numbers and places are sorted as one where they fit into 63 bits."""
+    bits = max(len(x) - 1, 1).bit_length()
+    if not len(x) or x.dtype != np.int64 or int(x.min()) < 0 or int(x.max()).bit_length() + bits > 63:
+        return np.unique(x, return_inverse=True)
+    both = x << bits | np.arange(len(x))
+    both.sort()
+    values, place = both >> bits, both & ((1 << bits) - 1)
+    new = np.ones(len(x), bool)
+    new[1:] = values[1:] != values[:-1]
+    at = np.empty(len(x), np.int64)
+    at[place] = np.cumsum(new) - 1
+    return values[new], at
+
+
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(keys, return_inverse=True)
+    keys, at = distinct(keys)
     return keys, np.bincount(at, values, len(keys)).astype(np.int64)
 
 
@@ -92,7 +107,7 @@ def distinct_pairs(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """The distinct pairs in order, as two arrays, and the place of each pair given among them."""
     width = int(w.max()) + 1 if len(w) else 1
     if len(u) and int(u.max()) < 2**63 // width:
-        pairs, at = np.unique(u * width + w, return_inverse=True)
+        pairs, at = distinct(u * width + w)
         return pairs // width, pairs % width, at
     order = np.lexsort((w, u))  # ids too large for one number: slower, the same result
     new = np.ones(len(u), bool)
@@ -104,8 +119,9 @@ def distinct_pairs(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def split(home: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, slice]]]:
     """An order by home (stable), and of each home that occurs the slice of that order."""
-    order = np.argsort(home, kind="stable")
-    homes, starts = np.unique(home[order], return_index=True)
+    small = len(home) and 0 <= int(home.min()) and int(home.max()) < 2**16
+    order = np.argsort(home.astype(np.uint16) if small else home, kind="stable")  # numbers of two bytes are sorted by radix
+    homes, starts = np.unique(home[order], return_index=True) if not small else ((n := np.bincount(home)).nonzero()[0], (np.cumsum(n) - n)[n > 0])
     return order, ((h, slice(a, b)) for h, a, b in zip(homes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(home)][: len(homes)], strict=True))
 
 
@@ -125,7 +141,7 @@ def pair_home(u: np.ndarray, w: np.ndarray, hot: np.ndarray, shards: int) -> np.
 def block_tokens(b: pa.RecordBatch) -> dict:
     """A batch of documents as codes into its sorted distinct word hashes, with training counts of each."""
     w = Words(b.column("text"), lower=True)
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w.types), np.uint64, len(w.types))
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, w.encoded()), np.uint64, len(w.words))
     hashed[hashed <= BEGIN] += np.uint64(7)
     n = np.diff(w.starts)
     words, back = np.unique(np.concatenate([hashed, [END, BEGIN]]), return_inverse=True)
@@ -231,8 +247,8 @@ def score(
     def count_words(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
         asked = [summed_steps(x) for x in rows["a"]]
-        distinct, at = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(at, np.concatenate([ints(x) for x in rows["b"]]), len(distinct)).astype(np.int64)
+        words, at = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.bincount(at, np.concatenate([ints(x) for x in rows["b"]]), len(words)).astype(np.int64)
         order = np.argsort(-total, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -241,8 +257,8 @@ def score(
             own = at[begin : begin + len(x)]
             begin += len(own)
             out.append(message("words", shard, block, a=planes(rank[own] * shards + shard), b=planes(total[own])))
-        real = (distinct != BEGIN) & (total > 0)
-        return frame([*out, message("size", shard, len(distinct), n=real.sum(), m=total[distinct != BEGIN].sum())])
+        real = (words != BEGIN) & (total > 0)
+        return frame([*out, message("size", shard, len(words), n=real.sum(), m=total[words != BEGIN].sum())])
 
     said = stored(by_shard(mapped(both.where("part = 'words'").select("block", "c", "d"), ask_words), count_words), "words")
     deleted(both, "part=words")
@@ -364,7 +380,8 @@ def score(
             else:
                 t, sums, kept = np.ones(len(c), np.int64), np.zeros(len(c), np.int64), NONE
             got = {}
-            for kind, keys in (("by word", np.unique(w)), ("by context", np.unique(u[is_hot == 1]))):
+            words, at_word = distinct(w)
+            for kind, keys in (("by word", words), ("by context", np.unique(u[is_hot == 1]))):
                 order, parts = split(keys % shards)
                 values, replies = np.zeros((2, len(keys)), np.int64), {}
                 if kind in kinds:
@@ -374,11 +391,11 @@ def score(
                 got[kind] = keys, values
             keys, (sat, k) = got["by word"]
             base = (sat - root_discount * k + (root_strength + root_discount * tables) * unseen) / (root_strength + customers)
-            own, at = np.unique(u, return_inverse=True)
+            own, at = distinct(u)
             total = ones + np.bincount(at, t, len(own)).astype(np.int64)
             keys_hot, values = got["by context"]
             total[np.searchsorted(own, keys_hot)] = values[0]
-            t = sweep(at, c, t, total, base[np.searchsorted(keys, w)], discount, strength, chances(seed, round_, u, w))
+            t = sweep(at, c, t, total, base[at_word], discount, strength, chances(seed, round_, u, w))
             out = list(tells(shard, w, t, u, is_hot))
             if round_ > burn_in:
                 sums, kept = sums + t, np.concatenate([kept, np.bincount(at, t, len(own)).astype(np.int64)])

@@ -125,7 +125,7 @@ def draw_tables(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: f
     # dishes of about equal size together: 2, 3, 4, up to 6, 8, 12 and so on
     edges = np.unique(np.concatenate([[1, 2, 3], 2 ** np.arange(2, 11), 3 * 2 ** np.arange(1, 9), [TABLED]]))
     group = np.searchsorted(edges, c)
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.uint8), kind="stable")  # numbers of one byte are sorted by radix
     groups, starts = np.unique(group[order], return_index=True)
     for g, begin, stop in zip(groups.tolist(), starts.tolist(), [*starts[1:].tolist(), len(c)][: len(groups)], strict=True):
         if g == 0:
