@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import ast
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodequery.functions import syntax
-from lodequery.operators import graph
+from lodequery.operators import graph, lexical
+from lodequery.sources import versions
 
 #: What is read from the sources of a language.
 COVERAGE = {"python": ("calls", "imports", "inherits")} | {k: ("calls",) for k in ("javascript", "typescript", "java", "c_sharp", "go", "c", "cpp", "php")}
@@ -80,7 +83,15 @@ def facts(docs: DataFrame) -> DataFrame:
             rows = [x for p, t, own in zip(f["path"], f["text"], f["language"], strict=True) for x in (file_facts(p, t or "") if own == "python" else outline_facts(p, t or "", own))]
             yield pd.DataFrame(rows, columns=["path", "fact", "source", "name", "kind", "line"]).astype({"line": "Int32"})
 
-    return docs.where(F.col("language").isin(*COVERAGE)).select("path", "text", "language").mapInPandas(run, FACTS)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't made smaller: few large files would else be one task's
+    return docs.where(F.col("language").isin(*COVERAGE)).select("path", "text", "language").repartition(n, "path").mapInPandas(run, FACTS)
+
+
+def kept_facts(docs: DataFrame) -> DataFrame:
+    """The facts, written once to the shared folder: nodes and edges read them a dozen times, and files are parsed for the first alone."""
+    spark, at, segment = docs.sparkSession, f"{lexical.shared(docs.sparkSession)}/facts-{uuid.uuid4().hex}", versions.new_segment(0)
+    versions.write(facts(docs), at, "facts", segment)
+    return versions.read(spark, at, "facts", [segment], StructType.fromDDL(FACTS)).drop("_seg")
 
 
 def nodes_of(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -131,8 +142,8 @@ def joined(docs: DataFrame, found: DataFrame, texts: DataFrame, most: int = 2) -
 
 
 def extracted(docs: DataFrame, most: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Nodes and distinct edges of docs (path, text, doc_type, language)."""
-    return joined(docs, facts(docs), docs.where("doc_type = 'doc'").select(F.col("path").alias("doc_id"), "text"), most)
+    """Nodes and distinct edges of docs (path, text, doc_type, language), whose facts are kept in the shared folder."""
+    return joined(docs, kept_facts(docs), docs.where("doc_type = 'doc'").select(F.col("path").alias("doc_id"), "text"), most)
 
 
 def one_type_a_pair(edges: DataFrame) -> DataFrame:

@@ -281,22 +281,27 @@ def _asked(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" sup_"), F.col("item_id") % 40).alias("query"))
 
 
-@query(AGENT)
-def grf13_agent_context(s: SparkSession, d: str) -> DataFrame:
-    """For each question two flows of passages, the graph's sections of the symbol it names, and which passages that symbol's file supports."""
+def _context(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The context of all questions, and the graph's nodes."""
     docs = table(s, d, "documents")
     path = F.when(F.col("lang") == "en", F.concat(F.lit("pkg/nation"), F.col("doc_id") % 25, F.lit(".py"))).otherwise(F.concat(F.lit("notes/"), "doc_id"))
     own = docs.select(F.col("doc_id").alias("id"), path.alias("path"), F.when(F.col("lang") == "en", "code").otherwise("doc").alias("doc_type"))
     nodes, edges = extraction.extracted(_sources(s, d))
-    return agent.context(lexical.indexed(docs), own, _asked(s, d), nodes, edges)
+    return agent.context(lexical.indexed(docs), own, _asked(s, d), nodes, edges), nodes
+
+
+@query(AGENT)
+def grf13_agent_context(s: SparkSession, d: str) -> DataFrame:
+    """For each question two flows of passages, the graph's sections of the symbol it names, and which passages that symbol's file supports."""
+    return _context(s, d)[0]
 
 
 @query(f"WITH {SUP} SELECT item_id AS query_id, branch, CASE branch WHEN 'graph' THEN CASE WHEN item_id % 40 IN (SELECT k FROM sup) THEN 'ok' ELSE 'not_attempted' END ELSE 'ok' END AS status FROM benchmark, (SELECT unnest(['docs', 'code', 'graph']) AS branch)")
 def grf13_branch_status(s: SparkSession, d: str) -> DataFrame:
     asked = _asked(s, d)
-    nodes, _ = extraction.extracted(_sources(s, d))
+    rows, nodes = _context(s, d)
     points = graph.entry_points(asked, nodes.where("qualname is not null").select("name"))
-    return agent.status(asked, grf13_agent_context(s, d), points)
+    return agent.status(asked, rows, points)
 
 
 # ---- streams -----------------------------------------------------------------------------------
