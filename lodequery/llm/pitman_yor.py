@@ -221,8 +221,8 @@ def score(
     blocks = both.where("part = 'tokens'")
     n_blocks = max(blocks.count(), 1)
     shards = max(8, n_blocks)
-    tasks, block_tasks = min(shards, most_tasks), min(n_blocks, most_tasks)
-
+    # some shards, or blocks, a task, one held at a time: starting a task takes about as long as a shard's work
+    tasks, block_tasks = (min(x, max(24, -(-x // 3)), most_tasks) for x in (shards, n_blocks))
 
     def by_shard(df: DataFrame, work) -> DataFrame:
         def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -232,10 +232,20 @@ def score(
 
         return df.repartition(tasks, "shard").groupBy("shard").applyInPandas(run, PACKED)
 
-    def with_replies(columns: list[str], replies: DataFrame) -> DataFrame:
-        """Blocks with all replies to them, at most one a shard and kind and in all bounded by the block."""
-        own = replies.repartition(block_tasks, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", *BLOBS)).alias("replies"))
-        return blocks.select("block", "begin", *columns).repartition(block_tasks, "block").join(own, "block")
+    def with_replies(columns: list[str], replies: DataFrame, work, ddl: str) -> DataFrame:
+        """work(block with its replies, as a dict), a block at a time; replies are at most one a shard and kind and in all bounded by the block, and stay rows of
+        their own: neither the engine nor a worker holds several blocks' at once."""
+
+        def run(own: pa.Table, told: pa.Table) -> pa.Table:
+            row = own.to_pylist()[0] | {"replies": told.to_pylist()}
+            own = told = None
+            out = work(row)
+            row = None
+            released()
+            return out
+
+        own = blocks.select("block", "begin", *columns).repartition(block_tasks, "block").groupBy("block")
+        return own.cogroup(replies.select("block", "kind", "shard", *BLOBS).repartition(block_tasks, "block").groupBy("block")).applyInArrow(run, ddl)
 
     # words: counts and dense ids, small ones for frequent words
     def ask_words(row: dict) -> Iterator[dict]:
@@ -269,15 +279,15 @@ def score(
     freed(spark)
 
     # pairs: merged by shard; what a block asked for is kept as places in the shard's arrays
-    def ask_pairs(row: dict) -> Iterator[dict]:
+    def ask_pairs(row: dict) -> pa.Table:
         ids, counts = of_words(row["replies"], "ab")
         u, w, learned, _ = token_pairs(row)
         is_hot = counts[u] > hot
         u, w = ids[u], ids[w]
         order, parts = split(pair_home(u, w, is_hot, shards))
         u, w, learned, is_hot = u[order], w[order], learned[order], is_hot[order]
-        for s, at in parts:
-            yield message("ask", s, row["block"], a=steps(u[at]), b=planes(w[at]), c=planes(learned[at]), d=planes(is_hot[at].astype(np.int8)))
+        asked = (message("ask", s, row["block"], a=steps(u[at]), b=planes(w[at]), c=planes(learned[at]), d=planes(is_hot[at].astype(np.int8))) for s, at in parts)
+        return pa.Table.from_pylist(list(asked), ARROW)
 
     def tells(shard: int, w: np.ndarray, t: np.ndarray, u: np.ndarray, hot_: np.ndarray) -> Iterator[dict]:
         """A shard's tables by word, and by hot context, for their word shards; the receiver replies in the same order."""
@@ -313,7 +323,7 @@ def score(
         out.extend(tells(shard, w[shared], np.ones(len(shared), np.int64), u[shared], is_hot[shared]))
         return frame(out)
 
-    merged = stored(by_shard(mapped(with_replies(["a", "b", "e"], words_of), ask_pairs), merge_pairs), "pairs")
+    merged = stored(by_shard(with_replies(["a", "b", "e"], words_of, ask_pairs, PACKED), merge_pairs), "pairs")
     seats = merged.where("kind = 'seats'")
     places = merged.where("kind = 'places'").select(F.col("shard").alias("shard"), F.col("block").alias("block"), F.col("a").alias("place"))
     once, twice = seats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
@@ -349,7 +359,7 @@ def score(
             k[some] = draw_tables(customers[some], others, np.full(len(some), unseen), root_discount, root_strength, chances(seed, -round_ - 1, some * shards + shard))
             out = []
             for kind in told:
-                for sender, a in zip(*(kinds[kind][x] for x in ("block", "a")), strict=True) if kind in kinds else ():
+                for sender, a in zip(*(kinds[kind][x] for x in ("block", "a")), strict=True) if kind in kinds and round_ < burn_in + samples else ():
                     at = summed_steps(a)
                     out.append(message(kind, sender, shard, a=planes(told[kind][at]), b=planes(k[at])))
             if round_ > burn_in:
@@ -448,12 +458,12 @@ def score(
     sums = seats.select("shard", "c").join(tables.where("kind = 'tables'").select("shard", F.col("b").alias("sums")), "shard")
     to_pairs = sums.repartition(tasks, "shard").groupBy("shard").cogroup(places.repartition(tasks, "shard").groupBy("shard")).applyInPandas(pair_replies, PACKED)
 
-    def scored(row: dict) -> Iterator[dict]:
+    def scored(row: dict) -> pa.Table:
         ids, counts, kept, of_context = of_words(row["replies"], "abcd")
         kept, of_context = kept.reshape(-1, samples, 2), of_context.reshape(-1, samples)
         u, w, _, at = token_pairs(row)
         order, parts = split(pair_home(ids[u], ids[w], counts[u] > hot, shards))
-        pairs = {r["shard"]: r for r in row["replies"] if r["kind"] == "pairs"}
+        pairs = {r["shard"]: r for r in row.pop("replies") if r["kind"] == "pairs"}
         p = np.zeros(len(u))
         for s, x in parts:
             p[order[x]] = ints(pairs[s]["a"]) - discount * ints(pairs[s]["b"]) / samples
@@ -465,13 +475,7 @@ def score(
         unigram = np.log10((counts + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
         starts = np.concatenate([[0], np.cumsum(n)[:-1]])
         model, plain, known = (np.add.reduceat(x, starts) for x in (np.log10(p)[at], unigram[codes], (counts > 0)[codes].astype(np.int64)))
-        yield {"doc_id": row["ids"], "held_out": ints(row["e"]) == 1, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), tokens), "base_score": plain, "score": model, "perplexity": 10 ** (-model / n)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                for out in scored(b.slice(i, 1).to_pylist()[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) if k != "doc_id" else pa.array(x, pa.int64()) for k, x in out.items()], list(out))
-            released()
+        out = {"doc_id": row["ids"], "held_out": ints(row["e"]) == 1, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), tokens), "base_score": plain, "score": model, "perplexity": 10 ** (-model / n)}
+        return pa.table({k: pa.array(v, pa.int64()) if k == "doc_id" else pa.array(v) for k, v in out.items()})
 
-    return with_replies(["ids", "a", "b", "e"], to_words.unionByName(to_pairs)).mapInArrow(run, SCHEMA)
+    return with_replies(["ids", "a", "b", "e"], to_words.unionByName(to_pairs), scored, SCHEMA)

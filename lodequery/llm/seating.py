@@ -6,7 +6,8 @@ where S are generalised Stirling numbers. Up to TABLED customers S comes from it
 customers it is a contour integral: t! discount^t S(c, t) / c! is the probability that t Sibuya variables sum
 up to c, which is the coefficient of z^c in (1 - (1 - z)^discount)^t. Its integral along a parabola around the
 cut from 1 to infinity, through the saddle point, converges geometrically in the number of nodes, so any number of customers takes the
-same few evaluations for each t. Only the t that can matter (within exp(-40) of the mode) are evaluated.
+same few evaluations for each t. Only the t that can matter (within exp(-40) of the mode) are evaluated. The many dishes of
+up to FEW customers are drawn from products of the ratios of neighbouring weights, without logarithms.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from functools import lru_cache
 import numpy as np
 
 TABLED = 1024
+#: Customers up to which weights are plain numbers, not logarithms.
+FEW = 48
 #: Nodes of the integral for weights, and for the search of their mode, which need not be exact.
 NODES, ROUGH = 64, 20
 
@@ -34,6 +37,34 @@ def stirling(discount: float, most: int = TABLED) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=4)
+def growths(discount: float, most: int) -> np.ndarray:
+    """[t, c]: the generalised Stirling number of c customers at t + 1 tables over that at t, 0 from t = c on."""
+    table = stirling(discount)[: most + 1, : most + 2]
+    with np.errstate(invalid="ignore"):
+        out = np.exp(np.diff(table, axis=1))
+    out[~np.isfinite(out)] = 0
+    return np.ascontiguousarray(out.T)
+
+
+def draw_of_few(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, chance: np.ndarray, size: int) -> np.ndarray | None:
+    """Tables of dishes of up to `size` customers: each t's weight is the one before times a factor, in plain numbers. None where these get too large."""
+    growth, now = growths(discount, FEW), strength + discount * others
+    weight, total, sums = np.ones(len(c)), np.ones(len(c)), []
+    with np.errstate(over="ignore", invalid="ignore"):
+        for t in range(1, size):
+            sums.append(total)
+            now = now + discount
+            weight = weight * (growth[t][c] * base * now)
+            total = total + weight
+    if not np.isfinite(total).all():
+        return None
+    limit, out = chance * total, np.ones(len(c), np.int64)
+    for s in sums:
+        out += s < limit
+    return out
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function of x > 0, by Stirling's series at x + 8."""
     y = x + 8.0
@@ -92,7 +123,14 @@ def draw_of_many(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount:
         left, first = left[(high - low)[left] > 2], False
     ends = []
     for direction in (-1, 1):
-        step, left = np.ones(n, np.int64), every
+        # the first eight doublings at once, then one by one
+        steps = 2 ** np.arange(8)
+        t = mode[:, None] + direction * steps
+        inside = (t >= 1) & (t <= c[:, None])
+        row, col = np.nonzero(inside)
+        inside[row, col] = weigh(row, t[row, col]) > top[row] - far if len(row) else False
+        ended = (~inside).argmax(axis=1)
+        step, left = np.where(inside.all(axis=1), 256, steps[ended]), np.flatnonzero(inside.all(axis=1))
         while len(left):
             t = mode[left] + direction * step[left]
             left = left[(t >= 1) & (t <= c[left])]
@@ -138,6 +176,9 @@ def draw_tables(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: f
         step = max(1, 400_000 // size)
         for i in range(begin, stop, step):
             rows = order[i : min(i + step, stop)]
+            if size <= FEW and (few := draw_of_few(c[rows], others[rows], base[rows], discount, strength, chance[rows], size)) is not None:
+                t[rows] = few
+                continue
             weight = np.log((strength + discount * (others[rows, None] + np.arange(size))) * base[rows, None])
             np.cumsum(weight, axis=1, out=weight)
             weight += table[c[rows], 1 : size + 1]
