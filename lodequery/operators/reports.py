@@ -1,6 +1,6 @@
 """Lift and audit as runs over many changesets, with bundles, reports and verdicts kept as versioned JSON texts.
 
-    bundle = bundled(changesets, evidence).kept(folder)          # diff to evidence
+    bundle = kept_for_lift(changesets, evidence, folder)         # diff to evidence; bundled() has the lines, too
     lifted = lift(bundle, tree, authored)                        # reports (ref, text) and what was refused
     items, refused = read_lifts(kept_reports)                    # (path, text) back to rows
     verdicts, unread = read_verdicts(kept_verdicts)
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodequery.functions import diff as D
 from lodequery.operators import audit, trace
 
 #: The version of all texts, and the fields of each.
@@ -74,14 +75,25 @@ class Bundle:
 
 
 def bundled(changesets: DataFrame, evidence: DataFrame, include_docs: bool = False) -> Bundle:
-    """Changesets (ref, text) as evidence: lines, files, those that are no source left out, hunks, symbols, items."""
-    lines = trace.diff_lines(changesets)
-    return bundled_hunks(changesets.select("ref"), *_read_diff(lines, include_docs), evidence)
+    """Changesets (ref, text) as evidence: files, those that are no source left out, hunks, symbols, items."""
+    return bundled_hunks(changesets.select("ref"), *_read_diff(trace.read_diffs(changesets), include_docs), evidence)
 
 
-def _read_diff(lines: DataFrame, include_docs: bool) -> tuple[DataFrame, DataFrame]:
-    files = trace.source_files(trace.diff_files(lines), include_docs)
-    return files, trace.diff_hunks(lines, files.where("reason is null"))
+def kept_for_lift(changesets: DataFrame, evidence: DataFrame, at: str, include_docs: bool = False) -> Bundle:
+    """The same as far as lift() reads it, kept under a folder that is not there yet: items have no lines.
+
+    Diffs are read once, and what is shuffled and kept of them grows with their hunks and names, not with their lines.
+    """
+    own = trace.read_diffs(changesets, whole=False)
+    own.write.parquet(f"{at}/diffs")
+    diffs = own.sparkSession.read.schema(own.schema).parquet(f"{at}/diffs")
+    return bundled_hunks(diffs.select("ref"), *_read_diff(diffs, include_docs), evidence).kept(at)
+
+
+def _read_diff(diffs: DataFrame, include_docs: bool) -> tuple[DataFrame, DataFrame]:
+    """Files with the reason they are left out, and hunks of the others."""
+    sources = F.filter("files", lambda f: D.excluded_reason(f["path"], include_docs).isNull())
+    return trace.source_files(trace.read_files(diffs), include_docs), trace.read_hunks(diffs.withColumn("files", sources))
 
 
 def bundled_hunks(refs: DataFrame, files: DataFrame, hunks: DataFrame, evidence: DataFrame) -> Bundle:
@@ -92,7 +104,7 @@ def bundled_hunks(refs: DataFrame, files: DataFrame, hunks: DataFrame, evidence:
 
 def changeset_texts(changesets: DataFrame, include_docs: bool = False) -> DataFrame:
     """ref and text: the sources of each changeset and their hunks as JSON, for whoever locates evidence elsewhere."""
-    files, hunks = _read_diff(trace.diff_lines(changesets), include_docs)
+    files, hunks = _read_diff(trace.read_diffs(changesets), include_docs)
     pair = lambda side: F.array(f"{side}_start", f"{side}_len")
     one = F.struct("hunk", F.struct(F.col("path").alias("file_path"), pair("old").alias("old_range"), pair("new").alias("new_range"), F.col("identifiers").alias("candidate_identifiers"), "lines").alias("h"))
     own = hunks.groupBy("ref", "file").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["h"]).alias("hunks"))

@@ -15,6 +15,8 @@ from lodequery.functions import diff as D
 #: The kinds of requirement that each evidence item should have.
 QUOTAS = ("user_capability", "behaviour", "implementation")
 
+snippet = D.snippet
+
 
 def diff_lines(changesets: DataFrame) -> DataFrame:
     """Lines with their kind, file and hunk number; what stands before the first file is left out."""
@@ -38,11 +40,8 @@ def diff_files(lines: DataFrame) -> DataFrame:
 
 def diff_hunks(lines: DataFrame, files: DataFrame) -> DataFrame:
     """ref, file, hunk, path, ranges, body lines and the distinct names declared, by first appearance; binary files have none."""
-    part = lambda i: F.regexp_extract("line", D.HUNK, i)
-    size = lambda i: F.when(part(i) == "", F.lit(1)).otherwise(F.try_to_number(part(i), F.lit("999999999999")).cast("int"))
-    start = lambda i: F.try_to_number(part(i), F.lit("999999999999")).cast("int")
-    heads = lines.where("kind = 'hunk'").select("ref", "file", "hunk", start(1).alias("old_start"), size(2).alias("old_len"), start(3).alias("new_start"), size(4).alias("new_len"))
-    own = F.when(F.col("kind") == "hunk", D.declared(part(5))).when(F.rlike("line", F.lit("^[+-]")), D.declared(F.substring("line", F.lit(2), F.length("line")))).otherwise(F.array().cast("array<string>"))
+    heads = lines.where("kind = 'hunk'").select("ref", "file", "hunk", *(c.alias(name) for name, c in D.ranges(F.col("line")).items()))
+    own = D.names_in(F.col("line"), F.col("kind"))
     inside = lines.where("hunk >= 0 and kind in ('hunk', 'body')").select("ref", "file", "hunk", F.struct("n", "kind", "line", own.alias("names")).alias("x"))
     rows = inside.groupBy("ref", "file", "hunk").agg(F.array_sort(F.collect_list("x")).alias("x"))
     body = F.transform(F.filter("x", lambda r: r["kind"] == "body"), lambda r: r["line"])
@@ -50,9 +49,19 @@ def diff_hunks(lines: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(heads, ["ref", "file", "hunk"]).join(files.where("not is_binary").select("ref", "file", "path"), ["ref", "file"])
 
 
-def snippet(lines):
-    """The added lines of a hunk as one text."""
-    return F.array_join(F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++"))), lambda x: F.substring(x, F.lit(2), F.length(x))), "\n")
+def read_diffs(changesets: DataFrame, whole: bool = True) -> DataFrame:
+    """What diff_files and diff_hunks say of each changeset as one row, ref and files (diff.files_of), read where it lies: no line of it is shuffled."""
+    return changesets.select("ref", D.files_of(F.col("text"), whole).alias("files"))
+
+
+def read_files(diffs: DataFrame) -> DataFrame:
+    """The files of read_diffs() as diff_files gives them."""
+    return diffs.select("ref", F.explode("files").alias("f")).select("ref", *(f"f.{c}" for c in ("file", "path", "old_path", "change_type", "is_binary")))
+
+
+def read_hunks(diffs: DataFrame) -> DataFrame:
+    """The hunks of read_diffs() as diff_hunks gives them; of diffs that aren't whole with a snippet in place of lines."""
+    return diffs.where("ref is not null").select("ref", F.explode("files").alias("f")).select("ref", "f.file", "f.path", F.explode("f.hunks").alias("h")).select("ref", "file", "h.*", "path")
 
 
 def source_files(files: DataFrame, include_docs: bool = False) -> DataFrame:
@@ -64,9 +73,9 @@ def located(hunks: DataFrame, evidence: DataFrame, most: int = 4) -> DataFrame:
     """Symbols of each hunk: ref, file, hunk, place, path, name, symbol_path, line.
 
     evidence gives for (path, query) the symbols (name, symbol_path, line, place) found for it. A hunk
-    looks up its identifiers; a symbol found twice for it counts where it comes first.
+    looks up its identifiers; a symbol found twice for it counts where it comes first. Hunks without lines have a snippet.
     """
-    queries = D.identifier_queries(F.col("identifiers"), snippet(F.col("lines")), most)
+    queries = D.identifier_queries(F.col("identifiers"), snippet(F.col("lines")) if "lines" in hunks.columns else F.col("snippet"), most)
     asked = hunks.select("ref", "file", "hunk", "path", F.posexplode(queries).alias("q", "query"))
     rows = asked.join(evidence.withColumnRenamed("place", "e"), ["path", "query"])
     first = rows.groupBy("ref", "file", "hunk", "path", "name", "symbol_path", "line").agg(F.min(F.struct("q", "e")).alias("place"))
@@ -74,16 +83,17 @@ def located(hunks: DataFrame, evidence: DataFrame, most: int = 4) -> DataFrame:
 
 
 def merged(rows: DataFrame, *by: str) -> DataFrame:
-    """Hunks (columns of diff_hunks) as one for each group: ranges span all, lines follow each other, names by first appearance."""
+    """Hunks (columns of diff_hunks) as one for each group: ranges span all, lines (if hunks have them) follow each other, names by first appearance."""
+    long = [c for c in ("lines",) if c in rows.columns]
     end = lambda side: F.max(F.col(f"{side}_start") + F.greatest(F.col(f"{side}_len") - 1, F.lit(0)))
     rows = rows.groupBy(*by).agg(
         F.min("old_start").alias("old_start"), end("old").alias("old_end"), F.min("new_start").alias("new_start"), end("new").alias("new_end"), F.min("new_len").alias("least"), F.max("new_len").alias("new_len"),
-        F.count("*").alias("hunks"), F.array_sort(F.collect_list(F.struct("hunk", "lines", "identifiers"))).alias("x"),
+        F.count("*").alias("hunks"), F.array_sort(F.collect_list(F.struct("hunk", *long, "identifiers"))).alias("x"),
     )
     one = F.col("hunks") == 1
     return rows.select(
         *by, "hunks", "old_start", "old_end", "new_start", F.when(one & (F.col("new_len") == 0), F.col("new_start")).otherwise(F.col("new_end")).alias("new_end"),
-        F.flatten(F.transform("x", lambda h: h["lines"])).alias("lines"), F.array_distinct(F.flatten(F.transform("x", lambda h: h["identifiers"]))).alias("identifiers"), F.col("x")[0]["hunk"].alias("first_hunk"),
+        *(F.flatten(F.transform("x", lambda h: h[c])).alias(c) for c in long), F.array_distinct(F.flatten(F.transform("x", lambda h: h["identifiers"]))).alias("identifiers"), F.col("x")[0]["hunk"].alias("first_hunk"),
     )
 
 
@@ -92,7 +102,7 @@ def evidence_items(hunks: DataFrame, symbols: DataFrame) -> tuple[DataFrame, Dat
 
     A file's hunks are grouped by the symbols they have in that same file, in order of first appearance; those
     with new lines but no such symbol make one more item of granularity `hunk`; pure deletions stay unresolved.
-    Items: ref, item, file, path, symbol, granularity, start_line, end_line, hunks, identifiers, lines, cross
+    Items: ref, item, file, path, symbol, granularity, start_line, end_line, hunks, identifiers, lines (if hunks have them), cross
     (names of symbols in other files that the file's hunks found).
     """
     same = symbols.where("symbol_path = path").groupBy("ref", "file", "hunk", "name").agg(F.min(F.struct("q", "e")).alias("at"))
@@ -105,7 +115,7 @@ def evidence_items(hunks: DataFrame, symbols: DataFrame) -> tuple[DataFrame, Dat
     rows = by_symbol.unionByName(left).join(cross, ["ref", "file"], "left")
     item = F.row_number().over(Window.partitionBy("ref").orderBy("file", F.col("granularity") == "hunk", "at")) - 1
     items = rows.withColumn("item", item).select(
-        "ref", "item", "file", "path", "symbol", "granularity", F.col("new_start").alias("start_line"), F.col("new_end").alias("end_line"), "hunks", "identifiers", "lines",
+        "ref", "item", "file", "path", "symbol", "granularity", F.col("new_start").alias("start_line"), F.col("new_end").alias("end_line"), "hunks", "identifiers", *(c for c in ("lines",) if c in rows.columns),
         F.coalesce("cross", F.array().cast("array<string>")).alias("cross"),
     )
     return items, rest.where("new_len = 0")

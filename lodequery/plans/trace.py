@@ -345,7 +345,7 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 def _lifted(s: SparkSession, d: str) -> reports.Lift:
     docs = table(s, d, "documents").withColumn("ref", F.expr(REF))
-    bundle = reports.bundled(docs.select("ref", F.expr(TEXT).alias("text")), _evidence(s, d)).kept(f"{lexical.shared(s)}/bundle-{uuid.uuid4().hex}")
+    bundle = reports.kept_for_lift(docs.select("ref", F.expr(TEXT).alias("text")), _evidence(s, d), f"{lexical.shared(s)}/bundle-{uuid.uuid4().hex}")
     first = F.expr(f"CASE WHEN doc_id % 3 <> 0 THEN concat('class ', {HUNK0}) ELSE 'class other' END")
     tree = docs.select("ref", F.expr(NAME).alias("path"), F.explode(F.array(F.struct(F.lit(1).alias("n"), first.alias("line")), F.struct(F.expr("CASE WHEN doc_id % 4 = 1 THEN 209 ELSE 211 END").alias("n"), F.lit("end").alias("line")))).alias("x"))
     return reports.lift(bundle, tree.select("ref", "path", "x.*"), docs.where("doc_id % 2 = 0").select("ref", F.expr(WRITTEN).alias("text")))
