@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodequery.operators import reports, trace
+from lodequery.operators import audit, reports, trace
 
 ODD = {
     "plain": "before\n@@ -1 +1 @@\ndiff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +3 @@ def f\n a\n-def g(): pass\n+class H:\n@@ -9 +9,0 @@\n-gone\ndiff --git a/y b/y\nnew file mode 1\n--- /dev/null\n+++ b/y\n@@ -0,0 +1 @@\n+x",
@@ -50,3 +50,10 @@ def test_a_lift_needs_no_lines(spark, tmp_path):
     reports.kept_for_lift(long, evidence, str(tmp_path / "long"))
     assert sum(f.stat().st_size for f in (tmp_path / "long").rglob("*.parquet")) < 50_000
     assert reports.lift(slim, spark.createDataFrame([], "ref string, path string, n int, line string")).reports.count() == len(ODD)
+
+
+def test_bullets_are_read_where_they_lie(spark):
+    text = "lead\n  more\n- **REQ-1** first\n\tmore \n  - **FR-2** b\n* **Note** c\nrest\n# - **REQ-3** no\n\n- **REQ-4**\x0bx\n  \ny\n- **REQ-** none\n+ **REQ-5** none"
+    rows = audit.requirement_bullets(spark.createDataFrame([("p", text), ("q", None), ("r", ""), ("s", "- **FR-9**"), ("t", "no bullet")], "path string, text string"))
+    assert [tuple(r) for r in rows.orderBy("path", "place").select("path", "place", "id", "text").collect()] == [("p", 0, "REQ-1", "- **REQ-1** first more"), ("p", 1, "FR-2", "- **FR-2** b"), ("p", 2, "REQ-4", "- **REQ-4** x"), ("s", 0, "FR-9", "- **FR-9**")]
+    assert "Exchange" not in plan(rows)[1]
