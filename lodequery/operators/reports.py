@@ -52,6 +52,12 @@ def _place(*parts: Column) -> Column:
     return F.struct(*(p.cast("int").alias(f"p{i}") for i, p in enumerate(parts))).alias("place")
 
 
+def stored(rows: DataFrame, at: str) -> DataFrame:
+    """Rows written to a folder that is not there yet and read from it; what reads them several times doesn't make them again."""
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 # ---- changesets and bundles --------------------------------------------------------------------
 
 
@@ -66,12 +72,7 @@ class Bundle:
 
     def kept(self, at: str) -> Bundle:
         """The same, written as tables under a folder that is not there yet and read from them, so that what follows doesn't read the diffs again."""
-        out = []
-        for name in ("refs", "excluded", "items", "unresolved"):
-            own = getattr(self, name)
-            own.write.parquet(f"{at}/{name}")
-            out.append(own.sparkSession.read.schema(own.schema).parquet(f"{at}/{name}"))
-        return Bundle(*out)
+        return Bundle(*(stored(getattr(self, name), f"{at}/{name}") for name in ("refs", "excluded", "items", "unresolved")))
 
 
 def bundled(changesets: DataFrame, evidence: DataFrame, include_docs: bool = False) -> Bundle:
@@ -84,9 +85,7 @@ def kept_for_lift(changesets: DataFrame, evidence: DataFrame, at: str, include_d
 
     Diffs are read once, and what is shuffled and kept of them grows with their hunks and names, not with their lines.
     """
-    own = trace.read_diffs(changesets, whole=False)
-    own.write.parquet(f"{at}/diffs")
-    diffs = own.sparkSession.read.schema(own.schema).parquet(f"{at}/diffs")
+    diffs = stored(trace.read_diffs(changesets, whole=False), f"{at}/diffs")
     return bundled_hunks(diffs.select("ref"), *_read_diff(diffs, include_docs), evidence).kept(at)
 
 
@@ -210,18 +209,22 @@ def _anchor(status: str) -> Column:
     return F.struct(F.col("path").alias("file"), F.array("start_line", "end_line").alias("lines"), "symbol", F.lit(None).cast(TEST).alias("test"), "granularity", F.lit(status).alias("status"))
 
 
-def lift(bundle: Bundle, tree: DataFrame, authored: DataFrame | None = None) -> Lift:
+def lift(bundle: Bundle, tree: DataFrame, authored: DataFrame | None = None, at: str | None = None) -> Lift:
     """From evidence to reports: requirements, their anchors held against the tree, drift, what was left out and open questions.
 
     tree: lines (ref, path, n from 1, line) of each changeset's files. authored: JSON texts (ref, text) of those who wrote the requirements; a changeset
     without one has a placeholder for each item and quota. The bundle should be a kept one: its items are read a dozen times. A changeset whose text is at fault has no report but rows of refused.
+    at: a folder that is not there yet, for what is read several times on the way, which makes the plan a small one.
     """
+    held_at = lambda rows, name: rows if at is None else stored(rows, f"{at}/{name}")
     spark = bundle.refs.sparkSession
     texts = authored.select("ref", "text") if authored is not None else spark.createDataFrame([], "ref string, text string")
     written, asked, faults = read_authored(texts, bundle.items)
-    refused = faults.join(bundle.refs, "ref", "left_semi").unionByName(faults.join(bundle.refs, "ref", "left_anti").withColumn("fault", F.lit("no changeset"))).distinct()
+    known = faults.join(bundle.refs.select("ref", F.lit(True).alias("_known")).distinct(), "ref", "left")
+    refused = held_at(known.select("ref", "place", F.when(F.col("_known"), F.col("fault")).otherwise("no changeset").alias("fault")).distinct(), "refused")
     stopped = refused.select("ref").distinct()
     refs, items, unresolved, excluded = (x.join(stopped, "ref", "left_anti") for x in (bundle.refs, bundle.items, bundle.unresolved, bundle.excluded))
+    items = held_at(items.select("ref", "item", "path", "symbol", "granularity", "start_line", "end_line"), "items")
     placeholders = trace.placeholder_requirements(items.join(texts.select("ref"), "ref", "left_anti"))
     placeholders = placeholders.join(items.select("ref", "item", "granularity"), ["ref", "item"]).withColumn("place", F.col("item") * len(trace.QUOTAS) + audit.order_of(F.col("quota"), trace.QUOTAS))
     requirements = placeholders.withColumn("place", F.col("place").cast("int")).select(*written.columns).unionByName(written.join(stopped, "ref", "left_anti"))
@@ -231,7 +234,8 @@ def lift(bundle: Bundle, tree: DataFrame, authored: DataFrame | None = None) ->
     )
     sure = trace.verified(anchors, tree.select(key().alias("path"), "n", "line")).where("verified").select(F.col("anchor"))
     sure = sure.select(F.get_json_object("anchor", "$.ref").alias("ref"), F.get_json_object("anchor", "$.item").cast("int").alias("item"), F.lit(True).alias("sure"))
-    held = requirements.join(sure, ["ref", "item"], "left")
+    held = held_at(requirements.join(sure, ["ref", "item"], "left"), "requirements")
+    requirements = held.drop("sure")
     confirmed = held.where("sure")
     one = F.struct("id", "quota", "statement", _anchor("verified").alias("anchor"), F.concat(F.lit("item-"), F.col("item").cast("string")).alias("source_item"))
     a = confirmed.select("ref", F.lit("requirement").alias("kind"), _place(F.col("place")), one.alias("requirement"))
@@ -326,15 +330,16 @@ class Audit:
     refused: DataFrame
 
 
-def audit_reports(original: DataFrame, lifted: DataFrame, verdicts: DataFrame, asked: DataFrame | None = None, refs: DataFrame | None = None) -> Audit:
+def audit_reports(original: DataFrame, lifted: DataFrame, verdicts: DataFrame, asked: DataFrame | None = None, refs: DataFrame | None = None, at: str | None = None) -> Audit:
     """Audits of all changesets that refs (ref; by default those with an item or a verdict) names and that have no fault.
 
     original: requirements (ref, index, id); lifted: items of read_lifts; verdicts and open questions (asked) of read_verdicts. A ref without original requirements
-    says so as a declared gap; one with any fault (audit.faults) has no report but rows of refused.
+    says so as a declared gap; one with any fault (audit.faults) has no report but rows of refused. at: a folder that is not there yet, for what is read several times.
     """
+    held_at = lambda rows, name: rows if at is None else stored(rows, f"{at}/{name}")
     refs = (refs if refs is not None else lifted.select("ref").union(verdicts.select("ref"))).select("ref").distinct()
     original, lifted, verdicts = (x.join(refs, "ref", "left_semi") for x in (original, lifted, verdicts))
-    refused = audit.faults(original, lifted, verdicts)
+    refused = held_at(audit.faults(original, lifted, verdicts), "refused")
     sound = refs.join(refused.select("ref").distinct(), "ref", "left_anti")
     original, lifted, verdicts = (x.join(sound, "ref", "left_semi") for x in (original, lifted, verdicts))
     records = audit.records(original, lifted, verdicts, more=True)

@@ -336,19 +336,21 @@ REF = "concat('', doc_id)"
 WRITTEN = """'{"requirements": [{"item": 0, "quota": "behaviour", "statement": " must do so "}], "open_questions": ["why?"]}'"""
 
 
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{lexical.shared(s)}/{name}-{uuid.uuid4().hex}"
+
+
 def _kept(rows: DataFrame) -> DataFrame:
     """Texts (ref, text) written to the shared folder and read from it, as (path, text)."""
-    at = f"{lexical.shared(rows.sparkSession)}/texts-{uuid.uuid4().hex}"
-    rows.select(F.col("ref").alias("path"), "text").write.parquet(at)
-    return rows.sparkSession.read.schema("path string, text string").parquet(at)
+    return reports.stored(rows.select(F.col("ref").alias("path"), "text"), _folder(rows.sparkSession, "texts"))
 
 
 def _lifted(s: SparkSession, d: str) -> reports.Lift:
     docs = table(s, d, "documents").withColumn("ref", F.expr(REF))
-    bundle = reports.kept_for_lift(docs.select("ref", F.expr(TEXT).alias("text")), _evidence(s, d), f"{lexical.shared(s)}/bundle-{uuid.uuid4().hex}")
+    bundle = reports.kept_for_lift(docs.select("ref", F.expr(TEXT).alias("text")), _evidence(s, d), _folder(s, "bundle"))
     first = F.expr(f"CASE WHEN doc_id % 3 <> 0 THEN concat('class ', {HUNK0}) ELSE 'class other' END")
     tree = docs.select("ref", F.expr(NAME).alias("path"), F.explode(F.array(F.struct(F.lit(1).alias("n"), first.alias("line")), F.struct(F.expr("CASE WHEN doc_id % 4 = 1 THEN 209 ELSE 211 END").alias("n"), F.lit("end").alias("line")))).alias("x"))
-    return reports.lift(bundle, tree.select("ref", "path", "x.*"), docs.where("doc_id % 2 = 0").select("ref", F.expr(WRITTEN).alias("text")))
+    return reports.lift(bundle, tree.select("ref", "path", "x.*"), docs.where("doc_id % 2 = 0").select("ref", F.expr(WRITTEN).alias("text")), _folder(s, "lift"))
 
 
 LIFTED = f"""dx AS (SELECT *, {DIR} IN ('docs', 'specs') OR doc_id % 9 = 0 AS left_out FROM documents), fx AS (SELECT *, NOT {BINARY} AND NOT left_out AS shown, doc_id % 6 <> 0 AS second, doc_id % 2 = 0 AS written, doc_id % 3 <> 0 AS v0, doc_id % 4 <> 1 AS v1 FROM dx),
@@ -386,13 +388,14 @@ SELECT {REF} AS ref, CASE WHEN doc_id % 10 = 9 THEN 'dangling' END AS fault, CAS
 def aud04_audits_of_kept_reports(s: SparkSession, d: str) -> DataFrame:
     """Lift reports, requirements of Markdown and kept verdicts to audits: the matrix of each, its faults; a tenth of the verdicts name a requirement too many."""
     kept = _kept(_lifted(s, d).reports.where("cast(ref as bigint) % 10 <> 7"))
-    items, _ = reports.read_lifts(kept)
+    items = reports.stored(reports.read_lifts(kept)[0], _folder(s, "items"))
     refs = kept.select(F.col("path").alias("ref"))
     original = audit.requirement_bullets(_bullet_docs(s, d)).select(F.substring("path", 2, 30).alias("ref"), F.col("place").alias("index"), "id")
-    drawn = audit.placeholder_verdicts(original.join(refs, "ref", "left_semi"), items)
+    original = reports.stored(original.join(refs, "ref", "left_semi"), _folder(s, "original"))
+    drawn = audit.placeholder_verdicts(original, items)
     extra = refs.where("cast(ref as bigint) % 10 = 9").select("ref", F.lit(5).alias("original"), F.array().cast("array<int>").alias("lifted"), F.lit(audit.MET).alias("verdict"), *(F.lit(audit.LEVELS[1]).alias(c) for c in ("confidence", "alignment")), *(F.lit(None).cast("string").alias(c) for c in ("severity", "detectability", "explanation")))
     verdicts, asked, _ = reports.read_verdicts(_kept(reports.verdict_texts(drawn.unionByName(extra), refs)))
-    done = reports.audit_reports(original, items, verdicts, asked, refs)
+    done = reports.audit_reports(original, items, reports.stored(verdicts, _folder(s, "verdicts")), asked, refs, _folder(s, "audit"))
     told, _ = reports.read_audits(_kept(done.reports))
     n = lambda v: F.element_at("x.matrix.counts", F.lit(v))
     doubts = F.size(F.filter(F.flatten(F.transform("x.records", lambda r: r["notes"])), lambda t: F.startswith(t, F.lit("unverified"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from lodequery.operators import audit, reports, trace
@@ -57,3 +59,22 @@ def test_bullets_are_read_where_they_lie(spark):
     rows = audit.requirement_bullets(spark.createDataFrame([("p", text), ("q", None), ("r", ""), ("s", "- **FR-9**"), ("t", "no bullet")], "path string, text string"))
     assert [tuple(r) for r in rows.orderBy("path", "place").select("path", "place", "id", "text").collect()] == [("p", 0, "REQ-1", "- **REQ-1** first more"), ("p", 1, "FR-2", "- **FR-2** b"), ("p", 2, "REQ-4", "- **REQ-4** x"), ("s", 0, "FR-9", "- **FR-9**")]
     assert "Exchange" not in plan(rows)[1]
+
+
+def test_what_is_read_several_times_is_kept(spark, tmp_path):
+    text = lambda *items: json.dumps({"requirements": [{"item": i, "quota": "behaviour", "statement": "must"} for i in items], "open_questions": ["why?"]})
+    bundle = reports.kept_for_lift(changesets(spark), spark.createDataFrame([("x", "H", "H", "x", 1, 0)], "path string, query string, name string, symbol_path string, line int, place int"), str(tmp_path / "b"))
+    tree = spark.createDataFrame([("plain", "x", 1, "class H"), ("plain", "x", 3, ""), ("bare", "z", 1, "")], "ref string, path string, n int, line string")
+    authored = spark.createDataFrame([("plain", text(0)), ("renamed", text(7)), ("empty", "["), ("unknown", text(0)), (None, text(0))], "ref string, text string")
+    plain, kept = reports.lift(bundle, tree, authored), reports.lift(bundle, tree, authored, str(tmp_path / "lift"))
+    same(kept.reports, plain.reports)
+    same(kept.refused, plain.refused)
+    assert {(r["ref"], r["fault"]) for r in kept.refused.collect()} == {("renamed", "item"), ("empty", "malformed"), ("unknown", "no changeset"), (None, "no changeset")}
+    read = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert 0 < 2 * read(kept.reports) < read(plain.reports)
+    items = reports.stored(reports.read_lifts(kept.reports.withColumn("path", F.col("ref")))[0], str(tmp_path / "items"))
+    original = spark.createDataFrame([("plain", 0, "REQ-A"), ("binary", 0, "REQ-B")], "ref string, index int, id string")
+    verdicts = audit.placeholder_verdicts(original, items).where("ref <> 'binary'")
+    one, other = reports.audit_reports(original, items, verdicts), reports.audit_reports(original, items, verdicts, at=str(tmp_path / "audit"))
+    same(other.reports, one.reports)
+    same(other.refused, one.refused)
